@@ -1,0 +1,103 @@
+"""Roll-ups of process events and sessions (A1, A3–A7) and the long-form metric
+snapshot (A14).
+
+All are grouped aggregates with partial aggregation; the only per-group
+"latest" choice is ``max_by``.  Histograms are computed in one pass with one
+``count_if`` per bucket bound.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from fleetlens.functions.gpu import MIB
+from fleetlens.functions.display import ts_literal
+from fleetlens.schemas import WORKLOAD_CATEGORIES
+
+
+def week_start(ts) -> F.Column:
+    """Monday of the (UTC) week of a timestamp, as a DATE."""
+    return F.to_date(F.date_trunc("week", F.col(ts) if isinstance(ts, str) else ts))
+
+
+def weekly_summary(events: DataFrame, week: str | None = None,
+                   categories: Sequence[str] = WORKLOAD_CATEGORIES) -> DataFrame:
+    """A1: per (week, category) event count, mean / max utilisation, summed memory
+    and duration.  All weeks at once (one hash aggregate), or only the week
+    starting on ``week`` (a Monday, ``YYYY-MM-DD``) with a sargable time filter.
+    Weeks without events of a category give no row."""
+    df = events.where(F.col("category").isin(list(categories)))
+    if week is not None:
+        start = ts_literal(f"{week}T00:00:00Z", "week_start")
+        df = df.where((F.col("timestamp") >= start) & (F.col("timestamp") < start + F.expr("INTERVAL 7 DAYS")))
+    return (df.groupBy(week_start("timestamp").alias("week_start"), "category")
+            .agg(F.sum("duration_secs").cast("long").alias("total_duration_secs"),
+                 F.avg("gpu_utilization").alias("avg_gpu_utilization"),
+                 F.max("gpu_utilization").alias("max_gpu_utilization"),
+                 F.sum("gpu_memory_mb").cast("long").alias("total_gpu_memory_mb"),
+                 F.count(F.lit(1)).alias("event_count"))
+            .select("week_start", F.date_add("week_start", 7).alias("week_end"), "category",
+                    "total_duration_secs", "avg_gpu_utilization", "max_gpu_utilization",
+                    "total_gpu_memory_mb", "event_count"))
+
+
+def category_gauges(events: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """A3: process count and memory bytes per category and tick; the gauge keeps
+    the value of the last tick in which the category occurred (no reset to 0)."""
+    per_tick = (events.groupBy(*keys, "timestamp", "category")
+                .agg(F.count(F.lit(1)).alias("process_count"),
+                     F.sum(F.col("gpu_memory_mb") * F.lit(MIB)).cast("long").alias("memory_bytes")))
+    return (per_tick.groupBy(*keys, "category")
+            .agg(F.max_by(F.struct("timestamp", "process_count", "memory_bytes"), "timestamp").alias("_g"))
+            .select(*keys, "category", F.col("_g.timestamp").alias("tick"),
+                    F.col("_g.process_count").alias("process_count"),
+                    F.col("_g.memory_bytes").alias("memory_bytes")))
+
+
+def process_memory(events: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """A4: last memory (bytes) per (category, process name, pid)."""
+    return (events.groupBy(*keys, "category", F.col("name").alias("process_name"), "pid")
+            .agg(F.max_by(F.struct("timestamp", (F.col("gpu_memory_mb") * F.lit(MIB)).cast("long")
+                                   .alias("memory_bytes")), "timestamp").alias("_m"))
+            .select(*keys, "category", "process_name", "pid", F.col("_m.timestamp").alias("tick"),
+                    F.col("_m.memory_bytes").alias("memory_bytes")))
+
+
+# Histogram bucket upper bounds.
+TPS_BUCKETS = (1.0, 5.0, 10.0, 25.0, 50.0, 100.0, 250.0, 500.0)
+TTFT_BUCKETS_MS = (10.0, 50.0, 100.0, 250.0, 500.0, 1000.0, 2500.0, 5000.0)
+
+
+def _le_label(b: float) -> str:
+    return str(int(b)) if float(b).is_integer() else repr(b)
+
+
+def histogram(df: DataFrame, value: str, buckets: Sequence[float], by: Sequence[str] = ("model",)) -> DataFrame:
+    """A5: cumulative ``le`` buckets (inclusive, plus ``+Inf``), sum and count per
+    group, in long form (one row per bound).  Null values are not observed."""
+    v = F.col(value).cast("double")
+    obs = df.where(v.isNotNull())
+    aggs = [F.count_if(v <= F.lit(float(b))).alias(f"_b{i}") for i, b in enumerate(buckets)]
+    aggs += [F.count(v).alias("sample_count"), F.sum(v).alias("sample_sum")]
+    wide = obs.groupBy(*by).agg(*aggs)
+    labels = [(_le_label(b), F.col(f"_b{i}")) for i, b in enumerate(buckets)] + [("+Inf", F.col("sample_count"))]
+    return wide.select(*by, "sample_sum", "sample_count", F.explode(F.array(*[
+        F.struct(F.lit(lbl).alias("le"), c.cast("long").alias("bucket_count")) for lbl, c in labels
+    ])).alias("_h")).select(*by, "_h.le", "_h.bucket_count", "sample_sum", "sample_count")
+
+
+def tps_histogram(sessions: DataFrame) -> DataFrame:
+    return histogram(sessions, "tokens_per_second", TPS_BUCKETS)
+
+
+def ttft_histogram(sessions: DataFrame) -> DataFrame:
+    return histogram(sessions, "time_to_first_token_ms", TTFT_BUCKETS_MS)
+
+
+def model_counters(sessions: DataFrame) -> DataFrame:
+    """A6 + A7: session count and total tokens per model."""
+    return sessions.groupBy("model").agg(F.count(F.lit(1)).alias("session_count"),
+                                         F.sum("total_tokens").cast("long").alias("total_tokens"))

@@ -213,3 +213,100 @@ def q_gauge_fill(spark, sf_dir):
         "id", "gpu_id", "utilization_gpu", gpu_fn.memory_percent().alias("memory_percent"), "temperature",
         "power_usage")
     return gpu_fn.gauge_fills(df).select("id", "gpu_id", *[f"{m}_fill" for m in gpu_fn.GAUGE_MAX])
+
+
+# ------------------------------------------------------------ processes
+from fleetlens.functions import classify as C  # noqa: E402
+from fleetlens.operators import processes as P  # noqa: E402
+from fleetlens.operators import rollups as R  # noqa: E402
+
+ROOTS = fixtures.FIXTURE_LIBRARY_ROOTS
+PS = fixtures.duckdb_cte("process_samples", "os_processes")
+
+
+def _any_sql(text: str, words) -> str:
+    return "(" + " OR ".join(f"strpos({text}, '{w}') > 0" for w in words) + ")"
+
+
+def _in_lib_sql(exe: str) -> str:
+    tests = " OR ".join(f"({exe} = '{r}' OR starts_with({exe}, '{r}/'))" for r in ROOTS)
+    return f"coalesce({tests}, false)"
+
+
+def _category_sql(name: str, cmd: str, exe: str, util: str) -> str:
+    n, c = f"lower(coalesce({name}, ''))", f"lower(coalesce({cmd}, ''))"
+    game = (f"(({exe} IS NOT NULL AND ({_in_lib_sql(exe)} OR strpos(lower({exe}), 'game') > 0)) "
+            f"OR (ends_with({n}, '.exe') AND coalesce({util}, 0) > 60))")
+    return (f"CASE WHEN strpos({n}, 'ollama') > 0 THEN 'llm_inference' "
+            f"WHEN {_any_sql(c, C.FRAMEWORK_WORDS)} THEN 'ml_training' "
+            f"WHEN strpos({n}, 'python') > 0 AND {_any_sql(c, C.PYTHON_ML_KEYWORDS)} THEN "
+            f"(CASE WHEN {_any_sql(c, C.INFERENCE_WORDS)} THEN 'llm_inference' ELSE 'ml_training' END) "
+            f"WHEN {game} THEN 'gaming' ELSE 'general_compute' END")
+
+
+@register("classify", PS + f"""
+SELECT id, pid, {_category_sql('name', 'command_line', 'exe_path', 'gpu_utilization')} AS category
+FROM process_samples""")
+def q_classify(spark, sf_dir):
+    """P1a-f + J3: workload category of every sampled process (library root /opt/lib/common)."""
+    s = _v(spark, sf_dir, "process_samples")
+    return C.classify(s, ROOTS).select("id", "pid", "category")
+
+
+PE_SQL = PS + f""",
+s AS (SELECT *, date_trunc('day', "timestamp") AS tick FROM process_samples),
+u AS (SELECT tick, gpu_id, max(gpu_utilization) AS gpu_util FROM s GROUP BY tick, gpu_id),
+w AS (SELECT tick, pid,
+        arg_max(gpu_id, (gpu_id, -coalesce(used_gpu_memory, 0), id)) AS gpu_id,
+        arg_max(coalesce(used_gpu_memory, 0), (gpu_id, -coalesce(used_gpu_memory, 0), id)) AS mem
+      FROM s GROUP BY tick, pid),
+process_events AS (
+  SELECT w.tick AS "timestamp", w.pid, o.name,
+    {_category_sql('o.name', 'o.command_line', 'o.exe_path', 'u.gpu_util')} AS category,
+    w.mem // 1048576 AS gpu_memory_mb, u.gpu_util AS gpu_utilization, o.command_line, o.exe_path,
+    CAST(0 AS BIGINT) AS duration_secs
+  FROM w JOIN u ON w.tick = u.tick AND w.gpu_id = u.gpu_id JOIN os_processes o ON w.pid = o.pid)
+"""
+
+
+def _process_events(spark, sf_dir):
+    return P.process_events(_v(spark, sf_dir, "process_samples"), _v(spark, sf_dir, "os_processes"),
+                            tick_unit="day", library_roots=ROOTS)
+
+
+@register("process_events", PE_SQL + "SELECT * FROM process_events")
+def q_process_events(spark, sf_dir):
+    """One classified event per (day tick, pid) found in the OS process table."""
+    return _process_events(spark, sf_dir)
+
+
+@register("weekly_summary", PE_SQL + """
+SELECT CAST(date_trunc('week', "timestamp") AS DATE) AS week_start,
+  CAST(date_trunc('week', "timestamp") AS DATE) + 7 AS week_end, category,
+  CAST(sum(duration_secs) AS BIGINT) AS total_duration_secs, avg(gpu_utilization) AS avg_gpu_utilization,
+  max(gpu_utilization) AS max_gpu_utilization, CAST(sum(gpu_memory_mb) AS BIGINT) AS total_gpu_memory_mb,
+  count(*) AS event_count
+FROM process_events WHERE category IN ('gaming', 'llm_inference', 'ml_training', 'general_compute')
+GROUP BY 1, 2, 3""")
+def q_weekly_summary(spark, sf_dir):
+    """A1 (flagship): samples -> dedup -> OS join -> classify -> per (Monday week, category) roll-up."""
+    return R.weekly_summary(_process_events(spark, sf_dir))
+
+
+@register("category_gauges", PE_SQL + """,
+t AS (SELECT "timestamp", category, count(*) AS process_count,
+        CAST(sum(gpu_memory_mb * 1048576) AS BIGINT) AS memory_bytes FROM process_events GROUP BY 1, 2)
+SELECT category, arg_max("timestamp", "timestamp") AS tick, arg_max(process_count, "timestamp") AS process_count,
+  arg_max(memory_bytes, "timestamp") AS memory_bytes FROM t GROUP BY category""")
+def q_category_gauges(spark, sf_dir):
+    """A3: per-category process count and memory of the last tick the category occurred in."""
+    return R.category_gauges(_process_events(spark, sf_dir))
+
+
+@register("process_memory", PE_SQL + """
+SELECT category, name AS process_name, pid, max("timestamp") AS tick,
+  arg_max(gpu_memory_mb * 1048576, "timestamp") AS memory_bytes
+FROM process_events GROUP BY category, name, pid""")
+def q_process_memory(spark, sf_dir):
+    """A4: last memory in bytes per (category, process name, pid)."""
+    return R.process_memory(_process_events(spark, sf_dir))
