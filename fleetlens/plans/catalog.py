@@ -51,6 +51,11 @@ def register(name: str, sql: str | None):
     return deco
 
 
+def _round6(df: DataFrame, *cols: str) -> DataFrame:
+    """Oracle hygiene: float aggregates whose summation order differs between engines."""
+    return df.select(*[F.round(F.col(c), 6).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
 def _v(spark, sf_dir, name):
     return fixtures.view(spark, sf_dir, name)
 
@@ -310,3 +315,144 @@ FROM process_events GROUP BY category, name, pid""")
 def q_process_memory(spark, sf_dir):
     """A4: last memory in bytes per (category, process name, pid)."""
     return R.process_memory(_process_events(spark, sf_dir))
+
+
+# -------------------------------------------------------------- sessions
+from fleetlens.operators import sessions as SS  # noqa: E402
+
+SESSIONS_NOW = "2024-01-02T00:00:00Z"      # rolling 24 h panel covering the fixture day
+BETWEEN = ("2024-01-01T00:00:00Z", "2024-12-31T23:59:59Z")   # lower bound equals the first start
+
+LS_SQL = fixtures.duckdb_cte("llm_chunks") + """,
+r AS (SELECT *,
+  min(arrival_ts) OVER w AS st, first_value(model) OVER w AS m,
+  min(CASE WHEN response IS NOT NULL THEN arrival_ts END) OVER w AS ft,
+  last_value(prompt_eval_count IGNORE NULLS) OVER w AS pt,
+  last_value(eval_count IGNORE NULLS) OVER w AS ct,
+  last_value(eval_duration IGNORE NULLS) OVER w AS ed
+  FROM llm_chunks
+  WINDOW w AS (PARTITION BY session_id ORDER BY arrival_ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+q AS (SELECT session_id, st, arrival_ts AS et, m, coalesce(pt, 0) AS pt, coalesce(ct, 0) AS ct,
+        coalesce(ed, 0) AS ed, ft FROM r WHERE done),
+llm_sessions AS (SELECT session_id AS id, st AS start_time, et AS end_time, m AS model,
+  pt AS prompt_tokens, ct AS completion_tokens, pt + ct AS total_tokens,
+  CASE WHEN ed > 0 THEN CAST(ct AS DOUBLE) * 1e9 / CAST(ed AS DOUBLE) ELSE 0.0 END AS tokens_per_second,
+  (epoch_us(ft) - epoch_us(st)) // 1000 AS time_to_first_token_ms,
+  CASE WHEN ct > 0 AND ed > 0 THEN CAST(ed AS DOUBLE) / 1e6 / CAST(ct AS DOUBLE) END AS time_per_output_token_ms
+  FROM q)
+"""
+
+
+def _sessions(spark, sf_dir):
+    return SS.track_sessions(_v(spark, sf_dir, "llm_chunks"))
+
+
+@register("llm_sessions", LS_SQL + "SELECT * FROM llm_sessions")
+def q_llm_sessions(spark, sf_dir):
+    """R1 + P6: sessions rebuilt from the response chunks, one row per done chunk."""
+    return _sessions(spark, sf_dir)
+
+
+@register("sessions_between", LS_SQL + """
+SELECT * FROM llm_sessions
+WHERE start_time >= TIMESTAMP '2024-01-01 00:00:00' AND start_time <= TIMESTAMP '2024-12-31 23:59:59'
+ORDER BY start_time DESC, id""")
+def q_sessions_between(spark, sf_dir):
+    """Sessions started in [2024-01-01, 2024-12-31 23:59:59], both ends inclusive, newest first."""
+    return SS.sessions_between(_sessions(spark, sf_dir), *BETWEEN)
+
+
+@register("rolling_sessions", LS_SQL + """
+SELECT * FROM llm_sessions
+WHERE start_time >= TIMESTAMP '2024-01-01 00:00:00' AND start_time <= TIMESTAMP '2024-01-02 00:00:00'""")
+def q_rolling_sessions(spark, sf_dir):
+    """T4: the rolling 24 h session panel ending at 2024-01-02T00:00Z."""
+    return SS.rolling_sessions(_sessions(spark, sf_dir), SESSIONS_NOW)
+
+
+def _fixed_sql(x: str, digits: int) -> str:
+    return f"printf('%.{digits}f', round(CAST({x} AS DOUBLE), {digits}))"
+
+
+def _dur_text_sql(d: str) -> str:
+    return (f"CASE WHEN {d} IS NULL OR {d} = 0 THEN '-' WHEN {d} < 60 THEN {_fixed_sql(d, 0)} || 's' "
+            f"ELSE {_fixed_sql(d + ' / 60.0', 1)} || 'm' END")
+
+
+DUR_SQL = "CAST(epoch_us(end_time) - epoch_us(start_time) AS DOUBLE) / 1e6"
+
+
+@register("recent_sessions", LS_SQL + f"""
+SELECT id, start_time, strftime(start_time, '%H:%M:%S') AS "time", model, total_tokens,
+  {_fixed_sql('tokens_per_second', 1)} AS tps_text,
+  CASE WHEN time_to_first_token_ms IS NULL OR time_to_first_token_ms = 0 THEN '-'
+       ELSE CAST(time_to_first_token_ms AS VARCHAR) || 'ms' END AS ttft_text,
+  {_dur_text_sql(DUR_SQL)} AS duration_text
+FROM llm_sessions ORDER BY start_time DESC, id LIMIT 10""")
+def q_recent_sessions(spark, sf_dir):
+    """T3 + P8: the ten newest sessions as display rows (top-k is the feature)."""
+    return SS.recent_sessions(_sessions(spark, sf_dir), 10)
+
+
+@register("session_totals", LS_SQL + f"""
+SELECT *, {_fixed_sql('total_tokens / 1000.0', 1)} || 'k' AS total_tokens_text,
+  CASE WHEN avg_duration_secs > 0 THEN {_dur_text_sql('avg_duration_secs')} ELSE '-' END AS avg_duration_text
+FROM (SELECT count(*) AS total_sessions, round(avg(tokens_per_second), 6) AS avg_tokens_per_second,
+  coalesce(avg(CASE WHEN time_to_first_token_ms > 0 THEN time_to_first_token_ms END), 0.0) AS avg_ttft_ms,
+  CAST(coalesce(sum(total_tokens), 0) AS BIGINT) AS total_tokens,
+  coalesce(avg(CASE WHEN end_time IS NOT NULL THEN {DUR_SQL} END), 0.0) AS avg_duration_secs
+  FROM llm_sessions) WHERE total_sessions > 0""")
+def q_session_totals(spark, sf_dir):
+    """A10: the session panel's totals."""
+    return _round6(SS.session_totals(_sessions(spark, sf_dir)), "avg_tokens_per_second")
+
+
+@register("model_stats", LS_SQL + """
+SELECT model, round(avg(tokens_per_second), 6) AS avg_tokens_per_second, count(*) AS session_count,
+  max(start_time) AS newest_start FROM llm_sessions GROUP BY model""")
+def q_model_stats(spark, sf_dir):
+    """Mean tps and session count per model, best first."""
+    return _round6(SS.model_stats(_sessions(spark, sf_dir)), "avg_tokens_per_second")
+
+
+@register("best_model", LS_SQL + """
+SELECT model, split_part(model, ':', 1) AS model_base, round(avg_tokens_per_second, 6) AS avg_tokens_per_second,
+  session_count FROM (
+  SELECT model, avg(tokens_per_second) AS avg_tokens_per_second, count(*) AS session_count,
+    max(start_time) AS newest_start FROM llm_sessions GROUP BY model)
+ORDER BY avg_tokens_per_second DESC, newest_start DESC, model LIMIT 1""")
+def q_best_model(spark, sf_dir):
+    """The model with the highest mean tps (tie: newest session)."""
+    return _round6(SS.best_model(_sessions(spark, sf_dir)), "avg_tokens_per_second")
+
+
+def _hist_sql(value: str, buckets) -> str:
+    lbl = [R._le_label(b) for b in buckets]
+    cols = ", ".join(f"count_if(v <= {float(b)}) AS b{i}" for i, b in enumerate(buckets))
+    rows = _union_all([f"SELECT model, '{lbl[i]}' AS le, CAST(b{i} AS BIGINT) AS bucket_count, sample_sum, "
+                       f"sample_count FROM h" for i in range(len(buckets))]
+                      + ["SELECT model, '+Inf' AS le, sample_count AS bucket_count, sample_sum, sample_count FROM h"])
+    return LS_SQL + f""", h0 AS (SELECT model, {cols}, count(v) AS sample_count, sum(v) AS sample_sum
+  FROM (SELECT model, CAST({value} AS DOUBLE) AS v FROM llm_sessions WHERE {value} IS NOT NULL) GROUP BY model),
+h AS (SELECT * REPLACE (round(sample_sum, 6) AS sample_sum) FROM h0)
+{rows}"""
+
+
+@register("tps_histogram", _hist_sql("tokens_per_second", R.TPS_BUCKETS))
+def q_tps_histogram(spark, sf_dir):
+    """A5: cumulative tokens-per-second histogram per model."""
+    return _round6(R.tps_histogram(_sessions(spark, sf_dir)), "sample_sum")
+
+
+@register("ttft_histogram", _hist_sql("time_to_first_token_ms", R.TTFT_BUCKETS_MS))
+def q_ttft_histogram(spark, sf_dir):
+    """A5: cumulative time-to-first-token histogram per model (null ttft not observed)."""
+    return _round6(R.ttft_histogram(_sessions(spark, sf_dir)), "sample_sum")
+
+
+@register("model_counters", LS_SQL + """
+SELECT model, count(*) AS session_count, CAST(sum(total_tokens) AS BIGINT) AS total_tokens
+FROM llm_sessions GROUP BY model""")
+def q_model_counters(spark, sf_dir):
+    """A6 + A7: session count and total tokens per model."""
+    return R.model_counters(_sessions(spark, sf_dir))
