@@ -101,3 +101,87 @@ def model_counters(sessions: DataFrame) -> DataFrame:
     """A6 + A7: session count and total tokens per model."""
     return sessions.groupBy("model").agg(F.count(F.lit(1)).alias("session_count"),
                                          F.sum("total_tokens").cast("long").alias("total_tokens"))
+
+
+# Exported metric names (scrape naming) and label keys.
+GPU_GAUGE_NAMES = {
+    "utilization_gpu": "gpm_gpu_utilization_percent",
+    "memory_used": "gpm_gpu_memory_used_bytes",
+    "memory_total": "gpm_gpu_memory_total_bytes",
+    "temperature": "gpm_gpu_temperature_celsius",
+    "power_usage": "gpm_gpu_power_watts",
+}
+TPS_HISTOGRAM_NAME = "gpm_llm_tokens_per_second"
+TTFT_HISTOGRAM_NAME = "gpm_llm_time_to_first_token_ms"
+SESSION_COUNT_NAME = "gpm_llm_session_count"
+PROCESS_COUNT_NAME = "gpm_process_count"
+PROCESS_MEMORY_NAME = "gpm_process_gpu_memory_bytes"
+# Series only the push exporter has.
+TOTAL_TOKENS_NAME = "llm.tokens.total"
+PROCESS_MEMORY_BY_PID_NAME = "process.gpu_memory.bytes"
+
+
+def _labels(*pairs) -> F.Column:
+    """A label map with keys in sorted order (so its JSON text is canonical)."""
+    items = sorted(pairs, key=lambda kv: kv[0])
+    args = []
+    for k, v in items:
+        args += [F.lit(k), (F.col(v) if isinstance(v, str) else v).cast("string")]
+    return F.create_map(*args)
+
+
+def _series(df: DataFrame, metric, labels: F.Column, value: F.Column) -> DataFrame:
+    m = F.lit(metric) if isinstance(metric, str) else metric
+    return df.select(m.alias("metric"), labels.alias("labels"), value.cast("double").alias("value"))
+
+
+def metric_snapshot(gauges: DataFrame, sessions: DataFrame, events: DataFrame) -> DataFrame:
+    """Every gauge, counter and histogram series as (metric, labels, value).
+
+    ``gauges`` is the output of ``operators.metrics.gpu_gauges`` (A2); sessions
+    feed A5-A7, process events A3-A4.  A union of small grouped results.
+    """
+    parts = []
+    gl = _labels(("gpu_id", "gpu_id"), ("gpu_name", "name"))
+    for col, name in GPU_GAUGE_NAMES.items():
+        parts.append(_series(gauges, name, gl, F.col(col)))
+    for base, h in ((TPS_HISTOGRAM_NAME, tps_histogram(sessions)), (TTFT_HISTOGRAM_NAME, ttft_histogram(sessions))):
+        parts.append(_series(h, f"{base}_bucket", _labels(("le", "le"), ("model", "model")), F.col("bucket_count")))
+        one = h.where(F.col("le") == "+Inf")
+        parts.append(_series(one, f"{base}_sum", _labels(("model", "model")), F.col("sample_sum")))
+        parts.append(_series(one, f"{base}_count", _labels(("model", "model")), F.col("sample_count")))
+    mc = model_counters(sessions)
+    parts.append(_series(mc, SESSION_COUNT_NAME, _labels(("model", "model")), F.col("session_count")))
+    parts.append(_series(mc, TOTAL_TOKENS_NAME, _labels(("model", "model")), F.col("total_tokens")))
+    cg = category_gauges(events)
+    parts.append(_series(cg, PROCESS_COUNT_NAME, _labels(("category", "category")), F.col("process_count")))
+    parts.append(_series(cg, PROCESS_MEMORY_NAME, _labels(("category", "category")), F.col("memory_bytes")))
+    pm = process_memory(events)
+    parts.append(_series(pm, PROCESS_MEMORY_BY_PID_NAME,
+                         _labels(("category", "category"), ("pid", "pid"), ("process_name", "process_name")),
+                         F.col("memory_bytes")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def export_windows(metrics: DataFrame, every: str = "10 seconds", ts: str = "timestamp",
+                   tiebreak: Sequence[str] = ("id",)) -> DataFrame:
+    """R5 (batch form): per export period and (gpu_id, name), the last value of
+    each GPU gauge within the period.  The streaming form adds a watermark."""
+    order = F.struct(F.col(ts), *[F.col(t) for t in tiebreak])
+    cols = list(GPU_GAUGE_NAMES)
+    return (metrics.groupBy(F.window(ts, every).alias("w"), "gpu_id", "name")
+            .agg(F.max_by(F.struct(*[F.col(c) for c in cols]), order).alias("_g"))
+            .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
+                    "gpu_id", "name", *[F.col(f"_g.{c}").alias(c) for c in cols]))
+
+
+def export_counters(sessions: DataFrame, every: str = "10 seconds") -> DataFrame:
+    """R5 counters (delta form): tokens per model summed per export period of the session end."""
+    return (sessions.where(F.col("end_time").isNotNull())
+            .groupBy(F.window("end_time", every).alias("w"), "model")
+            .agg(F.sum("total_tokens").cast("long").alias("total_tokens"), F.count(F.lit(1)).alias("sessions"))
+            .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
+                    "model", "total_tokens", "sessions"))

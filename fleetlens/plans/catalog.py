@@ -456,3 +456,152 @@ FROM llm_sessions GROUP BY model""")
 def q_model_counters(spark, sf_dir):
     """A6 + A7: session count and total tokens per model."""
     return R.model_counters(_sessions(spark, sf_dir))
+
+
+# -------------------------------------------------------- metric snapshot
+def _json_labels_sql(*pairs) -> str:
+    items = sorted(pairs)
+    body = " || ',' || ".join(f"'\"{k}\":\"' || CAST({v} AS VARCHAR) || '\"'" for k, v in items)
+    return f"'{{' || {body} || '}}'"
+
+
+def _snapshot_sql() -> str:
+    gauges = """g AS (SELECT gpu_id, name, utilization_gpu, memory_used, memory_total, temperature, power_usage
+  FROM (SELECT *, row_number() OVER (PARTITION BY gpu_id, name ORDER BY "timestamp" DESC, id DESC) AS rn
+        FROM gpu_metrics) WHERE rn = 1)"""
+    parts = []
+    gl = _json_labels_sql(("gpu_id", "gpu_id"), ("gpu_name", "name"))
+    for col, name in R.GPU_GAUGE_NAMES.items():
+        parts.append(f"SELECT '{name}' AS metric, {gl} AS labels, CAST({col} AS DOUBLE) AS value FROM g")
+    ml = _json_labels_sql(("model", "model"))
+    for base, tbl in ((R.TPS_HISTOGRAM_NAME, "htps"), (R.TTFT_HISTOGRAM_NAME, "httft")):
+        parts.append(f"SELECT '{base}_bucket', {_json_labels_sql(('le', 'le'), ('model', 'model'))}, "
+                     f"CAST(bucket_count AS DOUBLE) FROM {tbl}")
+        parts.append(f"SELECT '{base}_sum', {ml}, CAST(sample_sum AS DOUBLE) FROM {tbl} WHERE le = '+Inf'")
+        parts.append(f"SELECT '{base}_count', {ml}, CAST(sample_count AS DOUBLE) FROM {tbl} WHERE le = '+Inf'")
+    parts.append(f"SELECT '{R.SESSION_COUNT_NAME}', {ml}, CAST(count(*) AS DOUBLE) FROM llm_sessions GROUP BY model")
+    parts.append(f"SELECT '{R.TOTAL_TOKENS_NAME}', {ml}, CAST(sum(total_tokens) AS DOUBLE) FROM llm_sessions "
+                 "GROUP BY model")
+    cl = _json_labels_sql(("category", "category"))
+    parts.append(f"SELECT '{R.PROCESS_COUNT_NAME}', {cl}, CAST(process_count AS DOUBLE) FROM cg")
+    parts.append(f"SELECT '{R.PROCESS_MEMORY_NAME}', {cl}, CAST(memory_bytes AS DOUBLE) FROM cg")
+    pl = _json_labels_sql(("category", "category"), ("pid", "pid"), ("process_name", "process_name"))
+    parts.append(f"SELECT '{R.PROCESS_MEMORY_BY_PID_NAME}', {pl}, CAST(memory_bytes AS DOUBLE) FROM pm")
+
+    def hist(value, buckets, name):
+        body = _hist_sql(value, buckets)
+        body = body[body.index(", h0 AS"):]
+        return body.replace(" h0 AS", f" {name}0 AS", 1).replace("FROM h0", f"FROM {name}0").replace(
+            "h AS (SELECT * REPLACE", f"{name}h AS (SELECT * REPLACE").replace(" FROM h\n", f" FROM {name}h\n") \
+            .replace(" FROM h", f" FROM {name}h")
+
+    def hist_cte(value, buckets, name):
+        lbl = [R._le_label(b) for b in buckets]
+        cols = ", ".join(f"count_if(v <= {float(b)}) AS b{i}" for i, b in enumerate(buckets))
+        rows = _union_all([f"SELECT model, '{lbl[i]}' AS le, CAST(b{i} AS BIGINT) AS bucket_count, "
+                           f"round(sample_sum, 6) AS sample_sum, sample_count FROM {name}0"
+                           for i in range(len(buckets))]
+                          + [f"SELECT model, '+Inf' AS le, sample_count, round(sample_sum, 6), sample_count "
+                             f"FROM {name}0"])
+        return (f", {name}0 AS (SELECT model, {cols}, count(v) AS sample_count, sum(v) AS sample_sum FROM "
+                f"(SELECT model, CAST({value} AS DOUBLE) AS v FROM llm_sessions WHERE {value} IS NOT NULL) "
+                f"GROUP BY model), {name} AS ({rows})")
+
+    del hist
+    pe = PE_SQL[PE_SQL.index("s AS (SELECT *, date_trunc"):]
+    return (fixtures.duckdb_cte("gpu_metrics", "llm_chunks", "process_samples", "os_processes")
+            + ", " + LS_SQL[LS_SQL.index("r AS (SELECT *,"):].rstrip() + ",\n" + pe.rstrip() + ",\n" + gauges
+            + hist_cte("tokens_per_second", R.TPS_BUCKETS, "htps")
+            + hist_cte("time_to_first_token_ms", R.TTFT_BUCKETS_MS, "httft") + """,
+t AS (SELECT "timestamp", category, count(*) AS process_count,
+        CAST(sum(gpu_memory_mb * 1048576) AS BIGINT) AS memory_bytes FROM process_events GROUP BY 1, 2),
+cg AS (SELECT category, arg_max(process_count, "timestamp") AS process_count,
+        arg_max(memory_bytes, "timestamp") AS memory_bytes FROM t GROUP BY category),
+pm AS (SELECT category, name AS process_name, pid, arg_max(gpu_memory_mb * 1048576, "timestamp") AS memory_bytes
+       FROM process_events GROUP BY category, name, pid)
+""" + _union_all(parts))
+
+
+@register("metric_snapshot", _snapshot_sql())
+def q_metric_snapshot(spark, sf_dir):
+    """Every exported gauge / counter / histogram series in long form (labels as JSON text)."""
+    snap = R.metric_snapshot(M.gpu_gauges(_v(spark, sf_dir, "gpu_metrics")), _sessions(spark, sf_dir),
+                             _process_events(spark, sf_dir))
+    return snap.select("metric", F.to_json("labels").alias("labels"),
+                       F.when(F.col("metric").endswith("_sum"), F.round("value", 6))
+                       .otherwise(F.col("value")).alias("value"))
+
+
+@register("export_10s", GM + """
+SELECT make_timestamp(epoch_us("timestamp") // 10000000 * 10000000) AS window_start,
+  make_timestamp(epoch_us("timestamp") // 10000000 * 10000000 + 10000000) AS window_end, gpu_id, name,
+  arg_max(utilization_gpu, ("timestamp", id)) AS utilization_gpu, arg_max(memory_used, ("timestamp", id)) AS memory_used,
+  arg_max(memory_total, ("timestamp", id)) AS memory_total, arg_max(temperature, ("timestamp", id)) AS temperature,
+  arg_max(power_usage, ("timestamp", id)) AS power_usage
+FROM gpu_metrics GROUP BY 1, 2, 3, 4""")
+def q_export_10s(spark, sf_dir):
+    """Last gauge values per 10-second export period and GPU."""
+    return R.export_windows(_v(spark, sf_dir, "gpu_metrics"))
+
+
+# ---------------------------------------------------------------- parsers
+from fleetlens.functions.display import rfc3339  # noqa: E402
+from fleetlens.sources import chunks as CH  # noqa: E402
+from fleetlens.sources import gpu as SG  # noqa: E402
+
+
+def gpu_csv_lines(spark, sf_dir) -> DataFrame:
+    """Probe text for every metric row: the 8 CSV fields, memory in MiB, power as a decimal."""
+    g = _v(spark, sf_dir, "gpu_metrics")
+    return g.select("id", F.col("timestamp").alias("ts"), F.concat_ws(
+        ", ", "gpu_id", "name", "utilization_gpu", "utilization_memory",
+        gpu_fn.bytes_to_mib("memory_used"), gpu_fn.bytes_to_mib("memory_total"), "temperature",
+        F.concat(F.col("power_usage").cast("string"), F.lit(".75"))).alias("value"))
+
+
+@register("parse_gpu_csv", GM + """
+SELECT id, "timestamp", gpu_id, name, utilization_gpu, utilization_memory,
+  memory_used // 1048576 * 1048576 AS memory_used, memory_total // 1048576 * 1048576 AS memory_total,
+  temperature, power_usage FROM gpu_metrics""")
+def q_parse_gpu_csv(spark, sf_dir):
+    """Probe CSV text of every metric row parsed back (memory at MiB precision, power truncated)."""
+    lines = gpu_csv_lines(spark, sf_dir)
+    return SG.parse_gpu_csv(lines, timestamp=F.col("ts")).drop("ts")
+
+
+def llm_raw_chunks(spark, sf_dir) -> DataFrame:
+    """Raw chunk bytes for every chunk row: a blank line, the JSON record, then a non-JSON line."""
+    c = _v(spark, sf_dir, "llm_chunks")
+    rec = F.to_json(F.struct("model", rfc3339("arrival_ts").alias("created_at"), "response", "done",
+                             "eval_count", "eval_duration", "prompt_eval_count"))
+    text = F.concat(F.lit("\r\n"), rec, F.lit("\ntrailing status line"))
+    return c.select("session_id", "seq", "arrival_ts", text.cast("binary").alias("chunk"))
+
+
+@register("parse_llm_chunks", fixtures.duckdb_cte("llm_chunks") + """
+SELECT session_id, seq, arrival_ts, model,
+  strftime(arrival_ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS created_at, response, done,
+  eval_count, eval_duration, prompt_eval_count, CAST(NULL AS BIGINT) AS prompt_eval_duration
+FROM llm_chunks""")
+def q_parse_llm_chunks(spark, sf_dir):
+    """Raw chunk bytes of every chunk parsed strictly (first valid line wins)."""
+    return CH.parse_llm_chunks(llm_raw_chunks(spark, sf_dir))
+
+
+def request_bodies(spark, sf_dir) -> DataFrame:
+    """A request body per conversation turn: system turns send no model."""
+    c = fixtures.table(spark, sf_dir, "conversations")
+    model = F.when(F.col("conv_id") % 3 == 0, F.lit("llama2:7b")).when(F.col("conv_id") % 3 == 1, F.lit("qwen2:0.5b")) \
+        .otherwise(F.lit("mistral:7b"))
+    body = F.when(F.col("role") == "system", F.to_json(F.struct(F.col("text").alias("prompt")))) \
+        .otherwise(F.to_json(F.struct(model.alias("model"), F.col("text").alias("prompt"))))
+    return c.select("conv_id", "turn", body.cast("binary").alias("body"))
+
+
+@register("request_model", """
+SELECT conv_id, turn, CASE WHEN role = 'system' THEN 'unknown'
+  WHEN conv_id % 3 = 0 THEN 'llama2:7b' WHEN conv_id % 3 = 1 THEN 'qwen2:0.5b' ELSE 'mistral:7b' END AS model
+FROM conversations""")
+def q_request_model(spark, sf_dir):
+    """Model named by every request body (``unknown`` when absent)."""
+    return request_bodies(spark, sf_dir).select("conv_id", "turn", CH.request_model("body").alias("model"))
