@@ -26,13 +26,14 @@ def flatten_processes(samples: DataFrame, keys: Sequence[str] = ()) -> DataFrame
     """One row per (sample, process), carrying the GPU's utilisation.
 
     ``samples`` holds gpu_metrics rows with a ``processes`` array of
-    (pid, name, used_gpu_memory) structs.
+    (pid, name, used_gpu_memory) structs; ``id`` becomes the process's position
+    in its list (the insertion order W4 relies on).
     """
     return samples.select(
         *keys, "timestamp", "gpu_id", F.col("utilization_gpu").alias("gpu_utilization"),
-        F.explode("processes").alias("_p"),
-    ).select(*keys, "timestamp", "gpu_id", "gpu_utilization", "_p.pid", "_p.name",
-             F.col("_p.used_gpu_memory").alias("used_gpu_memory"))
+        F.posexplode("processes").alias("id", "_p"),
+    ).select(*keys, F.col("id").cast("long").alias("id"), "timestamp", "gpu_id", "gpu_utilization",
+             "_p.pid", "_p.name", F.col("_p.used_gpu_memory").alias("used_gpu_memory"))
 
 
 def path_prefixes(path) -> Column:
@@ -76,16 +77,18 @@ def last_inserted_per_pid(samples: DataFrame, keys: Sequence[str] = (), tick: st
             .select(*keys, tick, "pid", F.col("_w.gpu_id").alias("gpu_id"), F.col("_w.mem").alias("mem")))
 
 
-def process_events(samples: DataFrame, os_processes: DataFrame, tick_unit: str = "day",
+def process_events(samples: DataFrame, os_processes: DataFrame, tick_unit: str | None = "day",
                    library_roots: Sequence[str] | DataFrame = (), keys: Sequence[str] = ()) -> DataFrame:
     """Classified process events, one per (tick, pid) found in the OS table.
 
     ``samples``: flat process samples (PROCESS_SAMPLES); ``tick_unit`` a
-    ``date_trunc`` unit that defines one poll; ``library_roots`` a list of game
+    ``date_trunc`` unit that defines one poll, or None when every sample time
+    is its own poll; ``library_roots`` a list of game
     library roots or a one-column DataFrame ``root`` of them.
     """
     keys = list(keys)
-    s = samples.withColumn("tick", F.date_trunc(tick_unit, F.col("timestamp")))
+    tick = F.date_trunc(tick_unit, F.col("timestamp")) if tick_unit else F.col("timestamp")
+    s = samples.withColumn("tick", tick)
     util = gpu_utilization_per_tick(s, keys)
     picked = last_inserted_per_pid(s, keys)
     procs = os_processes

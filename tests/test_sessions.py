@@ -1,0 +1,112 @@
+import datetime as dt
+import os
+import tempfile
+
+import pytest
+from pyspark.sql import functions as F
+
+from fleetlens.operators.rollups import histogram
+from fleetlens.operators.sessions import best_model, session_totals, track_sessions
+from fleetlens.schemas import LLM_CHUNKS
+from fleetlens.streaming.sessions import track_sessions_stream
+
+T0 = dt.datetime(2024, 1, 1)
+
+
+def _chunks(spark, rows):
+    return spark.createDataFrame(rows, LLM_CHUNKS)
+
+
+def _c(sid, seq, sec, response=None, done=False, ec=None, ed=None, pc=None, model="llama2"):
+    return (sid, seq, T0 + dt.timedelta(seconds=sec), model, response, ec, ed, pc, done)
+
+
+def test_reference_session(spark):
+    rows = [_c("session1", 0, 0, "Hello", False, 1, 100000000, 10), _c("session1", 1, 1, " world!", True, 3, 300000000, 10)]
+    got = track_sessions(_chunks(spark, rows)).collect()
+    assert len(got) == 1
+    s = got[0]
+    assert (s["completion_tokens"], s["prompt_tokens"], s["total_tokens"]) == (3, 10, 13)
+    assert s["tokens_per_second"] == 10.0 and s["time_per_output_token_ms"] == 100.0
+    assert s["time_to_first_token_ms"] == 0
+
+
+EDGE = [
+    # eval_ns 0: tps 0, tpot null
+    _c("a", 0, 0, "x", True, 5, 0, 2),
+    # completion 0: tpot null
+    _c("b", 0, 0, "x", True, 0, 10, 2),
+    # no response at all: ttft null; first chunk at 0, done at 3
+    _c("c", 0, 0, None, False, None, None, 4), _c("c", 1, 3, None, True, 2, 1000, None),
+    # empty response counts as a token, at second 2
+    _c("d", 0, 0, None), _c("d", 1, 2, ""), _c("d", 2, 5, None, True, 1, 10),
+    # no done: no row
+    _c("e", 0, 0, "x"),
+    # two dones: two rows; state survives the first
+    _c("f", 0, 0, "x", True, 1, 100, 7), _c("f", 1, 4, None, False, None, None, None),
+    _c("f", 2, 9, "y", True, 4, 400, None),
+]
+
+
+def _by_id(rows):
+    out = {}
+    for r in rows:
+        out.setdefault(r["id"], []).append(r.asDict())
+    for v in out.values():
+        v.sort(key=lambda d: d["end_time"])
+    return out
+
+
+def test_edge_sessions(spark):
+    got = _by_id(track_sessions(_chunks(spark, EDGE)).collect())
+    assert sorted(got) == ["a", "b", "c", "d", "f"]
+    a, b, c, d = got["a"][0], got["b"][0], got["c"][0], got["d"][0]
+    assert a["tokens_per_second"] == 0.0 and a["time_per_output_token_ms"] is None
+    assert b["time_per_output_token_ms"] is None and b["tokens_per_second"] == 0.0
+    assert c["time_to_first_token_ms"] is None and c["prompt_tokens"] == 4 and c["completion_tokens"] == 2
+    assert d["time_to_first_token_ms"] == 2000
+    f1, f2 = got["f"]
+    assert (f1["completion_tokens"], f1["prompt_tokens"]) == (1, 7)
+    assert (f2["completion_tokens"], f2["prompt_tokens"], f2["start_time"]) == (4, 7, T0)
+    assert f2["time_to_first_token_ms"] == 0
+
+
+def test_streaming_equals_batch(spark):
+    src = tempfile.mkdtemp(prefix="fleetlens-chunks-")
+    df = _chunks(spark, EDGE)
+    # Files land in arrival order (one per time slice); rows are shuffled inside each file.
+    for lo, hi in ((0, 3), (3, 6), (6, 60)):
+        part = df.where((F.col("arrival_ts") >= F.lit(T0 + dt.timedelta(seconds=lo)))
+                        & (F.col("arrival_ts") < F.lit(T0 + dt.timedelta(seconds=hi))))
+        part.orderBy(F.rand(lo)).coalesce(1).write.mode("append").parquet(os.path.join(src, "in"))
+    stream = spark.readStream.schema(LLM_CHUNKS).option("maxFilesPerTrigger", 1).parquet(os.path.join(src, "in"))
+    out = track_sessions_stream(stream)
+    q = (out.writeStream.format("memory").queryName("sessions_stream_test").outputMode("append")
+         .option("checkpointLocation", os.path.join(src, "ckpt")).trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    streamed = spark.sql("SELECT * FROM sessions_stream_test").collect()
+    batch = track_sessions(df).collect()
+    norm = lambda rows: sorted(tuple(sorted(r.asDict().items())) for r in rows)
+    assert norm(streamed) == norm(batch)
+
+
+def test_panel_and_histogram(spark):
+    sessions = track_sessions(_chunks(spark, EDGE))
+    tot = session_totals(sessions).collect()[0]
+    assert tot["total_sessions"] == 6
+    empty = session_totals(sessions.limit(0)).collect()
+    assert empty == []
+    h = histogram(spark.createDataFrame([("m", 1.0), ("m", 5.0), ("m", 600.0), ("m", None)],
+                                        "model string, v double"), "v", (1.0, 5.0, 500.0))
+    got = {r["le"]: r["bucket_count"] for r in h.collect()}
+    assert got == {"1": 1, "5": 2, "500": 2, "+Inf": 3}
+    tie = spark.createDataFrame([("a:1", 10.0, T0), ("b:2", 10.0, T0 + dt.timedelta(seconds=5))],
+                                "model string, tokens_per_second double, start_time timestamp")
+    assert best_model(tie).collect()[0]["model_base"] == "b"
+
+
+@pytest.mark.parametrize("name", ["llm_sessions"])
+def test_fixture_sessions_have_one_row_per_done(spark, name):
+    from fleetlens.plans import catalog
+    df = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert df.count() == df.select("id").distinct().count()
