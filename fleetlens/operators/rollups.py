@@ -130,36 +130,52 @@ def _labels(*pairs) -> F.Column:
     return F.create_map(*args)
 
 
-def _series(df: DataFrame, metric, labels: F.Column, value: F.Column) -> DataFrame:
-    m = F.lit(metric) if isinstance(metric, str) else metric
-    return df.select(m.alias("metric"), labels.alias("labels"), value.cast("double").alias("value"))
+def _model_rollup(sessions: DataFrame) -> DataFrame:
+    """Everything A5-A7 need per model in one aggregate (one pass over sessions)."""
+    tps = F.col("tokens_per_second").cast("double")
+    ttft = F.col("time_to_first_token_ms").cast("double")
+    aggs = [F.count(F.lit(1)).alias("session_count"), F.sum("total_tokens").cast("long").alias("total_tokens"),
+            F.count(tps).alias("tps_count"), F.sum(tps).alias("tps_sum"),
+            F.count(ttft).alias("ttft_count"), F.sum(ttft).alias("ttft_sum")]
+    aggs += [F.count_if(tps <= F.lit(float(b))).alias(f"tps_b{i}") for i, b in enumerate(TPS_BUCKETS)]
+    aggs += [F.count_if(ttft <= F.lit(float(b))).alias(f"ttft_b{i}") for i, b in enumerate(TTFT_BUCKETS_MS)]
+    return sessions.groupBy("model").agg(*aggs)
+
+
+def _rows(df: DataFrame, entries) -> DataFrame:
+    """Unpivot one wide row per group into (metric, labels, value) rows."""
+    return df.select(F.explode(F.array(*[
+        F.struct(F.lit(m).alias("metric"), lbl.alias("labels"), v.cast("double").alias("value"))
+        for m, lbl, v in entries])).alias("_s")).select("_s.*")
 
 
 def metric_snapshot(gauges: DataFrame, sessions: DataFrame, events: DataFrame) -> DataFrame:
     """Every gauge, counter and histogram series as (metric, labels, value).
 
     ``gauges`` is the output of ``operators.metrics.gpu_gauges`` (A2); sessions
-    feed A5-A7, process events A3-A4.  A union of small grouped results.
+    feed A5-A7 through one per-model aggregate, process events A3-A4.  The
+    result is a union of small grouped results.  A model's histogram series
+    exist only when it has an observation (as for the standalone histograms).
     """
-    parts = []
     gl = _labels(("gpu_id", "gpu_id"), ("gpu_name", "name"))
-    for col, name in GPU_GAUGE_NAMES.items():
-        parts.append(_series(gauges, name, gl, F.col(col)))
-    for base, h in ((TPS_HISTOGRAM_NAME, tps_histogram(sessions)), (TTFT_HISTOGRAM_NAME, ttft_histogram(sessions))):
-        parts.append(_series(h, f"{base}_bucket", _labels(("le", "le"), ("model", "model")), F.col("bucket_count")))
-        one = h.where(F.col("le") == "+Inf")
-        parts.append(_series(one, f"{base}_sum", _labels(("model", "model")), F.col("sample_sum")))
-        parts.append(_series(one, f"{base}_count", _labels(("model", "model")), F.col("sample_count")))
-    mc = model_counters(sessions)
-    parts.append(_series(mc, SESSION_COUNT_NAME, _labels(("model", "model")), F.col("session_count")))
-    parts.append(_series(mc, TOTAL_TOKENS_NAME, _labels(("model", "model")), F.col("total_tokens")))
+    parts = [_rows(gauges, [(name, gl, F.col(col)) for col, name in GPU_GAUGE_NAMES.items()])]
+    mr = _model_rollup(sessions)
+    ml = _labels(("model", "model"))
+    parts.append(_rows(mr, [(SESSION_COUNT_NAME, ml, F.col("session_count")),
+                            (TOTAL_TOKENS_NAME, ml, F.col("total_tokens"))]))
+    for base, pre, buckets in ((TPS_HISTOGRAM_NAME, "tps", TPS_BUCKETS), (TTFT_HISTOGRAM_NAME, "ttft", TTFT_BUCKETS_MS)):
+        les = [(_le_label(b), F.col(f"{pre}_b{i}")) for i, b in enumerate(buckets)] + [("+Inf", F.col(f"{pre}_count"))]
+        entries = [(f"{base}_bucket", _labels(("le", F.lit(le)), ("model", "model")), c) for le, c in les]
+        entries += [(f"{base}_sum", ml, F.col(f"{pre}_sum")), (f"{base}_count", ml, F.col(f"{pre}_count"))]
+        parts.append(_rows(mr.where(F.col(f"{pre}_count") > 0), entries))
     cg = category_gauges(events)
-    parts.append(_series(cg, PROCESS_COUNT_NAME, _labels(("category", "category")), F.col("process_count")))
-    parts.append(_series(cg, PROCESS_MEMORY_NAME, _labels(("category", "category")), F.col("memory_bytes")))
+    cl = _labels(("category", "category"))
+    parts.append(_rows(cg, [(PROCESS_COUNT_NAME, cl, F.col("process_count")),
+                            (PROCESS_MEMORY_NAME, cl, F.col("memory_bytes"))]))
     pm = process_memory(events)
-    parts.append(_series(pm, PROCESS_MEMORY_BY_PID_NAME,
-                         _labels(("category", "category"), ("pid", "pid"), ("process_name", "process_name")),
-                         F.col("memory_bytes")))
+    parts.append(_rows(pm, [(PROCESS_MEMORY_BY_PID_NAME,
+                             _labels(("category", "category"), ("pid", "pid"), ("process_name", "process_name")),
+                             F.col("memory_bytes"))]))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -11,12 +11,14 @@ State of a session after a chunk (in (arrival_ts, seq) order):
   arrival.  The state survives ``done``, so a second ``done`` emits again.
 
 Plan.  Nearly every session has exactly one ``done``; its row is a grouped
-aggregate over the chunks up to that ``done`` — partial aggregation, so a hot
-session costs no single task more than its share.  The per-session facts
-(count of ``done``, first ``done``) are themselves a partial aggregate; joining
-them back keeps the chunks partitioned by session id, so the final aggregate
-adds no exchange.  Only sessions with several ``done`` chunks take the running
-window path, and only their chunks enter it.
+aggregate over the chunks up to that ``done``.  The per-session facts (count of
+``done``, first ``done``) are a partial aggregate.  Chunks are joined to their
+session's facts once; that tagged frame feeds both the aggregate (single-done
+sessions) and the running window (sessions with several ``done`` chunks, a
+rare case).  A hot session skews the join: with AQE's skew handling forced on
+(``fleetlens.config``) its join partition is split across tasks and the
+aggregate combines the partial states after a small extra shuffle.  The window
+path keeps a multi-done session in one task (spilling, not failing).
 """
 
 from __future__ import annotations
@@ -67,11 +69,12 @@ def track_sessions(chunks: DataFrame, order: Sequence[str] = ORDER) -> DataFrame
     key = _key(order)
     facts = (chunks.groupBy("session_id")
              .agg(F.count_if(F.col("done")).alias("_n_done"),
-                  F.min(F.when(F.col("done"), key)).alias("_first_done")))
+                  F.min(F.when(F.col("done"), key)).alias("_first_done"))
+             .where(F.col("_n_done") > 0))
+    tagged = chunks.join(facts, "session_id")
 
     # Sessions with exactly one done: aggregate the chunks up to it.
-    single = (chunks.join(facts.where(F.col("_n_done") == 1), "session_id")
-              .where(key <= F.col("_first_done")))
+    single = tagged.where((F.col("_n_done") == 1) & (key <= F.col("_first_done")))
     single_rows = single.groupBy("session_id").agg(
         F.min("arrival_ts").alias("_start"),
         F.min_by("model", key).alias("_model"),
@@ -83,7 +86,7 @@ def track_sessions(chunks: DataFrame, order: Sequence[str] = ORDER) -> DataFrame
     )
 
     # Sessions with several done chunks: running state, emitted at each done.
-    multi = chunks.join(facts.where(F.col("_n_done") > 1).select("session_id"), "session_id", "left_semi")
+    multi = tagged.where(F.col("_n_done") > 1)
     w = (Window.partitionBy("session_id").orderBy(*[F.col(c) for c in order])
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     multi_rows = multi.select(

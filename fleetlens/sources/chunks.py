@@ -25,14 +25,23 @@ CHUNK_RECORD = ("struct<model:string,created_at:string,response:string,done:bool
                 "eval_count:bigint,eval_duration:bigint,prompt_eval_count:bigint,prompt_eval_duration:bigint>")
 
 
-def json_value(text: Column) -> Column:
-    """VARIANT of text that is exactly one JSON value, else null."""
-    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{END_MARK}"]')))
+def json_wrapped(text: Column) -> Column:
+    """VARIANT of ``[text,"#end#"]`` (null when not JSON); see ``unwrap``."""
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{END_MARK}"]')))
+
+
+def unwrap(wrapped: Column) -> Column:
+    """The value of a ``json_wrapped`` text when the text was exactly one JSON value, else null."""
     ok = ((F.try_variant_get(wrapped, "$[1]", "string") == F.lit(END_MARK))
           & F.variant_get(wrapped, "$[2]", "variant").isNull())
     return F.when(ok, F.variant_get(wrapped, "$[0]", "variant"))
 
 
+def json_value(text: Column) -> Column:
+    """VARIANT of text that is exactly one JSON value, else null."""
+    return unwrap(json_wrapped(text))
+
+
 def _type(v: Column, path: str) -> Column:
     return F.schema_of_variant(F.variant_get(v, path, "variant"))
 
@@ -52,11 +61,10 @@ def _opt_u64(v: Column, path: str):
     return ok, val
 
 
-def chunk_record(line: Column) -> Column:
-    """S4 record of one line: a struct (CHUNK_RECORD) or null when the line is
-    not a valid chunk (``model``, ``created_at`` strings and ``done`` boolean
+def record_of_value(v: Column) -> Column:
+    """S4 record of a parsed JSON value: a struct (CHUNK_RECORD) or null when it
+    is not a valid chunk (``model``, ``created_at`` strings and ``done`` boolean
     required; ``response`` optional string; counts optional unsigned)."""
-    v = json_value(line)
     is_obj = F.schema_of_variant(v).startswith("OBJECT")
     ok = F.coalesce(is_obj, F.lit(False))
     ok = ok & (_type(v, "$.model") == "STRING") & (_type(v, "$.created_at") == "STRING")
@@ -77,6 +85,18 @@ def chunk_record(line: Column) -> Column:
     return F.when(F.coalesce(ok, F.lit(False)), rec)
 
 
+def chunk_record(line: Column) -> Column:
+    """S4 record of one line of text (see ``record_of_value``)."""
+    return record_of_value(json_value(line))
+
+
+def _records(lines: Column) -> Column:
+    """Valid records of an array of lines, in line order.  Each line is parsed
+    once (array of VARIANT first), then its fields are checked."""
+    parsed = F.transform(lines, lambda s: json_wrapped(s))
+    return F.filter(F.transform(parsed, lambda w: record_of_value(unwrap(w))), lambda r: r.isNotNull())
+
+
 def _lines(text: Column) -> Column:
     """Lines of a text: split on LF, a trailing CR dropped, trimmed, empties removed."""
     return F.filter(F.transform(F.split(text, "\n"), lambda s: unicode_trim(s)), lambda s: F.length(s) > 0)
@@ -94,7 +114,7 @@ def parse_llm_chunks(raw: DataFrame, chunk: str = "chunk", all_lines: bool = Fal
     c = F.col(chunk)
     text = c.cast("string") if dict(raw.dtypes)[chunk] == "binary" else c
     valid = F.is_valid_utf8(text) if dict(raw.dtypes)[chunk] == "binary" else F.lit(True)
-    records = F.filter(F.transform(_lines(text), lambda s: chunk_record(s)), lambda r: r.isNotNull())
+    records = _records(_lines(text))
     carried = [x for x in raw.columns if x != chunk]
     base = raw.select(*carried, F.when(valid, records).alias("_recs"))
     if all_lines:
@@ -133,7 +153,7 @@ def parse_llm_log_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     line = F.col(value)
     carried = [x for x in lines.columns if x != value]
     return (lines.where(line.contains("generate") | line.contains("chat"))
-            .select(*carried, chunk_record(line).alias("_r")).where(F.col("_r").isNotNull())
+            .select(*carried, F.get(_records(F.array(line)), 0).alias("_r")).where(F.col("_r").isNotNull())
             .select(*carried, "_r.*"))
 
 

@@ -12,9 +12,7 @@ from pyspark.sql import functions as F
 from fleetlens.functions.gpu import MIB, int_div
 from fleetlens.schemas import DEVICE_SAMPLES
 
-U32_MAX = 4294967295
 INT_MAX = 2147483647
-LONG_MAX = 9223372036854775807
 
 # Field order of a probe line (fixed).
 CSV_FIELDS = ("index", "name", "utilization_gpu", "utilization_memory", "memory_used_mib",
@@ -30,56 +28,55 @@ def unicode_trim(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
-def parse_uint(text: Column, max_value: int = U32_MAX) -> Column:
-    """Unsigned integer text (optional ``+``, digits only) to LONG; null when
-    malformed or above ``max_value``."""
-    digits = F.regexp_replace(text, r"^\+", "")
-    # 20+ digits can never be in range and would overflow the cast.
-    n = F.when(text.rlike(_UINT_RE) & (F.length(digits) <= 19), digits.try_cast("decimal(20,0)"))
-    return F.when(n <= F.lit(max_value), n.cast("long"))
+def parse_uint(text: Column, type_name: str = "int") -> Column:
+    """Unsigned integer text (optional ``+``, digits only) to INT / BIGINT;
+    null when malformed or beyond the type's range (``try_cast``)."""
+    return F.when(text.rlike(_UINT_RE), text.try_cast(type_name))
 
 
 def parse_float_truncated(text: Column) -> Column:
-    """Float text to a non-negative whole number, as a saturating float -> u32
-    cast: fraction dropped, negatives and NaN to 0, above the u32 range to its max."""
+    """Float text to a non-negative whole number, as a saturating float-to-
+    unsigned cast: fraction dropped, negatives and NaN to 0; saturates at the
+    INT range (the stored column's type).  Null when the text is not a float."""
     ok = text.rlike(_FLOAT_RE) | text.rlike(_SPECIAL_FLOAT_RE)
-    v = F.when(ok, text.try_cast("double"))
-    return (F.when(v.isNull(), F.lit(None).cast("long"))
-            .when(F.isnan(v) | (v <= 0), F.lit(0).cast("long"))
-            .when(v >= F.lit(float(U32_MAX)), F.lit(U32_MAX).cast("long"))
-            .otherwise(F.floor(v).cast("long")))
+    # The guard stays outside: greatest() skips nulls and would turn a bad field into 0.
+    clamped = F.least(F.greatest(F.floor(F.nanvl(text.try_cast("double"), F.lit(0.0))), F.lit(0)), F.lit(INT_MAX))
+    return F.when(ok, clamped.cast("int"))
 
 
 def parse_gpu_csv(lines: DataFrame, value: str = "value", timestamp: Column | None = None) -> DataFrame:
     """Probe CSV lines to gpu_metrics rows.
 
     Fields are split on ``,`` and trimmed; fewer than 8 fields drops the line,
-    extra fields are ignored; any unparsable number drops the line.  Memory is
-    MiB (times 1048576 for bytes), power a float truncated to whole watts.
+    extra fields are ignored; any unparsable or out-of-range number drops the
+    line (index, utilisation and temperature must fit INT, memory in bytes
+    BIGINT).  Memory is MiB (times 1048576 for bytes), power a float truncated
+    to whole watts.
     Other input columns are carried through; ``timestamp`` defaults to the
     current time (the read time), as the probe has no clock of its own.
     """
-    parts = F.transform(F.split(F.col(value), ","), lambda x: unicode_trim(x))
+    carried = [c for c in lines.columns if c != value]
+    # The split is its own projection so that every field reads it instead of re-splitting.
+    split = lines.select(*carried, F.transform(F.split(F.col(value), ","), lambda x: unicode_trim(x)).alias("_parts"))
+    parts = F.col("_parts")
     fld = [F.get(parts, i) for i in range(8)]
-    gpu_id, util_g, util_m, temp = (parse_uint(fld[i], INT_MAX) for i in (0, 2, 3, 6))
-    mem_used = parse_uint(fld[4], LONG_MAX // MIB)
-    mem_total = parse_uint(fld[5], LONG_MAX // MIB)
+    gpu_id, util_g, util_m, temp = (parse_uint(fld[i], "int") for i in (0, 2, 3, 6))
+    mem_used = F.try_multiply(parse_uint(fld[4], "long"), F.lit(MIB).cast("long"))
+    mem_total = F.try_multiply(parse_uint(fld[5], "long"), F.lit(MIB).cast("long"))
     power = parse_float_truncated(fld[7])
-    power = F.when(power <= F.lit(INT_MAX), power)
     ts = timestamp if timestamp is not None else F.current_timestamp()
-    carried = [c for c in lines.columns if c != value]
-    out = lines.select(
+    out = split.select(
         *carried,
         F.size(parts).alias("_n"),
         ts.alias("timestamp"),
-        gpu_id.cast("int").alias("gpu_id"),
+        gpu_id.alias("gpu_id"),
         fld[1].alias("name"),
-        util_g.cast("int").alias("utilization_gpu"),
-        util_m.cast("int").alias("utilization_memory"),
-        (mem_used * F.lit(MIB)).alias("memory_used"),
-        (mem_total * F.lit(MIB)).alias("memory_total"),
-        temp.cast("int").alias("temperature"),
-        power.cast("int").alias("power_usage"),
+        util_g.alias("utilization_gpu"),
+        util_m.alias("utilization_memory"),
+        mem_used.alias("memory_used"),
+        mem_total.alias("memory_total"),
+        temp.alias("temperature"),
+        power.alias("power_usage"),
     )
     required = ["gpu_id", "utilization_gpu", "utilization_memory", "memory_used", "memory_total",
                 "temperature", "power_usage"]
