@@ -124,8 +124,11 @@ def chart_arrays(df: DataFrame, max_points: int, keys: Sequence[str] = ("gpu_id"
     arr = (pts.groupBy(*keys)
            .agg(F.array_sort(F.collect_list(F.struct(F.col("idx"), rfc3339(ts).alias("label"),
                                                      *[F.col(f) for f in fields]))).alias("_p")))
-    return arr.select(*keys, F.transform("_p", lambda p: p["label"]).alias("labels"),
-                      *[F.transform("_p", lambda p, f=f: p[f]).alias(f) for f in fields])
+    def field(name):
+        return lambda p: p[name]
+
+    return arr.select(*keys, F.transform("_p", field("label")).alias("labels"),
+                      *[F.transform("_p", field(f)).alias(f) for f in fields])
 
 
 # Configured alert thresholds (defaults).

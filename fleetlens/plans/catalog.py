@@ -605,3 +605,165 @@ FROM conversations""")
 def q_request_model(spark, sf_dir):
     """Model named by every request body (``unknown`` when absent)."""
     return request_bodies(spark, sf_dir).select("conv_id", "turn", CH.request_model("body").alias("model"))
+
+
+# ------------------------------------------------------ table maintenance
+from fleetlens.sinks import archive as AR  # noqa: E402
+from fleetlens.sinks import tables as TB  # noqa: E402
+from fleetlens.sources import stored as ST  # noqa: E402
+
+
+def session_reemission(sessions: DataFrame) -> DataFrame:
+    """A second emission of every session with changed values (model and prompt
+    count included, which the upsert must not take)."""
+    return sessions.select(
+        "id", "start_time", (F.col("end_time") + F.expr("INTERVAL 1 SECOND")).alias("end_time"),
+        F.concat(F.col("model"), F.lit("-v2")).alias("model"), (F.col("prompt_tokens") + 1).alias("prompt_tokens"),
+        (F.col("completion_tokens") + 1).alias("completion_tokens"), (F.col("total_tokens") + 2).alias("total_tokens"),
+        (F.col("tokens_per_second") * 2).alias("tokens_per_second"),
+        (F.col("time_to_first_token_ms") + 1).alias("time_to_first_token_ms"), "time_per_output_token_ms")
+
+
+@register("upsert_sessions", LS_SQL + """
+SELECT id, start_time, end_time + INTERVAL 1 SECOND AS end_time, model, prompt_tokens,
+  completion_tokens + 1 AS completion_tokens, total_tokens + 2 AS total_tokens,
+  tokens_per_second * 2 AS tokens_per_second, time_to_first_token_ms + 1 AS time_to_first_token_ms,
+  time_per_output_token_ms FROM llm_sessions""")
+def q_upsert_sessions(spark, sf_dir):
+    """K2: stored sessions merged with a changed re-emission: start, model, prompt kept; the rest replaced."""
+    stored = _sessions(spark, sf_dir)
+    return TB.merge_sessions(stored, session_reemission(stored))
+
+
+@register("upsert_weekly", PE_SQL + """, wk AS (
+SELECT CAST(date_trunc('week', "timestamp") AS DATE) AS week_start,
+  CAST(date_trunc('week', "timestamp") AS DATE) + 7 AS week_end, category,
+  CAST(sum(duration_secs) AS BIGINT) AS total_duration_secs, avg(gpu_utilization) AS avg_gpu_utilization,
+  max(gpu_utilization) AS max_gpu_utilization, CAST(sum(gpu_memory_mb) AS BIGINT) AS total_gpu_memory_mb,
+  count(*) AS event_count
+FROM process_events WHERE category IN ('gaming', 'llm_inference', 'ml_training', 'general_compute')
+GROUP BY 1, 2, 3)
+SELECT week_start, week_end, category, total_duration_secs, avg_gpu_utilization, max_gpu_utilization,
+  total_gpu_memory_mb, CASE WHEN category = 'gaming' THEN event_count + 1 ELSE event_count END AS event_count
+FROM wk""")
+def q_upsert_weekly(spark, sf_dir):
+    """K4: stored weekly summaries merged with a recomputed gaming category (replaced per week and category)."""
+    stored = R.weekly_summary(_process_events(spark, sf_dir))
+    incoming = stored.where(F.col("category") == "gaming").withColumn("event_count", F.col("event_count") + 1)
+    return TB.merge_weekly(stored, incoming)
+
+
+ARCHIVE_CUTOFF = AR.cutoff_date(NOW, 16)     # 2024-01-15
+
+
+@register("archive_split", fixtures.duckdb_cte("gpu_metrics", "process_samples", "os_processes", "llm_chunks")
+          + ", " + LS_SQL[LS_SQL.index("r AS (SELECT *,"):].rstrip() + ",\n"
+          + PE_SQL[PE_SQL.index("s AS (SELECT *, date_trunc"):].rstrip() + """
+SELECT 'gpu_metrics' AS table_name, DATE '2024-01-15' AS cutoff,
+  count_if("timestamp" < TIMESTAMP '2024-01-15') AS archived_rows, count_if("timestamp" >= TIMESTAMP '2024-01-15') AS kept_rows
+FROM gpu_metrics
+UNION ALL SELECT 'process_events', DATE '2024-01-15', count_if("timestamp" < TIMESTAMP '2024-01-15'),
+  count_if("timestamp" >= TIMESTAMP '2024-01-15') FROM process_events
+UNION ALL SELECT 'llm_sessions', DATE '2024-01-15', count_if(start_time < TIMESTAMP '2024-01-15'),
+  count_if(start_time >= TIMESTAMP '2024-01-15') FROM llm_sessions""")
+def q_archive_split(spark, sf_dir):
+    """K5: rows each table's archive at cutoff 2024-01-15 takes and keeps."""
+    parts = [AR.archive_split(_v(spark, sf_dir, "gpu_metrics"), "gpu_metrics", ARCHIVE_CUTOFF),
+             AR.archive_split(_process_events(spark, sf_dir), "process_events", ARCHIVE_CUTOFF),
+             AR.archive_split(_sessions(spark, sf_dir), "llm_sessions", ARCHIVE_CUTOFF)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@register("retain", GM + """
+SELECT DATE '2024-01-24' AS cutoff, count_if("timestamp" < TIMESTAMP '2024-01-24') AS deleted_rows,
+  count_if("timestamp" >= TIMESTAMP '2024-01-24') AS kept_rows FROM gpu_metrics""")
+def q_retain(spark, sf_dir):
+    """K8: gpu_metrics rows a 7-day retention at NOW deletes (before 2024-01-24) and keeps."""
+    return AR.retention_split(_v(spark, sf_dir, "gpu_metrics"), 7, NOW)
+
+
+# --------------------------------------------------------- more sources
+def request_log(spark, sf_dir) -> DataFrame:
+    """A proxy request log with one request per conversation turn."""
+    c = fixtures.table(spark, sf_dir, "conversations")
+    bodies = request_bodies(spark, sf_dir)
+    path = (F.when(F.col("role") == "user", F.lit("/api/generate"))
+            .when(F.col("role") == "assistant", F.lit("/api/chat")).otherwise(F.lit("/api/tags")))
+    status = F.when(F.length("text") % 7 == 0, F.lit(503)).otherwise(F.lit(200))
+    ts = (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_interval(mins=F.col("conv_id").cast("int"))
+          + F.make_interval(secs=F.col("turn").cast("int")))
+    return (c.join(bodies, ["conv_id", "turn"])
+            .select(F.concat_ws("-", "conv_id", "turn").alias("request_key"), ts.alias("ts"), path.alias("path"),
+                    status.cast("int").alias("status"), "body"))
+
+
+@register("llm_requests", """
+SELECT sha256(CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR)) AS session_id,
+  CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS request_key,
+  TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' MINUTE * conv_id + INTERVAL '1' SECOND * turn AS ts,
+  CASE WHEN role = 'user' THEN '/api/generate' ELSE '/api/chat' END AS path,
+  CASE WHEN conv_id % 3 = 0 THEN 'llama2:7b' WHEN conv_id % 3 = 1 THEN 'qwen2:0.5b' ELSE 'mistral:7b' END AS model
+FROM conversations WHERE role IN ('user', 'assistant') AND length(text) % 7 <> 0""")
+def q_llm_requests(spark, sf_dir):
+    """Requests to a streaming endpoint with a 2xx answer, with their session id and model."""
+    return CH.llm_requests(request_log(spark, sf_dir))
+
+
+def llm_log_lines(spark, sf_dir) -> DataFrame:
+    """Server log lines: each chunk record as JSON with the endpoint it was served on."""
+    c = _v(spark, sf_dir, "llm_chunks")
+    endpoint = (F.when(F.col("done"), F.lit("/api/chat")).when(F.col("response").isNotNull(), F.lit("/api/generate"))
+                .otherwise(F.lit("/api/tags")))
+    rec = F.to_json(F.struct(endpoint.alias("endpoint"), "model", rfc3339("arrival_ts").alias("created_at"),
+                             "response", "done", "eval_count", "eval_duration", "prompt_eval_count"))
+    return c.select("session_id", "seq", rec.alias("value"))
+
+
+@register("parse_llm_log_lines", fixtures.duckdb_cte("llm_chunks") + """
+SELECT session_id, seq, model, strftime(arrival_ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS created_at, response, done,
+  eval_count, eval_duration, prompt_eval_count, CAST(NULL AS BIGINT) AS prompt_eval_duration
+FROM llm_chunks
+WHERE done OR response IS NOT NULL OR strpos(coalesce(response, ''), 'generate') > 0
+  OR strpos(coalesce(response, ''), 'chat') > 0 OR strpos(model, 'generate') > 0 OR strpos(model, 'chat') > 0""")
+def q_parse_llm_log_lines(spark, sf_dir):
+    """Log lines that name generate or chat, parsed as chunk records."""
+    return CH.parse_llm_log_lines(llm_log_lines(spark, sf_dir))
+
+
+@register("parse_stored_times", LS_SQL + "SELECT id, start_time, end_time FROM llm_sessions")
+def q_parse_stored_times(spark, sf_dir):
+    """Session times stored as RFC 3339 text ('Z' and '+00:00' forms) parsed back."""
+    s = _sessions(spark, sf_dir)
+    text = s.select("id", F.date_format("start_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSX").alias("start_time"),
+                    rfc3339("end_time").alias("end_time"))
+    return ST.parse_stored_times(text, ["start_time"], ["end_time"])
+
+
+# ------------------------------------------------------ more gpu / export
+@register("latest_metrics", GM + f"""
+SELECT {GM_COLS} FROM gpu_metrics ORDER BY "timestamp" DESC, id DESC LIMIT 10""")
+def q_latest_metrics(spark, sf_dir):
+    """The ten newest metric rows (top-k is the feature)."""
+    return M.latest_metrics(_v(spark, sf_dir, "gpu_metrics"), 10)
+
+
+@register("chart_arrays", _indexed_cte() + f""", d AS (
+SELECT *, strftime("timestamp", '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS label, {MEMPCT_SQL} AS memory_percent FROM ix
+WHERE n <= {MAX_POINTS} OR idx % greatest(1, CAST(ceil(n / {float(MAX_POINTS)}) AS BIGINT)) = 0)
+SELECT gpu_id, list(label ORDER BY idx) AS labels, list(utilization_gpu ORDER BY idx) AS utilization_gpu,
+  list(utilization_memory ORDER BY idx) AS utilization_memory, list(memory_percent ORDER BY idx) AS memory_percent,
+  list(temperature ORDER BY idx) AS temperature, list(power_usage ORDER BY idx) AS power_usage
+FROM d GROUP BY gpu_id""")
+def q_chart_arrays(spark, sf_dir):
+    """A8 + W1, array form: per GPU parallel arrays of the downsampled series (at most 400 points each)."""
+    return M.chart_arrays(_v(spark, sf_dir, "gpu_metrics"), MAX_POINTS)
+
+
+@register("export_tokens_10s", LS_SQL + """
+SELECT make_timestamp(epoch_us(end_time) // 10000000 * 10000000) AS window_start,
+  make_timestamp(epoch_us(end_time) // 10000000 * 10000000 + 10000000) AS window_end, model,
+  CAST(sum(total_tokens) AS BIGINT) AS total_tokens, count(*) AS sessions
+FROM llm_sessions WHERE end_time IS NOT NULL GROUP BY 1, 2, 3""")
+def q_export_tokens_10s(spark, sf_dir):
+    """R5 counters: tokens and sessions per model per 10-second export period (delta form)."""
+    return R.export_counters(_sessions(spark, sf_dir))

@@ -162,3 +162,19 @@ def maintain(spark: SparkSession, tables: Mapping[str, str], archive_dir: str, r
                 r[2] = retain(spark, tables[table], cut, ARCHIVE_TIME_COLUMNS[table], archived_files[table])
     return spark.createDataFrame([tuple(r) for r in rows],
                                  "table string, archived long, deleted long, archive string")
+
+
+def archive_split(df: DataFrame, table: str, cutoff: _dt.date) -> DataFrame:
+    """K5 selection as a query: how many rows an archive at ``cutoff`` takes
+    (time before the cutoff date, UTC) and how many stay live."""
+    before = _before(ARCHIVE_TIME_COLUMNS[table], cutoff)
+    return df.agg(F.lit(table).alias("table_name"), F.lit(cutoff).alias("cutoff"),
+                  F.count_if(before).alias("archived_rows"), F.count_if(~before).alias("kept_rows"))
+
+
+def retention_split(df: DataFrame, days: int, now, table: str = "gpu_metrics") -> DataFrame:
+    """K8 selection as a query: rows a retention of ``days`` at ``now`` deletes and keeps."""
+    cut = cutoff_date(now, days)
+    before = _before(ARCHIVE_TIME_COLUMNS[table], cut)
+    return df.agg(F.lit(cut).alias("cutoff"), F.count_if(before).alias("deleted_rows"),
+                  F.count_if(~before).alias("kept_rows"))
