@@ -32,27 +32,47 @@ def _ord_cols(ts: str, tiebreak: Sequence[str]) -> list[Column]:
     return [F.col(ts)] + [F.col(t) for t in tiebreak]
 
 
-def ordered_index(df: DataFrame, keys: Sequence[str] = ("gpu_id",), ts: str = "timestamp",
-                  tiebreak: Sequence[str] = ("id",), block_seconds: int = DEFAULT_BLOCK_SECONDS,
-                  index: str = "idx", size: str = "n") -> DataFrame:
-    """Add the 0-based position of each row within its key group, ordered by
-    (ts, *tiebreak), and the group size."""
+def prefix_sum(df: DataFrame, keys: Sequence[str], ts: str, tiebreak: Sequence[str], weight: Column | None = None,
+               block_seconds: int = DEFAULT_BLOCK_SECONDS, out: str = "prefix", total: str | None = None) -> DataFrame:
+    """Add, for every row, the sum of ``weight`` over the rows of its key group
+    strictly before it in (ts, *tiebreak) order (``weight`` None counts rows),
+    and optionally the group total.
+
+    Two levels, so no window ever spans a whole key group: per (key, time
+    block) sums are a partial aggregate; a running sum over that small table
+    gives each block's offset; the in-block part is a window per (key, block).
+    """
     keys = list(keys)
     block_us = int(block_seconds) * 1_000_000
     blk = "_fl_blk"
     rows = df.withColumn(blk, F.floor(F.unix_micros(F.col(ts)) / F.lit(block_us)).cast("long"))
-    counts = rows.groupBy(*keys, blk).agg(F.count(F.lit(1)).alias("_fl_cnt"))
+    if weight is not None:
+        rows = rows.withColumn("_fl_w", weight.cast("long"))
+    per_block = F.sum("_fl_w") if weight is not None else F.count(F.lit(1))
+    counts = rows.groupBy(*keys, blk).agg(per_block.alias("_fl_cnt"))
     by_key = Window.partitionBy(*keys)
-    offsets = counts.select(
-        *keys, blk,
-        F.coalesce(F.sum("_fl_cnt").over(by_key.orderBy(blk).rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).cast("long").alias("_fl_off"),
-        F.sum("_fl_cnt").over(by_key).cast("long").alias(size),
-    )
-    local = F.row_number().over(Window.partitionBy(*keys, blk).orderBy(*_ord_cols(ts, tiebreak))) - 1
-    return (rows.join(offsets, [*keys, blk])
-            .withColumn(index, (F.col("_fl_off") + local).cast("long"))
-            .drop(blk, "_fl_off"))
+    off_cols = [F.coalesce(F.sum("_fl_cnt").over(by_key.orderBy(blk).rowsBetween(Window.unboundedPreceding, -1)),
+                           F.lit(0)).cast("long").alias("_fl_off")]
+    if total:
+        off_cols.append(F.sum("_fl_cnt").over(by_key).cast("long").alias(total))
+    offsets = counts.select(*keys, blk, *off_cols)
+    in_block = Window.partitionBy(*keys, blk).orderBy(*_ord_cols(ts, tiebreak))
+    if weight is None:
+        local = F.row_number().over(in_block) - 1
+    else:
+        local = F.coalesce(F.sum("_fl_w").over(in_block.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out_df = (rows.join(offsets, [*keys, blk])
+              .withColumn(out, (F.col("_fl_off") + local).cast("long"))
+              .drop(blk, "_fl_off"))
+    return out_df.drop("_fl_w") if weight is not None else out_df
+
+
+def ordered_index(df: DataFrame, keys: Sequence[str] = ("gpu_id",), ts: str = "timestamp",
+                  tiebreak: Sequence[str] = ("id",), block_seconds: int = DEFAULT_BLOCK_SECONDS,
+                  index: str = "idx", size: str = "n") -> DataFrame:
+    """Add the 0-based position of each row within its key group, ordered by
+    (ts, *tiebreak), and the group size."""
+    return prefix_sum(df, keys, ts, tiebreak, None, block_seconds, out=index, total=size)
 
 
 def downsample(df: DataFrame, max_points: int, keys: Sequence[str] = ("gpu_id",), ts: str = "timestamp",

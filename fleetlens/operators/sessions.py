@@ -10,15 +10,19 @@ State of a session after a chunk (in (arrival_ts, seq) order):
 * every chunk with ``done`` emits the session as of that chunk, end = its
   arrival.  The state survives ``done``, so a second ``done`` emits again.
 
-Plan.  Nearly every session has exactly one ``done``; its row is a grouped
-aggregate over the chunks up to that ``done``.  The per-session facts (count of
-``done``, first ``done``) are a partial aggregate.  Chunks are joined to their
-session's facts once; that tagged frame feeds both the aggregate (single-done
-sessions) and the running window (sessions with several ``done`` chunks, a
-rare case).  A hot session skews the join: with AQE's skew handling forced on
-(``fleetlens.config``) its join partition is split across tasks and the
-aggregate combines the partial states after a small extra shuffle.  The window
-path keeps a multi-done session in one task (spilling, not failing).
+Plan (exact for any number of ``done`` chunks, and no task ever holds a whole
+session):
+
+1. segment of a chunk = number of ``done`` chunks before it in its session, a
+   blocked prefix count (``series.prefix_sum``): per (session, time block)
+   counts are a partial aggregate, a running sum over that small table gives
+   block offsets, the in-block part is a window per (session, block);
+2. per (session, segment) partial aggregates of the state (start, model,
+   first token, last non-null counts, the ``done`` ending the segment);
+3. a running combine over each session's segment rows (one per ``done`` plus
+   a tail), emitting the segments that end in a ``done``.
+
+Raw chunks are shuffled once (step 1); steps 2 and 3 move aggregates only.
 """
 
 from __future__ import annotations
@@ -32,6 +36,7 @@ from pyspark.sql import functions as F
 from fleetlens.functions import sessions as SF
 from fleetlens.functions.display import (as_instant, clock_time, duration_text, fixed, model_base_name,
                                          thousands_text, ts_literal, ttft_text)
+from fleetlens.operators.series import prefix_sum
 
 ORDER = ("arrival_ts", "seq")
 
@@ -63,19 +68,13 @@ def _finish(df: DataFrame) -> DataFrame:
     )
 
 
-def track_sessions(chunks: DataFrame, order: Sequence[str] = ORDER) -> DataFrame:
+def track_sessions(chunks: DataFrame, order: Sequence[str] = ORDER, block_seconds: int = 60) -> DataFrame:
     """R1 + P6 (batch): one ``llm_sessions`` row per ``done`` chunk."""
     order = list(order)
     key = _key(order)
-    facts = (chunks.groupBy("session_id")
-             .agg(F.count_if(F.col("done")).alias("_n_done"),
-                  F.min(F.when(F.col("done"), key)).alias("_first_done"))
-             .where(F.col("_n_done") > 0))
-    tagged = chunks.join(facts, "session_id")
-
-    # Sessions with exactly one done: aggregate the chunks up to it.
-    single = tagged.where((F.col("_n_done") == 1) & (key <= F.col("_first_done")))
-    single_rows = single.groupBy("session_id").agg(
+    seg = prefix_sum(chunks, ["session_id"], order[0], order[1:], F.col("done").cast("int"), block_seconds,
+                     out="_seg")
+    segs = seg.groupBy("session_id", "_seg").agg(
         F.min("arrival_ts").alias("_start"),
         F.min_by("model", key).alias("_model"),
         F.min(F.when(F.col("response").isNotNull(), F.col("arrival_ts"))).alias("_first_token"),
@@ -84,23 +83,17 @@ def track_sessions(chunks: DataFrame, order: Sequence[str] = ORDER) -> DataFrame
         _last_non_null("eval_duration", order).alias("_eval_ns"),
         F.max(F.when(F.col("done"), F.col("arrival_ts"))).alias("_end"),
     )
-
-    # Sessions with several done chunks: running state, emitted at each done.
-    multi = tagged.where(F.col("_n_done") > 1)
-    w = (Window.partitionBy("session_id").orderBy(*[F.col(c) for c in order])
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    multi_rows = multi.select(
-        "session_id", "done",
-        F.min("arrival_ts").over(w).alias("_start"),
-        F.first("model").over(w).alias("_model"),
-        F.min(F.when(F.col("response").isNotNull(), F.col("arrival_ts"))).over(w).alias("_first_token"),
-        F.last("prompt_eval_count", ignorenulls=True).over(w).alias("_prompt"),
-        F.last("eval_count", ignorenulls=True).over(w).alias("_completion"),
-        F.last("eval_duration", ignorenulls=True).over(w).alias("_eval_ns"),
-        F.col("arrival_ts").alias("_end"),
-    ).where(F.col("done")).drop("done")
-
-    return _finish(single_rows.unionByName(multi_rows))
+    w = Window.partitionBy("session_id").orderBy("_seg").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    state = segs.select(
+        "session_id", "_end",
+        F.min("_start").over(w).alias("_start"),
+        F.first("_model").over(w).alias("_model"),
+        F.min("_first_token").over(w).alias("_first_token"),
+        F.last("_prompt", ignorenulls=True).over(w).alias("_prompt"),
+        F.last("_completion", ignorenulls=True).over(w).alias("_completion"),
+        F.last("_eval_ns", ignorenulls=True).over(w).alias("_eval_ns"),
+    )
+    return _finish(state.where(F.col("_end").isNotNull()))
 
 
 def sessions_between(sessions: DataFrame, start, end, newest_first: bool = True) -> DataFrame:

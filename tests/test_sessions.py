@@ -110,3 +110,41 @@ def test_fixture_sessions_have_one_row_per_done(spark, name):
     from fleetlens.plans import catalog
     df = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert df.count() == df.select("id").distinct().count()
+
+
+def _brute_sessions(rows):
+    """Reference fold in arrival order: one emission per done chunk."""
+    out = []
+    by = {}
+    for r in rows:
+        by.setdefault(r[0], []).append(r)
+    for sid, rs in by.items():
+        rs.sort(key=lambda r: (r[2], r[1]))
+        start, model, ft, pc, cc, ed = rs[0][2], rs[0][3], None, None, None, None
+        for (_, _, ts, _, resp, ec, edur, pce, done) in rs:
+            if ft is None and resp is not None:
+                ft = ts
+            pc = pce if pce is not None else pc
+            cc = ec if ec is not None else cc
+            ed = edur if edur is not None else ed
+            if done:
+                p, c, e = pc or 0, cc or 0, ed or 0
+                out.append((sid, start, ts, model, p, c, p + c, c * 1e9 / e if e > 0 else 0.0,
+                            None if ft is None else int((ft - start).total_seconds() * 1000),
+                            e / 1e6 / c if c > 0 and e > 0 else None))
+    return sorted(out, key=repr)
+
+
+def test_hot_session_many_dones_matches_brute_force(spark):
+    import random
+    rng = random.Random(3)
+    rows = []
+    for sid, n in (("hot", 1500), ("s1", 20), ("s2", 3)):
+        for seq in range(n):
+            sec = rng.randrange(1800)               # a hot session spread over 30 one-minute blocks
+            rows.append((sid, seq, T0 + dt.timedelta(seconds=sec), "m" if seq else "first",
+                         None if rng.random() < 0.5 else "t", rng.choice([None, seq]),
+                         rng.choice([None, 0, seq * 1000]), rng.choice([None, 7, seq]), rng.random() < 0.05))
+    got = track_sessions(_chunks(spark, rows), block_seconds=60).collect()
+    got = sorted((tuple(r) for r in got), key=repr)
+    assert got == _brute_sessions(rows)
