@@ -13,7 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.functions.display import rfc3339, ts_literal
+from fleetlens.functions.display import rfc3339
+from fleetlens.operators.pruning import time_filter
 from fleetlens.functions.gpu import memory_percent, memory_view
 from fleetlens.operators.series import DEFAULT_BLOCK_SECONDS, downsample, ordered_index
 
@@ -28,14 +29,9 @@ def _order_key(ts: str = "timestamp", tiebreak: Sequence[str] = ("id",)):
 
 def time_range(df: DataFrame, start=None, end=None, ts: str = "timestamp",
                end_inclusive: bool = True) -> DataFrame:
-    """Rows with start <= ts (<=|<) end; bounds are validated instants (P10)."""
-    cond = F.lit(True)
-    if start is not None:
-        cond = cond & (F.col(ts) >= ts_literal(start, "start"))
-    if end is not None:
-        e = ts_literal(end, "end")
-        cond = cond & ((F.col(ts) <= e) if end_inclusive else (F.col(ts) < e))
-    return df.where(cond)
+    """Rows with start <= ts (<=|<) end; bounds are validated instants (P10).
+    Pushed to the scan, with partition pruning on tables written by the sinks."""
+    return time_filter(df, ts, start, end, end_inclusive)
 
 
 def recent_metrics(df: DataFrame, hours: float, now, ts: str = "timestamp",
@@ -43,10 +39,11 @@ def recent_metrics(df: DataFrame, hours: float, now, ts: str = "timestamp",
     """Rows with ``timestamp >= now - hours``, ascending by time.
 
     ``now`` is an argument so results repeat.  The bound is a literal, so the
-    filter reaches the Parquet scan (row-group pruning).
+    filter reaches the Parquet scan (row-group pruning), and on a date-partitioned
+    table only the partitions from the cutoff's day on are listed.
     """
     cutoff = _as_utc(now) - _dt.timedelta(hours=hours)
-    out = df.where(F.col(ts) >= ts_literal(cutoff))
+    out = time_filter(df, ts, start=cutoff)
     return out.orderBy(F.col(ts), F.col("id")) if order else out
 
 

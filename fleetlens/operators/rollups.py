@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.gpu import MIB
-from fleetlens.functions.display import ts_literal
+from fleetlens.operators.pruning import time_filter
 from fleetlens.schemas import WORKLOAD_CATEGORIES
 
 
@@ -31,8 +31,9 @@ def weekly_summary(events: DataFrame, week: str | None = None,
     Weeks without events of a category give no row."""
     df = events.where(F.col("category").isin(list(categories)))
     if week is not None:
-        start = ts_literal(f"{week}T00:00:00Z", "week_start")
-        df = df.where((F.col("timestamp") >= start) & (F.col("timestamp") < start + F.expr("INTERVAL 7 DAYS")))
+        import datetime as _dt
+        start = _dt.datetime.fromisoformat(f"{week}T00:00:00+00:00")
+        df = time_filter(df, "timestamp", start, start + _dt.timedelta(days=7), end_inclusive=False)
     return (df.groupBy(week_start("timestamp").alias("week_start"), "category")
             .agg(F.sum("duration_secs").cast("long").alias("total_duration_secs"),
                  F.avg("gpu_utilization").alias("avg_gpu_utilization"),

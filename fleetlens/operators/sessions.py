@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from fleetlens.functions import sessions as SF
 from fleetlens.functions.display import (as_instant, clock_time, duration_text, fixed, model_base_name,
                                          thousands_text, ts_literal, ttft_text)
+from fleetlens.operators.pruning import time_filter
 from fleetlens.operators.series import prefix_sum
 
 ORDER = ("arrival_ts", "seq")
@@ -98,8 +99,9 @@ def track_sessions(chunks: DataFrame, order: Sequence[str] = ORDER, block_second
 
 def sessions_between(sessions: DataFrame, start, end, newest_first: bool = True) -> DataFrame:
     """Sessions with start <= start_time <= end (both inclusive), newest first."""
-    s, e = ts_literal(start, "start_date"), ts_literal(end, "end_date")
-    out = sessions.where((F.col("start_time") >= s) & (F.col("start_time") <= e))
+    # Both bounds are validated first, so a bad one is named in the error (P10).
+    ts_literal(start, "start_date"), ts_literal(end, "end_date")
+    out = time_filter(sessions, "start_time", start, end)
     return out.orderBy(F.col("start_time").desc(), F.col("id")) if newest_first else out
 
 

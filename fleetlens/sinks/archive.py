@@ -19,7 +19,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.functions.display import as_instant, ts_literal
+from fleetlens.functions.display import as_instant
+from fleetlens.operators.pruning import before_date
 from fleetlens.schemas import ARCHIVE_LOG
 
 # Archived tables and their time columns.
@@ -32,11 +33,6 @@ def cutoff_date(now, days: int) -> _dt.date:
     return (as_instant(now, "now") - _dt.timedelta(days=days)).date()
 
 
-def _before(ts: str, cutoff: _dt.date):
-    # Sargable form of DATE(ts) < cutoff: keeps the filter pushable to the scan.
-    return F.col(ts) < ts_literal(_dt.datetime(cutoff.year, cutoff.month, cutoff.day, tzinfo=_dt.timezone.utc))
-
-
 def archive_path(archive_dir: str, table: str, cutoff: _dt.date) -> str:
     return f"{archive_dir.rstrip('/')}/{table}_{cutoff.isoformat()}.parquet"
 
@@ -49,7 +45,7 @@ def archive(spark: SparkSession, df: DataFrame, table: str, cutoff: _dt.date, ar
     files the archived rows came from).  No rows, no files.
     """
     ts = ts or ARCHIVE_TIME_COLUMNS[table]
-    cand = df.where(_before(ts, cutoff)).withColumn("_file", F.col("_metadata.file_path"))
+    cand = df.where(before_date(df, ts, cutoff)).withColumn("_file", F.col("_metadata.file_path"))
     # Per-file row counts: a partial aggregate whose result is one row per input file.
     per_file = cand.groupBy("_file").agg(F.count(F.lit(1)).alias("n")).collect()
     n = sum(int(r["n"]) for r in per_file)
@@ -121,7 +117,7 @@ def retain(spark: SparkSession, table_path: str, cutoff: _dt.date, ts: str = "ti
     table the second case never arises.
     """
     df = spark.read.parquet(table_path).withColumn("_file", F.col("_metadata.file_path"))
-    old = _before(ts, cutoff)
+    old = before_date(df, ts, cutoff)
     if files is None:
         files = [r[0] for r in df.where(old).select("_file").distinct().collect()]
     if not files:
@@ -167,7 +163,7 @@ def maintain(spark: SparkSession, tables: Mapping[str, str], archive_dir: str, r
 def archive_split(df: DataFrame, table: str, cutoff: _dt.date) -> DataFrame:
     """K5 selection as a query: how many rows an archive at ``cutoff`` takes
     (time before the cutoff date, UTC) and how many stay live."""
-    before = _before(ARCHIVE_TIME_COLUMNS[table], cutoff)
+    before = before_date(df, ARCHIVE_TIME_COLUMNS[table], cutoff)
     return df.agg(F.lit(table).alias("table_name"), F.lit(cutoff).alias("cutoff"),
                   F.count_if(before).alias("archived_rows"), F.count_if(~before).alias("kept_rows"))
 
@@ -175,6 +171,6 @@ def archive_split(df: DataFrame, table: str, cutoff: _dt.date) -> DataFrame:
 def retention_split(df: DataFrame, days: int, now, table: str = "gpu_metrics") -> DataFrame:
     """K8 selection as a query: rows a retention of ``days`` at ``now`` deletes and keeps."""
     cut = cutoff_date(now, days)
-    before = _before(ARCHIVE_TIME_COLUMNS[table], cut)
+    before = before_date(df, ARCHIVE_TIME_COLUMNS[table], cut)
     return df.agg(F.lit(cut).alias("cutoff"), F.count_if(before).alias("deleted_rows"),
                   F.count_if(~before).alias("kept_rows"))
