@@ -767,3 +767,78 @@ FROM llm_sessions WHERE end_time IS NOT NULL GROUP BY 1, 2, 3""")
 def q_export_tokens_10s(spark, sf_dir):
     """R5 counters: tokens and sessions per model per 10-second export period (delta form)."""
     return R.export_counters(_sessions(spark, sf_dir))
+
+
+# ------------------------------------------------- device samples / models
+from fleetlens.operators.processes import flatten_processes  # noqa: E402
+
+
+def device_samples(spark, sf_dir) -> DataFrame:
+    """Raw device samples, one per metric row: readings a device did not return are null
+    (temperature above 90, the name at 0 % utilisation, both utilisations when it reports no
+    memory), power in mW; the process lists hold the sample's process in the compute list and
+    the same pid, name unknown, at half the memory in the graphics list."""
+    g = _v(spark, sf_dir, "gpu_metrics")
+    p = _v(spark, sf_dir, "process_samples").select("id", "pid", F.col("name").alias("pname"), "used_gpu_memory")
+    no_mem = F.col("memory_total") == 0
+    proc_t = "array<struct<pid:bigint,name:string,used_gpu_memory:bigint>>"
+    return g.join(p, "id").select(
+        F.col("id").alias("sample_id"), "timestamp", F.col("gpu_id").alias("gpu_index"),
+        F.when(F.col("utilization_gpu") > 0, F.col("name")).alias("name"),
+        F.when(~no_mem, F.col("utilization_gpu")).alias("utilization_gpu"),
+        F.when(~no_mem, F.col("utilization_memory")).alias("utilization_memory"),
+        "memory_used", "memory_total",
+        F.when(F.col("temperature") <= 90, F.col("temperature")).alias("temperature"),
+        (F.col("power_usage").cast("long") * 1000 + 999).alias("power_mw"),
+        F.array(F.struct("pid", F.col("pname").alias("name"), "used_gpu_memory")).cast(proc_t).alias("compute_processes"),
+        F.array(F.struct("pid", F.lit(None).cast("string").alias("name"),
+                         gpu_fn.int_div("used_gpu_memory", 2).alias("used_gpu_memory"))).cast(proc_t)
+        .alias("graphics_processes"))
+
+
+DS_SQL = fixtures.duckdb_cte("gpu_metrics", "process_samples") + """,
+ds AS (SELECT g.id AS sample_id, g."timestamp", g.gpu_id, g.name, g.utilization_gpu, g.utilization_memory,
+  g.memory_used, g.memory_total, g.temperature, g.power_usage, p.pid, p.name AS pname, p.used_gpu_memory
+  FROM gpu_metrics g JOIN process_samples p ON g.id = p.id WHERE g.memory_total <> 0)
+"""
+
+
+@register("device_metrics", DS_SQL + """
+SELECT sample_id, "timestamp", gpu_id, CASE WHEN utilization_gpu > 0 THEN name ELSE 'GPU ' || CAST(gpu_id AS VARCHAR) END AS name,
+  utilization_gpu, utilization_memory, memory_used, memory_total,
+  CASE WHEN temperature <= 90 THEN temperature ELSE 0 END AS temperature, power_usage FROM ds""")
+def q_device_metrics(spark, sf_dir):
+    """Device samples normalised to metric rows (defaults for missing readings, devices without
+    utilisation skipped, mW to W)."""
+    from fleetlens.sources.gpu import normalise_device_samples
+    return normalise_device_samples(device_samples(spark, sf_dir)).drop("compute_processes", "graphics_processes")
+
+
+@register("device_processes", DS_SQL + """
+SELECT sample_id, 0::BIGINT AS id, "timestamp", gpu_id, utilization_gpu AS gpu_utilization, pid, pname AS name,
+  used_gpu_memory FROM ds
+UNION ALL
+SELECT sample_id, 1::BIGINT, "timestamp", gpu_id, utilization_gpu, pid, 'pid_' || CAST(pid AS VARCHAR),
+  used_gpu_memory // 2 FROM ds""")
+def q_device_processes(spark, sf_dir):
+    """S2 + S3 + J2: each sample's process list (compute ++ graphics, memory descending) flattened
+    with its position and the GPU's utilisation."""
+    from fleetlens.sources.gpu import device_metrics_with_processes
+    m = device_metrics_with_processes(device_samples(spark, sf_dir))
+    return flatten_processes(m, keys=("sample_id",))
+
+
+def model_snapshots(spark, sf_dir) -> DataFrame:
+    """A running-models answer per chunk: the chunk's model, status 503 while it has no response."""
+    c = _v(spark, sf_dir, "llm_chunks")
+    body = F.to_json(F.struct(F.array(F.struct(F.col("model").alias("name"))).alias("models")))
+    status = F.when(F.col("response").isNotNull(), F.lit(200)).otherwise(F.lit(503))
+    return c.select("session_id", "seq", F.col("arrival_ts").alias("ts"), status.alias("status"), body.alias("body"))
+
+
+@register("running_models", fixtures.duckdb_cte("llm_chunks") + """
+SELECT session_id, seq, arrival_ts AS ts, 200 AS status, 0 AS position, model FROM llm_chunks
+WHERE response IS NOT NULL""")
+def q_running_models(spark, sf_dir):
+    """Model names listed by every successful running-models answer."""
+    return CH.running_models(model_snapshots(spark, sf_dir))
