@@ -23,6 +23,32 @@ SESSION_CONF = {
 }
 
 
+# Sizing for a large cluster (e.g. 1000 executors x 8 cores reading ~100 TB).
+# Shuffles start wide and AQE coalesces them to the advisory size, so one
+# setting serves both the hourly roll-ups and full-history jobs; input splits of
+# 256 MiB keep scan tasks in memory; AQE only turns a join into a broadcast
+# when the measured side is below the threshold.
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "16000",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "16000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+    "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
+    "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 * 1024 * 1024),
+}
+
+
+def apply_cluster_sizing(spark: SparkSession, overrides: dict[str, str] | None = None) -> SparkSession:
+    """Apply ``CLUSTER_CONF`` for keys the cluster has not set itself."""
+    conf = dict(CLUSTER_CONF, **(overrides or {}))
+    defaults = {"spark.sql.shuffle.partitions": "200"}
+    for key, value in conf.items():
+        current = spark.conf.get(key, None)
+        if current is None or current == defaults.get(key):
+            spark.conf.set(key, value)
+    return spark
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings fleetlens needs to an existing session."""
     for key, value in SESSION_CONF.items():
