@@ -87,3 +87,40 @@ def test_retain_rewrites_newer_rows_of_mixed_files(spark, scratch):
     deleted = A.retain(spark, table, dt.date(2024, 1, 3))
     assert deleted == 1
     assert [r["timestamp"] for r in spark.read.parquet(table).collect()] == times[1:]
+
+
+def test_hourly_upkeep(spark, scratch):
+    from fleetlens.plans.jobs import hourly_upkeep
+    from fleetlens.schemas import PROCESS_EVENTS
+    metrics = os.path.join(scratch, "gpu_metrics")
+    events = os.path.join(scratch, "process_events")
+    T.append_gpu_metrics(_metrics(spark, [dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 16)]), metrics)
+    ev = [(dt.datetime(2024, 1, 15, 9), 1, "python3", "ml_training", 10, 50, "python3 train.py", None, 0),
+          (dt.datetime(2024, 1, 16, 9), 2, "ollama", "llm_inference", 20, 70, "ollama serve", None, 0),
+          (dt.datetime(2024, 1, 2, 9), 3, "ollama", "llm_inference", 5, 10, "ollama serve", None, 0)]
+    T.append_process_events(spark.createDataFrame(ev, PROCESS_EVENTS), events)
+    weekly = os.path.join(scratch, "weekly")
+    now = dt.datetime(2024, 1, 17, 12, tzinfo=dt.timezone.utc)
+    report = {r["table"]: r for r in hourly_upkeep(spark, {"gpu_metrics": metrics, "process_events": events},
+                                                    os.path.join(scratch, "archive"), weekly, 7, now).collect()}
+    assert report["gpu_metrics"]["deleted"] == 1 and report["process_events"]["archived"] == 1
+    rows = {r["category"]: r for r in spark.read.parquet(weekly).collect()}
+    # Only the current week (Monday 2024-01-15) is summarised.
+    assert set(rows) == {"ml_training", "llm_inference"}
+    assert rows["llm_inference"]["event_count"] == 1 and rows["llm_inference"]["week_start"] == dt.date(2024, 1, 15)
+
+
+def test_panels(spark):
+    from fleetlens import fixtures
+    from fleetlens.operators.sessions import track_sessions
+    from fleetlens.plans.jobs import chart_panel, session_panel
+    g = fixtures.view(spark, "/root/testdata/sf0.001", "gpu_metrics")
+    chart = chart_panel(g, 1, 720, "2024-01-31T00:00:00Z")
+    arr = chart["arrays"].collect()[0]
+    assert len(arr["labels"]) == len(arr["utilization_gpu"]) <= 400
+    assert {r["metric"] for r in chart["trend"].collect()} == {"utilization_gpu", "utilization_memory",
+                                                               "temperature", "power_usage"}
+    s = track_sessions(fixtures.view(spark, "/root/testdata/sf0.001", "llm_chunks"))
+    panel = session_panel(s, "2024-01-02T00:00:00Z")
+    assert panel["totals"].collect()[0]["total_sessions"] == s.count()
+    assert len(panel["recent"].collect()) == 10
