@@ -65,7 +65,9 @@ def _fold(ttl_ms: int):
         state.update((start, model, _none(ft.iloc[-1]), _none(running["prompt"].iloc[-1]),
                       _none(running["completion"].iloc[-1]), _none(running["eval_ns"].iloc[-1]),
                       last["arrival_ts"]))
-        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + ttl_ms)
+        # Idle timeout in event time: TTL past the session's last chunk (never before the watermark).
+        last_ms = int(pd.Timestamp(last["arrival_ts"]).value // 1_000_000)
+        state.setTimeoutTimestamp(max(last_ms, state.getCurrentWatermarkMs()) + ttl_ms)
         if len(emitted):
             yield emitted
     return fold

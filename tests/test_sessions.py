@@ -73,7 +73,8 @@ def test_edge_sessions(spark):
 
 def test_streaming_equals_batch(spark):
     src = tempfile.mkdtemp(prefix="fleetlens-chunks-")
-    df = _chunks(spark, EDGE)
+    # "g" gets nothing in the middle trigger: its state must survive the idle trigger.
+    df = _chunks(spark, EDGE + [_c("g", 0, 0, None, False, None, None, 3), _c("g", 1, 9, "z", True, 2, 20, None)])
     # Files land in arrival order (one per time slice); rows are shuffled inside each file.
     for lo, hi in ((0, 3), (3, 6), (6, 60)):
         part = df.where((F.col("arrival_ts") >= F.lit(T0 + dt.timedelta(seconds=lo)))
