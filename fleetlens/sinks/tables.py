@@ -86,8 +86,8 @@ def _touched_values(df: DataFrame, col: str) -> list:
 def _overwrite_partitions(spark: SparkSession, merged: DataFrame, path: str, part: str) -> None:
     config.checkpoint_dir(spark)
     stable = merged.checkpoint(eager=True)
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    stable.write.mode("overwrite").partitionBy(part).parquet(path)
+    (stable.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(part).parquet(path))
 
 
 def upsert_sessions(spark: SparkSession, incoming: DataFrame, path: str, locate_existing: bool = False) -> None:
