@@ -53,9 +53,15 @@ def _strip_trailing_slash(root: str) -> str:
     return root if root == "/" else root.rstrip("/")
 
 
+def normalise_path(path) -> Column:
+    """Collapse repeated separators and drop a trailing one, as path components compare."""
+    p = F.regexp_replace(_col(path), "/{2,}", "/")
+    return F.when(p.rlike("^/$"), p).otherwise(F.regexp_replace(p, "/$", ""))
+
+
 def under_any_root(path, roots: Sequence[str]) -> Column:
     """Path-component prefix test (P1f): ``/a/b`` covers ``/a/b`` and ``/a/b/x``, not ``/a/bc``."""
-    p = _col(path)
+    p = normalise_path(path)
     roots = [_strip_trailing_slash(r) for r in roots]
     if not roots:
         return F.lit(False)

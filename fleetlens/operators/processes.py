@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.functions.classify import under_any_root, workload_category
+from fleetlens.functions.classify import normalise_path, under_any_root, workload_category
 from fleetlens.functions.gpu import bytes_to_mib
 
 
@@ -50,10 +50,10 @@ def library_flag(df: DataFrame, roots: DataFrame, path: str = "exe_path", out: s
     prefixes equals the root.  Exact for any number of roots (no theta join, no
     broadcast assumption); the flag is computed once per distinct path and
     joined back on the path."""
-    norm_roots = (roots.select(F.regexp_replace(F.col(root_col), "/+$", "").alias("_root"))
+    norm_roots = (roots.select(normalise_path(root_col).alias("_root"))
                   .where(F.col("_root").isNotNull()).distinct())
     paths = df.select(F.col(path).alias("_path")).where(F.col("_path").isNotNull()).distinct()
-    hits = (paths.select("_path", F.explode(path_prefixes("_path")).alias("_root"))
+    hits = (paths.select("_path", F.explode(path_prefixes(normalise_path("_path"))).alias("_root"))
             .join(norm_roots, "_root", "left_semi")
             .select("_path").distinct().withColumn(out, F.lit(True)))
     return (df.join(hits, df[path] == hits["_path"], "left")

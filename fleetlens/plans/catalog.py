@@ -234,7 +234,8 @@ def _any_sql(text: str, words) -> str:
 
 
 def _in_lib_sql(exe: str) -> str:
-    tests = " OR ".join(f"({exe} = '{r}' OR starts_with({exe}, '{r}/'))" for r in ROOTS)
+    p = f"regexp_replace(regexp_replace({exe}, '/{{2,}}', '/', 'g'), '(.)/$', '\\1')"
+    tests = " OR ".join(f"({p} = '{r}' OR starts_with({p}, '{r}/'))" for r in ROOTS)
     return f"coalesce({tests}, false)"
 
 

@@ -132,7 +132,9 @@ def request_model(body) -> Column:
     v = json_value(text)
     is_obj = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
     is_str = F.coalesce(_type(v, "$.model") == "STRING", F.lit(False))
-    return F.when(is_obj & is_str, F.variant_get(v, "$.model", "string")).otherwise(F.lit("unknown"))
+    # Bytes that are not UTF-8 are not JSON (a cast would substitute U+FFFD instead).
+    utf8 = F.coalesce(F.is_valid_utf8(text), F.lit(False))
+    return F.when(utf8 & is_obj & is_str, F.variant_get(v, "$.model", "string")).otherwise(F.lit("unknown"))
 
 
 def llm_requests(log: DataFrame) -> DataFrame:

@@ -31,19 +31,20 @@ def test_edge_rows(spark):
         ("tool", "tool", "/home/u/MyGame/bin", 0),     # 'game' in path at any load
         ("tool", "tool", None, 99),
         ("x.exe\n", "x", None, 99),                    # a final newline is not an .exe ending
+        ("tool", "tool", "/a//b/x", 0),                # repeated separator: still under /a/b
     ]
     assert _cat(spark, rows, ["/a/b/"]) == [
         "general_compute", "gaming", "ml_training", "general_compute", "llm_inference",
-        "gaming", "general_compute", "gaming", "gaming", "general_compute", "general_compute"]
+        "gaming", "general_compute", "gaming", "gaming", "general_compute", "general_compute", "gaming"]
 
 
 def test_library_flag_join_matches_literal_roots(spark):
-    paths = ["/a/b/x", "/a/bc/x", "/a/b", "/c", None, "/opt/lib/common/g/run", "/opt/lib/commonX/g"]
+    paths = ["/a/b/x", "/a/bc/x", "/a/b", "/c", None, "/opt/lib/common/g/run", "/opt/lib/commonX/g", "/a//b/y"]
     df = spark.createDataFrame([(p,) for p in paths], "exe_path string")
     roots = spark.createDataFrame([("/a/b/",), ("/opt/lib/common",)], "root string")
     got = {r["exe_path"]: r["in_library"] for r in library_flag(df, roots).collect()}
     assert got == {"/a/b/x": True, "/a/bc/x": False, "/a/b": True, "/c": False, None: False,
-                   "/opt/lib/common/g/run": True, "/opt/lib/commonX/g": False}
+                   "/opt/lib/common/g/run": True, "/opt/lib/commonX/g": False, "/a//b/y": True}
 
 
 def test_process_events_w4_and_inner_join(spark):

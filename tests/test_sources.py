@@ -93,9 +93,10 @@ def test_parse_chunks_first_valid_line(spark):
 def test_request_model(spark):
     bodies = ['{"model": "llama2", "prompt": "hello"}', "", "{}", '{"model":null}', '{"model":""}',
               '{"model":1}', "{broken"]
-    df = spark.createDataFrame([(i, bytearray(b.encode())) for i, b in enumerate(bodies)], "i int, body binary")
+    raw = [bytearray(b.encode()) for b in bodies] + [bytearray(b'{"model":"a\xff"}')]
+    df = spark.createDataFrame(list(enumerate(raw)), "i int, body binary")
     got = [r["m"] for r in df.select("i", request_model("body").alias("m")).orderBy("i").collect()]
-    assert got == ["llama2", "unknown", "unknown", "unknown", "", "unknown", "unknown"]
+    assert got == ["llama2", "unknown", "unknown", "unknown", "", "unknown", "unknown", "unknown"]
 
 
 def test_requests_logs_and_models(spark):
