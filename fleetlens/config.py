@@ -81,14 +81,18 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for cut lineage and versioned tables.
 
-    Read from ``spark.checkpoint.dir`` (the cluster's shared storage).  Only when
-    the session has none — local tests — a fresh local folder is made and set.
+    Read from ``spark.checkpoint.dir`` (the cluster's shared storage).  Only a
+    local-mode session without one (tests) gets a fresh local folder; on a
+    cluster a missing setting is an error, never a machine-local folder.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         configured = spark.sparkContext.getCheckpointDir()
     if not configured:
-        configured = tempfile.mkdtemp(prefix="fleetlens-ckpt-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on the cluster's "
+                               "distributed file system) before running jobs that cut lineage")
+        configured = tempfile.mkdtemp(prefix="fleetlens-ckpt-")   # local mode only: one machine
         spark.conf.set("spark.checkpoint.dir", configured)
     spark.sparkContext.setCheckpointDir(configured)
     return configured.rstrip("/") if "://" in configured else os.path.abspath(configured)
