@@ -17,18 +17,27 @@ from fleetlens.operators import series as S
 from fleetlens.operators import sessions as SS
 from fleetlens.sinks import archive as A
 from fleetlens.sinks import tables as T
+from fleetlens.sinks.compaction import compact_day
 
 
 def hourly_upkeep(spark: SparkSession, tables: Mapping[str, str], archive_dir: str, weekly_path: str,
-                  retention_days: int, now, archival: bool = True) -> DataFrame:
-    """Storage maintenance (K9), then the current week's workload summary
-    (A1 over the process_events table) upserted into ``weekly_path`` (K4).
+                  retention_days: int, now, archival: bool = True, compact: bool = True) -> DataFrame:
+    """Compaction of yesterday's micro-batch partitions (tables written by
+    the ingest stream), storage maintenance (K9), then the current week's
+    workload summary (A1 over the process_events table) upserted into
+    ``weekly_path`` (K4).
 
     Returns the maintenance report.  Re-running within the hour converges:
-    archival is idempotent and the weekly upsert replaces the same week.
+    compaction and archival are idempotent and the weekly upsert replaces the
+    same week.
     """
-    report = A.maintain(spark, tables, archive_dir, retention_days, now, enabled=archival)
     inst = as_instant(now, "now")
+    if compact:
+        yesterday = (inst - _dt.timedelta(days=1)).date()
+        for path in tables.values():
+            if "batch_id" in spark.read.parquet(path).columns:
+                compact_day(spark, path, yesterday)
+    report = A.maintain(spark, tables, archive_dir, retention_days, now, enabled=archival)
     monday = (inst - _dt.timedelta(days=inst.weekday())).date()
     events = spark.read.parquet(tables["process_events"])
     T.upsert_weekly_summaries(spark, R.weekly_summary(events, week=monday.isoformat()), weekly_path)

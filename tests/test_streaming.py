@@ -53,3 +53,38 @@ def test_export_stream_equals_batch(spark, scratch):
     b = {(r["window_start"], r["gpu_id"]): r for r in batch}
     for r in streamed:
         assert r == b[(r["window_start"], r["gpu_id"])]
+
+
+def test_compact_day_is_exact_and_idempotent(spark, scratch):
+    from fleetlens.sinks.compaction import compact_day
+    from fleetlens.streaming.ingest import _write_batch
+    path = os.path.join(scratch, "m")
+    day = dt.date(2024, 1, 1)
+    for b in range(4):   # four micro-batches of the same day, one of the next day
+        rows = [(10 * b + i, T0 + dt.timedelta(seconds=10 * b + i), 0, "G", 1, 1, 1, 1, 1, 1) for i in range(3)]
+        _write_batch(spark.createDataFrame(rows, GPU_METRICS), path, b)
+    _write_batch(spark.createDataFrame([(99, T0 + dt.timedelta(days=1), 0, "G", 1, 1, 1, 1, 1, 1)], GPU_METRICS),
+                 path, 4)
+    before = sorted(r["id"] for r in spark.read.parquet(path).collect())
+    assert compact_day(spark, path, day) >= 4
+    after = spark.read.parquet(path)
+    assert sorted(r["id"] for r in after.collect()) == before
+    assert after.where((F.col("date") == day) & (F.col("batch_id") >= 0)).count() == 0
+    assert compact_day(spark, path, day) == 0          # nothing left to do
+    assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == before
+
+
+def test_compact_day_recovers_after_failed_delete(spark, scratch, monkeypatch):
+    import fleetlens.sinks.compaction as C
+    from fleetlens.streaming.ingest import _write_batch
+    path = os.path.join(scratch, "m")
+    for b in range(3):
+        rows = [(10 * b + i, T0 + dt.timedelta(seconds=10 * b + i), 0, "G", 1, 1, 1, 1, 1, 1) for i in range(2)]
+        _write_batch(spark.createDataFrame(rows, GPU_METRICS), path, b)
+    before = sorted(r["id"] for r in spark.read.parquet(path).collect())
+    real_delete = C.delete_files
+    monkeypatch.setattr(C, "delete_files", lambda *_: 0)     # the job dies after writing, before deleting
+    C.compact_day(spark, path, dt.date(2024, 1, 1))
+    monkeypatch.setattr(C, "delete_files", real_delete)
+    C.compact_day(spark, path, dt.date(2024, 1, 1))           # the rerun only finishes the deletion
+    assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == before
