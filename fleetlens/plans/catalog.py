@@ -489,13 +489,6 @@ def _snapshot_sql() -> str:
     pl = _json_labels_sql(("category", "category"), ("pid", "pid"), ("process_name", "process_name"))
     parts.append(f"SELECT '{R.PROCESS_MEMORY_BY_PID_NAME}', {pl}, CAST(memory_bytes AS DOUBLE) FROM pm")
 
-    def hist(value, buckets, name):
-        body = _hist_sql(value, buckets)
-        body = body[body.index(", h0 AS"):]
-        return body.replace(" h0 AS", f" {name}0 AS", 1).replace("FROM h0", f"FROM {name}0").replace(
-            "h AS (SELECT * REPLACE", f"{name}h AS (SELECT * REPLACE").replace(" FROM h\n", f" FROM {name}h\n") \
-            .replace(" FROM h", f" FROM {name}h")
-
     def hist_cte(value, buckets, name):
         lbl = [R._le_label(b) for b in buckets]
         cols = ", ".join(f"count_if(v <= {float(b)}) AS b{i}" for i, b in enumerate(buckets))
@@ -508,7 +501,6 @@ def _snapshot_sql() -> str:
                 f"(SELECT model, CAST({value} AS DOUBLE) AS v FROM llm_sessions WHERE {value} IS NOT NULL) "
                 f"GROUP BY model), {name} AS ({rows})")
 
-    del hist
     pe = PE_SQL[PE_SQL.index("s AS (SELECT *, date_trunc"):]
     return (fixtures.duckdb_cte("gpu_metrics", "llm_chunks", "process_samples", "os_processes")
             + ", " + LS_SQL[LS_SQL.index("r AS (SELECT *,"):].rstrip() + ",\n" + pe.rstrip() + ",\n" + gauges
