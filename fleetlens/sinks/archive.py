@@ -5,9 +5,10 @@ archived, with one date cutoff for both steps, so no row is ever deleted
 without being archived and rows on the cutoff date stay live.
 
 Archive layout: ``{archive_dir}/{table}_{cutoff}.parquet/batch={key}/``.  The
-batch key is a hash of the archived rows' identity, so re-running the same
-archive overwrites the same batch (idempotent), while rows that reach an
-already archived date later land in a new batch of the same archive.
+batch key is a hash of the input files the archived rows come from and their
+row counts, so re-running the same archive overwrites the same batch
+(idempotent), while rows that reach an already archived date later (new files)
+land in a new batch of the same archive.
 """
 
 from __future__ import annotations
