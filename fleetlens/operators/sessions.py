@@ -69,14 +69,20 @@ def _finish(df: DataFrame) -> DataFrame:
     )
 
 
-def track_sessions(chunks: DataFrame, order: Sequence[str] = ORDER, block_seconds: int = 60) -> DataFrame:
-    """R1 + P6 (batch): one ``llm_sessions`` row per ``done`` chunk."""
+def track_sessions(chunks: DataFrame, order: Sequence[str] = ORDER, block_seconds: int = 60,
+                   start_col: str | None = None) -> DataFrame:
+    """R1 + P6 (batch): one ``llm_sessions`` row per ``done`` chunk.
+
+    ``start_col`` (e.g. a ``request_ts`` column carried by the chunks) makes
+    the session start at the earliest value of that column instead of the first
+    chunk's arrival, so time to first token counts from the request.
+    """
     order = list(order)
     key = _key(order)
     seg = prefix_sum(chunks, ["session_id"], order[0], order[1:], F.col("done").cast("int"), block_seconds,
                      out="_seg")
     segs = seg.groupBy("session_id", "_seg").agg(
-        F.min("arrival_ts").alias("_start"),
+        F.min(start_col or "arrival_ts").alias("_start"),
         F.min_by("model", key).alias("_model"),
         F.min(F.when(F.col("response").isNotNull(), F.col("arrival_ts"))).alias("_first_token"),
         _last_non_null("prompt_eval_count", order).alias("_prompt"),

@@ -149,3 +149,11 @@ def test_hot_session_many_dones_matches_brute_force(spark):
     got = track_sessions(_chunks(spark, rows), block_seconds=60).collect()
     got = sorted((tuple(r) for r in got), key=repr)
     assert got == _brute_sessions(rows)
+
+
+def test_session_start_from_request_time(spark):
+    rows = [_c("r", 0, 2, "Hi", False, 1, 10, 3), _c("r", 1, 5, None, True, 2, 20, None)]
+    df = _chunks(spark, rows).withColumn("request_ts", F.lit(T0))
+    s = track_sessions(df, start_col="request_ts").collect()[0]
+    assert s["start_time"] == T0 and s["time_to_first_token_ms"] == 2000
+    assert track_sessions(df).collect()[0]["time_to_first_token_ms"] == 0
