@@ -32,6 +32,21 @@ def _ord_cols(ts: str, tiebreak: Sequence[str]) -> list[Column]:
     return [F.col(ts)] + [F.col(t) for t in tiebreak]
 
 
+def _non_null_default(dtype) -> Column:
+    name = dtype.typeName()
+    if name in ("string", "varchar", "char"):
+        return F.lit("")
+    if name == "boolean":
+        return F.lit(False)
+    if name == "date":
+        return F.to_date(F.lit("1970-01-01"))
+    if name in ("timestamp", "timestamp_ntz"):
+        return F.lit(0).cast("timestamp").cast(dtype)
+    if name in ("byte", "short", "integer", "long", "float", "double", "decimal"):
+        return F.lit(0).cast(dtype)
+    raise TypeError(f"unsupported key type {dtype.simpleString()}")
+
+
 def prefix_sum(df: DataFrame, keys: Sequence[str], ts: str, tiebreak: Sequence[str], weight: Column | None = None,
                block_seconds: int = DEFAULT_BLOCK_SECONDS, out: str = "prefix", total: str | None = None) -> DataFrame:
     """Add, for every row, the sum of ``weight`` over the rows of its key group
@@ -41,29 +56,41 @@ def prefix_sum(df: DataFrame, keys: Sequence[str], ts: str, tiebreak: Sequence[s
     Two levels, so no window ever spans a whole key group: per (key, time
     block) sums are a partial aggregate; a running sum over that small table
     gives each block's offset; the in-block part is a window per (key, block).
+    Null times sort first (as in an ascending window) and a null key is a
+    group of its own: every grouping, the join and the windows use plain
+    columns (key with a typed default, null flag, block), so the join and the
+    in-block window share one partitioning and the rows are shuffled once.
     """
     keys = list(keys)
+    types = dict((f.name, f.dataType) for f in df.schema.fields)
     block_us = int(block_seconds) * 1_000_000
     blk = "_fl_blk"
-    rows = df.withColumn(blk, F.floor(F.unix_micros(F.col(ts)) / F.lit(block_us)).cast("long"))
+    group = []
+    rows = df
+    for i, k in enumerate(keys):
+        rows = (rows.withColumn(f"_fl_k{i}", F.coalesce(F.col(k), _non_null_default(types[k])))
+                .withColumn(f"_fl_n{i}", F.col(k).isNull()))
+        group += [f"_fl_k{i}", f"_fl_n{i}"]
+    rows = rows.withColumn(blk, F.coalesce(F.floor(F.unix_micros(F.col(ts)) / F.lit(block_us)).cast("long"),
+                                           F.lit(-(2 ** 63)).cast("long")))
     if weight is not None:
         rows = rows.withColumn("_fl_w", weight.cast("long"))
     per_block = F.sum("_fl_w") if weight is not None else F.count(F.lit(1))
-    counts = rows.groupBy(*keys, blk).agg(per_block.alias("_fl_cnt"))
-    by_key = Window.partitionBy(*keys)
+    counts = rows.groupBy(*group, blk).agg(per_block.alias("_fl_cnt"))
+    by_key = Window.partitionBy(*group)
     off_cols = [F.coalesce(F.sum("_fl_cnt").over(by_key.orderBy(blk).rowsBetween(Window.unboundedPreceding, -1)),
                            F.lit(0)).cast("long").alias("_fl_off")]
     if total:
         off_cols.append(F.sum("_fl_cnt").over(by_key).cast("long").alias(total))
-    offsets = counts.select(*keys, blk, *off_cols)
-    in_block = Window.partitionBy(*keys, blk).orderBy(*_ord_cols(ts, tiebreak))
+    offsets = counts.select(*group, blk, *off_cols)
+    in_block = Window.partitionBy(*group, blk).orderBy(*_ord_cols(ts, tiebreak))
     if weight is None:
         local = F.row_number().over(in_block) - 1
     else:
         local = F.coalesce(F.sum("_fl_w").over(in_block.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    out_df = (rows.join(offsets, [*keys, blk])
+    out_df = (rows.join(offsets, [*group, blk])
               .withColumn(out, (F.col("_fl_off") + local).cast("long"))
-              .drop(blk, "_fl_off"))
+              .drop(blk, "_fl_off", *group))
     return out_df.drop("_fl_w") if weight is not None else out_df
 
 

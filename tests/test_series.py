@@ -86,3 +86,12 @@ def test_trend_edges(spark):
     five = run([100] * 5 + [105] * 5)
     assert five["change_percent"] == 5.0 and five["trend"] == "neutral"   # exactly +5 is not up
     assert run([100] * 5 + [94] * 5)["trend"] == "down"
+
+
+def test_ordered_index_keeps_null_times_and_keys(spark):
+    rows = [(1, None, 0, 5), (2, dt.datetime(2024, 1, 1), 0, 6), (3, dt.datetime(2024, 1, 1), None, 7),
+            (4, None, None, 8), (5, dt.datetime(2024, 1, 2), None, 9)]
+    df = spark.createDataFrame(rows, "id long, timestamp timestamp, gpu_id int, v int")
+    got = {r["id"]: (r["idx"], r["n"]) for r in ordered_index(df).collect()}
+    # Nulls first in time order; a null key is a group of its own.
+    assert got == {1: (0, 2), 2: (1, 2), 4: (0, 3), 3: (1, 3), 5: (2, 3)}
