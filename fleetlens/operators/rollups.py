@@ -144,10 +144,16 @@ def _model_rollup(sessions: DataFrame) -> DataFrame:
 
 
 def _rows(df: DataFrame, entries) -> DataFrame:
-    """Unpivot one wide row per group into (metric, labels, value) rows."""
-    return df.select(F.explode(F.array(*[
-        F.struct(F.lit(m).alias("metric"), lbl.alias("labels"), v.cast("double").alias("value"))
-        for m, lbl, v in entries])).alias("_s")).select("_s.*")
+    """Unpivot one wide row per group into (metric, labels, value) rows.  An
+    entry may carry a fourth item, a condition for the series to exist."""
+    structs = []
+    for e in entries:
+        m, lbl, v = e[:3]
+        keep = e[3] if len(e) > 3 else F.lit(True)
+        structs.append(F.struct(F.lit(m).alias("metric"), lbl.alias("labels"), v.cast("double").alias("value"),
+                                keep.alias("keep")))
+    return (df.select(F.explode(F.array(*structs)).alias("_s"))
+            .where(F.col("_s.keep")).select("_s.metric", "_s.labels", "_s.value"))
 
 
 def metric_snapshot(gauges: DataFrame, sessions: DataFrame, events: DataFrame) -> DataFrame:
@@ -160,15 +166,17 @@ def metric_snapshot(gauges: DataFrame, sessions: DataFrame, events: DataFrame) -
     """
     gl = _labels(("gpu_id", "gpu_id"), ("gpu_name", "name"))
     parts = [_rows(gauges, [(name, gl, F.col(col)) for col, name in GPU_GAUGE_NAMES.items()])]
+    # Every per-model series comes from one projection of one aggregate: one pass over sessions.
     mr = _model_rollup(sessions)
     ml = _labels(("model", "model"))
-    parts.append(_rows(mr, [(SESSION_COUNT_NAME, ml, F.col("session_count")),
-                            (TOTAL_TOKENS_NAME, ml, F.col("total_tokens"))]))
+    entries = [(SESSION_COUNT_NAME, ml, F.col("session_count")), (TOTAL_TOKENS_NAME, ml, F.col("total_tokens"))]
     for base, pre, buckets in ((TPS_HISTOGRAM_NAME, "tps", TPS_BUCKETS), (TTFT_HISTOGRAM_NAME, "ttft", TTFT_BUCKETS_MS)):
+        observed = F.col(f"{pre}_count") > 0
         les = [(_le_label(b), F.col(f"{pre}_b{i}")) for i, b in enumerate(buckets)] + [("+Inf", F.col(f"{pre}_count"))]
-        entries = [(f"{base}_bucket", _labels(("le", F.lit(le)), ("model", "model")), c) for le, c in les]
-        entries += [(f"{base}_sum", ml, F.col(f"{pre}_sum")), (f"{base}_count", ml, F.col(f"{pre}_count"))]
-        parts.append(_rows(mr.where(F.col(f"{pre}_count") > 0), entries))
+        entries += [(f"{base}_bucket", _labels(("le", F.lit(le)), ("model", "model")), c, observed) for le, c in les]
+        entries += [(f"{base}_sum", ml, F.col(f"{pre}_sum"), observed),
+                    (f"{base}_count", ml, F.col(f"{pre}_count"), observed)]
+    parts.append(_rows(mr, entries))
     cg = category_gauges(events)
     cl = _labels(("category", "category"))
     parts.append(_rows(cg, [(PROCESS_COUNT_NAME, cl, F.col("process_count")),
