@@ -48,7 +48,8 @@ def _non_null_default(dtype) -> Column:
 
 
 def prefix_sum(df: DataFrame, keys: Sequence[str], ts: str, tiebreak: Sequence[str], weight: Column | None = None,
-               block_seconds: int = DEFAULT_BLOCK_SECONDS, out: str = "prefix", total: str | None = None) -> DataFrame:
+               block_seconds: int = DEFAULT_BLOCK_SECONDS, out: str = "prefix", total: str | None = None,
+               keep_partitioning: bool = False) -> DataFrame:
     """Add, for every row, the sum of ``weight`` over the rows of its key group
     strictly before it in (ts, *tiebreak) order (``weight`` None counts rows),
     and optionally the group total.
@@ -60,6 +61,8 @@ def prefix_sum(df: DataFrame, keys: Sequence[str], ts: str, tiebreak: Sequence[s
     group of its own: every grouping, the join and the windows use plain
     columns (key with a typed default, null flag, block), so the join and the
     in-block window share one partitioning and the rows are shuffled once.
+    ``keep_partitioning`` keeps those columns (``partitioning_columns``) so a
+    following aggregate on a superset of them needs no exchange.
     """
     keys = list(keys)
     types = dict((f.name, f.dataType) for f in df.schema.fields)
@@ -90,10 +93,18 @@ def prefix_sum(df: DataFrame, keys: Sequence[str], ts: str, tiebreak: Sequence[s
         local = F.coalesce(F.sum("_fl_w").over(in_block.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     out_df = (rows.join(offsets, [*group, blk])
               .withColumn(out, (F.col("_fl_off") + local).cast("long"))
-              .drop(blk, "_fl_off", *group))
+              .drop("_fl_off"))
+    if not keep_partitioning:
+        out_df = out_df.drop(blk, *group)
     return out_df.drop("_fl_w") if weight is not None else out_df
 
 
+def partitioning_columns(keys: Sequence[str]) -> list[str]:
+    """The helper columns ``prefix_sum(keep_partitioning=True)`` leaves: the rows
+    are hash-partitioned on exactly these."""
+    return [c for i in range(len(keys)) for c in (f"_fl_k{i}", f"_fl_n{i}")] + ["_fl_blk"]
+
+
 def ordered_index(df: DataFrame, keys: Sequence[str] = ("gpu_id",), ts: str = "timestamp",
                   tiebreak: Sequence[str] = ("id",), block_seconds: int = DEFAULT_BLOCK_SECONDS,
                   index: str = "idx", size: str = "n") -> DataFrame:

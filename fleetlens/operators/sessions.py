@@ -17,12 +17,14 @@ session):
    blocked prefix count (``series.prefix_sum``): per (session, time block)
    counts are a partial aggregate, a running sum over that small table gives
    block offsets, the in-block part is a window per (session, block);
-2. per (session, segment) partial aggregates of the state (start, model,
-   first token, last non-null counts, the ``done`` ending the segment);
-3. a running combine over each session's segment rows (one per ``done`` plus
-   a tail), emitting the segments that end in a ``done``.
-
-Raw chunks are shuffled once (step 1); steps 2 and 3 move aggregates only.
+2. per (session, time block, segment) aggregates of the state (start, model,
+   first token, last non-null counts, the ``done`` ending the segment),
+   grouped on a superset of step 1's partitioning, so without an exchange;
+3. a running combine over each session's (segment, block) rows, emitting the
+   rows that hold a ``done``: every chunk up to a ``done`` lies in an earlier
+   segment or in an earlier block of its own segment.
+
+Raw chunks are shuffled once (step 1); step 3 moves aggregates only.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ from fleetlens.functions import sessions as SF
 from fleetlens.functions.display import (as_instant, clock_time, duration_text, fixed, model_base_name,
                                          thousands_text, ts_literal, ttft_text)
 from fleetlens.operators.pruning import time_filter
-from fleetlens.operators.series import prefix_sum
+from fleetlens.operators.series import partitioning_columns, prefix_sum
 
 ORDER = ("arrival_ts", "seq")
 
@@ -80,8 +82,9 @@ def track_sessions(chunks: DataFrame, order: Sequence[str] = ORDER, block_second
     order = list(order)
     key = _key(order)
     seg = prefix_sum(chunks, ["session_id"], order[0], order[1:], F.col("done").cast("int"), block_seconds,
-                     out="_seg")
-    segs = seg.groupBy("session_id", "_seg").agg(
+                     out="_seg", keep_partitioning=True)
+    part = partitioning_columns(["session_id"])
+    segs = seg.groupBy("session_id", *part, "_seg").agg(
         F.min(start_col or "arrival_ts").alias("_start"),
         F.min_by("model", key).alias("_model"),
         F.min(F.when(F.col("response").isNotNull(), F.col("arrival_ts"))).alias("_first_token"),
@@ -90,7 +93,8 @@ def track_sessions(chunks: DataFrame, order: Sequence[str] = ORDER, block_second
         _last_non_null("eval_duration", order).alias("_eval_ns"),
         F.max(F.when(F.col("done"), F.col("arrival_ts"))).alias("_end"),
     )
-    w = Window.partitionBy("session_id").orderBy("_seg").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = (Window.partitionBy("session_id").orderBy("_seg", "_fl_blk")
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     state = segs.select(
         "session_id", "_end",
         F.min("_start").over(w).alias("_start"),
