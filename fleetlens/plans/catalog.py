@@ -835,3 +835,26 @@ WHERE response IS NOT NULL""")
 def q_running_models(spark, sf_dir):
     """Model names listed by every successful running-models answer."""
     return CH.running_models(model_snapshots(spark, sf_dir))
+
+
+# ------------------------------------------------------------- streaming
+@register("sessions_stream", LS_SQL + "SELECT * FROM llm_sessions")
+def q_sessions_stream(spark, sf_dir):
+    """R1 under Structured Streaming: the chunks, landed once in the shared checkpoint folder, are
+    read as a stream (availableNow), folded by the stateful session tracker and written by the
+    exactly-once file sink; the result is that sink's output."""
+    import uuid
+
+    from fleetlens.schemas import LLM_CHUNKS
+    from fleetlens.streaming.sessions import track_sessions_stream
+
+    base = f"{config.checkpoint_dir(spark)}/fleetlens-sessions-stream-{uuid.uuid4().hex}"
+    _v(spark, sf_dir, "llm_chunks").select(*LLM_CHUNKS.fieldNames()).write.parquet(f"{base}/chunks")
+    stream = spark.readStream.schema(LLM_CHUNKS).parquet(f"{base}/chunks")
+    query = (track_sessions_stream(stream).writeStream.format("parquet").outputMode("append")
+             .option("path", f"{base}/sessions").option("checkpointLocation", f"{base}/checkpoint")
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise RuntimeError(str(query.exception()))
+    return spark.read.parquet(f"{base}/sessions")
