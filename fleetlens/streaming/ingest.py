@@ -68,3 +68,13 @@ def export_stream(metrics: DataFrame, every: str = "10 seconds", watermark: str
             .agg(F.max_by(F.struct(*[F.col(c) for c in cols]), order).alias("_g"))
             .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
                     "gpu_id", "name", *[F.col(f"_g.{c}").alias(c) for c in cols]))
+
+
+def export_counters_stream(sessions: DataFrame, every: str = "10 seconds", watermark: str = "30 seconds") -> DataFrame:
+    """R5 counters under streaming: tokens and sessions per model per export
+    period of the session end (delta form), emitted once the watermark passes."""
+    ended = sessions.where(F.col("end_time").isNotNull()).withWatermark("end_time", watermark)
+    return (ended.groupBy(F.window("end_time", every).alias("w"), "model")
+            .agg(F.sum("total_tokens").cast("long").alias("total_tokens"), F.count(F.lit(1)).alias("sessions"))
+            .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
+                    "model", "total_tokens", "sessions"))

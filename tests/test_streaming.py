@@ -88,3 +88,24 @@ def test_compact_day_recovers_after_failed_delete(spark, scratch, monkeypatch):
     monkeypatch.setattr(C, "delete_files", real_delete)
     C.compact_day(spark, path, dt.date(2024, 1, 1))           # the rerun only finishes the deletion
     assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == before
+
+
+def test_export_counters_stream_matches_batch_for_closed_periods(spark, scratch):
+    from fleetlens.operators.rollups import export_counters
+    from fleetlens.schemas import LLM_SESSIONS
+    from fleetlens.streaming.ingest import export_counters_stream
+    rows = [(f"s{i}", T0 + dt.timedelta(seconds=i), T0 + dt.timedelta(seconds=5 * i + 1), f"m{i % 2}",
+             1, i, 1 + i, 1.0, None, None) for i in range(40)]
+    df = spark.createDataFrame(rows, LLM_SESSIONS)
+    src = os.path.join(scratch, "sessions")
+    df.write.parquet(src)
+    stream = spark.readStream.schema(LLM_SESSIONS).parquet(src)
+    q = (export_counters_stream(stream).writeStream.format("memory").queryName("counters_test")
+         .outputMode("append").option("checkpointLocation", os.path.join(scratch, "ckpt"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    streamed = spark.sql("SELECT * FROM counters_test").collect()
+    batch = {(r["window_start"], r["model"]): r for r in export_counters(df).collect()}
+    assert 0 < len(streamed) <= len(batch)
+    for r in streamed:
+        assert r == batch[(r["window_start"], r["model"])]
