@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from fleetlens.functions.display import rfc3339
 from fleetlens.operators.pruning import time_filter
 from fleetlens.functions.gpu import memory_percent, memory_view
-from fleetlens.operators.series import DEFAULT_BLOCK_SECONDS, downsample, ordered_index
+from fleetlens.operators.series import DEFAULT_BLOCK_ROWS, DEFAULT_BLOCK_SECONDS, downsample, ordered_index
 
 # The four charted metrics (the memory chart plots utilization_memory).
 CHART_METRICS = ("utilization_gpu", "utilization_memory", "temperature", "power_usage")
@@ -102,21 +102,23 @@ def series_stats(df: DataFrame, metrics: Sequence[str] = CHART_METRICS, keys: Se
 
 
 def chart_series(df: DataFrame, keys: Sequence[str] = ("gpu_id",), ts: str = "timestamp",
-                 tiebreak: Sequence[str] = ("id",), block_seconds: int = DEFAULT_BLOCK_SECONDS) -> DataFrame:
+                 tiebreak: Sequence[str] = ("id",), block_seconds: int = DEFAULT_BLOCK_SECONDS,
+                 block_rows: int | None = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """A8, long form: one row per point with its 0-based position, the RFC 3339
     label and the five charted values.  Scales with no per-device array."""
-    ix = ordered_index(memory_view(df), keys, ts, tiebreak, block_seconds)
+    ix = ordered_index(memory_view(df), keys, ts, tiebreak, block_seconds, block_rows=block_rows)
     return ix.select(*keys, F.col("idx"), rfc3339(ts).alias("label"), "utilization_gpu",
                      "utilization_memory", "memory_percent", "temperature", "power_usage")
 
 
 def chart_arrays(df: DataFrame, max_points: int, keys: Sequence[str] = ("gpu_id",), ts: str = "timestamp",
-                 tiebreak: Sequence[str] = ("id",), block_seconds: int = DEFAULT_BLOCK_SECONDS) -> DataFrame:
+                 tiebreak: Sequence[str] = ("id",), block_seconds: int = DEFAULT_BLOCK_SECONDS,
+                 block_rows: int | None = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """A8 with W1, array form: per device, parallel arrays of the downsampled
     series.  Each array holds at most ``max_points`` elements, so the per-group
     collection is bounded by construction."""
     keys = list(keys)
-    pts = downsample(memory_view(df), max_points, keys, ts, tiebreak, block_seconds)
+    pts = downsample(memory_view(df), max_points, keys, ts, tiebreak, block_seconds, block_rows)
     fields = ["utilization_gpu", "utilization_memory", "memory_percent", "temperature", "power_usage"]
     arr = (pts.groupBy(*keys)
            .agg(F.array_sort(F.collect_list(F.struct(F.col("idx"), rfc3339(ts).alias("label"),

@@ -4,10 +4,11 @@ A device's series can be arbitrarily long and one device may hold a large share
 of all rows, so no operator here runs a window over a whole device.  Positions
 are computed in two levels:
 
-1. rows are cut into (device, time block) groups; a per-block row count is a
+1. rows are cut into (device, time block) groups, blocks sized per device so
+   that each holds about ``DEFAULT_BLOCK_ROWS`` rows; a per-block row count is a
    partial aggregation (map-side combine), so a hot device costs nothing extra;
 2. a running sum over the small per-block count table gives each block's offset;
-3. ``row_number`` runs per (device, block) — bounded by the block width — and
+3. ``row_number`` runs per (device, block) — bounded by the block size — and
    the offset is added.
 
 The join of rows with offsets and the per-block window share one hash
@@ -22,6 +23,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BLOCK_SECONDS = 3600
+# Series operators size blocks by rows: each key's block width is chosen so that
+# a block holds about this many rows, however dense the key is.
+DEFAULT_BLOCK_ROWS = 1_000_000
+MIN_BLOCK_MICROS = 1000
 
 # Chart point budget by time range (hours): <=1 h, <=6 h, longer.
 def max_points_for_range(hours: float) -> int:
@@ -49,7 +54,7 @@ def _non_null_default(dtype) -> Column:
 
 def prefix_sum(df: DataFrame, keys: Sequence[str], ts: str, tiebreak: Sequence[str], weight: Column | None = None,
                block_seconds: int = DEFAULT_BLOCK_SECONDS, out: str = "prefix", total: str | None = None,
-               keep_partitioning: bool = False) -> DataFrame:
+               keep_partitioning: bool = False, block_rows: int | None = None) -> DataFrame:
     """Add, for every row, the sum of ``weight`` over the rows of its key group
     strictly before it in (ts, *tiebreak) order (``weight`` None counts rows),
     and optionally the group total.
@@ -63,6 +68,12 @@ def prefix_sum(df: DataFrame, keys: Sequence[str], ts: str, tiebreak: Sequence[s
     in-block window share one partitioning and the rows are shuffled once.
     ``keep_partitioning`` keeps those columns (``partitioning_columns``) so a
     following aggregate on a superset of them needs no exchange.
+
+    Blocks are ``block_seconds`` wide, or, with ``block_rows``, sized per key:
+    a per-key aggregate (count, first and last time) sets each key's width so
+    that a block holds about ``block_rows`` rows (never under 1 ms).  A key
+    holding a third of all rows then gets proportionally narrower blocks.  The
+    per-key table has one row per key and is joined on the key columns.
     """
     keys = list(keys)
     types = dict((f.name, f.dataType) for f in df.schema.fields)
@@ -74,8 +85,22 @@ def prefix_sum(df: DataFrame, keys: Sequence[str], ts: str, tiebreak: Sequence[s
         rows = (rows.withColumn(f"_fl_k{i}", F.coalesce(F.col(k), _non_null_default(types[k])))
                 .withColumn(f"_fl_n{i}", F.col(k).isNull()))
         group += [f"_fl_k{i}", f"_fl_n{i}"]
-    rows = rows.withColumn(blk, F.coalesce(F.floor(F.unix_micros(F.col(ts)) / F.lit(block_us)).cast("long"),
-                                           F.lit(-(2 ** 63)).cast("long")))
+    ts_us = F.unix_micros(F.col(ts))
+    if block_rows:
+        stats = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_fl_cnt_all"), F.min(ts_us).alias("_fl_lo"),
+                                         F.max(ts_us).alias("_fl_hi"))
+        width = F.greatest(F.lit(MIN_BLOCK_MICROS).cast("long"),
+                           F.ceil((F.col("_fl_hi") - F.col("_fl_lo") + 1).cast("double") * float(block_rows)
+                                  / F.col("_fl_cnt_all")).cast("long"))
+        stats = stats.select(*group, F.coalesce(F.col("_fl_lo"), F.lit(0)).cast("long").alias("_fl_lo"),
+                             F.coalesce(width, F.lit(MIN_BLOCK_MICROS)).cast("long").alias("_fl_width"))
+        rows = rows.join(stats, group)
+        raw_blk = F.floor((ts_us - F.col("_fl_lo")) / F.col("_fl_width")).cast("long")
+    else:
+        raw_blk = F.floor(ts_us / F.lit(block_us)).cast("long")
+    rows = rows.withColumn(blk, F.coalesce(raw_blk, F.lit(-(2 ** 63)).cast("long")))
+    if block_rows:
+        rows = rows.drop("_fl_lo", "_fl_width")
     if weight is not None:
         rows = rows.withColumn("_fl_w", weight.cast("long"))
     per_block = F.sum("_fl_w") if weight is not None else F.count(F.lit(1))
@@ -107,17 +132,19 @@ def partitioning_columns(keys: Sequence[str]) -> list[str]:
 
 def ordered_index(df: DataFrame, keys: Sequence[str] = ("gpu_id",), ts: str = "timestamp",
                   tiebreak: Sequence[str] = ("id",), block_seconds: int = DEFAULT_BLOCK_SECONDS,
-                  index: str = "idx", size: str = "n") -> DataFrame:
+                  index: str = "idx", size: str = "n", block_rows: int | None = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """Add the 0-based position of each row within its key group, ordered by
-    (ts, *tiebreak), and the group size."""
-    return prefix_sum(df, keys, ts, tiebreak, None, block_seconds, out=index, total=size)
+    (ts, *tiebreak), and the group size.  Blocks are sized per key by rows
+    (``block_rows``); pass ``block_rows=None`` for fixed ``block_seconds``."""
+    return prefix_sum(df, keys, ts, tiebreak, None, block_seconds, out=index, total=size, block_rows=block_rows)
 
 
 def downsample(df: DataFrame, max_points: int, keys: Sequence[str] = ("gpu_id",), ts: str = "timestamp",
-               tiebreak: Sequence[str] = ("id",), block_seconds: int = DEFAULT_BLOCK_SECONDS) -> DataFrame:
+               tiebreak: Sequence[str] = ("id",), block_seconds: int = DEFAULT_BLOCK_SECONDS,
+               block_rows: int | None = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """Per key, all rows when n <= max_points; else rows whose 0-based
     position is a multiple of ceil(n / max_points)."""
-    ix = ordered_index(df, keys, ts, tiebreak, block_seconds)
+    ix = ordered_index(df, keys, ts, tiebreak, block_seconds, block_rows=block_rows)
     step = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("n") / F.lit(float(max_points))).cast("long"))
     return ix.where((F.col("n") <= max_points) | (F.col("idx") % step == 0))
 
@@ -129,7 +156,8 @@ TREND_BAND = 5.0
 
 
 def trend(df: DataFrame, metrics: Sequence[str], keys: Sequence[str] = ("gpu_id",), ts: str = "timestamp",
-          tiebreak: Sequence[str] = ("id",), block_seconds: int = DEFAULT_BLOCK_SECONDS) -> DataFrame:
+          tiebreak: Sequence[str] = ("id",), block_seconds: int = DEFAULT_BLOCK_SECONDS,
+          block_rows: int | None = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """Compare the mean of the last s values with the mean of the s before.
 
     One row per (key, metric): sample_size, recent_avg, previous_avg (the recent
@@ -138,7 +166,7 @@ def trend(df: DataFrame, metrics: Sequence[str], keys: Sequence[str] = ("gpu_id"
     The aggregation is a plain grouped aggregate over the indexed rows.
     """
     keys = list(keys)
-    ix = ordered_index(df, keys, ts, tiebreak, block_seconds)
+    ix = ordered_index(df, keys, ts, tiebreak, block_seconds, block_rows=block_rows)
     s = F.greatest(F.lit(TREND_MIN_SAMPLE).cast("long"), F.floor(F.col("n") * TREND_FRACTION).cast("long"))
     ix = ix.withColumn("_s", s)
     recent = F.col("idx") >= F.col("n") - F.col("_s")

@@ -32,8 +32,21 @@ def _brute_positions(rows):
 def test_ordered_index_matches_brute_force_with_hot_key(spark):
     rows, df = _series(spark, {0: 3000, 1: 40, 2: 1})
     _, pos = _brute_positions(rows)
-    got = {r["id"]: (r["idx"], r["n"]) for r in ordered_index(df, block_seconds=60).collect()}
+    # Row-sized blocks (the hot key gets ~30 of them) and fixed one-minute blocks.
+    got = {r["id"]: (r["idx"], r["n"]) for r in ordered_index(df, block_rows=100).collect()}
     assert got == pos
+    got = {r["id"]: (r["idx"], r["n"]) for r in ordered_index(df, block_seconds=60, block_rows=None).collect()}
+    assert got == pos
+
+
+def test_row_sized_blocks_bound_rows_per_block(spark):
+    from pyspark.sql import functions as F
+    from fleetlens.operators.series import partitioning_columns, prefix_sum
+    rows, df = _series(spark, {0: 3000, 1: 40})
+    out = prefix_sum(df, ["gpu_id"], "timestamp", ["id"], None, out="idx", keep_partitioning=True, block_rows=100)
+    per_block = out.groupBy(*partitioning_columns(["gpu_id"])).count()
+    assert per_block.agg(F.max("count")).first()[0] <= 300     # about 100 per block (random times)
+    assert per_block.where(F.col("_fl_k0") == 0).count() >= 10
 
 
 def _brute_downsample(rs, max_points):
@@ -49,7 +62,7 @@ def test_downsample_sizes(spark):
         rows, df = _series(spark, {7: n}, seed=n)
         by, _ = _brute_positions(rows)
         want = sorted(_brute_downsample(by[7], 200))
-        got = sorted(r["id"] for r in downsample(df, 200, block_seconds=300).collect())
+        got = sorted(r["id"] for r in downsample(df, 200, block_rows=50).collect())
         assert got == want, n
 
 
@@ -69,7 +82,7 @@ def test_trend_matches_brute_force(spark):
         rows, df = _series(spark, {3: n}, seed=n)
         by, _ = _brute_positions(rows)
         want = _brute_trend([r[3] for r in by[3]])
-        got = trend(df, ["v"], block_seconds=120).collect()[0]
+        got = trend(df, ["v"], block_rows=7).collect()[0]
         assert (got["recent_avg"], got["previous_avg"]) == (want[0], want[1]), n
         assert abs(got["change_percent"] - want[2]) < 1e-9 and got["trend"] == want[3], n
 
