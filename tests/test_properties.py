@@ -110,3 +110,68 @@ def test_probe_parse_matches_rules(spark, lines):
                     r["memory_total"], r["temperature"], r["power_usage"]) for r in parse_gpu_csv(df).collect()}
     for i, line in enumerate(lines):
         assert got.get(i) == _expected_row(line), line
+
+
+# ---------------------------------------------------------------- chunk records
+import json  # noqa: E402
+
+from fleetlens.sources.chunks import chunk_record  # noqa: E402
+
+VALUES = ['"llama2"', '"2024-01-01T00:00:00Z"', '"Hi"', '""', "true", "false", "null", "0", "7", "-1", "1.0",
+          "1e3", "9223372036854775807", "9223372036854775808", "[]", "{}", '{"a":1}']
+FIELDS = ["model", "created_at", "response", "done", "eval_count", "eval_duration", "prompt_eval_count",
+          "prompt_eval_duration", "extra"]
+
+
+@st.composite
+def record_line(draw):
+    keys = draw(st.lists(st.sampled_from(FIELDS), min_size=0, max_size=7))
+    # Mostly well-typed required fields, so valid records are common.
+    base = {"model": '"m"', "created_at": '"t"', "done": "false"} if draw(st.booleans()) else {}
+    items = [(k, v) for k, v in base.items()] + [(k, draw(st.sampled_from(VALUES))) for k in keys]
+    body = "{" + ",".join(f'"{k}":{v}' for k, v in items) + "}"
+    tail = draw(st.sampled_from(["", "", " ", " x", ",", "}"]))
+    return draw(st.sampled_from(["", " ", "\t"])) + body + tail
+
+
+def _strict_record(line):
+    s = line.strip()
+    if not s:
+        return None
+
+    def pairs(ps):
+        keys = [k for k, _ in ps]
+        if len(keys) != len(set(keys)):
+            raise ValueError("duplicate key")
+        return dict(ps)
+    try:
+        obj = json.loads(s, object_pairs_hook=pairs)
+    except ValueError:
+        return None
+    if not isinstance(obj, dict):
+        return None
+    if not isinstance(obj.get("model"), str) or not isinstance(obj.get("created_at"), str):
+        return None
+    if not isinstance(obj.get("done"), bool):
+        return None
+    if obj.get("response") is not None and not isinstance(obj["response"], str):
+        return None
+    counts = {}
+    for k in ("eval_count", "eval_duration", "prompt_eval_count", "prompt_eval_duration"):
+        v = obj.get(k)
+        if v is not None and (isinstance(v, bool) or not isinstance(v, int) or v < 0 or v > 2 ** 63 - 1):
+            return None
+        counts[k] = v
+    return (obj["model"], obj["created_at"], obj.get("response"), obj["done"], counts["eval_count"],
+            counts["eval_duration"], counts["prompt_eval_count"], counts["prompt_eval_duration"])
+
+
+@settings(max_examples=1, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(record_line(), min_size=400, max_size=400))
+def test_chunk_record_matches_strict_json(spark, lines):
+    from pyspark.sql import functions as F
+    df = spark.createDataFrame(list(enumerate(lines)), "i int, l string")
+    got = {r["i"]: (tuple(r["r"]) if r["r"] is not None else None)
+           for r in df.select("i", chunk_record(F.col("l")).alias("r")).collect()}
+    for i, line in enumerate(lines):
+        assert got[i] == _strict_record(line), line

@@ -178,3 +178,12 @@ def test_drain_stream_into_table_equals_batch(spark):
     want = merge_sessions(batch.limit(0), batch).collect()
     norm = lambda rows: sorted(tuple(sorted(r.asDict().items())) for r in rows)
     assert norm(stored) == norm(want)
+
+
+def test_bad_time_argument_is_named(spark):
+    from fleetlens.operators.sessions import sessions_between
+    df = track_sessions(_chunks(spark, EDGE))
+    with pytest.raises(ValueError, match="start_date"):
+        sessions_between(df, "2024-01-01", "2024-01-02T00:00:00Z")
+    with pytest.raises(ValueError, match="end_date"):
+        sessions_between(df, "2024-01-01T00:00:00Z", "yesterday")
