@@ -72,17 +72,19 @@ def _finish(df: DataFrame) -> DataFrame:
 
 
 def track_sessions(chunks: DataFrame, order: Sequence[str] = ORDER, block_seconds: int = 60,
-                   start_col: str | None = None) -> DataFrame:
+                   start_col: str | None = None, block_rows: int | None = None) -> DataFrame:
     """R1 + P6 (batch): one ``llm_sessions`` row per ``done`` chunk.
 
     ``start_col`` (e.g. a ``request_ts`` column carried by the chunks) makes
     the session start at the earliest value of that column instead of the first
-    chunk's arrival, so time to first token counts from the request.
+    chunk's arrival, so time to first token counts from the request.  Blocks
+    are ``block_seconds`` wide (one response stream's rate is bounded), or
+    sized per session by rows with ``block_rows``.
     """
     order = list(order)
     key = _key(order)
     seg = prefix_sum(chunks, ["session_id"], order[0], order[1:], F.col("done").cast("int"), block_seconds,
-                     out="_seg", keep_partitioning=True)
+                     out="_seg", keep_partitioning=True, block_rows=block_rows)
     part = partitioning_columns(["session_id"])
     segs = seg.groupBy("session_id", *part, "_seg").agg(
         F.min(start_col or "arrival_ts").alias("_start"),

@@ -64,3 +64,17 @@ def test_process_events_w4_and_inner_join(spark):
     r = rows[0]
     # GPU 1's utilisation in the tick is its maximum (90) > 60, so the .exe is gaming.
     assert (r["pid"], r["gpu_memory_mb"], r["gpu_utilization"], r["category"]) == (1, 100, 90, "gaming")
+
+
+def test_process_events_per_host(spark):
+    samples = spark.createDataFrame([
+        ("a", 1, "2024-01-01 00:00:00", 0, 7, 100 * 1048576, 90),
+        ("b", 2, "2024-01-01 00:00:00", 0, 7, 200 * 1048576, 10),
+    ], "host string, id long, timestamp string, gpu_id int, pid long, used_gpu_memory long, gpu_utilization int") \
+        .withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    os_procs = spark.createDataFrame([("a", 7, "Game.exe", "Game.exe", None), ("b", 7, "python3", "python3 train.py", None)],
+                                     "host string, pid long, name string, command_line string, exe_path string")
+    got = {r["host"]: r for r in process_events(samples, os_procs, keys=("host",)).collect()}
+    # The same pid and GPU index on two hosts stay apart.
+    assert (got["a"]["category"], got["a"]["gpu_memory_mb"]) == ("gaming", 100)
+    assert (got["b"]["category"], got["b"]["gpu_memory_mb"]) == ("ml_training", 200)

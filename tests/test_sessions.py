@@ -187,3 +187,11 @@ def test_bad_time_argument_is_named(spark):
         sessions_between(df, "2024-01-01", "2024-01-02T00:00:00Z")
     with pytest.raises(ValueError, match="end_date"):
         sessions_between(df, "2024-01-01T00:00:00Z", "yesterday")
+
+
+def test_row_sized_session_blocks_match(spark):
+    rows = [_c("h", i, i // 10, "t" if i % 3 else None, i % 50 == 49, i, i * 10, 5) for i in range(500)]
+    df = _chunks(spark, rows)
+    fixed = sorted(map(tuple, track_sessions(df).collect()))
+    sized = sorted(map(tuple, track_sessions(df, block_rows=25).collect()))
+    assert fixed == sized and len(fixed) == 10
