@@ -156,13 +156,16 @@ def _rows(df: DataFrame, entries) -> DataFrame:
             .where(F.col("_s.keep")).select("_s.metric", "_s.labels", "_s.value"))
 
 
-def metric_snapshot(gauges: DataFrame, sessions: DataFrame, events: DataFrame) -> DataFrame:
+def metric_snapshot(gauges: DataFrame, sessions: DataFrame, events: DataFrame,
+                    constant_labels: dict[str, str] | None = None) -> DataFrame:
     """Every gauge, counter and histogram series as (metric, labels, value).
 
     ``gauges`` is the output of ``operators.metrics.gpu_gauges`` (A2); sessions
     feed A5-A7 through one per-model aggregate, process events A3-A4.  The
     result is a union of small grouped results.  A model's histogram series
     exist only when it has an observation (as for the standalone histograms).
+    ``constant_labels`` (e.g. service name, version, host) join every series'
+    labels; keys stay sorted.
     """
     gl = _labels(("gpu_id", "gpu_id"), ("gpu_name", "name"))
     parts = [_rows(gauges, [(name, gl, F.col(col)) for col, name in GPU_GAUGE_NAMES.items()])]
@@ -188,6 +191,10 @@ def metric_snapshot(gauges: DataFrame, sessions: DataFrame, events: DataFrame) -
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
+    if constant_labels:
+        const = F.create_map(*[x for k in sorted(constant_labels) for x in (F.lit(k), F.lit(str(constant_labels[k])))])
+        merged = F.map_from_entries(F.array_sort(F.map_entries(F.map_concat(F.col("labels"), const))))
+        out = out.withColumn("labels", merged)
     return out
 
 

@@ -195,3 +195,19 @@ def test_row_sized_session_blocks_match(spark):
     fixed = sorted(map(tuple, track_sessions(df).collect()))
     sized = sorted(map(tuple, track_sessions(df, block_rows=25).collect()))
     assert fixed == sized and len(fixed) == 10
+
+
+def test_snapshot_constant_labels(spark):
+    from fleetlens import fixtures
+    from fleetlens.operators.metrics import gpu_gauges
+    from fleetlens.operators.processes import process_events
+    from fleetlens.operators.rollups import metric_snapshot
+    sf = "/root/testdata/sf0.001"
+    snap = metric_snapshot(gpu_gauges(fixtures.view(spark, sf, "gpu_metrics")), track_sessions(_chunks(spark, EDGE)),
+                           process_events(fixtures.view(spark, sf, "process_samples"),
+                                          fixtures.view(spark, sf, "os_processes"), library_roots=["/opt/lib/common"]),
+                           constant_labels={"service.name": "svc", "host.name": "h1"})
+    rows = snap.select("metric", F.to_json("labels").alias("l")).collect()
+    assert rows and all('"host.name":"h1"' in r["l"] and '"service.name":"svc"' in r["l"] for r in rows)
+    one = [r["l"] for r in rows if r["metric"] == "gpm_gpu_power_watts"][0]
+    assert one.index("gpu_id") < one.index("gpu_name") < one.index("host.name") < one.index("service.name")
