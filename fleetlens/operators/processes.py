@@ -4,8 +4,9 @@ Plan of ``process_events``:
 
 * the GPU's utilisation per tick: ``max`` per (tick, gpu) — partial aggregate;
 * W4, one (memory, GPU) per (tick, pid): the last one the sampler would have
-  inserted — highest GPU index, then the smallest memory — as a ``max_by``
-  aggregate (partial + final, so a pid on many GPUs never meets a window);
+  inserted — highest GPU index, then the smallest memory — as two hash
+  aggregates over one (tick, pid) partitioning (a (tick, pid) group is bounded
+  by the GPUs of one host);
 * J1 inner join with the OS process table (pids not found are dropped); the
   library flag (J3) is computed on that table before the join;
 * P1 classification as one CASE expression on the joined row.
@@ -65,16 +66,21 @@ def gpu_utilization_per_tick(samples: DataFrame, keys: Sequence[str] = (), tick:
     return samples.groupBy(*keys, tick, "gpu_id").agg(F.max("gpu_utilization").alias("gpu_util"))
 
 
-def last_inserted_per_pid(samples: DataFrame, keys: Sequence[str] = (), tick: str = "tick",
-                          order: Sequence[str] = ("id",)) -> DataFrame:
+def last_inserted_per_pid(samples: DataFrame, keys: Sequence[str] = (), tick: str = "tick") -> DataFrame:
     """Per (tick, pid) the entry the sampler inserts last: highest GPU index,
-    then the smallest memory (lists are sorted by memory descending), then the
-    latest in sample order."""
+    then the smallest memory on it (lists are sorted by memory descending).
+
+    Hash aggregates only: the samples are hash-partitioned once on (tick, pid);
+    the smallest memory per (tick, pid, gpu) and then the value at the highest
+    GPU (``max_by`` over fixed-width columns) group on supersets of that
+    partitioning, so neither adds an exchange or a sort.  Entries tied on GPU
+    and memory are identical in the output, so no further tie-break is needed.
+    """
     mem = F.coalesce(F.col("used_gpu_memory"), F.lit(0).cast("long"))
-    rank = F.struct(F.col("gpu_id"), -mem, *[F.col(c) for c in order])
-    return (samples.groupBy(*keys, tick, "pid")
-            .agg(F.max_by(F.struct(F.col("gpu_id"), mem.alias("mem")), rank).alias("_w"))
-            .select(*keys, tick, "pid", F.col("_w.gpu_id").alias("gpu_id"), F.col("_w.mem").alias("mem")))
+    by_key = samples.select(*keys, tick, "pid", "gpu_id", mem.alias("mem")).repartition(*keys, tick, "pid")
+    per_gpu = by_key.groupBy(*keys, tick, "pid", "gpu_id").agg(F.min("mem").alias("mem"))
+    return (per_gpu.groupBy(*keys, tick, "pid")
+            .agg(F.max("gpu_id").alias("gpu_id"), F.max_by("mem", "gpu_id").alias("mem")))
 
 
 def process_events(samples: DataFrame, os_processes: DataFrame, tick_unit: str | None = "day",
