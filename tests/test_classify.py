@@ -78,3 +78,23 @@ def test_process_events_per_host(spark):
     # The same pid and GPU index on two hosts stay apart.
     assert (got["a"]["category"], got["a"]["gpu_memory_mb"]) == ("gaming", 100)
     assert (got["b"]["category"], got["b"]["gpu_memory_mb"]) == ("ml_training", 200)
+
+
+def test_w4_matches_sampler_insertion_order(spark):
+    """Brute force: replay the sampler's inserts (GPU order, memory descending) and keep the last."""
+    import random
+    from fleetlens.operators.processes import last_inserted_per_pid
+    rng = random.Random(11)
+    rows = []
+    for i in range(2000):
+        rows.append((i, rng.randrange(3), rng.randrange(4), rng.randrange(40), rng.choice([None, 0, 5, 5, 9, 100])))
+    df = spark.createDataFrame(rows, "id long, tick int, gpu_id int, pid long, used_gpu_memory long")
+    want = {}
+    for tick in range(3):
+        for gpu in range(4):
+            procs = [r for r in rows if r[1] == tick and r[2] == gpu]
+            procs.sort(key=lambda r: -(r[4] or 0))            # stable sort by memory descending
+            for r in procs:
+                want[(tick, r[3])] = (gpu, r[4] or 0)
+    got = {(r["tick"], r["pid"]): (r["gpu_id"], r["mem"]) for r in last_inserted_per_pid(df).collect()}
+    assert got == want
