@@ -81,13 +81,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _to_ltz(df: DataFrame) -> DataFrame:
     """Parquet times arrive as TIMESTAMP_NTZ; the library works on TIMESTAMP (UTC)."""
-    cols = []
-    for f in df.schema.fields:
-        if f.dataType.typeName() == "timestamp_ntz":
-            cols.append(F.col(f.name).cast("timestamp").alias(f.name))
-        else:
-            cols.append(F.col(f.name))
-    return df.select(*cols)
+    ntz = [f.name for f in df.schema.fields if f.dataType.typeName() == "timestamp_ntz"]
+    return df.withColumns({c: F.col(c).cast("timestamp") for c in ntz}) if ntz else df
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

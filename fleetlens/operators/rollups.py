@@ -122,38 +122,36 @@ TOTAL_TOKENS_NAME = "llm.tokens.total"
 PROCESS_MEMORY_BY_PID_NAME = "process.gpu_memory.bytes"
 
 
-def _labels(*pairs) -> F.Column:
-    """A label map with keys in sorted order (so its JSON text is canonical)."""
+def _labels(*pairs) -> str:
+    """SQL of a label map with keys in sorted order (so its JSON text is canonical).
+    Each pair is (key, SQL expression of the value)."""
     items = sorted(pairs, key=lambda kv: kv[0])
-    args = []
-    for k, v in items:
-        args += [F.lit(k), (F.col(v) if isinstance(v, str) else v).cast("string")]
-    return F.create_map(*args)
+    return "map(" + ", ".join(f"'{k}', CAST({v} AS STRING)" for k, v in items) + ")"
 
 
 def _model_rollup(sessions: DataFrame) -> DataFrame:
     """Everything A5-A7 need per model in one aggregate (one pass over sessions)."""
-    tps = F.col("tokens_per_second").cast("double")
-    ttft = F.col("time_to_first_token_ms").cast("double")
-    aggs = [F.count(F.lit(1)).alias("session_count"), F.sum("total_tokens").cast("long").alias("total_tokens"),
-            F.count(tps).alias("tps_count"), F.sum(tps).alias("tps_sum"),
-            F.count(ttft).alias("ttft_count"), F.sum(ttft).alias("ttft_sum")]
-    aggs += [F.count_if(tps <= F.lit(float(b))).alias(f"tps_b{i}") for i, b in enumerate(TPS_BUCKETS)]
-    aggs += [F.count_if(ttft <= F.lit(float(b))).alias(f"ttft_b{i}") for i, b in enumerate(TTFT_BUCKETS_MS)]
-    return sessions.groupBy("model").agg(*aggs)
+    tps, ttft = "CAST(tokens_per_second AS DOUBLE)", "CAST(time_to_first_token_ms AS DOUBLE)"
+    aggs = ["count(1) AS session_count", "CAST(sum(total_tokens) AS BIGINT) AS total_tokens",
+            f"count({tps}) AS tps_count", f"sum({tps}) AS tps_sum",
+            f"count({ttft}) AS ttft_count", f"sum({ttft}) AS ttft_sum"]
+    aggs += [f"count_if({tps} <= {float(b)}D) AS tps_b{i}" for i, b in enumerate(TPS_BUCKETS)]
+    aggs += [f"count_if({ttft} <= {float(b)}D) AS ttft_b{i}" for i, b in enumerate(TTFT_BUCKETS_MS)]
+    return sessions.groupBy("model").agg(*[F.expr(a) for a in aggs])
 
 
 def _rows(df: DataFrame, entries) -> DataFrame:
-    """Unpivot one wide row per group into (metric, labels, value) rows.  An
-    entry may carry a fourth item, a condition for the series to exist."""
+    """Unpivot one wide row per group into (metric, labels, value) rows, as one
+    SQL expression.  Entries are (metric, labels SQL, value SQL[, condition SQL
+    for the series to exist])."""
     structs = []
     for e in entries:
         m, lbl, v = e[:3]
-        keep = e[3] if len(e) > 3 else F.lit(True)
-        structs.append(F.struct(F.lit(m).alias("metric"), lbl.alias("labels"), v.cast("double").alias("value"),
-                                keep.alias("keep")))
-    return (df.select(F.explode(F.array(*structs)).alias("_s"))
-            .where(F.col("_s.keep")).select("_s.metric", "_s.labels", "_s.value"))
+        keep = e[3] if len(e) > 3 else "true"
+        structs.append(f"named_struct('metric', '{m}', 'labels', {lbl}, 'value', CAST({v} AS DOUBLE), "
+                       f"'keep', {keep})")
+    return (df.select(F.expr(f"explode(array({', '.join(structs)}))").alias("_s"))
+            .where("_s.keep").select("_s.metric", "_s.labels", "_s.value"))
 
 
 def metric_snapshot(gauges: DataFrame, sessions: DataFrame, events: DataFrame,
@@ -167,27 +165,25 @@ def metric_snapshot(gauges: DataFrame, sessions: DataFrame, events: DataFrame,
     ``constant_labels`` (e.g. service name, version, host) join every series'
     labels; keys stay sorted.
     """
-    gl = _labels(("gpu_id", "gpu_id"), ("gpu_name", "name"))
-    parts = [_rows(gauges, [(name, gl, F.col(col)) for col, name in GPU_GAUGE_NAMES.items()])]
+    gl = _labels(("gpu_id", "`gpu_id`"), ("gpu_name", "`name`"))
+    parts = [_rows(gauges, [(name, gl, f"`{col}`") for col, name in GPU_GAUGE_NAMES.items()])]
     # Every per-model series comes from one projection of one aggregate: one pass over sessions.
     mr = _model_rollup(sessions)
-    ml = _labels(("model", "model"))
-    entries = [(SESSION_COUNT_NAME, ml, F.col("session_count")), (TOTAL_TOKENS_NAME, ml, F.col("total_tokens"))]
+    ml = _labels(("model", "`model`"))
+    entries = [(SESSION_COUNT_NAME, ml, "session_count"), (TOTAL_TOKENS_NAME, ml, "total_tokens")]
     for base, pre, buckets in ((TPS_HISTOGRAM_NAME, "tps", TPS_BUCKETS), (TTFT_HISTOGRAM_NAME, "ttft", TTFT_BUCKETS_MS)):
-        observed = F.col(f"{pre}_count") > 0
-        les = [(_le_label(b), F.col(f"{pre}_b{i}")) for i, b in enumerate(buckets)] + [("+Inf", F.col(f"{pre}_count"))]
-        entries += [(f"{base}_bucket", _labels(("le", F.lit(le)), ("model", "model")), c, observed) for le, c in les]
-        entries += [(f"{base}_sum", ml, F.col(f"{pre}_sum"), observed),
-                    (f"{base}_count", ml, F.col(f"{pre}_count"), observed)]
+        observed = f"{pre}_count > 0"
+        les = [(_le_label(b), f"{pre}_b{i}") for i, b in enumerate(buckets)] + [("+Inf", f"{pre}_count")]
+        entries += [(f"{base}_bucket", _labels(("le", f"'{le}'"), ("model", "`model`")), c, observed) for le, c in les]
+        entries += [(f"{base}_sum", ml, f"{pre}_sum", observed), (f"{base}_count", ml, f"{pre}_count", observed)]
     parts.append(_rows(mr, entries))
     cg = category_gauges(events)
-    cl = _labels(("category", "category"))
-    parts.append(_rows(cg, [(PROCESS_COUNT_NAME, cl, F.col("process_count")),
-                            (PROCESS_MEMORY_NAME, cl, F.col("memory_bytes"))]))
+    cl = _labels(("category", "`category`"))
+    parts.append(_rows(cg, [(PROCESS_COUNT_NAME, cl, "process_count"), (PROCESS_MEMORY_NAME, cl, "memory_bytes")]))
     pm = process_memory(events)
     parts.append(_rows(pm, [(PROCESS_MEMORY_BY_PID_NAME,
-                             _labels(("category", "category"), ("pid", "pid"), ("process_name", "process_name")),
-                             F.col("memory_bytes"))]))
+                             _labels(("category", "`category`"), ("pid", "`pid`"), ("process_name", "`process_name`")),
+                             "memory_bytes")]))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

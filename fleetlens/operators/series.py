@@ -77,47 +77,46 @@ def prefix_sum(df: DataFrame, keys: Sequence[str], ts: str, tiebreak: Sequence[s
     """
     keys = list(keys)
     types = dict((f.name, f.dataType) for f in df.schema.fields)
-    block_us = int(block_seconds) * 1_000_000
-    blk = "_fl_blk"
-    group = []
-    rows = df
+    q = lambda c: f"`{c}`"
+    blk, long_min = "_fl_blk", -(2 ** 63)
+    helpers, group = {}, []
     for i, k in enumerate(keys):
-        rows = (rows.withColumn(f"_fl_k{i}", F.coalesce(F.col(k), _non_null_default(types[k])))
-                .withColumn(f"_fl_n{i}", F.col(k).isNull()))
+        helpers[f"_fl_k{i}"] = F.coalesce(F.col(k), _non_null_default(types[k]))
+        helpers[f"_fl_n{i}"] = F.col(k).isNull()
         group += [f"_fl_k{i}", f"_fl_n{i}"]
-    ts_us = F.unix_micros(F.col(ts))
+    if weight is not None:
+        helpers["_fl_w"] = weight.cast("long")
+    rows = df.withColumns(helpers)
+    by_key = ", ".join(group)
     if block_rows:
-        stats = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_fl_cnt_all"), F.min(ts_us).alias("_fl_lo"),
-                                         F.max(ts_us).alias("_fl_hi"))
-        width = F.greatest(F.lit(MIN_BLOCK_MICROS).cast("long"),
-                           F.ceil((F.col("_fl_hi") - F.col("_fl_lo") + 1).cast("double") * float(block_rows)
-                                  / F.col("_fl_cnt_all")).cast("long"))
-        stats = stats.select(*group, F.coalesce(F.col("_fl_lo"), F.lit(0)).cast("long").alias("_fl_lo"),
-                             F.coalesce(width, F.lit(MIN_BLOCK_MICROS)).cast("long").alias("_fl_width"))
+        stats = rows.groupBy(*group).agg(F.expr("count(1)").alias("_fl_cnt_all"),
+                                         F.expr(f"min(unix_micros({q(ts)}))").alias("_fl_lo"),
+                                         F.expr(f"max(unix_micros({q(ts)}))").alias("_fl_hi"))
+        stats = stats.selectExpr(
+            *group, "coalesce(_fl_lo, 0L) AS _fl_lo",
+            f"coalesce(greatest({MIN_BLOCK_MICROS}L, CAST(ceil(CAST(_fl_hi - _fl_lo + 1 AS DOUBLE) * {float(block_rows)}D"
+            f" / _fl_cnt_all) AS BIGINT)), {MIN_BLOCK_MICROS}L) AS _fl_width")
         rows = rows.join(stats, group)
-        raw_blk = F.floor((ts_us - F.col("_fl_lo")) / F.col("_fl_width")).cast("long")
+        raw_blk = f"floor((unix_micros({q(ts)}) - _fl_lo) / _fl_width)"
     else:
-        raw_blk = F.floor(ts_us / F.lit(block_us)).cast("long")
-    rows = rows.withColumn(blk, F.coalesce(raw_blk, F.lit(-(2 ** 63)).cast("long")))
+        raw_blk = f"floor(unix_micros({q(ts)}) / {int(block_seconds) * 1_000_000})"
+    # Null times sort first (ascending order), so they form a block ahead of all others.
+    rows = rows.withColumn(blk, F.expr(f"coalesce(CAST({raw_blk} AS BIGINT), {long_min}L)"))
     if block_rows:
         rows = rows.drop("_fl_lo", "_fl_width")
-    if weight is not None:
-        rows = rows.withColumn("_fl_w", weight.cast("long"))
-    per_block = F.sum("_fl_w") if weight is not None else F.count(F.lit(1))
-    counts = rows.groupBy(*group, blk).agg(per_block.alias("_fl_cnt"))
-    by_key = Window.partitionBy(*group)
-    off_cols = [F.coalesce(F.sum("_fl_cnt").over(by_key.orderBy(blk).rowsBetween(Window.unboundedPreceding, -1)),
-                           F.lit(0)).cast("long").alias("_fl_off")]
+    per_block = "sum(_fl_w)" if weight is not None else "count(1)"
+    counts = rows.groupBy(*group, blk).agg(F.expr(per_block).alias("_fl_cnt"))
+    offset_cols = [f"CAST(coalesce(sum(_fl_cnt) OVER (PARTITION BY {by_key} ORDER BY {blk} "
+                   f"ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS _fl_off"]
     if total:
-        off_cols.append(F.sum("_fl_cnt").over(by_key).cast("long").alias(total))
-    offsets = counts.select(*group, blk, *off_cols)
-    in_block = Window.partitionBy(*group, blk).orderBy(*_ord_cols(ts, tiebreak))
-    if weight is None:
-        local = F.row_number().over(in_block) - 1
-    else:
-        local = F.coalesce(F.sum("_fl_w").over(in_block.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        offset_cols.append(f"CAST(sum(_fl_cnt) OVER (PARTITION BY {by_key}) AS BIGINT) AS {q(total)}")
+    offsets = counts.selectExpr(*group, blk, *offset_cols)
+    order = ", ".join(q(c) for c in [ts, *tiebreak])
+    in_block = f"PARTITION BY {by_key}, {blk} ORDER BY {order}"
+    local = (f"row_number() OVER ({in_block}) - 1" if weight is None else
+             f"coalesce(sum(_fl_w) OVER ({in_block} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)")
     out_df = (rows.join(offsets, [*group, blk])
-              .withColumn(out, (F.col("_fl_off") + local).cast("long"))
+              .withColumn(out, F.expr(f"CAST(_fl_off + {local} AS BIGINT)"))
               .drop("_fl_off"))
     if not keep_partitioning:
         out_df = out_df.drop(blk, *group)
@@ -167,26 +166,23 @@ def trend(df: DataFrame, metrics: Sequence[str], keys: Sequence[str] = ("gpu_id"
     """
     keys = list(keys)
     ix = ordered_index(df, keys, ts, tiebreak, block_seconds, block_rows=block_rows)
-    s = F.greatest(F.lit(TREND_MIN_SAMPLE).cast("long"), F.floor(F.col("n") * TREND_FRACTION).cast("long"))
-    ix = ix.withColumn("_s", s)
-    recent = F.col("idx") >= F.col("n") - F.col("_s")
-    previous = (F.col("idx") >= F.col("n") - 2 * F.col("_s")) & (F.col("idx") < F.col("n") - F.col("_s"))
+    # s = max(5, floor(n * 0.1)), in double arithmetic as the reference computes it.
+    ix = ix.withColumn("_s", F.expr(f"greatest({TREND_MIN_SAMPLE}L, CAST(floor(n * {TREND_FRACTION}D) AS BIGINT))"))
+    recent, previous = "idx >= n - _s", "idx >= n - 2 * _s AND idx < n - _s"
     aggs = [F.max("_s").alias("sample_size")]
     for m in metrics:
-        aggs += [F.avg(F.when(recent, F.col(m))).alias(f"{m}__r"),
-                 F.avg(F.when(previous, F.col(m))).alias(f"{m}__p")]
+        aggs += [F.expr(f"avg(CASE WHEN {recent} THEN `{m}` END)").alias(f"{m}__r"),
+                 F.expr(f"avg(CASE WHEN {previous} THEN `{m}` END)").alias(f"{m}__p")]
     wide = ix.groupBy(*keys).agg(*aggs)
-    long = wide.select(
-        *keys, "sample_size",
-        F.explode(F.array(*[
-            F.struct(F.lit(m).alias("metric"), F.col(f"{m}__r").alias("r"), F.col(f"{m}__p").alias("p"))
-            for m in metrics])).alias("_m"))
-    r = F.col("_m.r")
-    p = F.coalesce(F.col("_m.p"), r)
-    change = F.when(p > 0, (r - p) / p * 100.0).otherwise(F.lit(0.0))
-    return long.select(
-        *keys, F.col("_m.metric").alias("metric"), "sample_size",
-        r.alias("recent_avg"), p.alias("previous_avg"), change.alias("change_percent"),
-        F.when(change > TREND_BAND, F.lit("up")).when(change < -TREND_BAND, F.lit("down"))
-        .otherwise(F.lit("neutral")).alias("trend"),
-    )
+    stack = (f"stack({len(metrics)}, " + ", ".join(f"'{m}', `{m}__r`, `{m}__p`" for m in metrics)
+             + ") AS (metric, recent_avg, previous)")
+    key_cols = [f"`{k}`" for k in keys]
+    return (wide.selectExpr(*key_cols, "sample_size", stack)
+            .selectExpr(*key_cols, "metric", "sample_size", "recent_avg",
+                        "coalesce(previous, recent_avg) AS previous_avg")
+            .selectExpr(*key_cols, "metric", "sample_size", "recent_avg", "previous_avg",
+                        "CASE WHEN previous_avg > 0 THEN (recent_avg - previous_avg) / previous_avg * 100.0D "
+                        "ELSE 0.0D END AS change_percent")
+            .selectExpr(*key_cols, "metric", "sample_size", "recent_avg", "previous_avg", "change_percent",
+                        f"CASE WHEN change_percent > {TREND_BAND}D THEN 'up' "
+                        f"WHEN change_percent < -{TREND_BAND}D THEN 'down' ELSE 'neutral' END AS trend"))

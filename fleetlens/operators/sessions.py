@@ -32,7 +32,7 @@ from __future__ import annotations
 import datetime as _dt
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions import sessions as SF
@@ -44,14 +44,6 @@ from fleetlens.operators.series import partitioning_columns, prefix_sum
 ORDER = ("arrival_ts", "seq")
 
 
-def _key(order: Sequence[str] = ORDER) -> Column:
-    return F.struct(*[F.col(c) for c in order])
-
-
-def _last_non_null(c: str, order: Sequence[str]) -> Column:
-    return F.max_by(F.col(c), F.when(F.col(c).isNotNull(), _key(order)))
-
-
 def _finish(df: DataFrame) -> DataFrame:
     """P6 on the raw state columns."""
     prompt = F.coalesce(F.col("_prompt"), F.lit(0).cast("long"))
@@ -82,29 +74,33 @@ def track_sessions(chunks: DataFrame, order: Sequence[str] = ORDER, block_second
     sized per session by rows with ``block_rows``.
     """
     order = list(order)
-    key = _key(order)
     seg = prefix_sum(chunks, ["session_id"], order[0], order[1:], F.col("done").cast("int"), block_seconds,
                      out="_seg", keep_partitioning=True, block_rows=block_rows)
     part = partitioning_columns(["session_id"])
-    segs = seg.groupBy("session_id", *part, "_seg").agg(
-        F.min(start_col or "arrival_ts").alias("_start"),
-        F.min_by("model", key).alias("_model"),
-        F.min(F.when(F.col("response").isNotNull(), F.col("arrival_ts"))).alias("_first_token"),
-        _last_non_null("prompt_eval_count", order).alias("_prompt"),
-        _last_non_null("eval_count", order).alias("_completion"),
-        _last_non_null("eval_duration", order).alias("_eval_ns"),
-        F.max(F.when(F.col("done"), F.col("arrival_ts"))).alias("_end"),
-    )
-    w = (Window.partitionBy("session_id").orderBy("_seg", "_fl_blk")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    state = segs.select(
+    key_sql = "struct(" + ", ".join(f"`{c}`" for c in order) + ")"
+
+    def last_non_null(c: str) -> str:
+        return f"max_by(`{c}`, CASE WHEN `{c}` IS NOT NULL THEN {key_sql} END)"
+
+    segs = seg.groupBy("session_id", *part, "_seg").agg(*[F.expr(a) for a in (
+        f"min(`{start_col or 'arrival_ts'}`) AS _start",
+        f"min_by(model, {key_sql}) AS _model",
+        "min(CASE WHEN response IS NOT NULL THEN arrival_ts END) AS _first_token",
+        f"{last_non_null('prompt_eval_count')} AS _prompt",
+        f"{last_non_null('eval_count')} AS _completion",
+        f"{last_non_null('eval_duration')} AS _eval_ns",
+        "max(CASE WHEN done THEN arrival_ts END) AS _end",
+    )])
+    w = ("OVER (PARTITION BY session_id ORDER BY _seg, _fl_blk "
+         "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+    state = segs.selectExpr(
         "session_id", "_end",
-        F.min("_start").over(w).alias("_start"),
-        F.first("_model").over(w).alias("_model"),
-        F.min("_first_token").over(w).alias("_first_token"),
-        F.last("_prompt", ignorenulls=True).over(w).alias("_prompt"),
-        F.last("_completion", ignorenulls=True).over(w).alias("_completion"),
-        F.last("_eval_ns", ignorenulls=True).over(w).alias("_eval_ns"),
+        f"min(_start) {w} AS _start",
+        f"first(_model) {w} AS _model",
+        f"min(_first_token) {w} AS _first_token",
+        f"last(_prompt, true) {w} AS _prompt",
+        f"last(_completion, true) {w} AS _completion",
+        f"last(_eval_ns, true) {w} AS _eval_ns",
     )
     return _finish(state.where(F.col("_end").isNotNull()))
 

@@ -28,13 +28,8 @@ ORACLES: dict[str, str] = {}
 
 
 def _out(df: DataFrame) -> DataFrame:
-    cols = []
-    for f in df.schema.fields:
-        if f.dataType.typeName() == "timestamp":
-            cols.append(F.col(f.name).cast("timestamp_ntz").alias(f.name))
-        else:
-            cols.append(F.col(f.name))
-    return df.select(*cols)
+    ltz = [f.name for f in df.schema.fields if f.dataType.typeName() == "timestamp"]
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ltz}) if ltz else df
 
 
 def register(name: str, sql: str | None):
