@@ -4,8 +4,8 @@ Plan of ``process_events``:
 
 * the GPU's utilisation per tick: ``max`` per (tick, gpu) — partial aggregate;
 * W4, one (memory, GPU) per (tick, pid): the last one the sampler would have
-  inserted — highest GPU index, then the smallest memory — as two hash
-  aggregates over one (tick, pid) partitioning (a (tick, pid) group is bounded
+  inserted — highest GPU index, then the smallest memory — as hash aggregates
+  over one (tick, pid) shuffle of the samples (a (tick, pid) group is bounded
   by the GPUs of one host);
 * J1 inner join with the OS process table (pids not found are dropped); the
   library flag (J3) is computed on that table before the join;
@@ -61,24 +61,30 @@ def library_flag(df: DataFrame, roots: DataFrame, path: str = "exe_path", out: s
             .withColumn(out, F.coalesce(F.col(out), F.lit(False))).drop("_path"))
 
 
+def per_tick_gpu_pid(samples: DataFrame, keys: Sequence[str] = (), tick: str = "tick") -> DataFrame:
+    """Samples reduced to one row per (tick, pid, gpu) with the smallest memory.
+    The samples are hash-partitioned once on (tick, pid); this aggregate groups
+    on a superset of that partitioning, so it adds neither an exchange nor a sort."""
+    mem = F.coalesce(F.col("used_gpu_memory"), F.lit(0).cast("long"))
+    by_key = samples.select(*keys, tick, "pid", "gpu_id", mem.alias("mem")).repartition(*keys, tick, "pid")
+    return by_key.groupBy(*keys, tick, "pid", "gpu_id").agg(F.min("mem").alias("mem"))
+
+
 def gpu_utilization_per_tick(samples: DataFrame, keys: Sequence[str] = (), tick: str = "tick") -> DataFrame:
-    """A GPU's utilisation in a tick (single-valued: the maximum of its samples)."""
+    """A GPU's utilisation in a tick (single-valued: the maximum of its samples);
+    a partial aggregate, so only reduced rows are shuffled."""
     return samples.groupBy(*keys, tick, "gpu_id").agg(F.max("gpu_utilization").alias("gpu_util"))
 
 
-def last_inserted_per_pid(samples: DataFrame, keys: Sequence[str] = (), tick: str = "tick") -> DataFrame:
+def last_inserted_per_pid(per_gpu: DataFrame, keys: Sequence[str] = (), tick: str = "tick") -> DataFrame:
     """Per (tick, pid) the entry the sampler inserts last: highest GPU index,
     then the smallest memory on it (lists are sorted by memory descending).
 
-    Hash aggregates only: the samples are hash-partitioned once on (tick, pid);
-    the smallest memory per (tick, pid, gpu) and then the value at the highest
-    GPU (``max_by`` over fixed-width columns) group on supersets of that
-    partitioning, so neither adds an exchange or a sort.  Entries tied on GPU
-    and memory are identical in the output, so no further tie-break is needed.
+    From ``per_tick_gpu_pid``: the value at the highest GPU (``max_by`` over
+    fixed-width columns) is a hash aggregate on the (tick, pid) partitioning
+    already in place.  Entries tied on GPU and memory are identical in the
+    output, so no further tie-break is needed.
     """
-    mem = F.coalesce(F.col("used_gpu_memory"), F.lit(0).cast("long"))
-    by_key = samples.select(*keys, tick, "pid", "gpu_id", mem.alias("mem")).repartition(*keys, tick, "pid")
-    per_gpu = by_key.groupBy(*keys, tick, "pid", "gpu_id").agg(F.min("mem").alias("mem"))
     return (per_gpu.groupBy(*keys, tick, "pid")
             .agg(F.max("gpu_id").alias("gpu_id"), F.max_by("mem", "gpu_id").alias("mem")))
 
@@ -96,7 +102,7 @@ def process_events(samples: DataFrame, os_processes: DataFrame, tick_unit: str |
     tick = F.date_trunc(tick_unit, F.col("timestamp")) if tick_unit else F.col("timestamp")
     s = samples.withColumn("tick", tick)
     util = gpu_utilization_per_tick(s, keys)
-    picked = last_inserted_per_pid(s, keys)
+    picked = last_inserted_per_pid(per_tick_gpu_pid(s, keys), keys)
     procs = os_processes
     if isinstance(library_roots, DataFrame):
         procs = library_flag(procs, library_roots)

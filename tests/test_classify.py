@@ -83,7 +83,7 @@ def test_process_events_per_host(spark):
 def test_w4_matches_sampler_insertion_order(spark):
     """Brute force: replay the sampler's inserts (GPU order, memory descending) and keep the last."""
     import random
-    from fleetlens.operators.processes import last_inserted_per_pid
+    from fleetlens.operators.processes import last_inserted_per_pid, per_tick_gpu_pid
     rng = random.Random(11)
     rows = []
     for i in range(2000):
@@ -96,5 +96,6 @@ def test_w4_matches_sampler_insertion_order(spark):
             procs.sort(key=lambda r: -(r[4] or 0))            # stable sort by memory descending
             for r in procs:
                 want[(tick, r[3])] = (gpu, r[4] or 0)
-    got = {(r["tick"], r["pid"]): (r["gpu_id"], r["mem"]) for r in last_inserted_per_pid(df).collect()}
+    got = {(r["tick"], r["pid"]): (r["gpu_id"], r["mem"])
+           for r in last_inserted_per_pid(per_tick_gpu_pid(df)).collect()}
     assert got == want
