@@ -3,15 +3,16 @@ panel (T2, T3, T4, P8, A10, A11).
 
 State of a session after a chunk (in (arrival_ts, seq) order):
 
-* start = arrival of its first chunk; model = model of its first chunk;
+* start = arrival of its first chunk (or the earliest ``start_col`` value);
+  model = model of its first chunk;
 * first token = arrival of the first chunk whose ``response`` is present
   (an empty string counts);
 * prompt / completion counts and the eval duration: last non-null value;
 * every chunk with ``done`` emits the session as of that chunk, end = its
   arrival.  The state survives ``done``, so a second ``done`` emits again.
 
-Plan (exact for any number of ``done`` chunks, and no task ever holds a whole
-session):
+Plan (exact for any number of ``done`` chunks; no window task holds more than
+one time block of a session, so a long or hot session spreads over many tasks):
 
 1. segment of a chunk = number of ``done`` chunks before it in its session, a
    blocked prefix count (``series.prefix_sum``): per (session, time block)
