@@ -67,3 +67,19 @@ def test_no_cross_join_or_python(spark, name):
     plan = _plan(E.queries()[name](spark, SF))
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython"):
         assert bad not in plan, (name, bad)
+
+
+def test_cluster_sizing_keeps_explicit_settings(spark):
+    from fleetlens import config
+    before = {k: spark.conf.get(k, None) for k in config.CLUSTER_CONF}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(64 * 1024 * 1024))   # the cluster's own choice
+        config.apply_cluster_sizing(spark)
+        assert spark.conf.get("spark.sql.files.maxPartitionBytes") == str(64 * 1024 * 1024)
+        assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == str(256 * 1024 * 1024)
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
