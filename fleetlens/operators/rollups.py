@@ -213,3 +213,23 @@ def export_counters(sessions: DataFrame, every: str = "10 seconds") -> DataFrame
             .agg(F.sum("total_tokens").cast("long").alias("total_tokens"), F.count(F.lit(1)).alias("sessions"))
             .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
                     "model", "total_tokens", "sessions"))
+
+
+def export_process_gauges(events: DataFrame, every: str = "10 seconds") -> DataFrame:
+    """R5 process gauges: per export period and category, the process count and
+    memory bytes of the last tick in the period in which the category occurred."""
+    per_tick = (events.groupBy("timestamp", "category")
+                .agg(F.count(F.lit(1)).alias("process_count"),
+                     F.sum(F.col("gpu_memory_mb") * F.lit(MIB)).cast("long").alias("memory_bytes")))
+    return (per_tick.groupBy(F.window("timestamp", every).alias("w"), "category")
+            .agg(F.max_by(F.struct("process_count", "memory_bytes"), "timestamp").alias("_g"))
+            .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "category",
+                    F.col("_g.process_count").alias("process_count"), F.col("_g.memory_bytes").alias("memory_bytes")))
+
+
+def export_tps_histogram(sessions: DataFrame, every: str = "10 seconds") -> DataFrame:
+    """R5 histogram deltas: the tokens-per-second histogram of the sessions that
+    ended in each export period, per model (cumulative ``le`` buckets, sum, count)."""
+    ended = sessions.where(F.col("end_time").isNotNull()).withColumn(
+        "window_start", F.window("end_time", every).start)
+    return histogram(ended, "tokens_per_second", TPS_BUCKETS, by=("window_start", "model"))

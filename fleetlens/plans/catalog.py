@@ -853,3 +853,36 @@ def q_sessions_stream(spark, sf_dir):
     if query.exception() is not None:
         raise RuntimeError(str(query.exception()))
     return spark.read.parquet(f"{base}/sessions")
+
+
+@register("export_process_10s", PE_SQL + """,
+t AS (SELECT "timestamp", category, count(*) AS process_count,
+        CAST(sum(gpu_memory_mb * 1048576) AS BIGINT) AS memory_bytes FROM process_events GROUP BY 1, 2)
+SELECT make_timestamp(epoch_us("timestamp") // 10000000 * 10000000) AS window_start,
+  make_timestamp(epoch_us("timestamp") // 10000000 * 10000000 + 10000000) AS window_end, category,
+  arg_max(process_count, "timestamp") AS process_count, arg_max(memory_bytes, "timestamp") AS memory_bytes
+FROM t GROUP BY 1, 2, 3""")
+def q_export_process_10s(spark, sf_dir):
+    """Per-category process gauges per 10-second export period (last tick in the period)."""
+    return R.export_process_gauges(_process_events(spark, sf_dir))
+
+
+def _hist_window_sql() -> str:
+    lbl = [R._le_label(b) for b in R.TPS_BUCKETS]
+    cols = ", ".join(f"count_if(v <= {float(b)}) AS b{i}" for i, b in enumerate(R.TPS_BUCKETS))
+    rows = _union_all([f"SELECT window_start, model, '{lbl[i]}' AS le, CAST(b{i} AS BIGINT) AS bucket_count, "
+                       f"sample_sum, sample_count FROM h" for i in range(len(R.TPS_BUCKETS))]
+                      + ["SELECT window_start, model, '+Inf' AS le, sample_count AS bucket_count, sample_sum, "
+                         "sample_count FROM h"])
+    return LS_SQL + f""", h AS (SELECT window_start, model, {cols}, count(v) AS sample_count,
+  round(sum(v), 6) AS sample_sum
+  FROM (SELECT make_timestamp(epoch_us(end_time) // 10000000 * 10000000) AS window_start, model,
+          CAST(tokens_per_second AS DOUBLE) AS v FROM llm_sessions WHERE end_time IS NOT NULL)
+  GROUP BY window_start, model)
+{rows}"""
+
+
+@register("export_tps_histogram_10s", _hist_window_sql())
+def q_export_tps_histogram_10s(spark, sf_dir):
+    """Tokens-per-second histogram deltas per model and 10-second export period."""
+    return _round6(R.export_tps_histogram(_sessions(spark, sf_dir)), "sample_sum")
