@@ -227,9 +227,18 @@ def export_process_gauges(events: DataFrame, every: str = "10 seconds") -> DataF
                     F.col("_g.process_count").alias("process_count"), F.col("_g.memory_bytes").alias("memory_bytes")))
 
 
-def export_tps_histogram(sessions: DataFrame, every: str = "10 seconds") -> DataFrame:
-    """R5 histogram deltas: the tokens-per-second histogram of the sessions that
+def export_histogram(sessions: DataFrame, value: str, buckets: Sequence[float],
+                     every: str = "10 seconds") -> DataFrame:
+    """R5 histogram deltas: the histogram of ``value`` over the sessions that
     ended in each export period, per model (cumulative ``le`` buckets, sum, count)."""
     ended = sessions.where(F.col("end_time").isNotNull()).withColumn(
         "window_start", F.window("end_time", every).start)
-    return histogram(ended, "tokens_per_second", TPS_BUCKETS, by=("window_start", "model"))
+    return histogram(ended, value, buckets, by=("window_start", "model"))
+
+
+def export_tps_histogram(sessions: DataFrame, every: str = "10 seconds") -> DataFrame:
+    return export_histogram(sessions, "tokens_per_second", TPS_BUCKETS, every)
+
+
+def export_ttft_histogram(sessions: DataFrame, every: str = "10 seconds") -> DataFrame:
+    return export_histogram(sessions, "time_to_first_token_ms", TTFT_BUCKETS_MS, every)

@@ -867,17 +867,17 @@ def q_export_process_10s(spark, sf_dir):
     return R.export_process_gauges(_process_events(spark, sf_dir))
 
 
-def _hist_window_sql() -> str:
-    lbl = [R._le_label(b) for b in R.TPS_BUCKETS]
-    cols = ", ".join(f"count_if(v <= {float(b)}) AS b{i}" for i, b in enumerate(R.TPS_BUCKETS))
+def _hist_window_sql(value: str = "tokens_per_second", buckets=R.TPS_BUCKETS) -> str:
+    lbl = [R._le_label(b) for b in buckets]
+    cols = ", ".join(f"count_if(v <= {float(b)}) AS b{i}" for i, b in enumerate(buckets))
     rows = _union_all([f"SELECT window_start, model, '{lbl[i]}' AS le, CAST(b{i} AS BIGINT) AS bucket_count, "
-                       f"sample_sum, sample_count FROM h" for i in range(len(R.TPS_BUCKETS))]
+                       f"sample_sum, sample_count FROM h" for i in range(len(buckets))]
                       + ["SELECT window_start, model, '+Inf' AS le, sample_count AS bucket_count, sample_sum, "
                          "sample_count FROM h"])
     return LS_SQL + f""", h AS (SELECT window_start, model, {cols}, count(v) AS sample_count,
   round(sum(v), 6) AS sample_sum
   FROM (SELECT make_timestamp(epoch_us(end_time) // 10000000 * 10000000) AS window_start, model,
-          CAST(tokens_per_second AS DOUBLE) AS v FROM llm_sessions WHERE end_time IS NOT NULL)
+          CAST({value} AS DOUBLE) AS v FROM llm_sessions WHERE end_time IS NOT NULL AND {value} IS NOT NULL)
   GROUP BY window_start, model)
 {rows}"""
 
@@ -886,3 +886,9 @@ def _hist_window_sql() -> str:
 def q_export_tps_histogram_10s(spark, sf_dir):
     """Tokens-per-second histogram deltas per model and 10-second export period."""
     return _round6(R.export_tps_histogram(_sessions(spark, sf_dir)), "sample_sum")
+
+
+@register("export_ttft_histogram_10s", _hist_window_sql("time_to_first_token_ms", R.TTFT_BUCKETS_MS))
+def q_export_ttft_histogram_10s(spark, sf_dir):
+    """Time-to-first-token histogram deltas per model and 10-second export period."""
+    return _round6(R.export_ttft_histogram(_sessions(spark, sf_dir)), "sample_sum")
