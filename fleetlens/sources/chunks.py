@@ -165,7 +165,7 @@ def running_models(snapshots: DataFrame, body: str = "body") -> DataFrame:
     v = json_value(F.col(body).cast("string"))
     models = F.variant_get(v, "$.models", "variant")
     is_arr = F.coalesce(F.schema_of_variant(models).startswith("ARRAY"), F.lit(False))
-    names = F.variant_get(models, "$", "array<variant>")
+    names = F.try_variant_get(models, "$", "array<variant>")   # null, not an error, for a non-array
     all_ok = F.forall(names, lambda m: F.coalesce(_type(m, "$.name") == "STRING", F.lit(False)))
     good = F.col("status").between(200, 299) & is_arr & F.coalesce(all_ok, F.lit(False))
     carried = [x for x in snapshots.columns if x != body]

@@ -110,7 +110,8 @@ def test_requests_logs_and_models(spark):
                                    ('{"model":"x","created_at":"t","done":true}',)], "value string")
     assert [r["model"] for r in parse_llm_log_lines(lines).collect()] == ["generate"]
     snaps = spark.createDataFrame([(1, 200, '{"models":[{"name":"a"},{"name":"b"}]}'), (2, 503, '{"models":[]}'),
-                                   (3, 200, '{"models":[{"name":1}]}')], "t int, status int, body string")
+                                   (3, 200, '{"models":[{"name":1}]}'), (4, 200, '{"models":5}'),
+                                   (5, 200, 'not json')], "t int, status int, body string")
     assert [(r["t"], r["model"]) for r in running_models(snaps).collect()] == [(1, "a"), (1, "b")]
 
 
