@@ -94,8 +94,10 @@ def prefix_sum(df: DataFrame, keys: Sequence[str], ts: str, tiebreak: Sequence[s
                                          F.expr(f"max(unix_micros({q(ts)}))").alias("_fl_hi"))
         stats = stats.selectExpr(
             *group, "coalesce(_fl_lo, 0L) AS _fl_lo",
-            f"coalesce(greatest({MIN_BLOCK_MICROS}L, CAST(ceil(CAST(_fl_hi - _fl_lo + 1 AS DOUBLE) * {float(block_rows)}D"
-            f" / _fl_cnt_all) AS BIGINT)), {MIN_BLOCK_MICROS}L) AS _fl_width")
+            # A block never needs to be wider than the key's span, which also keeps the cast in range.
+            f"coalesce(greatest({MIN_BLOCK_MICROS}L, CAST(least(CAST(_fl_hi - _fl_lo + 1 AS DOUBLE), "
+            f"ceil(CAST(_fl_hi - _fl_lo + 1 AS DOUBLE) * {float(block_rows)}D / _fl_cnt_all)) AS BIGINT)), "
+            f"{MIN_BLOCK_MICROS}L) AS _fl_width")
         rows = rows.join(stats, group)
         raw_blk = f"floor((unix_micros({q(ts)}) - _fl_lo) / _fl_width)"
     else:

@@ -108,3 +108,11 @@ def test_ordered_index_keeps_null_times_and_keys(spark):
     got = {r["id"]: (r["idx"], r["n"]) for r in ordered_index(df).collect()}
     # Nulls first in time order; a null key is a group of its own.
     assert got == {1: (0, 2), 2: (1, 2), 4: (0, 3), 3: (1, 3), 5: (2, 3)}
+
+
+def test_row_sized_blocks_with_sparse_long_span(spark):
+    # Two rows fifty years apart: the block width is clamped to the span (no BIGINT overflow).
+    rows = [(1, dt.datetime(1990, 1, 1), 0, 1), (2, dt.datetime(2040, 1, 1), 0, 2), (3, dt.datetime(2024, 1, 1), 1, 3)]
+    df = spark.createDataFrame(rows, "id long, timestamp timestamp, gpu_id int, v int")
+    got = {r["id"]: (r["idx"], r["n"]) for r in ordered_index(df).collect()}
+    assert got == {1: (0, 2), 2: (1, 2), 3: (0, 1)}
