@@ -91,10 +91,12 @@ def histogram(df: DataFrame, value: str, buckets: Sequence[float], by: Sequence[
 
 
 def tps_histogram(sessions: DataFrame) -> DataFrame:
+    """A5: tokens-per-second histogram per model."""
     return histogram(sessions, "tokens_per_second", TPS_BUCKETS)
 
 
 def ttft_histogram(sessions: DataFrame) -> DataFrame:
+    """A5: time-to-first-token histogram per model (null ttft not observed)."""
     return histogram(sessions, "time_to_first_token_ms", TTFT_BUCKETS_MS)
 
 
@@ -237,8 +239,10 @@ def export_histogram(sessions: DataFrame, value: str, buckets: Sequence[float],
 
 
 def export_tps_histogram(sessions: DataFrame, every: str = "10 seconds") -> DataFrame:
+    """Tokens-per-second histogram deltas per export period and model."""
     return export_histogram(sessions, "tokens_per_second", TPS_BUCKETS, every)
 
 
 def export_ttft_histogram(sessions: DataFrame, every: str = "10 seconds") -> DataFrame:
+    """Time-to-first-token histogram deltas per export period and model (null ttft not observed)."""
     return export_histogram(sessions, "time_to_first_token_ms", TTFT_BUCKETS_MS, every)
