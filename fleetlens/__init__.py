@@ -14,10 +14,11 @@ Sub-packages:
                   statistics, downsampling, trends, process events, sessions,
                   roll-ups, metric snapshots).
 * ``sinks``     — table maintenance on Parquet (append, upsert, archive,
-                  retention).
+                  retention, compaction of micro-batch partitions).
 * ``streaming`` — the same operators under Structured Streaming.
-* ``plans``     — end-to-end jobs composed from the above and the registry of
-                  named queries used by ``__spark_entry__``.
+* ``plans``     — end-to-end jobs composed from the above (hourly upkeep, chart
+                  and session panels) and the registry of named queries used by
+                  ``__spark_entry__``.
 """
 
 __version__ = "0.1.0"
