@@ -79,20 +79,23 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage and versioned tables.
+    """The shared folder for cut lineage and versioned tables, named once per Spark context.
 
-    Read from ``spark.checkpoint.dir`` (the cluster's shared storage).  Only a
-    local-mode session without one (tests) gets a fresh local folder; on a
-    cluster a missing setting is an error, never a machine-local folder.
+    Read from ``spark.checkpoint.dir`` (the cluster's shared storage).  Only a local-mode session
+    without one (tests) gets a fresh local folder; on a cluster a missing setting is an error,
+    never a machine-local folder.  A folder the context already has is kept, so repeated calls
+    neither nest nor leave empty folders behind.
     """
+    sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = spark.sparkContext.getCheckpointDir()
-    if not configured:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on the cluster's "
-                               "distributed file system) before running jobs that cut lineage")
-        configured = tempfile.mkdtemp(prefix="fleetlens-ckpt-")   # local mode only: one machine
-        spark.conf.set("spark.checkpoint.dir", configured)
-    spark.sparkContext.setCheckpointDir(configured)
-    return configured.rstrip("/") if "://" in configured else os.path.abspath(configured)
+    current = sc.getCheckpointDir()
+    if current is None:
+        if not configured:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on the cluster's "
+                                   "distributed file system) before running jobs that cut lineage")
+            configured = tempfile.mkdtemp(prefix="fleetlens-ckpt-")   # local mode only: one machine
+        sc.setCheckpointDir(configured)
+        current = sc.getCheckpointDir()
+    folder = configured or current
+    return folder.rstrip("/") if "://" in folder or folder.startswith("file:") else os.path.abspath(folder)
