@@ -7,7 +7,8 @@ leftmost pair of least rank.  A merge updates only the pair at that position and
 left neighbour: two logarithmic point updates, so a piece of n bytes costs n log n, also where one
 piece is a whole long text.
 
-Pieces repeat, so a worker keeps the ids of recent pieces, a bounded number of bounded length.
+Pieces repeat, so a worker keeps the ids of recent pieces: two generations of a bounded number of
+pieces of bounded length, the older of which is dropped when the younger is full.
 Rank files are read once per worker from a path that every worker can read (a parameter).
 
 Null and empty texts have no tokens and decode to empty.  Repeated rows are encoded alike.  Rows
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 #: Larger than every rank: no pair here.
 NONE = 1 << 30
-KEPT_PIECES = 1 << 17
+KEPT_PIECES = 1 << 18
 KEPT_LENGTH = 64
 TOKENS_AT_ONCE = 1 << 20
 
@@ -95,15 +96,19 @@ class Encoder:
         self.ranks = load_ranks(path)
         self.split = regex.compile(pattern).findall
         self.known: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
 
     def piece(self, text: str) -> list[int]:
-        data = text.encode()
-        token = self.ranks.get(data)
-        ids = [token] if token is not None else merge(data, self.ranks)
-        if len(data) <= KEPT_LENGTH:
-            if len(self.known) >= KEPT_PIECES:
-                self.known.clear()
-            self.known[text] = ids
+        ids = self.older.get(text)
+        if ids is None:
+            data = text.encode()
+            token = self.ranks.get(data)
+            ids = [token] if token is not None else merge(data, self.ranks)
+            if len(data) > KEPT_LENGTH:
+                return ids
+        if len(self.known) >= KEPT_PIECES:
+            self.older, self.known = self.known, {}
+        self.known[text] = ids
         return ids
 
     def __call__(self, text: str | None) -> list[int]:

@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import bpe, simhash, substrings
+from fleetlens.llm import bpe, language, simhash, substrings
 from fleetlens.llm.common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -48,3 +48,12 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from those with crc32(doc_id) mod 5 other than 0."""
+    docs = table(spark, sf_dir, "documents")
+    model = language.learn(docs.where(language.fold("doc_id", 5) != 0))
+    return language.predict(docs, model).select(
+        "doc_id", F.coalesce(language.fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
