@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import bpe, language, simhash, substrings
+from fleetlens.llm import bpe, contamination, language, licences, simhash, substrings
 from fleetlens.llm.common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -57,3 +57,22 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language.learn(docs.where(language.fold("doc_id", 5) != 0))
     return language.predict(docs, model).select(
         "doc_id", F.coalesce(language.fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences named in each document: units (lines, paragraphs, text) that match, and the best Dice."""
+    found = licences.scan(table(spark, sf_dir, "documents"), threshold=0.8)
+    return found.groupBy("doc_id", "licence").agg(F.count("*").alias("n_units"), F.max("dice").alias("best_dice"))
+
+
+ORACLES["op3_licence_scan"] = licences.oracle()
+
+
+@query
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item of which a document has at least 0.8 of the five-word shingles."""
+    return contamination.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op6_decontaminate"] = contamination.ORACLE
