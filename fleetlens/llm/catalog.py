@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import bpe, contamination, language, licences, simhash, substrings
+from fleetlens.llm import bpe, contamination, language, licences, sharding, simhash, substrings
 from fleetlens.llm.common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -76,3 +76,11 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op6_decontaminate"] = contamination.ORACLE
+
+
+@query
+def op5_shard_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 8 shards of near-equal bytes, equal texts together."""
+    found = sharding.assign(table(spark, sf_dir, "documents"), shards=8)
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                        F.lit(None).cast("int").alias("grown_shard"))
