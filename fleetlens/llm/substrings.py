@@ -11,7 +11,7 @@ in a third of all documents arrives once per task, not once per document; what t
 knows to be repeated is salted and passes through.  The documents are shuffled once, by id; every
 level joins its finds to that same shuffle.
 
-Hashes that only choose candidates have 64 bits; the level that decides has two of 64 bits from
+Hashes that only choose candidates have 48 bits; the level that decides has 96 bits, of two
 independent families.
 
 Null ids take no part (their rows keep all words).  Rows with the same id count as one document:
@@ -35,6 +35,8 @@ from fleetlens.llm.common import checkpointed, texts, words
 SHORT = 8
 #: Rows a map task holds before it combines and sends them.
 CHUNK = 1 << 20
+CANDIDATE_BITS = 48
+SALTS = 4096
 ROWS = "k1 long, k2 long, doc_id long, salt long"
 NAMES = ["k1", "k2", "doc_id", "salt"]
 
@@ -55,13 +57,13 @@ def word_hashes(seq: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, seq), np.uint64, len(seq))
 
 
-def window_hashes(h: np.ndarray, length: int, family: int) -> np.ndarray:
-    """A hash of every window of ``length`` words (multilinear in the words' hashes), by start."""
+def window_hashes(h: np.ndarray, length: int, family: int, bits: int = 64) -> np.ndarray:
+    """A hash of every window of ``length`` words (multilinear in the words' hashes; its upper ``bits``), by start."""
     n = max(0, len(h) - length + 1)
     out = np.zeros(n, np.uint64)
     for j, c in enumerate(_coefficients(family, length)):
         out += h[j:j + n] * c
-    return out.view(np.int64)
+    return (out >> np.uint64(64 - bits)).view(np.int64)
 
 
 def _minimisers(short: np.ndarray, per_window: int) -> np.ndarray:
@@ -76,9 +78,10 @@ def _candidates(h: np.ndarray, found: np.ndarray, window: int, length: int, firs
     """Starts of the windows that may be repeated, given the repeated windows of one level."""
     if len(h) < window:
         return np.empty(0, np.int64)
-    hit = np.isin(window_hashes(h, length, 0), found)
+    short = window_hashes(h, length, 0, CANDIDATE_BITS)
+    hit = np.isin(short, found)
     if first:
-        return np.flatnonzero(hit[_minimisers(window_hashes(h, length, 0), window - length + 1)])
+        return np.flatnonzero(hit[_minimisers(short, window - length + 1)])
     n = len(h) - window + 1
     return np.flatnonzero(hit[:n] & hit[window - length:])
 
@@ -96,9 +99,11 @@ def _combined(k1: np.ndarray, k2: np.ndarray, doc: np.ndarray, final: bool) -> p
     else:
         size = np.diff(np.r_[starts, len(k1)])
         known = np.flatnonzero(np.repeat(size > 1, size))
-    salt = np.r_[np.zeros(len(starts), np.int64), (doc[known].view(np.uint64) % np.uint64(2**31 - 1)).astype(np.int64) + 1]
     rows = np.r_[starts, known]
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (k1[rows], k2[rows], doc[rows], salt)], NAMES)
+    salt, k2 = doc[rows] % SALTS + 1, k2[rows]
+    salt[:len(starts)] = 0
+    k2[len(starts):] = 0
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (k1[rows], k2, doc[rows], salt)], NAMES)
 
 
 def _sent(rows: DataFrame, keys, final: bool) -> DataFrame:
@@ -109,7 +114,7 @@ def _sent(rows: DataFrame, keys, final: bool) -> DataFrame:
             ids = batch.column(0).to_pylist()
             found = batch.column(2) if batch.num_columns > 2 else [None] * len(ids)
             for doc, text, hits in zip(ids, batch.column(1), found):
-                if doc is None:
+                if doc is None or (hits is not None and not hits.is_valid):
                     continue
                 k1, k2 = keys(text.as_py(), None if hits is None else np.asarray(hits.values))
                 if len(k1):
@@ -154,26 +159,37 @@ def repeated_windows(docs: DataFrame, window: int, id_col: str = "doc_id", text_
         h = word_hashes(words(text))
         if len(h) < window:
             return np.empty(0, np.int64), np.empty(0, np.int64)
-        short = window_hashes(h, levels[0], 0)
+        if len(levels) == 1:
+            return window_hashes(h, window, 0), window_hashes(h, window, 1, 32)
+        short = window_hashes(h, levels[0], 0, CANDIDATE_BITS)
         k = short[np.unique(_minimisers(short, window - levels[0] + 1))]
-        k2 = window_hashes(h, window, 1) if len(levels) == 1 else np.zeros(len(k), np.int64)
-        return k, k2
+        return k, np.zeros(len(k), np.int64)
 
     found = _repeated(_sent(rows, first, later and len(levels) == 1), later and len(levels) == 1)
     for i, length in enumerate(levels[1:]):
         def longer(text, hits, i=i, length=length):
             h = word_hashes(words(text))
             at = _candidates(h, hits, window, levels[i], i == 0)
-            if length < window:
-                at = np.union1d(at, at + window - length)
-            k = window_hashes(h, length, 0)[at]
-            return k, window_hashes(h, length, 1)[at] if length == window else np.zeros(len(k), np.int64)
+            if length == window:
+                return window_hashes(h, window, 0)[at], window_hashes(h, window, 1, 32)[at]
+            k = window_hashes(h, length, 0, CANDIDATE_BITS)[np.union1d(at, at + window - length)]
+            return k, np.zeros(len(k), np.int64)
 
         final = later and length == window
-        found = _repeated(_sent(rows.join(found, "doc_id"), longer, final), final)
+        # an outer join, as in dedup: all levels then share one shuffle of the texts
+        found = _repeated(_sent(rows.join(found, "doc_id", "left"), longer, final), final)
     return found
 
 
+def _left(seq: list[bytes], found: np.ndarray, window: int) -> list[bytes]:
+    """The words that no found window covers."""
+    starts = np.isin(window_hashes(word_hashes(seq), window, 0), found)
+    edge = np.zeros(len(seq) + 1, np.int64)
+    edge[:len(starts)] += starts
+    edge[window:window + len(starts)] -= starts
+    return [seq[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0).tolist()]
+
+
 def dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept): every text without the words covered by a window of ``window``
     words that also starts in a document with a smaller id.  ``kept``: the words left, joined by one space.
@@ -186,19 +202,10 @@ def dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: s
             n_words, n_removed, kept = [], [], []
             for text, hits in zip(batch.column(1), batch.column(2)):
                 seq = words(text.as_py())
+                left = _left(seq, np.asarray(hits.values), window) if hits.is_valid else seq
                 n_words.append(len(seq))
-                if hits.is_valid:
-                    h = word_hashes(seq)
-                    starts = np.isin(window_hashes(h, window, 0), np.asarray(hits.values))
-                    edge = np.zeros(len(seq) + 1, np.int64)
-                    edge[:len(starts)] += starts
-                    edge[window:window + len(starts)] -= starts
-                    left = np.flatnonzero(np.cumsum(edge[:-1]) == 0)
-                    n_removed.append(len(seq) - len(left))
-                    seq = [seq[i] for i in left.tolist()]
-                else:
-                    n_removed.append(0)
-                kept.append(b" ".join(seq))
+                n_removed.append(len(seq) - len(left))
+                kept.append(b" ".join(left))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
                  pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
@@ -206,6 +213,43 @@ def dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: s
     return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
 
 
+def without_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text",
+                    length_col: str = "n_chars") -> DataFrame:
+    """``docs``, all columns, with the words of repeated windows taken out of the text (see ``dedup``).
+
+    A text that loses words has the others joined by one space, and its length in characters goes to
+    ``length_col`` if there is such a column; other texts stay as they are.  A row that loses all its
+    words goes.
+    """
+    found = repeated_windows(docs, window, id_col, text_col).withColumnRenamed("found", "__found")
+    rows = docs.join(found.withColumnRenamed("doc_id", "__id"), F.col(f"`{id_col}`").cast("long") == F.col("__id"), "left").drop("__id")
+    names = docs.columns
+    at = names.index(text_col)
+    at_length = docs.columns.index(length_col) if length_col in docs.columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text, length, stays = batch.column(at).to_pylist(), [], []
+            for i, hits in enumerate(batch.column(batch.num_columns - 1)):
+                stays.append(True)
+                if hits.is_valid:
+                    seq = words(text[i].encode())
+                    left = _left(seq, np.asarray(hits.values), window)
+                    stays[i] = len(left) > 0
+                    if len(left) < len(seq):
+                        text[i] = b" ".join(left).decode()
+            columns = batch.columns[:-1]
+            if at_length is not None:
+                old = columns[at_length].to_pylist()
+                hit = batch.column(batch.num_columns - 1).is_valid()
+                length = [len(t) if h else n for t, n, h in zip(text, old, hit.to_pylist())]
+                columns[at_length] = pa.array(length, columns[at_length].type)
+            columns[at] = pa.array(text, columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(stays, pa.bool_()))
+
+    return rows.mapInArrow(run, docs.schema)
+
+
 def longest_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, longest): the longest of the lengths window, 2 window, 4 window, ... at which the document
     shares a window with another document.  Only documents alive at one length are tried at twice that
