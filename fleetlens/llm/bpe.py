@@ -7,8 +7,10 @@ leftmost pair of least rank.  A merge updates only the pair at that position and
 left neighbour: two logarithmic point updates, so a piece of n bytes costs n log n, also where one
 piece is a whole long text.
 
-Pieces repeat, so a worker keeps the ids of recent pieces: two generations of a bounded number of
-pieces of bounded length, the older of which is dropped when the younger is full.
+Pieces repeat, so a worker keeps the ids of the pieces it has met, up to a bounded number of pieces
+of bounded length, then starts anew.  The new pieces of some texts are merged together: their trees
+are the columns of one array, and each step does the next merge of every piece at once.  Longer
+pieces are merged one by one.
 Rank files are read once per worker from a path that every worker can read (a parameter).
 
 Null and empty texts have no tokens and decode to empty.  Repeated rows are encoded alike.  Rows
@@ -21,18 +23,20 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Larger than every rank: no pair here.
 NONE = 1 << 30
-KEPT_PIECES = 1 << 18
+KEPT_PIECES = 1 << 19
 KEPT_LENGTH = 64
-TOKENS_AT_ONCE = 1 << 20
+CHARS_AT_ONCE = 1 << 22
 
 
 @lru_cache(maxsize=4)
@@ -89,53 +93,161 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+class PairRanks:
+    """The rank of the token that two tokens make together, for arrays of tokens."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        keys = {}
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+                if left is not None and right is not None:
+                    keys[left << 32 | right] = rank
+        self.keys = np.array(sorted(keys), np.int64)
+        self.ranks = np.array([keys[k] for k in self.keys.tolist()], np.int32)
+
+    def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left.astype(np.int64) << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], NONE)
+
+
+def merge_many(pieces: list[bytes], size: int, byte_ids: np.ndarray, pairs: PairRanks) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all pieces one after another, number of ids of each), for pieces of 2 to ``size`` bytes.
+
+    As ``merge``, a column per piece; ``size`` is a power of two.
+    """
+    count = len(pieces)
+    n = np.fromiter(map(len, pieces), np.int64, count)
+    data = np.frombuffer(b"".join(p.ljust(size, b"\0") for p in pieces), np.uint8).reshape(count, size).T
+    symbol = byte_ids[data]                                            # [position, piece]
+    place = np.arange(size)[:, None]
+    tree = np.full((2 * size, count), NONE, np.int32)
+    tree[size:2 * size - 1] = np.where(place[:-1] < n - 1, pairs(symbol[:-1], symbol[1:]), NONE)
+    for node in range(size - 1, 0, -1):
+        np.minimum(tree[2 * node], tree[2 * node + 1], out=tree[node])
+    after = np.repeat(np.arange(1, size + 2), count).reshape(size + 1, count)
+    before = after - 2
+    live = place < n
+    levels = size.bit_length() - 1
+    piece = np.flatnonzero(tree[1] < NONE)
+    while len(piece):
+        low = tree[1, piece]
+        node = np.ones(len(piece), np.int64)
+        for _ in range(levels):                                        # leftmost leaf of that rank
+            node *= 2
+            node += tree[node, piece] != low
+        at = node - size
+        gone = after[at, piece]
+        end = after[gone, piece]
+        symbol[at, piece] = low
+        live[gone, piece] = False
+        after[at, piece] = end
+        before[end, piece] = at
+        prev = before[at, piece]
+        more = end < n[piece]
+        right = np.where(more, pairs(low, symbol[np.minimum(end, size - 1), piece]), NONE)
+        left = np.where(prev >= 0, pairs(symbol[prev, piece], low), tree[size, piece])
+        tree[size + gone, piece] = NONE
+        tree[size + at, piece] = right
+        first = prev < 0
+        left[first] = tree[size, piece[first]]                         # no left neighbour: leaf 0 stays
+        tree[size + np.maximum(prev, 0), piece] = left
+        for leaf in (gone, at, np.maximum(prev, 0)):
+            node = (size + leaf) >> 1
+            for _ in range(levels):
+                tree[node, piece] = np.minimum(tree[2 * node, piece], tree[2 * node + 1, piece])
+                node >>= 1
+        piece = piece[tree[1, piece] < NONE]
+    return symbol.T[live.T], live.sum(axis=0)
+
+
+@lru_cache(maxsize=4)
+def _pairs(path: str) -> tuple[PairRanks, np.ndarray]:
+    ranks = load_ranks(path)
+    return PairRanks(ranks), np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
+
+
 class Encoder:
-    """Encodes texts with one vocabulary and pattern; keeps the ids of recent pieces."""
+    """Encodes texts with one vocabulary and pattern; keeps the ids of pieces it has met."""
 
     def __init__(self, path: str, pattern: str):
         self.ranks = load_ranks(path)
+        self.pairs, self.byte_ids = _pairs(path)
+        if (self.byte_ids < 0).any():
+            raise ValueError(f"{path} lacks a single byte")
         self.split = regex.compile(pattern).findall
-        self.known: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
-
-    def piece(self, text: str) -> list[int]:
-        ids = self.older.get(text)
-        if ids is None:
-            data = text.encode()
-            token = self.ranks.get(data)
-            ids = [token] if token is not None else merge(data, self.ranks)
-            if len(data) > KEPT_LENGTH:
-                return ids
-        if len(self.known) >= KEPT_PIECES:
-            self.older, self.known = self.known, {}
-        self.known[text] = ids
-        return ids
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}                  # piece -> its place in the arrays below
+        self.start, self.count = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.tokens = np.empty(0, np.int32)
+
+    def learn(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces, number of ids of each)."""
+        counts = np.ones(len(new), np.int64)
+        parts: list = [None] * len(new)
+        groups: dict[int, list[int]] = {}
+        data = [p.encode() for p in new]
+        for i, d in enumerate(data):
+            token = self.ranks.get(d)
+            if token is not None:
+                parts[i] = (token,)
+            elif len(d) > KEPT_LENGTH:
+                parts[i] = merge(d, self.ranks)
+                counts[i] = len(parts[i])
+            else:
+                groups.setdefault(1 << (len(d) - 1).bit_length(), []).append(i)
+        for size, members in groups.items():
+            ids, n = merge_many([data[i] for i in members], size, self.byte_ids, self.pairs)
+            counts[members] = n
+            for i, end, k in zip(members, np.cumsum(n).tolist(), n.tolist()):
+                parts[i] = ids[end - k:end]
+        return np.concatenate([np.asarray(p, np.int32) for p in parts]) if parts else self.tokens[:0], counts
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of every text."""
+        if len(self.start) > KEPT_PIECES or len(self.tokens) > 8 * KEPT_PIECES:
+            self.forget()
+        pieces = [self.split(t) if t else [] for t in texts]
+        every = list(chain.from_iterable(pieces))
+        new = [p for p in dict.fromkeys(every) if p not in self.number]
+        if new:
+            ids, counts = self.learn(new)
+            self.number.update(zip(new, range(len(self.start), len(self.start) + len(new))))
+            self.start = np.concatenate([self.start, len(self.tokens) + np.cumsum(counts) - counts])
+            self.count = np.concatenate([self.count, counts])
+            self.tokens = np.concatenate([self.tokens, ids])
+        which = np.fromiter(map(self.number.__getitem__, every), np.int64, len(every))
+        n = self.count[which]
+        stop = np.cumsum(n)
+        flat = self.tokens[np.arange(stop[-1] if len(stop) else 0) + np.repeat(self.start[which] - (stop - n), n)]
+        for p in new:
+            if len(p) > KEPT_LENGTH:
+                del self.number[p]
+        cut = np.r_[0, stop][np.cumsum([len(p) for p in pieces])] if pieces else []
+        return np.split(flat, cut[:-1]) if len(cut) else []
 
     def __call__(self, text: str | None) -> list[int]:
-        out: list[int] = []
-        known, piece = self.known, self.piece
-        for p in self.split(text or ""):
-            ids = known.get(p)
-            out += piece(p) if ids is None else ids
-        return out
+        return self.encode([text])[0].tolist()
 
 
-def _batches(batch: pa.RecordBatch, results, name: str, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
-    """``batch`` with a column of ``results``, in slices of bounded size."""
-    held, size, start = [], 0, 0
+def _groups(batch: pa.RecordBatch, sizes: list[int], most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of ``batch`` of about ``most`` in size, a longer row by itself."""
+    start, total = 0, 0
+    for i, n in enumerate(sizes):
+        if total + n > most and i > start:
+            yield batch.slice(start, i - start)
+            start, total = i, 0
+        total += n
+    if start < len(sizes) or not sizes:
+        yield batch.slice(start)
 
-    def sliced():
-        part = batch.slice(start, len(held))
-        column = pa.array(held, kind)
-        return pa.RecordBatch.from_arrays([*part.columns, column], [*part.schema.names, name])
 
-    for r in results:
-        held.append(r)
-        size += len(r)
-        if size >= TOKENS_AT_ONCE:
-            yield sliced()
-            start, held, size = start + len(held), [], 0
-    yield sliced()
+def _added(batch: pa.RecordBatch, column: pa.Array, name: str) -> pa.RecordBatch:
+    """``batch`` with its last column replaced."""
+    return pa.RecordBatch.from_arrays([*batch.columns[:-1], column], [*batch.schema.names[:-1], name])
 
 
 def _schema(rows: DataFrame, added: str) -> str:
@@ -151,9 +263,12 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", kee
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path, pattern)
         for batch in batches:
-            text = batch.column(batch.num_columns - 1)
-            ids = (np.array(encoder(t.as_py()), np.int32) for t in text)
-            yield from _batches(batch.drop_columns("__text"), ids, "ids", pa.list_(pa.int32()))
+            sizes = pc.fill_null(pc.utf8_length(batch.columns[-1]), 0).to_pylist()
+            for part in _groups(batch, sizes, CHARS_AT_ONCE):
+                ids = encoder.encode(part.columns[-1].to_pylist())
+                offsets = np.cumsum([0, *map(len, ids)])
+                flat = np.concatenate([np.empty(0, np.int32), *ids])
+                yield _added(part, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32())), "ids")
 
     return rows.mapInArrow(run, _schema(rows, "ids array<int>"))
 
@@ -166,8 +281,9 @@ def decode(tokens: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = {i: t for t, i in load_ranks(path).items()}.__getitem__
         for batch in batches:
-            ids = batch.column(batch.num_columns - 1)
-            data = (b"".join(map(token, i.values.to_pylist())) if i.is_valid else b"" for i in ids)
-            yield from _batches(batch.drop_columns("__ids"), data, "decoded", pa.binary())
+            sizes = pc.fill_null(pc.list_value_length(batch.columns[-1]), 0).to_pylist()
+            for part in _groups(batch, sizes, CHARS_AT_ONCE):
+                data = [b"".join(map(token, i.values.to_pylist())) if i.is_valid else b"" for i in part.columns[-1]]
+                yield _added(part, pa.array(data, pa.binary()), "decoded")
 
     return rows.mapInArrow(run, _schema(rows, "decoded binary"))

@@ -52,10 +52,18 @@ def test_columns_nulls_and_slices(spark, theirs, monkeypatch):
         for i, t, *_ in rows:
             assert list(found[i].ids) == theirs.encode_ordinary(t or "") and found[i].decoded == (t or "").encode()
     batch = bpe.pa.RecordBatch.from_arrays([bpe.pa.array(range(5))], ["a"])
-    monkeypatch.setattr(bpe, "TOKENS_AT_ONCE", 3)
-    parts = list(bpe._batches(batch, [[1, 2], [3], [4, 5, 6, 7], [], [8]], "ids", bpe.pa.list_(bpe.pa.int32())))
-    assert [r for p in parts for r in p.to_pylist()] == [
-        {"a": i, "ids": x} for i, x in enumerate([[1, 2], [3], [4, 5, 6, 7], [], [8]])] and len(parts) == 3
+    parts = [p.column(0).to_pylist() for p in bpe._groups(batch, [2, 1, 4, 0, 1], 3)]
+    assert parts == [[0, 1], [2], [3, 4]]
+
+
+def test_many_pieces_at_once(theirs, monkeypatch):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdeéñthingouan") for _ in range(rng.randint(1, 30))) for _ in range(3000)]
+    texts = [" ".join(rng.choice(words) for _ in range(50)) for _ in range(300)]
+    monkeypatch.setattr(bpe, "KEPT_PIECES", 500)
+    encoder = bpe.Encoder(PATH, PATTERN)
+    for lo in range(0, 300, 30):
+        assert [x.tolist() for x in encoder.encode(texts[lo:lo + 30])] == [theirs.encode_ordinary(t) for t in texts[lo:lo + 30]]
 
 
 def test_empty_table(spark):
