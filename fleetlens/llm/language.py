@@ -103,6 +103,32 @@ class Model:
             out.append(score - np.where(self.candidates[script], 0, OUT_OF_SCRIPT).astype(np.float32))
         return np.concatenate(out) if out else np.empty((0, len(self.languages)), np.float32)
 
+    def labels(self, texts: pa.Array) -> tuple[list[str], list[float], list[list[dict]]]:
+        """Language, score and spans of every text; some megabytes of text at a time."""
+        lang, score, spans, group, size = [], [], [], [], 0
+        for i, text in enumerate(texts):
+            text = text.as_py()
+            group.append(self.word_scores(text) if text and self.languages else np.empty((0, max(1, len(self.languages))), np.float32))
+            size += len(text or "")
+            if size < GROUP_CHARS and i + 1 < len(texts):
+                continue
+            lengths = np.array([len(g) for g in group], np.int64)
+            label, at = viterbi(np.concatenate(group), lengths, self.switch), 0
+            group, size = [], 0
+            for n in lengths.tolist():
+                mine, at = label[at:at + n], at + n
+                if n == 0:
+                    lang.append(UNKNOWN), score.append(0.0), spans.append([])
+                    continue
+                share = np.bincount(mine, minlength=len(self.languages))
+                best = int(share.argmax())
+                run = np.flatnonzero(np.diff(mine.astype(np.int16), prepend=-1))
+                lang.append(self.languages[best])
+                score.append(share[best] / n)
+                spans.append([{"start": int(s), "words": int(w), "lang": self.languages[mine[s]]}
+                              for s, w in zip(run, np.diff(run, append=n))])
+        return lang, score, spans
+
 
 def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", switch: float = 12.0,
           script_share: float = 0.01) -> Model:
@@ -174,37 +200,12 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """(doc_id, lang_pred, score, spans): spans are runs of words with one language, first word from 0."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
-    def labelled(group: list[str | None]) -> tuple[list, list, list]:
-        parts = [model.word_scores(t) if t and model.languages else np.empty((0, max(1, len(model.languages))), np.float32) for t in group]
-        lengths = np.array([len(p) for p in parts], np.int64)
-        labels = viterbi(np.concatenate(parts), lengths, model.switch)
-        lang, score, spans, at = [], [], [], 0
-        for n in lengths.tolist():
-            mine, at = labels[at:at + n], at + n
-            if n == 0:
-                lang.append(UNKNOWN), score.append(0.0), spans.append([])
-                continue
-            share = np.bincount(mine, minlength=len(model.languages))
-            best = int(share.argmax())
-            run = np.flatnonzero(np.diff(mine.astype(np.int16), prepend=-1))
-            lang.append(model.languages[best])
-            score.append(share[best] / n)
-            spans.append([{"start": int(s), "words": int(w), "lang": model.languages[mine[s]]}
-                          for s, w in zip(run, np.diff(run, append=n))])
-        return lang, score, spans
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            group, size, start = [], 0, 0
-            for text in batch.column(1):
-                group.append(text.as_py())
-                size += len(group[-1] or "")
-                if size >= GROUP_CHARS or start + len(group) == batch.num_rows:
-                    lang, score, spans = labelled(group)
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).slice(start, len(group)), pa.array(lang, pa.string()), pa.array(score, pa.float64()),
-                         pa.array(spans, SPANS)], ["doc_id", "lang_pred", "score", "spans"])
-                    start, group, size = start + len(group), [], 0
+            lang, score, spans = model.labels(batch.column(1))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(spans, SPANS)],
+                ["doc_id", "lang_pred", "score", "spans"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, spans array<struct<start:int,words:int,lang:string>>")
@@ -213,3 +214,16 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 def fold(id_col: str, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds`` (null for a null id)."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
+
+
+def keep_labelled(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose text has a letter and one language on at least the share ``least`` of its words."""
+    number = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang, score, _ = model.labels(batch.column(number))
+            kept = [x != UNKNOWN and s >= least for x, s in zip(lang, score)]
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
