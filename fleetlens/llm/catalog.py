@@ -12,8 +12,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import bpe, contamination, language, licences, neighbours, sharding, simhash, substrings
-from fleetlens.llm.common import table
+from fleetlens.llm import bpe, contamination, kneser_ney, language, licences, neighbours, sharding, simhash, substrings
+from fleetlens.llm.common import checkpointed, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -90,3 +90,14 @@ def op5_shard_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 nearest by cosine of every embedding whose vec_id is divisible by 50, among all others."""
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0, k=5)
+
+
+@query
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probabilities of every document, learnt from those with crc32(doc_id) mod 10 other than 0."""
+    docs = table(spark, sf_dir, "documents")
+    model = kneser_ney.train(docs.where(language.fold("doc_id", 10) != 0))
+    scores = checkpointed(model.score(docs))
+    model.delete()
+    return scores.select("doc_id", F.coalesce(language.fold("doc_id", 10) == 0, F.lit(False)).alias("held_out"),
+                         "n_tokens", "n_known", "train_tokens", "base_score", "score")
