@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import bpe, contamination, kneser_ney, language, licences, neighbours, sharding, simhash, substrings
+from fleetlens.llm import bpe, contamination, kneser_ney, language, licences, neighbours, quality, sharding, simhash, substrings
 from fleetlens.llm.common import checkpointed, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -101,3 +101,12 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     model.delete()
     return scores.select("doc_id", F.coalesce(language.fold("doc_id", 10) == 0, F.lit(False)).alias("held_out"),
                          "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document, learnt from labels of rows with crc32(doc_id) mod 4 other than 2."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.learn(docs, labels.where(language.fold("doc_id", 4) != 2))
+    return model.score(docs).select("doc_id", F.coalesce(language.fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score",
+                                    F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
