@@ -29,12 +29,6 @@ PYTHON_ML_KEYWORDS = ("transformers", "torch", "tensorflow", "keras", "pytorch",
                       "diffusers", "vllm", "llama", "huggingface", "model.py", "train.py")
 INFERENCE_WORDS = ("generate", "inference", "predict", "serve", "api")
 GAME_UTILIZATION_THRESHOLD = 60
-# Default game library roots, relative to a user's home directory.
-DEFAULT_LIBRARY_ROOTS_UNDER_HOME = (
-    ".steam/steam/steamapps/common",
-    ".var/app/com.valvesoftware.Steam/.steam/steam/steamapps/common",
-)
-
 LLM_INFERENCE = "llm_inference"
 ML_TRAINING = "ml_training"
 GAMING = "gaming"

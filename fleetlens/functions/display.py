@@ -1,7 +1,7 @@
 """Output formatting: RFC 3339 times (P9), session display rows (P8), argument checks (P10).
 
-Numbers use ``format_string('%.Nf')``: half-up rounding of the decimal form of
-the double (Java formatter), not banking rounding and no thousands grouping.
+Numbers round the exact binary value of the double to the nearest decimal (an
+exact tie goes up, away from zero), as a browser prints them; no grouping.
 """
 
 from __future__ import annotations
@@ -32,7 +32,24 @@ def clock_time(ts) -> Column:
 
 
 def fixed(value, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", _c(value).cast("double"))
+    """``value`` with ``digits`` (at most 9) decimals, rounded on its exact binary value.
+
+    The fraction, scaled by 2^62, is an exact BIGINT, so the comparison with one half is exact
+    integer arithmetic; a formatter would round the shortest decimal form instead.
+    """
+    x = _c(value).cast("double")
+    size = F.abs(x)
+    whole = F.floor(size).cast("decimal(20,0)")
+    one = F.lit(1 << 62).cast("decimal(20,0)")
+    scaled = ((size - F.floor(size)) * F.lit(float(1 << 62))).cast("long").cast("decimal(20,0)") * F.lit(10 ** digits).cast("decimal(10,0)")
+    down = F.floor(scaled / one).cast("decimal(20,0)")
+    rest = scaled - down * one
+    steps = whole * F.lit(10 ** digits).cast("decimal(10,0)") + down + F.when(rest * 2 >= one, 1).otherwise(0)
+    text = F.lpad(steps.cast("decimal(31,0)").cast("string"), 31, "0")
+    body = F.regexp_replace(F.substring(text, 1, 31 - digits), "^0+(?=[0-9])", "")
+    if digits:
+        body = F.concat(body, F.lit("."), F.substring(text, 32 - digits, digits))
+    return F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), body)
 
 
 def ttft_text(ttft_ms) -> Column:

@@ -33,6 +33,8 @@ def weekly_summary(events: DataFrame, week: str | None = None,
     if week is not None:
         import datetime as _dt
         start = _dt.datetime.fromisoformat(f"{week}T00:00:00+00:00")
+        if start.weekday():
+            raise ValueError(f"Invalid week: {week} is not a Monday")
         df = time_filter(df, "timestamp", start, start + _dt.timedelta(days=7), end_inclusive=False)
     return (df.groupBy(week_start("timestamp").alias("week_start"), "category")
             .agg(F.sum("duration_secs").cast("long").alias("total_duration_secs"),

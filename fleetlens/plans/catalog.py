@@ -367,7 +367,10 @@ def q_rolling_sessions(spark, sf_dir):
 
 
 def _fixed_sql(x: str, digits: int) -> str:
-    return f"printf('%.{digits}f', round(CAST({x} AS DOUBLE), {digits}))"
+    """printf rounds the exact binary value; an exact tie, which it sends to the even side, goes up instead."""
+    v = f"CAST({x} AS DOUBLE)"
+    tie = f"{v} - floor({v}) IN (0.25, 0.75)" if digits else f"{v} - floor({v}) = 0.5"
+    return f"printf('%.{digits}f', {v} + CASE WHEN {tie} THEN 0.01 ELSE 0.0 END)"
 
 
 def _dur_text_sql(d: str) -> str:
@@ -539,18 +542,24 @@ from fleetlens.sources import gpu as SG  # noqa: E402
 
 
 def gpu_csv_lines(spark, sf_dir) -> DataFrame:
-    """Probe text for every metric row: the 8 CSV fields, memory in MiB, power as a decimal."""
+    """Probe text for every metric row: the 8 CSV fields, memory in MiB, power as a decimal.  Some rows have
+    readings beyond a signed 32-bit value, a power beyond the unsigned one, or a name with a comma (a bad line)."""
     g = _v(spark, sf_dir, "gpu_metrics")
+    odd = F.col("id") % 50
     return g.select("id", F.col("timestamp").alias("ts"), F.concat_ws(
-        ", ", "gpu_id", "name", "utilization_gpu", "utilization_memory",
-        gpu_fn.bytes_to_mib("memory_used"), gpu_fn.bytes_to_mib("memory_total"), "temperature",
-        F.concat(F.col("power_usage").cast("string"), F.lit(".75"))).alias("value"))
+        ", ", "gpu_id", F.when(odd == 9, F.lit("A, B")).otherwise(F.col("name")), "utilization_gpu", "utilization_memory",
+        gpu_fn.bytes_to_mib("memory_used"), gpu_fn.bytes_to_mib("memory_total"),
+        F.when(odd == 7, F.col("id") + 3000000000).otherwise(F.col("temperature")),
+        F.when(odd == 8, F.lit("9e9")).otherwise(F.concat(F.col("power_usage").cast("string"), F.lit(".75")))).alias("value"))
 
 
 @register("parse_gpu_csv", GM + """
-SELECT id, "timestamp", gpu_id, name, utilization_gpu, utilization_memory,
+SELECT id, "timestamp", gpu_id::BIGINT AS gpu_id, name, utilization_gpu::BIGINT AS utilization_gpu,
+  utilization_memory::BIGINT AS utilization_memory,
   memory_used // 1048576 * 1048576 AS memory_used, memory_total // 1048576 * 1048576 AS memory_total,
-  temperature, power_usage FROM gpu_metrics""")
+  CASE WHEN id % 50 = 7 THEN 3000000000 + id ELSE temperature END AS temperature,
+  CASE WHEN id % 50 = 8 THEN 4294967295 ELSE power_usage END AS power_usage FROM gpu_metrics
+WHERE id % 50 <> 9""")
 def q_parse_gpu_csv(spark, sf_dir):
     """Probe CSV text of every metric row parsed back (memory at MiB precision, power truncated)."""
     lines = gpu_csv_lines(spark, sf_dir)
@@ -558,11 +567,13 @@ def q_parse_gpu_csv(spark, sf_dir):
 
 
 def llm_raw_chunks(spark, sf_dir) -> DataFrame:
-    """Raw chunk bytes for every chunk row: a blank line, the JSON record, then a non-JSON line."""
+    """Raw chunk bytes for every chunk row: a blank line, a record with text after it that forges an end marker
+    (rejected), the JSON record, then a non-JSON line."""
     c = _v(spark, sf_dir, "llm_chunks")
     rec = F.to_json(F.struct("model", rfc3339("arrival_ts").alias("created_at"), "response", "done",
                              "eval_count", "eval_duration", "prompt_eval_count"))
-    text = F.concat(F.lit("\r\n"), rec, F.lit("\ntrailing status line"))
+    forged = F.concat(F.regexp_replace(rec, '"done":(true|false)', '"done":true'), F.lit(',"#end#"] trailing'))
+    text = F.concat(F.lit("\r\n"), forged, F.lit("\n"), rec, F.lit("\ntrailing status line"))
     return c.select("session_id", "seq", "arrival_ts", text.cast("binary").alias("chunk"))
 
 
@@ -573,7 +584,7 @@ SELECT session_id, seq, arrival_ts, model,
 FROM llm_chunks""")
 def q_parse_llm_chunks(spark, sf_dir):
     """Raw chunk bytes of every chunk parsed strictly (first valid line wins)."""
-    return CH.parse_llm_chunks(llm_raw_chunks(spark, sf_dir))
+    return CH.stored_counts(CH.parse_llm_chunks(llm_raw_chunks(spark, sf_dir)))
 
 
 def request_bodies(spark, sf_dir) -> DataFrame:
@@ -715,7 +726,7 @@ WHERE done OR response IS NOT NULL OR strpos(coalesce(response, ''), 'generate')
   OR strpos(coalesce(response, ''), 'chat') > 0 OR strpos(model, 'generate') > 0 OR strpos(model, 'chat') > 0""")
 def q_parse_llm_log_lines(spark, sf_dir):
     """Log lines that name generate or chat, parsed as chunk records."""
-    return CH.parse_llm_log_lines(llm_log_lines(spark, sf_dir))
+    return CH.stored_counts(CH.parse_llm_log_lines(llm_log_lines(spark, sf_dir)))
 
 
 @register("parse_stored_times", LS_SQL + "SELECT id, start_time, end_time FROM llm_sessions")
@@ -792,9 +803,9 @@ ds AS (SELECT g.id AS sample_id, g."timestamp", g.gpu_id, g.name, g.utilization_
 
 
 @register("device_metrics", DS_SQL + """
-SELECT sample_id, "timestamp", gpu_id, CASE WHEN utilization_gpu > 0 THEN name ELSE 'GPU ' || CAST(gpu_id AS VARCHAR) END AS name,
-  utilization_gpu, utilization_memory, memory_used, memory_total,
-  CASE WHEN temperature <= 90 THEN temperature ELSE 0 END AS temperature, power_usage FROM ds""")
+SELECT sample_id, "timestamp", gpu_id::BIGINT AS gpu_id, CASE WHEN utilization_gpu > 0 THEN name ELSE 'GPU ' || CAST(gpu_id AS VARCHAR) END AS name,
+  utilization_gpu::BIGINT AS utilization_gpu, utilization_memory::BIGINT AS utilization_memory, memory_used, memory_total,
+  CASE WHEN temperature <= 90 THEN temperature ELSE 0 END::BIGINT AS temperature, power_usage::BIGINT AS power_usage FROM ds""")
 def q_device_metrics(spark, sf_dir):
     """Device samples normalised to metric rows (defaults for missing readings, devices without
     utilisation skipped, mW to W)."""
@@ -803,7 +814,7 @@ def q_device_metrics(spark, sf_dir):
 
 
 @register("device_processes", DS_SQL + """
-SELECT sample_id, 0::BIGINT AS id, "timestamp", gpu_id, utilization_gpu AS gpu_utilization, pid, pname AS name,
+SELECT sample_id, 0::BIGINT AS id, "timestamp", gpu_id::BIGINT AS gpu_id, utilization_gpu::BIGINT AS gpu_utilization, pid, pname AS name,
   used_gpu_memory FROM ds
 UNION ALL
 SELECT sample_id, 1::BIGINT, "timestamp", gpu_id, utilization_gpu, pid, 'pid_' || CAST(pid AS VARCHAR),

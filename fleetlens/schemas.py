@@ -35,27 +35,27 @@ GPU_PROCESS = _s(
 GPU_METRICS = _s(
     ("id", LongType(), True),
     ("timestamp", TimestampType(), False),
-    ("gpu_id", IntegerType(), False),
+    ("gpu_id", LongType(), False),
     ("name", StringType(), False),
-    ("utilization_gpu", IntegerType(), False),
-    ("utilization_memory", IntegerType(), False),
+    ("utilization_gpu", LongType(), False),
+    ("utilization_memory", LongType(), False),
     ("memory_used", LongType(), False),
     ("memory_total", LongType(), False),
-    ("temperature", IntegerType(), False),
-    ("power_usage", IntegerType(), False),
+    ("temperature", LongType(), False),
+    ("power_usage", LongType(), False),
 )
 
 # One row per (gpu, tick, process): the flattened process lists of the samples.
 PROCESS_SAMPLES = _s(
     ("id", LongType(), True),
     ("timestamp", TimestampType(), False),
-    ("gpu_id", IntegerType(), False),
+    ("gpu_id", LongType(), False),
     ("pid", LongType(), False),
     ("name", StringType(), True),
     ("command_line", StringType(), True),
     ("exe_path", StringType(), True),
     ("used_gpu_memory", LongType(), True),
-    ("gpu_utilization", IntegerType(), True),
+    ("gpu_utilization", LongType(), True),
 )
 
 # The OS process table the samples are joined with.
@@ -72,7 +72,7 @@ PROCESS_EVENTS = _s(
     ("name", StringType(), False),
     ("category", StringType(), False),
     ("gpu_memory_mb", LongType(), False),
-    ("gpu_utilization", IntegerType(), False),
+    ("gpu_utilization", LongType(), False),
     ("command_line", StringType(), True),
     ("exe_path", StringType(), True),
     ("duration_secs", LongType(), False),
@@ -110,7 +110,7 @@ WEEKLY_SUMMARIES = _s(
     ("category", StringType(), False),
     ("total_duration_secs", LongType(), False),
     ("avg_gpu_utilization", DoubleType(), False),
-    ("max_gpu_utilization", IntegerType(), False),
+    ("max_gpu_utilization", LongType(), False),
     ("total_gpu_memory_mb", LongType(), False),
     ("event_count", LongType(), False),
 )
@@ -134,13 +134,13 @@ TEXT_LINES = _s(("value", StringType(), True))
 
 DEVICE_SAMPLES = _s(
     ("timestamp", TimestampType(), False),
-    ("gpu_index", IntegerType(), False),
+    ("gpu_index", LongType(), False),
     ("name", StringType(), True),
-    ("utilization_gpu", IntegerType(), True),
-    ("utilization_memory", IntegerType(), True),
+    ("utilization_gpu", LongType(), True),
+    ("utilization_memory", LongType(), True),
     ("memory_used", LongType(), True),
     ("memory_total", LongType(), True),
-    ("temperature", IntegerType(), True),
+    ("temperature", LongType(), True),
     ("power_mw", LongType(), True),
     ("compute_processes", ArrayType(GPU_PROCESS), True),
     ("graphics_processes", ArrayType(GPU_PROCESS), True),

@@ -4,9 +4,10 @@ request log filter (S6), log lines (S7), running-model snapshots (S8).
 JSON is parsed strictly, the way a typed deserializer would: exact types, no
 duplicate keys, no trailing text, no negative or fractional counts.  Spark's
 ``from_json`` is lenient on all of these, so records are parsed to VARIANT and
-each field's type is checked.  A line ``L`` is parsed as ``[L,"#end#"]``: the
+each field's type is checked.  A line ``L`` is parsed as ``[L,"mark"]``: the
 marker survives only if ``L`` is one complete JSON value, which rejects
-trailing text.  Everything is an expression; no Python runs per row.
+trailing text.  The marker is a hash of the line, so a line cannot contain its
+own.  Everything is an expression; no Python runs per row.
 """
 
 from __future__ import annotations
@@ -16,25 +17,28 @@ from pyspark.sql import functions as F
 
 from fleetlens.sources.gpu import unicode_trim
 
-END_MARK = "#end#"
 MAX_REQUEST_BODY = 10 * 1024 * 1024
 # The two streaming endpoints.
 STREAMING_PATHS = ("/api/generate", "/api/chat")
 
 CHUNK_RECORD = ("struct<model:string,created_at:string,response:string,done:boolean,"
-                "eval_count:bigint,eval_duration:bigint,prompt_eval_count:bigint,prompt_eval_duration:bigint>")
+                "eval_count:decimal(20,0),eval_duration:decimal(20,0),prompt_eval_count:decimal(20,0),"
+                "prompt_eval_duration:decimal(20,0)>")
+COUNTS = ("eval_count", "eval_duration", "prompt_eval_count", "prompt_eval_duration")
+U64_MAX = 18446744073709551615
 
 
 def json_wrapped(text: Column) -> Column:
-    """VARIANT of ``[text,"#end#"]`` (null when not JSON); see ``unwrap``."""
-    return F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{END_MARK}"]')))
+    """The VARIANT of ``[text,"mark"]`` (null when not JSON) with its mark; see ``unwrap``."""
+    mark = F.sha2(text, 256)
+    return F.struct(F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]'))).alias("v"), mark.alias("mark"))
 
 
 def unwrap(wrapped: Column) -> Column:
     """The value of a ``json_wrapped`` text when the text was exactly one JSON value, else null."""
-    ok = ((F.try_variant_get(wrapped, "$[1]", "string") == F.lit(END_MARK))
-          & F.variant_get(wrapped, "$[2]", "variant").isNull())
-    return F.when(ok, F.variant_get(wrapped, "$[0]", "variant"))
+    v = wrapped["v"]
+    ok = (F.try_variant_get(v, "$[1]", "string") == wrapped["mark"]) & F.variant_get(v, "$[2]", "variant").isNull()
+    return F.when(ok, F.variant_get(v, "$[0]", "variant"))
 
 
 def json_value(text: Column) -> Column:
@@ -53,12 +57,14 @@ def _opt_string(v: Column, path: str):
 
 
 def _opt_u64(v: Column, path: str):
-    """Optional unsigned count: absent / null, or a non-negative JSON integer
-    within BIGINT (larger values cannot be stored and fail the record)."""
+    """Optional unsigned 64-bit count as DECIMAL(20,0): absent / null, or a
+    non-negative JSON integer.  Above BIGINT, VARIANT holds whole numbers as decimals."""
     t = _type(v, path)
-    val = F.when(t == "BIGINT", F.variant_get(v, path, "bigint"))
-    ok = t.isNull() | (t == "VOID") | ((t == "BIGINT") & (val >= 0))
-    return ok, val
+    big = t.rlike(r"^DECIMAL\((19|20),0\)$")
+    val = F.when((t == "BIGINT") | big, F.try_variant_get(v, path, "decimal(38,0)"))
+    in_range = (val >= 0) & (val <= F.lit(str(U64_MAX)).cast("decimal(20,0)"))
+    ok = t.isNull() | (t == "VOID") | (((t == "BIGINT") | big) & in_range)
+    return ok, F.when(in_range, val.cast("decimal(20,0)"))
 
 
 def record_of_value(v: Column) -> Column:
@@ -71,7 +77,7 @@ def record_of_value(v: Column) -> Column:
     ok = ok & (_type(v, "$.done") == "BOOLEAN")
     r_ok, response = _opt_string(v, "$.response")
     fields = {}
-    for name in ("eval_count", "eval_duration", "prompt_eval_count", "prompt_eval_duration"):
+    for name in COUNTS:
         f_ok, fields[name] = _opt_u64(v, f"$.{name}")
         ok = ok & f_ok
     ok = ok & r_ok
@@ -80,7 +86,7 @@ def record_of_value(v: Column) -> Column:
         F.variant_get(v, "$.created_at", "string").alias("created_at"),
         response.alias("response"),
         F.variant_get(v, "$.done", "boolean").alias("done"),
-        *[fields[n].alias(n) for n in ("eval_count", "eval_duration", "prompt_eval_count", "prompt_eval_duration")],
+        *[fields[n].alias(n) for n in COUNTS],
     )
     return F.when(F.coalesce(ok, F.lit(False)), rec)
 
@@ -137,13 +143,21 @@ def request_model(body) -> Column:
     return F.when(utf8 & is_obj & is_str, F.variant_get(v, "$.model", "string")).otherwise(F.lit("unknown"))
 
 
-def llm_requests(log: DataFrame) -> DataFrame:
+def stored_counts(chunks: DataFrame) -> DataFrame:
+    """Chunk counts as the BIGINT columns of the stored chunks: a count above BIGINT becomes its largest value."""
+    most = F.lit(9223372036854775807).cast("decimal(20,0)")
+    return chunks.withColumns({c: F.when(F.col(c).isNotNull(), F.least(F.col(c), most)).cast("long")
+                               for c in COUNTS if c in chunks.columns})
+
+
+def llm_requests(log: DataFrame, max_body: int | None = MAX_REQUEST_BODY) -> DataFrame:
     """Requests that open a session: streaming endpoint, 2xx status, body
-    within 10 MiB.  The session id is a hash of the request key, so a retried
+    of at most ``max_body`` bytes (the proxy's own admission rule; None admits all).
+    The session id is a hash of the request key, so a retried
     job assigns the same ids."""
-    body_len = F.coalesce(F.length(F.col("body")), F.lit(0))
-    keep = (F.col("path").isin(*STREAMING_PATHS) & F.col("status").between(200, 299)
-            & (body_len <= MAX_REQUEST_BODY))
+    keep = F.col("path").isin(*STREAMING_PATHS) & F.col("status").between(200, 299)
+    if max_body is not None:
+        keep = keep & (F.coalesce(F.octet_length(F.col("body")), F.lit(0)) <= max_body)
     return log.where(keep).select(
         F.sha2(F.col("request_key").cast("string"), 256).alias("session_id"),
         "request_key", "ts", "path", request_model("body").alias("model"))

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from fleetlens.functions.gpu import MIB, int_div
 from fleetlens.schemas import DEVICE_SAMPLES
 
-INT_MAX = 2147483647
+#: Largest value of the reference readings' unsigned 32-bit type.
+U32_MAX = 4294967295
 
 # Field order of a probe line (fixed).
 CSV_FIELDS = ("index", "name", "utilization_gpu", "utilization_memory", "memory_used_mib",
@@ -28,20 +29,22 @@ def unicode_trim(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
-def parse_uint(text: Column, type_name: str = "int") -> Column:
-    """Unsigned integer text (optional ``+``, digits only) to INT / BIGINT;
-    null when malformed or beyond the type's range (``try_cast``)."""
-    return F.when(text.rlike(_UINT_RE), text.try_cast(type_name))
+def parse_uint(text: Column, most: int | None = None) -> Column:
+    """Unsigned integer text (optional ``+``, digits only) to BIGINT; null when
+    malformed, beyond BIGINT (``try_cast``) or above ``most``."""
+    value = text.try_cast("long")
+    ok = text.rlike(_UINT_RE)
+    return F.when(ok if most is None else ok & (value <= F.lit(most)), value)
 
 
 def parse_float_truncated(text: Column) -> Column:
     """Float text to a non-negative whole number, as a saturating float-to-
     unsigned cast: fraction dropped, negatives and NaN to 0; saturates at the
-    INT range (the stored column's type).  Null when the text is not a float."""
+    unsigned 32-bit range.  Null when the text is not a float."""
     ok = text.rlike(_FLOAT_RE) | text.rlike(_SPECIAL_FLOAT_RE)
     # The guard stays outside: greatest() skips nulls and would turn a bad field into 0.
-    clamped = F.least(F.greatest(F.floor(F.nanvl(text.try_cast("double"), F.lit(0.0))), F.lit(0)), F.lit(INT_MAX))
-    return F.when(ok, clamped.cast("int"))
+    clamped = F.least(F.greatest(F.floor(F.nanvl(text.try_cast("double"), F.lit(0.0))), F.lit(0)), F.lit(U32_MAX))
+    return F.when(ok, clamped.cast("long"))
 
 
 def parse_gpu_csv(lines: DataFrame, value: str = "value", timestamp: Column | None = None) -> DataFrame:
@@ -49,8 +52,8 @@ def parse_gpu_csv(lines: DataFrame, value: str = "value", timestamp: Column | No
 
     Fields are split on ``,`` and trimmed; fewer than 8 fields drops the line,
     extra fields are ignored; any unparsable or out-of-range number drops the
-    line (index, utilisation and temperature must fit INT, memory in bytes
-    BIGINT).  Memory is MiB (times 1048576 for bytes), power a float truncated
+    line (index, utilisation and temperature must fit unsigned 32 bits, memory in
+    bytes BIGINT).  Memory is MiB (times 1048576 for bytes), power a float truncated
     to whole watts.
     Other input columns are carried through; ``timestamp`` defaults to the
     current time (the read time), as the probe has no clock of its own.
@@ -60,9 +63,9 @@ def parse_gpu_csv(lines: DataFrame, value: str = "value", timestamp: Column | No
     split = lines.select(*carried, F.transform(F.split(F.col(value), ","), lambda x: unicode_trim(x)).alias("_parts"))
     parts = F.col("_parts")
     fld = [F.get(parts, i) for i in range(8)]
-    gpu_id, util_g, util_m, temp = (parse_uint(fld[i], "int") for i in (0, 2, 3, 6))
-    mem_used = F.try_multiply(parse_uint(fld[4], "long"), F.lit(MIB).cast("long"))
-    mem_total = F.try_multiply(parse_uint(fld[5], "long"), F.lit(MIB).cast("long"))
+    gpu_id, util_g, util_m, temp = (parse_uint(fld[i], U32_MAX) for i in (0, 2, 3, 6))
+    mem_used = F.try_multiply(parse_uint(fld[4]), F.lit(MIB).cast("long"))
+    mem_total = F.try_multiply(parse_uint(fld[5]), F.lit(MIB).cast("long"))
     power = parse_float_truncated(fld[7])
     ts = timestamp if timestamp is not None else F.current_timestamp()
     out = split.select(
@@ -106,14 +109,14 @@ def normalise_device_samples(raw: DataFrame) -> DataFrame:
     return raw.where(keep).select(
         *carried,
         "timestamp",
-        F.col("gpu_index").cast("int").alias("gpu_id"),
+        F.col("gpu_index").cast("long").alias("gpu_id"),
         F.coalesce(F.col("name"), F.concat(F.lit("GPU "), F.col("gpu_index").cast("string"))).alias("name"),
-        F.col("utilization_gpu").cast("int").alias("utilization_gpu"),
-        F.col("utilization_memory").cast("int").alias("utilization_memory"),
+        F.col("utilization_gpu").cast("long").alias("utilization_gpu"),
+        F.col("utilization_memory").cast("long").alias("utilization_memory"),
         F.col("memory_used").cast("long").alias("memory_used"),
         F.col("memory_total").cast("long").alias("memory_total"),
-        F.coalesce(F.col("temperature"), F.lit(0)).cast("int").alias("temperature"),
-        F.coalesce(int_div("power_mw", 1000), F.lit(0)).cast("int").alias("power_usage"),
+        F.coalesce(F.col("temperature"), F.lit(0)).cast("long").alias("temperature"),
+        F.coalesce(int_div("power_mw", 1000), F.lit(0)).cast("long").alias("power_usage"),
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-RFC3339_RE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt ][0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]{1,9})?([Zz]|[+-][0-9]{2}:[0-9]{2})$"
+RFC3339_RE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt ][0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?([Zz]|[+-][0-9]{2}:[0-9]{2})$"
 
 
 def rfc3339_to_timestamp(text) -> Column:
@@ -18,6 +18,7 @@ def rfc3339_to_timestamp(text) -> Column:
     time without offset."""
     t = F.col(text) if isinstance(text, str) else text
     norm = F.regexp_replace(F.regexp_replace(t, "[Tt ]", "T"), "[Zz]$", "+00:00")
+    norm = F.regexp_replace(norm, r"(\.[0-9]{6})[0-9]+", "$1")      # finer than a microsecond: truncated
     return F.when(t.rlike(RFC3339_RE), norm.try_cast("timestamp"))
 
 
