@@ -6,8 +6,8 @@ against a template is the Dice coefficient 2 |A and B| / (|A| + |B|) of their se
 
 Two exact filters come first.  A unit at least ``threshold`` similar to a template shares at least
 ceil(t / (2 - t) |B|) of its bigrams, so it has one of any |B| - that + 1 of them (those with the
-longest words are taken), and the text has a word of one of these: one pass over the text drops most
-documents, one over a unit's bigrams most units.  Then the size bounds t / (2 - t) |B| <= |A| <=
+longest words are taken), and the text has the longer word of one of these: one pass over the words
+drops most documents, one over a unit's bigrams most units.  Then the size bounds t / (2 - t) |B| <= |A| <=
 (2 - t) / t |B| prune the candidate templates.  The templates are a fixed list, constants of the
 expressions: no join, no shuffle before the matches are gathered.
 
@@ -76,6 +76,12 @@ def _longest(bigram: str) -> str:
     return max(bigram.split(), key=lambda w: (len(w), w))
 
 
+def _settled(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """``rows`` with a column that is computed once a row: what stands above an explode is not merged
+    with what stands below, where it would be computed again inside each lambda and each filter."""
+    return rows.select(*[c for c in rows.columns if c != name], F.explode(F.array(value)).alias(name))
+
+
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = 0.8,
          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, unit, number, licence, template, dice, matched): the best template of every unit that has one.
@@ -95,9 +101,10 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, thresh
         names.update(map(_longest, ranked))
         entries.append(F.struct(F.lit(i).alias("at"), F.lit(low).alias("low"), F.lit(high).alias("high"),
                                 F.lit(len(grams)).alias("size"), F.array(*map(F.lit, grams)).alias("grams")))
-    pattern = "|".join(sorted(map(re.escape, names)))
+    named = F.array(*map(F.lit, sorted(names)))
+    words = lambda text: F.split(F.lower(text), NOT_A_WORD)
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).where(F.lower("t").rlike(pattern))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).where(F.arrays_overlap(words("t"), named))
 
     def units(kind: str, parts: Column, wanted: Column) -> Column:
         return F.filter(F.transform(parts, lambda p, i: F.struct(F.lit(kind).alias("unit"), i.alias("number"), p.alias("matched"))),
@@ -108,20 +115,18 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, thresh
     several = lambda p: p.rlike(r"[\r\n]")
     every = F.concat(units("line", lines, lambda p: F.lit(True)), units("paragraph", paragraphs, several),
                      F.when(F.size(paragraphs) > 1, units("text", F.array("t"), lambda p: F.lit(True))).otherwise(F.array()))
-    found = rows.select("doc_id", F.explode(every).alias("u")).select("doc_id", "u.*").where(F.lower("matched").rlike(pattern))
-    found = found.withColumn("words", F.array_remove(F.split(F.lower("matched"), NOT_A_WORD), ""))
-    smallest = min(_bounds(len(template_bigrams(t)), threshold)[0] for _, t in listed)
-    found = found.where(F.size("words") > smallest)
+    found = rows.select("doc_id", F.explode(every).alias("u")).select("doc_id", "u.*")
+    found = _settled(found, "words", words("matched")).where(F.arrays_overlap("words", named))
+    found = _settled(found, "words", F.array_remove("words", ""))
     pair = lambda a, b: F.when(b.isNotNull(), F.concat(a, F.lit(" "), b))
     grams = F.zip_with("words", F.slice("words", 2, F.size("words")), pair)
-    found = found.withColumn("grams", F.array_distinct(F.array_compact(grams))).where(
-        F.arrays_overlap("grams", F.array(*map(F.lit, sorted(must)))))
+    found = _settled(found, "grams", F.array_distinct(F.array_compact(grams)))
+    found = found.where(F.arrays_overlap("grams", F.array(*map(F.lit, sorted(must)))))
     size = F.size("grams")
     fitting = F.filter(F.array(*entries), lambda e: (e["low"] <= size) & (size <= e["high"]))
     measured = F.transform(fitting, lambda e: F.struct(
         (F.lit(2.0) * F.size(F.array_intersect("grams", e["grams"])) / (size + e["size"])).alias("dice"), (-e["at"]).alias("at")))
-    best = F.array_max(measured)
-    found = found.withColumn("best", best).where(F.col("best.dice") >= threshold)
+    found = _settled(found, "best", F.array_max(measured)).where(F.col("best.dice") >= threshold)
     licences = F.array(*[F.lit(name) for name, _ in listed])
     return found.select("doc_id", "unit", "number", F.get(licences, -F.col("best.at")).alias("licence"),
                         (-F.col("best.at")).alias("template"), F.col("best.dice").alias("dice"), "matched")
