@@ -18,13 +18,16 @@ from fleetlens.operators import series as S
 from fleetlens.operators import sessions as SS
 from fleetlens.sinks import archive as A
 from fleetlens.sinks import tables as T
-from fleetlens.sinks.compaction import compact_day
+from fleetlens.sinks.compaction import compact_closed_days, read_ingested
+
+# Leading sort columns of the stored tables (then time), for row-group pruning.
+SORT_COLUMNS = {"gpu_metrics": ("gpu_id",), "process_events": ("category",)}
 
 
 def hourly_upkeep(spark: SparkSession, tables: Mapping[str, str], archive_dir: str, weekly_path: str,
                   retention_days: int, now, archival: bool = True, compact: bool = True) -> DataFrame:
-    """Compaction of yesterday's micro-batch partitions (tables written by
-    the ingest stream), storage maintenance (K9), then the current week's
+    """Compaction of the closed days' micro-batch partitions (tables written by
+    the ingest stream; also days that an earlier run missed or left unfinished), storage maintenance (K9), then the current week's
     workload summary (A1 over the process_events table) upserted into
     ``weekly_path`` (K4).
 
@@ -35,13 +38,12 @@ def hourly_upkeep(spark: SparkSession, tables: Mapping[str, str], archive_dir: s
     config.prepare(spark)
     inst = as_instant(now, "now")
     if compact:
-        yesterday = (inst - _dt.timedelta(days=1)).date()
-        for path in tables.values():
+        for table, path in tables.items():
             if "batch_id" in spark.read.parquet(path).columns:
-                compact_day(spark, path, yesterday)
+                compact_closed_days(spark, path, inst.date(), SORT_COLUMNS.get(table, ()))
     report = A.maintain(spark, tables, archive_dir, retention_days, now, enabled=archival)
     monday = (inst - _dt.timedelta(days=inst.weekday())).date()
-    events = spark.read.parquet(tables["process_events"])
+    events = read_ingested(spark, tables["process_events"])
     T.upsert_weekly_summaries(spark, R.weekly_summary(events, week=monday.isoformat()), weekly_path)
     return report
 

@@ -1,20 +1,25 @@
-"""Archival and retention (K5-K9).
-
-``maintain`` archives first and then deletes exactly the files that were
-archived, with one date cutoff for both steps, so no row is ever deleted
-without being archived and rows on the cutoff date stay live.
-
-Archive layout: ``{archive_dir}/{table}_{cutoff}.parquet/batch={key}/``.  The
-batch key is a hash of the input files the archived rows come from and their
-row counts, so re-running the same archive overwrites the same batch
-(idempotent), while rows that reach an already archived date later (new files)
-land in a new batch of the same archive.
+"""Archival and retention (K5-K9), one closed date partition at a time.
+
+A table is a folder of date partitions (``date=D`` or ``start_date=D``).  Dates
+before a cutoff are archived to ``{archive_dir}/{table}_{D}.parquet`` once:
+
+* A table that is trimmed has its partition first moved to a folder readers do
+  not see (``_archiving/``, one atomic rename), then copied into the archive as
+  batch 0, 1, ..., then deleted.  Rows of that date that arrive later form a new
+  partition and, in their turn, the next batch.  A job that dies is finished by
+  the next one, which finds the moved folder and copies it over the same batch.
+* A table that is kept has the archive of a date rewritten only when the
+  partition has changed since (its signature, bytes and number of files, is kept
+  in a marker written after the copy).
+
+So no row is deleted before it is archived, none is archived twice, and the
+history is not copied again with every cutoff.  All steps work on folders; no
+list of files is collected.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
-import hashlib
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,10 +29,13 @@ from fleetlens import config
 from fleetlens.functions.display import as_instant
 from fleetlens.operators.pruning import before_date
 from fleetlens.schemas import ARCHIVE_LOG
+from fleetlens.sinks.compaction import MANIFESTS, compact_day
+from fleetlens.sinks.files import Folders
 
 # Archived tables and their time columns.
 ARCHIVE_TIME_COLUMNS = {"gpu_metrics": "timestamp", "process_events": "timestamp", "llm_sessions": "start_time"}
-LOG_DIR = "_archive_log"
+PARTITION_COLUMNS = {"llm_sessions": "start_date"}
+MOVED = "_archiving"
 
 
 def cutoff_date(now, days: int) -> _dt.date:
@@ -35,38 +43,70 @@ def cutoff_date(now, days: int) -> _dt.date:
     return (as_instant(now, "now") - _dt.timedelta(days=days)).date()
 
 
-def archive_path(archive_dir: str, table: str, cutoff: _dt.date) -> str:
-    return f"{archive_dir.rstrip('/')}/{table}_{cutoff.isoformat()}.parquet"
+def archive_path(archive_dir: str, table: str, day: str) -> str:
+    return f"{archive_dir.rstrip('/')}/{table}_{day}.parquet"
+
+
+def log_path(archive_dir: str) -> str:
+    """K6: the log is a table next to the archive folder, not an archive."""
+    return f"{archive_dir.rstrip('/')}_log"
+
+
+def _closed(fs: Folders, path: str, column: str, cutoff: _dt.date) -> list[str]:
+    """Days before the cutoff that have a partition (the rows without a time stay)."""
+    days = [n.split("=", 1)[1] for n in fs.folders(path, f"{column}=")]
+    return [d for d in days if d[:1].isdigit() and d < cutoff.isoformat()]
 
 
-def archive(spark: SparkSession, df: DataFrame, table: str, cutoff: _dt.date, archive_dir: str,
-            ts: str | None = None) -> tuple[int, str | None, list[str]]:
-    """K5: write rows with ``ts`` before the cutoff date to the table's archive.
+def archive(spark: SparkSession, path: str, table: str, cutoff: _dt.date, archive_dir: str,
+            trim: bool = False) -> list[tuple[str, int, str]]:
+    """K5: archive every date partition before the cutoff; with ``trim`` they leave the table.
 
-    Returns (rows archived, archive path or None when there was nothing, input
-    files the archived rows came from).  No rows, no files.
+    Returns (day, rows, archive path) of what was archived now.
     """
-    ts = ts or ARCHIVE_TIME_COLUMNS[table]
-    cand = df.where(before_date(df, ts, cutoff)).withColumn("_file", F.col("_metadata.file_path"))
-    # Per-file row counts: a partial aggregate whose result is one row per input file.
-    per_file = cand.groupBy("_file").agg(F.count(F.lit(1)).alias("n")).collect()
-    n = sum(int(r["n"]) for r in per_file)
-    if n == 0:
-        return 0, None, []
-    files = sorted(r["_file"] for r in per_file)
-    ident = "\n".join(f"{r['_file']}:{r['n']}" for r in sorted(per_file, key=lambda r: r["_file"]))
-    key = hashlib.sha256(ident.encode()).hexdigest()[:16]
-    path = archive_path(archive_dir, table, cutoff)
-    (cand.drop("_file").write.mode("overwrite").option("compression", "snappy")
-     .parquet(f"{path}/batch={key}"))
-    return n, path, files
+    path = path.rstrip("/")
+    fs, column = Folders(spark, path), PARTITION_COLUMNS.get(table, "date")
+    to = Folders(spark, archive_dir)
+    done = []
+    for day in _closed(fs, path, column, cutoff):
+        if fs.exists(f"{path}/{MANIFESTS}/date={day}"):
+            compact_day(spark, path, _dt.date.fromisoformat(day))      # finish what was begun
+    if trim:
+        for day in _closed(fs, path, column, cutoff):
+            n = len(to.folders(archive_path(archive_dir, table, day), "batch="))
+            moved = f"{path}/{MOVED}/{day}"
+            taken = len(fs.folders(moved, "batch="))
+            fs.move(f"{path}/{column}={day}", f"{moved}/batch={n + taken}")
+        for day in fs.folders(f"{path}/{MOVED}"):
+            for batch in fs.folders(f"{path}/{MOVED}/{day}", "batch="):
+                moved, target = f"{path}/{MOVED}/{day}/{batch}", f"{archive_path(archive_dir, table, day)}/{batch}"
+                rows = _copy(spark, moved, target)
+                fs.delete(moved)
+                done.append((day, rows, archive_path(archive_dir, table, day)))
+        return done
+    for day in _closed(fs, path, column, cutoff):
+        source, target = f"{path}/{column}={day}", archive_path(archive_dir, table, day)
+        marker, now = f"{archive_dir.rstrip('/')}/_{table}_{day}", fs.signature(f"{path}/{column}={day}")
+        if to.exists(marker) and to.read_text(marker) == now:
+            continue
+        rows = _copy(spark, source, f"{target}/batch=0")
+        to.write_text(marker, now)
+        done.append((day, rows, target))
+    return done
+
+
+def _copy(spark: SparkSession, source: str, target: str) -> int:
+    """The rows of one partition, with their batch if they have one, written over ``target``; their number."""
+    rows = spark.read.option("basePath", source).parquet(source)
+    rows.write.mode("overwrite").option("compression", "snappy").parquet(target)
+    return spark.read.parquet(target).count()
 
 
 def archive_log(spark: SparkSession, entries: list[tuple[_dt.date, str, int, str]], archive_dir: str) -> DataFrame:
-    """K6: append one ``archive_log`` row per archived table."""
+    """K6: append one ``archive_log`` row per archived table and day."""
     df = spark.createDataFrame(entries, ARCHIVE_LOG)
     if entries:
-        df.write.mode("append").parquet(f"{archive_dir.rstrip('/')}/{LOG_DIR}")
+        df.write.mode("append").parquet(log_path(archive_dir))
     return df
 
 
@@ -84,10 +124,8 @@ def list_archives(spark: SparkSession, archive_dir: str) -> DataFrame:
 
 
 def archive_size(spark: SparkSession, archive_dir: str) -> int:
-    """K7: bytes of all files in the archive folder."""
-    row = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(archive_dir)
-           .agg(F.coalesce(F.sum("length"), F.lit(0)).alias("b")).first())
-    return int(row["b"])
+    """K7: bytes of all archives."""
+    return int(list_archives(spark, archive_dir).agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("b")).first()["b"])
 
 
 def _re_escape(s: str) -> str:
@@ -95,72 +133,34 @@ def _re_escape(s: str) -> str:
     return re.escape(s)
 
 
-def delete_files(spark: SparkSession, files: list[str]) -> int:
-    """Delete the given files (Hadoop FileSystem of each path); returns how many."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    n = 0
-    for f in files:
-        p = jvm.org.apache.hadoop.fs.Path(f)
-        fs = p.getFileSystem(conf)
-        if fs.delete(p, False):
-            n += 1
-    return n
-
-
-def retain(spark: SparkSession, table_path: str, cutoff: _dt.date, ts: str = "timestamp",
-           files: list[str] | None = None, partition_cols: tuple[str, ...] = ("date",)) -> int:
-    """K8: delete rows before the cutoff date; returns the number deleted.
-
-    With ``files`` (the input files an archive step read) only those files are
-    touched; otherwise every file holding such rows.  A file whose rows are all
-    before the cutoff is deleted; a file that also holds newer rows first has
-    those rows appended back to the table, then goes.  In a date-partitioned
-    table the second case never arises.
-    """
-    df = spark.read.parquet(table_path).withColumn("_file", F.col("_metadata.file_path"))
-    old = before_date(df, ts, cutoff)
-    if files is None:
-        files = [r[0] for r in df.where(old).select("_file").distinct().collect()]
-    if not files:
+def retain(spark: SparkSession, path: str, cutoff: _dt.date, table: str = "gpu_metrics") -> int:
+    """K8: delete the date partitions before the cutoff, whole; returns the number of rows deleted."""
+    path = path.rstrip("/")
+    fs, column = Folders(spark, path), PARTITION_COLUMNS.get(table, "date")
+    days = _closed(fs, path, column, cutoff)
+    if not days:
         return 0
-    per_file = (df.where(F.col("_file").isin(files)).groupBy("_file")
-                .agg(F.count_if(old).alias("old"), F.count_if(~old).alias("young")).collect())
-    mixed = [r["_file"] for r in per_file if r["young"] > 0]
-    if mixed:
-        young = df.where(F.col("_file").isin(mixed) & ~old).drop("_file")
-        parts = [c for c in partition_cols if c in young.columns]
-        young.write.mode("append").partitionBy(*parts).parquet(table_path)
-    delete_files(spark, [r["_file"] for r in per_file])
-    return int(sum(r["old"] for r in per_file))
+    rows = spark.read.parquet(path)
+    n = rows.where(F.col(column) < F.lit(cutoff)).count()       # partition filter: footers only
+    for day in days:
+        fs.delete(f"{path}/{column}={day}")
+    return n
 
 
 def maintain(spark: SparkSession, tables: Mapping[str, str], archive_dir: str, retention_days: int, now,
              trim: tuple[str, ...] = ("gpu_metrics",), enabled: bool = True) -> DataFrame:
-    """K9: archive every table's rows before date(now - days), log them, and if
-    anything was archived delete exactly the archived files of the ``trim``
-    tables.  Returns a report (table, archived, deleted, archive)."""
+    """K9: archive every table's dates before date(now - days) and log them; the ``trim`` tables lose
+    exactly what was archived.  Returns a report (table, archived, deleted, archives)."""
     config.prepare(spark)
-    rows = []
-    if not enabled:
-        return spark.createDataFrame([], "table string, archived long, deleted long, archive string")
+    report, log = [], []
     cut = cutoff_date(now, retention_days)
-    log, archived_files = [], {}
-    for table, path in tables.items():
-        df = spark.read.parquet(path)
-        n, apath, files = archive(spark, df, table, cut, archive_dir)
-        archived_files[table] = files
-        rows.append([table, n, 0, apath])
-        if n:
-            log.append((cut, table, n, apath))
+    for table, path in tables.items() if enabled else ():
+        done = archive(spark, path, table, cut, archive_dir, trim=table in trim)
+        rows = sum(n for _, n, _ in done)
+        report.append((table, rows, rows if table in trim else 0, len(done)))
+        log += [(_dt.date.fromisoformat(day), table, n, where) for day, n, where in done]
     archive_log(spark, log, archive_dir)
-    if log:
-        for r in rows:
-            table = r[0]
-            if table in trim and archived_files.get(table):
-                r[2] = retain(spark, tables[table], cut, ARCHIVE_TIME_COLUMNS[table], archived_files[table])
-    return spark.createDataFrame([tuple(r) for r in rows],
-                                 "table string, archived long, deleted long, archive string")
+    return spark.createDataFrame(report, "table string, archived long, deleted long, archives long")
 
 
 def archive_split(df: DataFrame, table: str, cutoff: _dt.date) -> DataFrame:

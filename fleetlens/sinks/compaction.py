@@ -3,55 +3,104 @@
 The ingest stream (R2) writes each micro-batch into its own
 ``date=D/batch_id=N`` partition so a replay replaces its own output.  At a 2 s
 trigger that is tens of thousands of small partitions a day, so closed days are
-compacted:
-
-1. the input is every file of day ``D`` in an un-compacted batch (``batch_id >= 0``);
-2. it is written, repartitioned to a target file count, into
-   ``batch_id = -k`` where ``k`` is derived from a hash of the exact input file
-   list;
-3. then exactly those input files are deleted.
-
-A rerun after a failure between 2 and 3 sees the same input files, derives the
-same ``k``, finds that batch present and only finishes step 3; a rerun after
-success finds no input.  Late rows that reach a compacted day form a new input
-set and a new compacted batch.
+compacted.  Batch ids rise, so "all batches up to U" names an input that later
+batches never join; the newest batch of the table is left out, as the stream may
+still replay it.
+
+1. a manifest ``_compaction/date=D`` names U;
+2. the input is written, sorted and in files of a target size, to a folder
+   readers do not see, then moved to ``date=D/batch_id=-(U + 1)``;
+3. a marker beside the manifest says that it is published;
+4. the input batches' folders are deleted, then the manifest, then the marker.
+
+A job that dies anywhere is finished by the next one from the manifest: before 3
+it writes the same input again over what it had, after 3 it only deletes.
+``read_ingested`` reads such a table without double rows at every moment: it
+ignores the compacted batch until it is published and the input after that.
+Late rows form batches above U and wait for the next compaction of the day.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
-import hashlib
+from collections.abc import Sequence
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens import config
-from fleetlens.sinks.archive import delete_files
+from fleetlens.sinks.files import Folders
+
+MANIFESTS = "_compaction"
+PUBLISHED = ".published"
+
+
+def _batches(fs: Folders, day_path: str) -> list[int]:
+    return sorted(int(n.split("=", 1)[1]) for n in fs.folders(day_path, "batch_id="))
 
 
-def _batch_key(files: list[str]) -> int:
-    digest = hashlib.sha256("\n".join(sorted(files)).encode()).hexdigest()
-    return -(int(digest[:15], 16) + 1)
+def _manifests(fs: Folders, path: str) -> dict[str, tuple[int, bool]]:
+    """day -> (U, published) of unfinished compactions."""
+    names = fs.files(f"{path}/{MANIFESTS}")
+    return {n.split("=", 1)[1]: (int(fs.read_text(f"{path}/{MANIFESTS}/{n}")), n + PUBLISHED in names)
+            for n in names if n.startswith("date=") and "." not in n}
 
 
-def compact_day(spark: SparkSession, path: str, day: _dt.date, target_bytes: int = 256 * 1024 * 1024) -> int:
-    """Compact one closed day of an ingest table; returns the number of input files merged."""
+def read_ingested(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    """An ingest table as readers should see it while days are being compacted."""
+    path = path.rstrip("/")
+    reader = spark.read.schema(schema) if schema is not None else spark.read
+    df = reader.parquet(path)
+    for day, (up_to, published) in _manifests(Folders(spark, path), path).items():
+        here = F.col("date") == F.lit(day).cast("date")
+        hidden = F.col("batch_id").between(0, up_to) if published else F.col("batch_id") == -(up_to + 1)
+        df = df.where(~(here & hidden))
+    return df
+
+
+def compact_day(spark: SparkSession, path: str, day: _dt.date, target_bytes: int = 256 * 1024 * 1024,
+                sort: Sequence[str] = ()) -> int:
+    """Compact one closed day of an ingest table (or finish a compaction of it); returns the number of
+    input batches."""
     config.prepare(spark)
-    table = spark.read.parquet(path).withColumn("_file", F.col("_metadata.file_path"))
-    day_rows = table.where((F.col("date") == F.lit(day)) & (F.col("batch_id") >= 0))
-    per_file = day_rows.groupBy("_file").agg(F.max(F.col("_metadata.file_size")).alias("bytes")).collect()
-    if len(per_file) <= 1:
-        return 0
-    files = sorted(r["_file"] for r in per_file)
-    key = _batch_key(files)
-    done = (table.where((F.col("date") == F.lit(day)) & (F.col("batch_id") == F.lit(key)))
-            .limit(1).count() > 0)
-    if not done:
-        total = sum(int(r["bytes"]) for r in per_file)
-        n_out = max(1, -(-total // target_bytes))
-        out = (day_rows.where(F.col("_file").isin(files)).drop("_file", "batch_id")
-               .withColumn("batch_id", F.lit(key).cast("long")))
-        (out.repartition(n_out).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("date", "batch_id").parquet(path))
-    delete_files(spark, files)
-    return len(files)
+    path = path.rstrip("/")
+    fs = Folders(spark, path)
+    name, day_path = f"date={day.isoformat()}", f"{path}/date={day.isoformat()}"
+    manifest, staging = f"{path}/{MANIFESTS}/{name}", f"{path}/{MANIFESTS}/staging/{name}"
+    begun = _manifests(fs, path).get(day.isoformat())
+    if begun is None:
+        newest = max((max(_batches(fs, f"{path}/{d}"), default=-1) for d in fs.folders(path, "date=")), default=-1)
+        inputs = [b for b in _batches(fs, day_path) if 0 <= b < newest]
+        if len(inputs) <= 1:
+            return 0
+        begun = (inputs[-1], False)
+        fs.delete(manifest + PUBLISHED)          # of a compaction that ended just before removing it
+        fs.write_text(manifest, str(begun[0]))
+    up_to, published = begun
+    inputs = [b for b in _batches(fs, day_path) if 0 <= b <= up_to]
+    target = f"{day_path}/batch_id={-(up_to + 1)}"
+    if not published:
+        fs.delete(staging)
+        fs.delete(target)
+        size = int(fs.signature(day_path).split("-")[0])
+        rows = spark.read.parquet(*[f"{day_path}/batch_id={b}" for b in inputs])
+        order = [c for c in (*sort, "timestamp") if c in rows.columns]
+        files = max(1, -(-size // target_bytes))
+        rows = rows.repartitionByRange(files, *order) if order else rows.repartition(files)
+        rows.sortWithinPartitions(*order).write.mode("overwrite").parquet(staging)
+        fs.move(staging, target)
+        fs.write_text(manifest + PUBLISHED, "")
+    for b in inputs:
+        fs.delete(f"{day_path}/batch_id={b}")
+    fs.delete(manifest)
+    fs.delete(manifest + PUBLISHED)
+    return len(inputs)
+
+
+def compact_closed_days(spark: SparkSession, path: str, today: _dt.date, sort: Sequence[str] = ()) -> int:
+    """Compact every day before ``today`` that has several batches, or an unfinished compaction."""
+    path = path.rstrip("/")
+    fs = Folders(spark, path)
+    days = {n.split("=", 1)[1] for n in fs.folders(path, "date=")} | set(_manifests(fs, path))
+    closed = sorted(d for d in days if d[:1].isdigit() and d < today.isoformat())
+    return sum(compact_day(spark, path, _dt.date.fromisoformat(d), sort=sort) for d in closed)

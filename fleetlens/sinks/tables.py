@@ -23,14 +23,12 @@ from pyspark.sql.types import DateType, StructField, StructType
 
 from fleetlens import config
 from fleetlens.schemas import LLM_SESSIONS, WEEKLY_SUMMARIES
+from fleetlens.sinks.files import Folders
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path).limit(0).collect()
-        return True
-    except Exception:  # noqa: BLE001 - missing path or no files yet
-        return False
+    """Whether there is a table at ``path``; a failed listing or denied read rises."""
+    return Folders(spark, path).exists(path)
 
 
 def append_partitioned(df: DataFrame, path: str, ts: str = "timestamp", date_col: str = "date",
@@ -100,6 +98,14 @@ def upsert_sessions(spark: SparkSession, incoming: DataFrame, path: str, locate_
     table), for inputs that cannot promise that.
     """
     config.prepare(spark)
+    incoming = incoming.persist()      # its dates and its rows: one run of what makes them
+    try:
+        _merge_into_sessions(spark, incoming, path, locate_existing)
+    finally:
+        incoming.unpersist()
+
+
+def _merge_into_sessions(spark: SparkSession, incoming: DataFrame, path: str, locate_existing: bool) -> None:
     inc = incoming.select(*LLM_SESSIONS.fieldNames())
     if not _exists(spark, path):
         inc_first = merge_sessions(inc.limit(0), inc)

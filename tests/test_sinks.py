@@ -1,10 +1,12 @@
 import datetime as dt
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from fleetlens.schemas import GPU_METRICS, LLM_SESSIONS, WEEKLY_SUMMARIES
 from fleetlens.sinks import archive as A
+from fleetlens.sinks import files
 from fleetlens.sinks import tables as T
 from fleetlens.sources.stored import read_archive
 
@@ -57,36 +59,102 @@ def _metrics(spark, times):
     return spark.createDataFrame(rows, GPU_METRICS)
 
 
-def test_archive_then_retain_exactly(spark, scratch):
-    table = os.path.join(scratch, "gpu_metrics")
-    arch = os.path.join(scratch, "archive")
+def _live(spark, table):
+    return sorted(r["id"] for r in spark.read.parquet(table).collect())
+
+
+def _archived(spark, arch, day):
+    return sorted(r["id"] for r in spark.read.parquet(A.archive_path(arch, "gpu_metrics", day)).collect())
+
+
+NOW = dt.datetime(2024, 1, 17, 12, tzinfo=dt.timezone.utc)
+
+
+def test_archive_then_trim_exactly(spark, scratch):
+    table, arch = os.path.join(scratch, "gpu_metrics"), os.path.join(scratch, "archive")
     times = [dt.datetime(2024, 1, 9, 23, 59, 59), dt.datetime(2024, 1, 10, 0, 0, 0), dt.datetime(2024, 1, 10, 15)]
     T.append_gpu_metrics(_metrics(spark, times), table)
-    now = dt.datetime(2024, 1, 17, 12, tzinfo=dt.timezone.utc)
-    report = {r["table"]: r for r in A.maintain(spark, {"gpu_metrics": table}, arch, 7, now).collect()}
+    report = A.maintain(spark, {"gpu_metrics": table}, arch, 7, NOW).collect()[0]
     # Cutoff date 2024-01-10: only the row before midnight is archived and deleted.
-    assert report["gpu_metrics"]["archived"] == 1 and report["gpu_metrics"]["deleted"] == 1
-    live = sorted(r["timestamp"] for r in spark.read.parquet(table).collect())
-    assert live == times[1:]
-    archived = spark.read.parquet(report["gpu_metrics"]["archive"]).collect()
-    assert [r["timestamp"] for r in archived] == times[:1]
+    assert (report["archived"], report["deleted"], report["archives"]) == (1, 1, 1)
+    assert _live(spark, table) == [1, 2] and _archived(spark, arch, "2024-01-09") == [0]
     listing = A.list_archives(spark, arch).collect()
-    assert [r["archive"] for r in listing] == ["gpu_metrics_2024-01-10.parquet"]
-    assert A.archive_size(spark, arch) >= listing[0]["bytes"] > 0
-    log = spark.read.parquet(os.path.join(arch, A.LOG_DIR)).collect()
-    assert [(r["table_name"], r["records_archived"]) for r in log] == [("gpu_metrics", 1)]
-    # Nothing left to archive: a rerun writes no file and deletes nothing.
-    again = A.maintain(spark, {"gpu_metrics": table}, arch, 7, now).collect()[0]
-    assert (again["archived"], again["deleted"]) == (0, 0)
-
-
-def test_retain_rewrites_newer_rows_of_mixed_files(spark, scratch):
-    table = os.path.join(scratch, "flat")
-    times = [dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 5)]
-    _metrics(spark, times).coalesce(1).write.parquet(table)   # one file holding both dates
-    deleted = A.retain(spark, table, dt.date(2024, 1, 3))
-    assert deleted == 1
-    assert [r["timestamp"] for r in spark.read.parquet(table).collect()] == times[1:]
+    assert [r["archive"] for r in listing] == ["gpu_metrics_2024-01-09.parquet"]
+    assert A.archive_size(spark, arch) == listing[0]["bytes"] > 0
+    log = spark.read.parquet(A.log_path(arch)).collect()
+    assert [(r["archive_date"], r["table_name"], r["records_archived"]) for r in log] == [(dt.date(2024, 1, 9), "gpu_metrics", 1)]
+    # A rerun archives nothing; a late row of an archived day becomes its next batch.
+    assert A.maintain(spark, {"gpu_metrics": table}, arch, 7, NOW).collect()[0]["archived"] == 0
+    T.append_gpu_metrics(_metrics(spark, [dt.datetime(2024, 1, 20), dt.datetime(2024, 1, 9, 5)]).where("id = 1").withColumn("id", F.lit(77).cast("long")), table)
+    assert A.maintain(spark, {"gpu_metrics": table}, arch, 7, NOW).collect()[0]["archived"] == 1
+    assert _archived(spark, arch, "2024-01-09") == [0, 77] and _live(spark, table) == [1, 2]
+
+
+class Died(Exception):
+    pass
+
+
+def _dies_at(monkeypatch, step: int):
+    """Every folder step (move, delete, marker) counts; the given one fails before it happens."""
+    count = {"n": 0}
+    for name in ("move", "delete", "write_text"):
+        real = getattr(files.Folders, name)
+
+        def run(self, *args, real=real):
+            count["n"] += 1
+            if count["n"] == step:
+                raise Died
+            return real(self, *args)
+        monkeypatch.setattr(files.Folders, name, run)
+    return count
+
+
+def test_archive_survives_a_crash_at_any_step(spark, scratch, monkeypatch):
+    for trim in (("gpu_metrics",), ()):
+        for step in range(1, 40):
+            table, arch = os.path.join(scratch, f"t{len(trim)}{step}"), os.path.join(scratch, f"a{len(trim)}{step}")
+            T.append_gpu_metrics(_metrics(spark, [dt.datetime(2024, 1, d, 3) for d in (5, 5, 6, 12)]), table)
+            with monkeypatch.context() as m:
+                count = _dies_at(m, step)
+                try:
+                    A.maintain(spark, {"gpu_metrics": table}, arch, 7, NOW, trim=trim)
+                except Died:
+                    pass
+            A.maintain(spark, {"gpu_metrics": table}, arch, 7, NOW, trim=trim)
+            assert _archived(spark, arch, "2024-01-05") == [0, 1] and _archived(spark, arch, "2024-01-06") == [2]
+            assert _live(spark, table) == ([3] if trim else [0, 1, 2, 3])
+            if count["n"] < step:
+                break
+        assert step < 39
+
+
+def test_kept_table_is_archived_again_only_when_a_day_changed(spark, scratch):
+    table, arch = os.path.join(scratch, "gpu_metrics"), os.path.join(scratch, "archive")
+    T.append_gpu_metrics(_metrics(spark, [dt.datetime(2024, 1, 5), dt.datetime(2024, 1, 6)]), table)
+    cut = dt.date(2024, 1, 10)
+    assert [(d, n) for d, n, _ in A.archive(spark, table, "gpu_metrics", cut, arch)] == [("2024-01-05", 1), ("2024-01-06", 1)]
+    assert A.archive(spark, table, "gpu_metrics", cut, arch) == []
+    T.append_gpu_metrics(_metrics(spark, [dt.datetime(2024, 1, 6, 1)]), table)
+    assert [(d, n) for d, n, _ in A.archive(spark, table, "gpu_metrics", cut, arch)] == [("2024-01-06", 2)]
+
+
+def test_retain_deletes_whole_days(spark, scratch):
+    table = os.path.join(scratch, "gpu_metrics")
+    T.append_gpu_metrics(_metrics(spark, [dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 3), dt.datetime(2024, 1, 5)]), table)
+    assert A.retain(spark, table, dt.date(2024, 1, 3)) == 1 and _live(spark, table) == [1, 2]
+    assert A.retain(spark, table, dt.date(2024, 1, 3)) == 0
+
+
+def test_upsert_does_not_take_a_broken_table_for_none(spark, scratch):
+    path = os.path.join(scratch, "sessions")
+    T.upsert_sessions(spark, spark.createDataFrame([_session("a", 0, 5, "m", 1, 1), _session("b", 0, 5, "m", 1, 1)], LLM_SESSIONS), path)
+    day = [d for d in os.listdir(path) if d.startswith("start_date=")][0]
+    with open(os.path.join(path, day, "part-broken.parquet"), "wb") as f:
+        f.write(b"not parquet")
+    with pytest.raises(Exception):
+        T.upsert_sessions(spark, spark.createDataFrame([_session("c", 0, 5, "m", 1, 1)], LLM_SESSIONS), path)
+    os.replace(os.path.join(path, day, "part-broken.parquet"), os.path.join(scratch, "aside"))
+    assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == ["a", "b"]
 
 
 def test_hourly_upkeep(spark, scratch):

@@ -55,39 +55,52 @@ def test_export_stream_equals_batch(spark, scratch):
         assert r == b[(r["window_start"], r["gpu_id"])]
 
 
-def test_compact_day_is_exact_and_idempotent(spark, scratch):
-    from fleetlens.sinks.compaction import compact_day
+def _ingested(spark, path, batches):
     from fleetlens.streaming.ingest import _write_batch
-    path = os.path.join(scratch, "m")
-    day = dt.date(2024, 1, 1)
-    for b in range(4):   # four micro-batches of the same day, one of the next day
-        rows = [(10 * b + i, T0 + dt.timedelta(seconds=10 * b + i), 0, "G", 1, 1, 1, 1, 1, 1) for i in range(3)]
+    for b, day in batches:
+        rows = [(10 * b + i, T0 + dt.timedelta(days=day, seconds=10 * b + i), 0, "G", 1, 1, 1, 1, 1, 1) for i in range(3)]
         _write_batch(spark.createDataFrame(rows, GPU_METRICS), path, b)
-    _write_batch(spark.createDataFrame([(99, T0 + dt.timedelta(days=1), 0, "G", 1, 1, 1, 1, 1, 1)], GPU_METRICS),
-                 path, 4)
-    before = sorted(r["id"] for r in spark.read.parquet(path).collect())
-    assert compact_day(spark, path, day) >= 4
-    after = spark.read.parquet(path)
-    assert sorted(r["id"] for r in after.collect()) == before
-    assert after.where((F.col("date") == day) & (F.col("batch_id") >= 0)).count() == 0
-    assert compact_day(spark, path, day) == 0          # nothing left to do
-    assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == before
 
 
-def test_compact_day_recovers_after_failed_delete(spark, scratch, monkeypatch):
-    import fleetlens.sinks.compaction as C
-    from fleetlens.streaming.ingest import _write_batch
+def _ids(df):
+    return sorted(r["id"] for r in df.collect())
+
+
+def test_compact_day_is_exact_and_idempotent(spark, scratch):
+    from fleetlens.sinks.compaction import compact_closed_days, compact_day, read_ingested
     path = os.path.join(scratch, "m")
-    for b in range(3):
-        rows = [(10 * b + i, T0 + dt.timedelta(seconds=10 * b + i), 0, "G", 1, 1, 1, 1, 1, 1) for i in range(2)]
-        _write_batch(spark.createDataFrame(rows, GPU_METRICS), path, b)
-    before = sorted(r["id"] for r in spark.read.parquet(path).collect())
-    real_delete = C.delete_files
-    monkeypatch.setattr(C, "delete_files", lambda *_: 0)     # the job dies after writing, before deleting
-    C.compact_day(spark, path, dt.date(2024, 1, 1))
-    monkeypatch.setattr(C, "delete_files", real_delete)
-    C.compact_day(spark, path, dt.date(2024, 1, 1))           # the rerun only finishes the deletion
-    assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == before
+    _ingested(spark, path, [(0, 0), (1, 0), (2, 0), (3, 0), (4, 1)])
+    before = _ids(spark.read.parquet(path))
+    assert compact_day(spark, path, T0.date(), sort=("gpu_id",)) == 4
+    after = spark.read.parquet(path)
+    assert _ids(after) == _ids(read_ingested(spark, path)) == before
+    assert after.where((F.col("date") == T0.date()) & (F.col("batch_id") >= 0)).count() == 0
+    assert compact_day(spark, path, T0.date()) == 0          # nothing left to do
+    _ingested(spark, path, [(5, 0), (6, 0), (7, 1), (8, 2)])   # late batches of the day
+    assert compact_closed_days(spark, path, T0.date() + dt.timedelta(days=2)) == 4
+    assert _ids(spark.read.parquet(path)) == sorted(before + [10 * b + i for b in (5, 6, 7, 8) for i in range(3)])
+
+
+def test_compact_day_survives_a_crash_at_any_step(spark, scratch, monkeypatch):
+    from fleetlens.sinks.compaction import compact_day, read_ingested
+    from test_sinks import Died, _dies_at
+    for step in range(1, 30):
+        path = os.path.join(scratch, f"m{step}")
+        _ingested(spark, path, [(0, 0), (1, 0), (2, 0), (3, 1)])
+        before = _ids(spark.read.parquet(path))
+        with monkeypatch.context() as m:
+            count = _dies_at(m, step)
+            try:
+                compact_day(spark, path, T0.date())
+            except Died:
+                pass
+        assert _ids(read_ingested(spark, path)) == before          # readers see every row once, also now
+        _ingested(spark, path, [(4, 0)])                            # a late batch meanwhile
+        compact_day(spark, path, T0.date())
+        assert _ids(spark.read.parquet(path)) == sorted(before + [40, 41, 42])
+        if count["n"] < step:
+            break
+    assert step < 29
 
 
 def test_export_counters_stream_matches_batch_for_closed_periods(spark, scratch):
