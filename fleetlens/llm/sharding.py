@@ -32,6 +32,7 @@ from fleetlens.llm.common import checkpointed
 GROUPS_PER_TASK = 50_000
 FAN = 4096
 BUNDLES = 64
+LEAST_IN_BUNDLE = 16
 ROWS_PER_BUCKET = 50_000
 
 
@@ -71,18 +72,19 @@ def difference(partials: list[list[int]]) -> tuple[list[int], list[list[int]]]:
 def _bundled(members: DataFrame, tasks: int) -> DataFrame:
     """(k1, k2, bundle, sums): members (k1, k2, bytes) differenced per task into ``BUNDLES`` bundles; the
     bundles' bytes come with one of the task's members."""
-    ways = BUNDLES
+    most = BUNDLES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]
         if not rows:
             return
         rows.sort(key=lambda r: (-r[2], r[0], r[1]))
+        ways = min(most, max(1, len(rows) // LEAST_IN_BUNDLE))     # however few rows a task has, bundles are fewer
         total, places = difference([[r[2]] + [0] * (ways - 1) for r in rows])
         part = TaskContext.get().partitionId()
         yield pa.RecordBatch.from_arrays(
             [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
-             pa.array([part * ways + p[0] for p in places], pa.int64()),
+             pa.array([part * most + p[0] for p in places], pa.int64()),
              pa.array([total] + [None] * (len(rows) - 1), pa.list_(pa.int64()))], ["k1", "k2", "bundle", "sums"])
 
     schema = "k1 long, k2 long, bundle long, sums array<long>"

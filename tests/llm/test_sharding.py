@@ -34,6 +34,7 @@ def test_shards(spark, monkeypatch, per_task, fan):
     monkeypatch.setattr(sharding, "GROUPS_PER_TASK", per_task)
     monkeypatch.setattr(sharding, "FAN", fan)
     monkeypatch.setattr(sharding, "BUNDLES", 12)
+    monkeypatch.setattr(sharding, "LEAST_IN_BUNDLE", 3)
     monkeypatch.setattr(sharding, "ROWS_PER_BUCKET", 100)
     rows = rows_of(4)
     docs = spark.createDataFrame([(*r, 3, 1.0) for r in rows], "doc_id long, text string, shard int, size double")
