@@ -10,7 +10,7 @@ from __future__ import annotations
 import datetime as _dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.display import rfc3339
@@ -23,8 +23,44 @@ CHART_METRICS = ("utilization_gpu", "utilization_memory", "temperature", "power_
 GAUGE_METRICS = ("utilization_gpu", "memory_used", "memory_total", "temperature", "power_usage")
 
 
-def _order_key(ts: str = "timestamp", tiebreak: Sequence[str] = ("id",)):
-    return F.struct(F.col(ts), *[F.col(t) for t in tiebreak])
+_FIXED_WIDTH = {"byte", "short", "integer", "long", "float", "double", "boolean", "date", "timestamp", "timestamp_ntz", "decimal"}
+_WHOLE = {"byte", "short", "integer", "long"}
+
+
+def order_key(df: DataFrame, ts: str = "timestamp", tiebreak: Sequence[str] = ("id",)) -> Column:
+    """The order (ts, tie-break) as one fixed-width value, so that aggregates by it are hash aggregates:
+    microseconds and a whole-number tie-break packed into a DECIMAL(38,0).  Other tie-breaks give a struct.
+    Missing parts come first."""
+    types = {f.name: f.dataType.typeName() for f in df.schema.fields}
+    micros = F.coalesce(F.unix_micros(F.col(ts).cast("timestamp")), F.lit(-(1 << 62)))
+    if not tiebreak:
+        return micros
+    if len(tiebreak) > 1 or types.get(tiebreak[0]) not in _WHOLE:
+        return F.struct(F.col(ts), *[F.col(t) for t in tiebreak])
+    low = F.coalesce(F.col(tiebreak[0]).cast("long"), F.lit(-(1 << 63)))
+    return (micros.cast("decimal(19,0)") * F.lit(str(1 << 64)).cast("decimal(20,0)") + low.cast("decimal(19,0)")).cast("decimal(38,0)")
+
+
+def last_by(df: DataFrame, keys: Sequence, columns: Sequence[str], ts: str = "timestamp",
+            tiebreak: Sequence[str] = ("id",)) -> DataFrame:
+    """The ``columns`` of the newest row of every key group.
+
+    Fixed-width columns are ``max_by`` aggregates over a packed order, which hash.  Text and other
+    variable-width columns would make Spark sort all rows; for these the newest order per key is found
+    by a hash aggregate and joined back, and only the matching rows (one, but for repeated rows) are
+    aggregated again.
+    """
+    keys, columns = list(keys), list(columns)
+    types = {f.name: f.dataType.typeName() for f in df.schema.fields}
+    rows = df.withColumn("_fl_o", order_key(df, ts, tiebreak))
+    if all(types[c] in _FIXED_WIDTH for c in columns):
+        return rows.groupBy(*keys).agg(*[F.max_by(c, "_fl_o").alias(c) for c in columns])
+    newest = rows.groupBy(*keys).agg(F.max("_fl_o").alias("_fl_m")).select(*[F.col(k).alias(f"_fl_{i}") for i, k in enumerate(keys)], "_fl_m")
+    same = F.col("_fl_o") == F.col("_fl_m")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_fl_{i}"))
+    top = rows.join(newest, same).groupBy(*keys).agg(F.max(F.struct(*columns)).alias("_fl_r"))
+    return top.select(*keys, *[F.col(f"_fl_r.{c}").alias(c) for c in columns])
 
 
 def time_range(df: DataFrame, start=None, end=None, ts: str = "timestamp",
@@ -62,19 +98,15 @@ def latest_per_gpu(df: DataFrame, keys: Sequence[str] = ("gpu_id",), gpu_id: int
     """The newest row of every device (or of one), with the memory view."""
     if gpu_id is not None:
         df = df.where(F.col("gpu_id") == F.lit(gpu_id))
-    keys = list(keys)
     others = [c for c in df.columns if c not in keys]
-    latest = (df.groupBy(*keys)
-              .agg(F.max_by(F.struct(*[F.col(c) for c in others]), _order_key(ts, tiebreak)).alias("_r"))
-              .select(*keys, *[F.col(f"_r.{c}").alias(c) for c in others]))
-    return memory_view(latest)
+    return memory_view(last_by(df, keys, others, ts, tiebreak).select(*keys, *others))
 
 
-def gpu_gauges(df: DataFrame, ts: str = "timestamp", tiebreak: Sequence[str] = ("id",)) -> DataFrame:
-    """A2: last value per (gpu_id, name) of utilisation, memory used/total, temperature, power."""
-    return (df.groupBy("gpu_id", "name")
-            .agg(F.max_by(F.struct(*[F.col(m) for m in GAUGE_METRICS]), _order_key(ts, tiebreak)).alias("_g"))
-            .select("gpu_id", "name", *[F.col(f"_g.{m}").alias(m) for m in GAUGE_METRICS]))
+def gpu_gauges(df: DataFrame, ts: str = "timestamp", tiebreak: Sequence[str] = ("id",),
+               keys: Sequence[str] = ()) -> DataFrame:
+    """A2: last value per (*keys, gpu_id, name) of utilisation, memory used/total, temperature, power.
+    ``keys``: e.g. ("host",), as gpu_id is unique only within a host."""
+    return last_by(df, [*keys, "gpu_id", "name"], GAUGE_METRICS, ts, tiebreak)
 
 
 def series_stats(df: DataFrame, metrics: Sequence[str] = CHART_METRICS, keys: Sequence[str] = ("gpu_id",),
@@ -87,12 +119,12 @@ def series_stats(df: DataFrame, metrics: Sequence[str] = CHART_METRICS, keys: Se
     keys = list(keys)
     if "memory_percent" in metrics and "memory_percent" not in df.columns:
         df = df.withColumn("memory_percent", memory_percent())
-    order = _order_key(ts, tiebreak)
+    df = df.withColumn("_fl_o", order_key(df, ts, tiebreak))
     aggs = []
     for m in metrics:
         v = F.col(m).cast("double")
         aggs += [F.min(v).alias(f"{m}__min"), F.max(v).alias(f"{m}__max"), F.avg(v).alias(f"{m}__avg"),
-                 F.max_by(v, order).alias(f"{m}__cur"), F.count(v).alias(f"{m}__n")]
+                 F.max_by(v, F.col("_fl_o")).alias(f"{m}__cur"), F.count(v).alias(f"{m}__n")]
     wide = df.groupBy(*keys).agg(*aggs)
     return wide.select(*keys, F.explode(F.array(*[
         F.struct(F.lit(m).alias("metric"), F.col(f"{m}__n").alias("n"), F.col(f"{m}__min").alias("min_value"),

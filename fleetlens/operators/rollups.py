@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.gpu import MIB
+from fleetlens.operators.metrics import last_by
 from fleetlens.operators.pruning import time_filter
 from fleetlens.schemas import WORKLOAD_CATEGORIES
 
@@ -53,20 +54,17 @@ def category_gauges(events: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     per_tick = (events.groupBy(*keys, "timestamp", "category")
                 .agg(F.count(F.lit(1)).alias("process_count"),
                      F.sum(F.col("gpu_memory_mb") * F.lit(MIB)).cast("long").alias("memory_bytes")))
-    return (per_tick.groupBy(*keys, "category")
-            .agg(F.max_by(F.struct("timestamp", "process_count", "memory_bytes"), "timestamp").alias("_g"))
-            .select(*keys, "category", F.col("_g.timestamp").alias("tick"),
-                    F.col("_g.process_count").alias("process_count"),
-                    F.col("_g.memory_bytes").alias("memory_bytes")))
+    return per_tick.groupBy(*keys, "category").agg(
+        F.max("timestamp").alias("tick"), F.max_by("process_count", "timestamp").alias("process_count"),
+        F.max_by("memory_bytes", "timestamp").alias("memory_bytes"))
 
 
 def process_memory(events: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """A4: last memory (bytes) per (category, process name, pid)."""
-    return (events.groupBy(*keys, "category", F.col("name").alias("process_name"), "pid")
-            .agg(F.max_by(F.struct("timestamp", (F.col("gpu_memory_mb") * F.lit(MIB)).cast("long")
-                                   .alias("memory_bytes")), "timestamp").alias("_m"))
-            .select(*keys, "category", "process_name", "pid", F.col("_m.timestamp").alias("tick"),
-                    F.col("_m.memory_bytes").alias("memory_bytes")))
+    """A4: last memory (bytes) per (category, process name, pid); the larger of two in one tick."""
+    per_tick = events.groupBy(*keys, "category", F.col("name").alias("process_name"), "pid", "timestamp").agg(
+        F.max((F.col("gpu_memory_mb") * F.lit(MIB)).cast("long")).alias("memory_bytes"))
+    return per_tick.groupBy(*keys, "category", "process_name", "pid").agg(
+        F.max("timestamp").alias("tick"), F.max_by("memory_bytes", "timestamp").alias("memory_bytes"))
 
 
 # Histogram bucket upper bounds.
@@ -199,15 +197,14 @@ def metric_snapshot(gauges: DataFrame, sessions: DataFrame, events: DataFrame,
 
 
 def export_windows(metrics: DataFrame, every: str = "10 seconds", ts: str = "timestamp",
-                   tiebreak: Sequence[str] = ("id",)) -> DataFrame:
+                   tiebreak: Sequence[str] = ("id",), keys: Sequence[str] = ()) -> DataFrame:
     """R5 (batch form): per export period and (gpu_id, name), the last value of
     each GPU gauge within the period.  The streaming form adds a watermark."""
-    order = F.struct(F.col(ts), *[F.col(t) for t in tiebreak])
     cols = list(GPU_GAUGE_NAMES)
-    return (metrics.groupBy(F.window(ts, every).alias("w"), "gpu_id", "name")
-            .agg(F.max_by(F.struct(*[F.col(c) for c in cols]), order).alias("_g"))
-            .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
-                    "gpu_id", "name", *[F.col(f"_g.{c}").alias(c) for c in cols]))
+    rows = metrics.withColumn("window_start", F.window(ts, every).start)
+    last = last_by(rows, ["window_start", *keys, "gpu_id", "name"], cols, ts, tiebreak)
+    return last.select("window_start", (F.col("window_start") + F.expr(f"INTERVAL {every}")).alias("window_end"),
+                       *keys, "gpu_id", "name", *cols)
 
 
 def export_counters(sessions: DataFrame, every: str = "10 seconds") -> DataFrame:
@@ -219,16 +216,16 @@ def export_counters(sessions: DataFrame, every: str = "10 seconds") -> DataFrame
                     "model", "total_tokens", "sessions"))
 
 
-def export_process_gauges(events: DataFrame, every: str = "10 seconds") -> DataFrame:
+def export_process_gauges(events: DataFrame, every: str = "10 seconds", keys: Sequence[str] = ()) -> DataFrame:
     """R5 process gauges: per export period and category, the process count and
     memory bytes of the last tick in the period in which the category occurred."""
-    per_tick = (events.groupBy("timestamp", "category")
+    per_tick = (events.groupBy(*keys, "timestamp", "category")
                 .agg(F.count(F.lit(1)).alias("process_count"),
                      F.sum(F.col("gpu_memory_mb") * F.lit(MIB)).cast("long").alias("memory_bytes")))
-    return (per_tick.groupBy(F.window("timestamp", every).alias("w"), "category")
-            .agg(F.max_by(F.struct("process_count", "memory_bytes"), "timestamp").alias("_g"))
-            .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "category",
-                    F.col("_g.process_count").alias("process_count"), F.col("_g.memory_bytes").alias("memory_bytes")))
+    return (per_tick.groupBy(F.window("timestamp", every).alias("w"), *keys, "category")
+            .agg(F.max_by("process_count", "timestamp").alias("process_count"), F.max_by("memory_bytes", "timestamp").alias("memory_bytes"))
+            .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *keys, "category",
+                    "process_count", "memory_bytes"))
 
 
 def export_histogram(sessions: DataFrame, value: str, buckets: Sequence[float],

@@ -4,9 +4,12 @@ A device's series can be arbitrarily long and one device may hold a large share
 of all rows, so no operator here runs a window over a whole device.  Positions
 are computed in two levels:
 
-1. rows are cut into (device, time block) groups, blocks sized per device so
-   that each holds about ``DEFAULT_BLOCK_ROWS`` rows; a per-block row count is a
-   partial aggregation (map-side combine), so a hot device costs nothing extra;
+1. rows are cut into (device, block) groups that follow the order of the series:
+   fixed time slices, of which those with more than ``DEFAULT_BLOCK_ROWS`` rows
+   (a burst, one bad clock, equal or missing times) are cut again into seconds,
+   and such seconds into single times and ranges of the tie-break; a per-block
+   row count is a partial aggregation (map-side combine), so a hot device costs
+   nothing extra;
 2. a running sum over the small per-block count table gives each block's offset;
 3. ``row_number`` runs per (device, block) — bounded by the block size — and
    the offset is added.
@@ -23,10 +26,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BLOCK_SECONDS = 3600
-# Series operators size blocks by rows: each key's block width is chosen so that
-# a block holds about this many rows, however dense the key is.
+# A slice with more rows than this is cut into finer blocks, however the rows lie in it.
 DEFAULT_BLOCK_ROWS = 1_000_000
-MIN_BLOCK_MICROS = 1000
+BLOCK_COLUMNS = ("_fl_blk", "_fl_sec", "_fl_us", "_fl_tie")
 
 # Chart point budget by time range (hours): <=1 h, <=6 h, longer.
 def max_points_for_range(hours: float) -> int:
@@ -52,91 +54,100 @@ def _non_null_default(dtype) -> Column:
     raise TypeError(f"unsupported key type {dtype.simpleString()}")
 
 
+def with_blocks(df: DataFrame, keys: Sequence[str], ts: str, tiebreak: Sequence[str],
+                block_seconds: int = DEFAULT_BLOCK_SECONDS, block_rows: int | None = DEFAULT_BLOCK_ROWS) -> DataFrame:
+    """``df`` with the helper columns ``partitioning_columns(keys)``: key columns without nulls (a null key is
+    a group of its own) and a block id whose order is that of (ts, first tie-break).  Null times sort first.
+
+    Blocks are ``block_seconds`` wide.  With ``block_rows``, a block above it is cut into its seconds, and a
+    second above it into single microseconds and ranges of ``block_rows`` values of the first tie-break (if
+    that is a whole number, such as an id).  The tables of blocks above the bound have at most one row per
+    ``block_rows`` rows of ``df``; they are broadcast, so the rows are not shuffled for this.
+    """
+    types = dict((f.name, f.dataType) for f in df.schema.fields)
+    q, least = f"`{ts}`", -(2 ** 63)
+    helpers = {}
+    for i, k in enumerate(keys):
+        helpers[f"_fl_k{i}"] = F.coalesce(F.col(k), _non_null_default(types[k]))
+        helpers[f"_fl_n{i}"] = F.col(k).isNull()
+    blk, sec, us, tie = BLOCK_COLUMNS
+    rows = df.withColumns(helpers | {blk: F.expr(f"coalesce(CAST(floor(unix_micros({q}) / {int(block_seconds) * 1_000_000}) AS BIGINT), {least}L)")})
+    zero = F.lit(0).cast("long")
+    if not block_rows:
+        return rows.withColumns({sec: zero, us: zero, tie: zero})
+    group = list(helpers)
+
+    def above(part: DataFrame, by: list[str], mark: str) -> DataFrame:
+        large = part.groupBy(*by).agg(F.expr("count(1)").alias("_fl_cnt")).where(F.col("_fl_cnt") > block_rows)
+        return F.broadcast(large.select(*by, F.lit(True).alias(mark)))
+
+    dense = above(rows, [*group, blk], "_fl_dense")
+    seconds = F.expr(f"coalesce(CAST(floor(unix_micros({q}) / 1000000) AS BIGINT), {least}L)")
+    inside = rows.join(dense, [*group, blk]).withColumn(sec, seconds)
+    rows = rows.join(dense, [*group, blk], "left").withColumn(sec, F.when(F.col("_fl_dense"), seconds).otherwise(zero)).drop("_fl_dense")
+    dense = above(inside, [*group, blk, sec], "_fl_dense")
+    whole = bool(tiebreak) and types[tiebreak[0]].typeName() in ("byte", "short", "integer", "long")
+    span = F.expr(f"coalesce(CAST(floor(`{tiebreak[0]}` / {int(block_rows)}) AS BIGINT), {least}L)") if whole else zero
+    rows = rows.join(dense, [*group, blk, sec], "left")
+    return rows.withColumns({us: F.when(F.col("_fl_dense"), F.expr(f"coalesce(unix_micros({q}), {least}L)")).otherwise(zero),
+                             tie: F.when(F.col("_fl_dense"), span).otherwise(zero)}).drop("_fl_dense")
+
+
 def prefix_sum(df: DataFrame, keys: Sequence[str], ts: str, tiebreak: Sequence[str], weight: Column | None = None,
                block_seconds: int = DEFAULT_BLOCK_SECONDS, out: str = "prefix", total: str | None = None,
-               keep_partitioning: bool = False, block_rows: int | None = None) -> DataFrame:
+               keep_partitioning: bool = False, block_rows: int | None = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """Add, for every row, the sum of ``weight`` over the rows of its key group
     strictly before it in (ts, *tiebreak) order (``weight`` None counts rows),
     and optionally the group total.
 
-    Two levels, so no window ever spans a whole key group: per (key, time
-    block) sums are a partial aggregate; a running sum over that small table
-    gives each block's offset; the in-block part is a window per (key, block).
-    Null times sort first (as in an ascending window) and a null key is a
-    group of its own: every grouping, the join and the windows use plain
-    columns (key with a typed default, null flag, block), so the join and the
-    in-block window share one partitioning and the rows are shuffled once.
-    ``keep_partitioning`` keeps those columns (``partitioning_columns``) so a
-    following aggregate on a superset of them needs no exchange.
-
-    Blocks are ``block_seconds`` wide, or, with ``block_rows``, sized per key:
-    a per-key aggregate (count, first and last time) sets each key's width so
-    that a block holds about ``block_rows`` rows (never under 1 ms).  A key
-    holding a third of all rows then gets proportionally narrower blocks.  The
-    per-key table has one row per key and is joined on the key columns.
+    Two levels, so no window ever spans a whole key group: per (key, block)
+    sums are a partial aggregate; a running sum over that small table gives each
+    block's offset; the in-block part is a window per (key, block).  Blocks are
+    those of ``with_blocks``.  Every grouping, the join and the windows use its
+    helper columns, so the join and the in-block window share one partitioning
+    and the rows are shuffled once.  ``keep_partitioning`` keeps those columns
+    (``partitioning_columns``) so a following aggregate on a superset of them
+    needs no exchange.
     """
     keys = list(keys)
-    types = dict((f.name, f.dataType) for f in df.schema.fields)
     q = lambda c: f"`{c}`"
-    blk, long_min = "_fl_blk", -(2 ** 63)
-    helpers, group = {}, []
-    for i, k in enumerate(keys):
-        helpers[f"_fl_k{i}"] = F.coalesce(F.col(k), _non_null_default(types[k]))
-        helpers[f"_fl_n{i}"] = F.col(k).isNull()
-        group += [f"_fl_k{i}", f"_fl_n{i}"]
     if weight is not None:
-        helpers["_fl_w"] = weight.cast("long")
-    rows = df.withColumns(helpers)
-    by_key = ", ".join(group)
-    if block_rows:
-        stats = rows.groupBy(*group).agg(F.expr("count(1)").alias("_fl_cnt_all"),
-                                         F.expr(f"min(unix_micros({q(ts)}))").alias("_fl_lo"),
-                                         F.expr(f"max(unix_micros({q(ts)}))").alias("_fl_hi"))
-        stats = stats.selectExpr(
-            *group, "coalesce(_fl_lo, 0L) AS _fl_lo",
-            # A block never needs to be wider than the key's span, which also keeps the cast in range.
-            f"coalesce(greatest({MIN_BLOCK_MICROS}L, CAST(least(CAST(_fl_hi - _fl_lo + 1 AS DOUBLE), "
-            f"ceil(CAST(_fl_hi - _fl_lo + 1 AS DOUBLE) * {float(block_rows)}D / _fl_cnt_all)) AS BIGINT)), "
-            f"{MIN_BLOCK_MICROS}L) AS _fl_width")
-        rows = rows.join(stats, group)
-        raw_blk = f"floor((unix_micros({q(ts)}) - _fl_lo) / _fl_width)"
-    else:
-        raw_blk = f"floor(unix_micros({q(ts)}) / {int(block_seconds) * 1_000_000})"
-    # Null times sort first (ascending order), so they form a block ahead of all others.
-    rows = rows.withColumn(blk, F.expr(f"coalesce(CAST({raw_blk} AS BIGINT), {long_min}L)"))
-    if block_rows:
-        rows = rows.drop("_fl_lo", "_fl_width")
+        df = df.withColumn("_fl_w", weight.cast("long"))
+    rows = with_blocks(df, keys, ts, tiebreak, block_seconds, block_rows)
+    part = partitioning_columns(keys)
+    group, blocks = part[:-len(BLOCK_COLUMNS)], list(BLOCK_COLUMNS)
+    by_key, by_block = ", ".join(group), ", ".join(blocks)
     per_block = "sum(_fl_w)" if weight is not None else "count(1)"
-    counts = rows.groupBy(*group, blk).agg(F.expr(per_block).alias("_fl_cnt"))
-    offset_cols = [f"CAST(coalesce(sum(_fl_cnt) OVER (PARTITION BY {by_key} ORDER BY {blk} "
+    counts = rows.groupBy(*part).agg(F.expr(per_block).alias("_fl_cnt"))
+    offset_cols = [f"CAST(coalesce(sum(_fl_cnt) OVER (PARTITION BY {by_key} ORDER BY {by_block} "
                    f"ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS _fl_off"]
     if total:
         offset_cols.append(f"CAST(sum(_fl_cnt) OVER (PARTITION BY {by_key}) AS BIGINT) AS {q(total)}")
-    offsets = counts.selectExpr(*group, blk, *offset_cols)
+    offsets = counts.selectExpr(*part, *offset_cols)
     order = ", ".join(q(c) for c in [ts, *tiebreak])
-    in_block = f"PARTITION BY {by_key}, {blk} ORDER BY {order}"
+    in_block = f"PARTITION BY {', '.join(part)} ORDER BY {order}"
     local = (f"row_number() OVER ({in_block}) - 1" if weight is None else
              f"coalesce(sum(_fl_w) OVER ({in_block} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)")
-    out_df = (rows.join(offsets, [*group, blk])
+    out_df = (rows.join(offsets, part)
               .withColumn(out, F.expr(f"CAST(_fl_off + {local} AS BIGINT)"))
               .drop("_fl_off"))
     if not keep_partitioning:
-        out_df = out_df.drop(blk, *group)
+        out_df = out_df.drop(*part)
     return out_df.drop("_fl_w") if weight is not None else out_df
 
 
 def partitioning_columns(keys: Sequence[str]) -> list[str]:
-    """The helper columns ``prefix_sum(keep_partitioning=True)`` leaves: the rows
-    are hash-partitioned on exactly these."""
-    return [c for i in range(len(keys)) for c in (f"_fl_k{i}", f"_fl_n{i}")] + ["_fl_blk"]
+    """The helper columns of ``with_blocks``: ``prefix_sum(keep_partitioning=True)`` leaves the rows
+    hash-partitioned on exactly these."""
+    return [c for i in range(len(keys)) for c in (f"_fl_k{i}", f"_fl_n{i}")] + list(BLOCK_COLUMNS)
 
 
 def ordered_index(df: DataFrame, keys: Sequence[str] = ("gpu_id",), ts: str = "timestamp",
                   tiebreak: Sequence[str] = ("id",), block_seconds: int = DEFAULT_BLOCK_SECONDS,
                   index: str = "idx", size: str = "n", block_rows: int | None = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """Add the 0-based position of each row within its key group, ordered by
-    (ts, *tiebreak), and the group size.  Blocks are sized per key by rows
-    (``block_rows``); pass ``block_rows=None`` for fixed ``block_seconds``."""
+    (ts, *tiebreak), and the group size.  Blocks are ``block_seconds`` wide, those above
+    ``block_rows`` rows cut finer; pass ``block_rows=None`` to leave them whole."""
     return prefix_sum(df, keys, ts, tiebreak, None, block_seconds, out=index, total=size, block_rows=block_rows)
 
 

@@ -12,20 +12,17 @@ State of a session after a chunk (in (arrival_ts, seq) order):
   arrival.  The state survives ``done``, so a second ``done`` emits again.
 
 Plan (exact for any number of ``done`` chunks; no window task holds more than
-one time block of a session, so a long or hot session spreads over many tasks):
-
-1. segment of a chunk = number of ``done`` chunks before it in its session, a
-   blocked prefix count (``series.prefix_sum``): per (session, time block)
-   counts are a partial aggregate, a running sum over that small table gives
-   block offsets, the in-block part is a window per (session, block);
-2. per (session, time block, segment) aggregates of the state (start, model,
-   first token, last non-null counts, the ``done`` ending the segment),
-   grouped on a superset of step 1's partitioning, so without an exchange;
-3. a running combine over each session's (segment, block) rows, emitting the
-   rows that hold a ``done``: every chunk up to a ``done`` lies in an earlier
-   segment or in an earlier block of its own segment.
-
-Raw chunks are shuffled once (step 1); step 3 moves aggregates only.
+one block of a session, so a long or hot session spreads over many tasks):
+
+1. chunks are cut into blocks per session that follow their order
+   (``series.with_blocks``: time slices, a burst cut finer);
+2. per (session, block) aggregates of the state (start, model, first token, last
+   non-null counts), a partial aggregate; the state is associative, so a running
+   combine over that small table gives the state before each block;
+3. a running window per (session, block) over the chunks, combined with the
+   state before the block, emits the rows at each ``done``.
+
+Raw chunks are shuffled once, for the join with that state and the window together.
 """
 
 from __future__ import annotations
@@ -40,7 +37,7 @@ from fleetlens.functions import sessions as SF
 from fleetlens.functions.display import (as_instant, clock_time, duration_text, fixed, model_base_name,
                                          thousands_text, ts_literal, ttft_text)
 from fleetlens.operators.pruning import time_filter
-from fleetlens.operators.series import partitioning_columns, prefix_sum
+from fleetlens.operators.series import BLOCK_COLUMNS, partitioning_columns, with_blocks
 
 ORDER = ("arrival_ts", "seq")
 
@@ -65,45 +62,39 @@ def _finish(df: DataFrame) -> DataFrame:
 
 
 def track_sessions(chunks: DataFrame, order: Sequence[str] = ORDER, block_seconds: int = 60,
-                   start_col: str | None = None, block_rows: int | None = None) -> DataFrame:
+                   start_col: str | None = None, block_rows: int | None = 100_000) -> DataFrame:
     """R1 + P6 (batch): one ``llm_sessions`` row per ``done`` chunk.
 
     ``start_col`` (e.g. a ``request_ts`` column carried by the chunks) makes
     the session start at the earliest value of that column instead of the first
     chunk's arrival, so time to first token counts from the request.  Blocks
-    are ``block_seconds`` wide (one response stream's rate is bounded), or
-    sized per session by rows with ``block_rows``.
+    are ``block_seconds`` wide, those above ``block_rows`` chunks cut finer.
     """
     order = list(order)
-    seg = prefix_sum(chunks, ["session_id"], order[0], order[1:], F.col("done").cast("int"), block_seconds,
-                     out="_seg", keep_partitioning=True, block_rows=block_rows)
+    rows = with_blocks(chunks, ["session_id"], order[0], order[1:], block_seconds, block_rows)
     part = partitioning_columns(["session_id"])
+    group, blocks = part[:-len(BLOCK_COLUMNS)], list(BLOCK_COLUMNS)
     key_sql = "struct(" + ", ".join(f"`{c}`" for c in order) + ")"
-
-    def last_non_null(c: str) -> str:
-        return f"max_by(`{c}`, CASE WHEN `{c}` IS NOT NULL THEN {key_sql} END)"
-
-    segs = seg.groupBy("session_id", *part, "_seg").agg(*[F.expr(a) for a in (
-        f"min(`{start_col or 'arrival_ts'}`) AS _start",
-        f"min_by(model, {key_sql}) AS _model",
-        "min(CASE WHEN response IS NOT NULL THEN arrival_ts END) AS _first_token",
-        f"{last_non_null('prompt_eval_count')} AS _prompt",
-        f"{last_non_null('eval_count')} AS _completion",
-        f"{last_non_null('eval_duration')} AS _eval_ns",
-        "max(CASE WHEN done THEN arrival_ts END) AS _end",
-    )])
-    w = ("OVER (PARTITION BY session_id ORDER BY _seg, _fl_blk "
-         "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
-    state = segs.selectExpr(
-        "session_id", "_end",
-        f"min(_start) {w} AS _start",
-        f"first(_model) {w} AS _model",
-        f"min(_first_token) {w} AS _first_token",
-        f"last(_prompt, true) {w} AS _prompt",
-        f"last(_completion, true) {w} AS _completion",
-        f"last(_eval_ns, true) {w} AS _eval_ns",
-    )
-    return _finish(state.where(F.col("_end").isNotNull()))
+    start, first_token = f"`{start_col or 'arrival_ts'}`", "CASE WHEN response IS NOT NULL THEN arrival_ts END"
+    counts = {"prompt": "prompt_eval_count", "completion": "eval_count", "eval_ns": "eval_duration"}
+
+    per_block = rows.groupBy(*part).agg(*[F.expr(a) for a in (
+        f"min({start}) AS _start", f"min_by(model, {key_sql}) AS _model", f"min({first_token}) AS _first_token",
+        *[f"max_by(`{c}`, CASE WHEN `{c}` IS NOT NULL THEN {key_sql} END) AS _{n}" for n, c in counts.items()])])
+    earlier = (f"OVER (PARTITION BY {', '.join(group)} ORDER BY {', '.join(blocks)} "
+               "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+    before = per_block.selectExpr(
+        *part, f"min(_start) {earlier} AS _b_start", f"first(_model) {earlier} AS _b_model",
+        f"min(_first_token) {earlier} AS _b_first_token", *[f"last(_{n}, true) {earlier} AS _b_{n}" for n in counts])
+    so_far = (f"OVER (PARTITION BY {', '.join(part)} ORDER BY {', '.join(f'`{c}`' for c in order)} "
+              "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+    state = rows.join(before, part).selectExpr(
+        "session_id", "done", "arrival_ts AS _end",
+        f"least(_b_start, min({start}) {so_far}) AS _start",
+        f"coalesce(_b_model, first(model) {so_far}) AS _model",
+        f"coalesce(_b_first_token, min({first_token}) {so_far}) AS _first_token",
+        *[f"coalesce(last(`{c}`, true) {so_far}, _b_{n}) AS _{n}" for n, c in counts.items()])
+    return _finish(state.where("done"))
 
 
 def sessions_between(sessions: DataFrame, start, end, newest_first: bool = True) -> DataFrame:

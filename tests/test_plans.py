@@ -83,3 +83,18 @@ def test_cluster_sizing_keeps_explicit_settings(spark):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_latest_values_are_hash_aggregates(spark):
+    """No raw row is sorted for its first partial aggregate."""
+    from fleetlens import fixtures
+    from fleetlens.operators import metrics as M
+    from fleetlens.operators import rollups as R
+    g = fixtures.view(spark, "/root/testdata/sf0.001", "gpu_metrics")
+    events = g.selectExpr("timestamp", "name", "'gaming' AS category", "id AS pid", "memory_used AS gpu_memory_mb")
+    for df in (M.series_stats(g), M.gpu_gauges(g), R.export_windows(g), R.process_memory(events), R.category_gauges(events),
+               R.export_process_gauges(events)):
+        assert "SortAggregate" not in df._jdf.queryExecution().executedPlan().toString()
+    # W3 has text columns: only the rows that match the newest order are aggregated by sorting
+    plan = M.latest_per_gpu(g)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("SortAggregate") < plan.index("Join") and "HashAggregate" in plan

@@ -32,21 +32,32 @@ def _brute_positions(rows):
 def test_ordered_index_matches_brute_force_with_hot_key(spark):
     rows, df = _series(spark, {0: 3000, 1: 40, 2: 1})
     _, pos = _brute_positions(rows)
-    # Row-sized blocks (the hot key gets ~30 of them) and fixed one-minute blocks.
+    # Blocks cut to 100 rows and fixed one-minute blocks.
     got = {r["id"]: (r["idx"], r["n"]) for r in ordered_index(df, block_rows=100).collect()}
     assert got == pos
     got = {r["id"]: (r["idx"], r["n"]) for r in ordered_index(df, block_seconds=60, block_rows=None).collect()}
     assert got == pos
 
 
-def test_row_sized_blocks_bound_rows_per_block(spark):
+def _uneven(spark):
+    """One device: an even series, one row of 1970, 900 rows at one instant, 900 within one second, 300 without a time."""
+    base = dt.datetime(2024, 1, 1)
+    times = [base + dt.timedelta(seconds=2 * i) for i in range(1500)] + [dt.datetime(1970, 1, 1, 1)]
+    times += [base + dt.timedelta(seconds=777)] * 900 + [base + dt.timedelta(seconds=5000, microseconds=i) for i in range(900)] + [None] * 300
+    random.Random(4).shuffle(times)
+    rows = [(i, t, 0, i % 7) for i, t in enumerate(times)]
+    return rows, spark.createDataFrame(rows, "id long, timestamp timestamp, gpu_id int, v int")
+
+
+def test_blocks_stay_small_however_the_rows_lie(spark):
     from pyspark.sql import functions as F
-    from fleetlens.operators.series import partitioning_columns, prefix_sum
-    rows, df = _series(spark, {0: 3000, 1: 40})
-    out = prefix_sum(df, ["gpu_id"], "timestamp", ["id"], None, out="idx", keep_partitioning=True, block_rows=100)
-    per_block = out.groupBy(*partitioning_columns(["gpu_id"])).count()
-    assert per_block.agg(F.max("count")).first()[0] <= 300     # about 100 per block (random times)
-    assert per_block.where(F.col("_fl_k0") == 0).count() >= 10
+    from fleetlens.operators.series import partitioning_columns, with_blocks
+    rows, df = _uneven(spark)
+    blocks = with_blocks(df, ["gpu_id"], "timestamp", ["id"], 600, 100).groupBy(*partitioning_columns(["gpu_id"])).count()
+    assert blocks.agg(F.max("count")).first()[0] <= 100
+    order = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0]))
+    want = {r[0]: (k, len(rows)) for k, r in enumerate(order)}
+    assert {r["id"]: (r["idx"], r["n"]) for r in ordered_index(df, block_seconds=600, block_rows=100).collect()} == want
 
 
 def _brute_downsample(rs, max_points):

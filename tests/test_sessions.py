@@ -211,3 +211,17 @@ def test_snapshot_constant_labels(spark):
     assert rows and all('"host.name":"h1"' in r["l"] and '"service.name":"svc"' in r["l"] for r in rows)
     one = [r["l"] for r in rows if r["metric"] == "gpm_gpu_power_watts"][0]
     assert one.index("gpu_id") < one.index("gpu_name") < one.index("host.name") < one.index("service.name")
+
+
+def test_done_on_every_chunk_and_a_burst(spark):
+    """600 chunks of one session within a second, each one done: no window over the session, same rows as brute force."""
+    base = dt.datetime(2024, 1, 1)
+    rows = [("hot", i, base + dt.timedelta(microseconds=1000 * (i // 3)), "m", "x" if i > 4 else None, i if i % 5 else None,
+             i * 1000 if i % 7 else None, 3 if i == 9 else None, True) for i in range(600)]
+    got = sorted(track_sessions(_chunks(spark, rows), block_rows=50).collect(), key=lambda r: (r["end_time"], r["completion_tokens"]))
+    assert len(got) == 600 and {r["start_time"] for r in got} == {base}
+    counts, prompt, want = 0, 0, []
+    for r in rows:
+        counts, prompt = r[5] if r[5] is not None else counts, r[7] if r[7] is not None else prompt
+        want.append((r[2], counts, prompt))
+    assert sorted((r["end_time"], r["completion_tokens"], r["prompt_tokens"]) for r in got) == sorted(want)
