@@ -90,16 +90,23 @@ def last_inserted_per_pid(per_gpu: DataFrame, keys: Sequence[str] = (), tick: st
 
 
 def process_events(samples: DataFrame, os_processes: DataFrame, tick_unit: str | None = "day",
-                   library_roots: Sequence[str] | DataFrame = (), keys: Sequence[str] = ()) -> DataFrame:
-    """Classified process events, one per (tick, pid) found in the OS table.
-
-    ``samples``: flat process samples (PROCESS_SAMPLES); ``tick_unit`` a
-    ``date_trunc`` unit that defines one poll, or None when every sample time
-    is its own poll; ``library_roots`` a list of game
-    library roots or a one-column DataFrame ``root`` of them.
+                   library_roots: Sequence[str] | DataFrame = (), keys: Sequence[str] = (),
+                   poll: str | None = None) -> DataFrame:
+    """Classified process events, one per (*keys, tick, pid) found in the OS table.
+
+    ``samples``: flat process samples (PROCESS_SAMPLES); ``keys``: e.g. ("host",), as
+    pid and gpu_id are unique only within a host.  One poll is the column ``poll`` (devices
+    of a poll stamp their own clocks; its events carry the latest), or else a
+    ``date_trunc`` unit ``tick_unit``, or every sample time.  If ``os_processes`` has the
+    ``poll`` column too, each poll is joined with its own process table, whose processes may
+    come and go.  ``library_roots``: a list of game library roots or a one-column DataFrame
+    ``root`` of them.
     """
     keys = list(keys)
-    tick = F.date_trunc(tick_unit, F.col("timestamp")) if tick_unit else F.col("timestamp")
+    if poll:
+        tick = F.col(poll)
+    else:
+        tick = F.date_trunc(tick_unit, F.col("timestamp")) if tick_unit else F.col("timestamp")
     s = samples.withColumn("tick", tick)
     util = gpu_utilization_per_tick(s, keys)
     picked = last_inserted_per_pid(per_tick_gpu_pid(s, keys), keys)
@@ -109,12 +116,18 @@ def process_events(samples: DataFrame, os_processes: DataFrame, tick_unit: str |
         in_lib = F.col("in_library")
     else:
         in_lib = under_any_root(F.col("exe_path"), list(library_roots))
-    procs = procs.select(*keys, "pid", "name", "command_line", "exe_path", in_lib.alias("in_library"))
-    joined = picked.join(util, [*keys, "tick", "gpu_id"]).join(procs, [*keys, "pid"], "inner")
+    versioned = bool(poll) and poll in os_processes.columns
+    at = [F.col(poll).alias("tick")] if versioned else []
+    procs = procs.select(*keys, *at, "pid", "name", "command_line", "exe_path", in_lib.alias("in_library"))
+    joined = picked.join(util, [*keys, "tick", "gpu_id"]).join(procs, [*keys, *(["tick"] if versioned else []), "pid"], "inner")
+    time = F.col("tick")
+    if poll:
+        joined = joined.join(s.groupBy(*keys, "tick").agg(F.max("timestamp").alias("_at")), [*keys, "tick"])
+        time = F.col("_at")
     category = workload_category("name", "command_line", "exe_path", "gpu_util", in_library=F.col("in_library"))
     return joined.select(
         *keys,
-        F.col("tick").alias("timestamp"), "pid", "name", category.alias("category"),
+        time.alias("timestamp"), "pid", "name", category.alias("category"),
         bytes_to_mib("mem").alias("gpu_memory_mb"), F.col("gpu_util").alias("gpu_utilization"),
         "command_line", "exe_path", F.lit(0).cast("long").alias("duration_secs"),
     )

@@ -1,8 +1,9 @@
 """Explicit schemas of the stored tables and the landed inputs.
 
 Nothing is inferred anywhere: readers pass these schemas.  ``host`` is optional
-on every table (pid and gpu_id are only unique per host); operators take the
-key columns as an argument.
+on every stored table (pid and gpu_id are only unique per host); operators take
+the key columns as an argument, and ``HOST_SAMPLES`` / ``PROCESS_SNAPSHOTS`` are
+the landed inputs of a fleet.
 """
 
 from pyspark.sql.types import (
@@ -146,6 +147,15 @@ DEVICE_SAMPLES = _s(
     ("graphics_processes", ArrayType(GPU_PROCESS), True),
 )
 
+# Fleet form of the landed samples: the host, and the poll that read the devices (each device stamps its
+# own clock, so a poll is not a time).
+HOST_SAMPLES = StructType([*DEVICE_SAMPLES.fields, StructField("host", StringType(), False),
+                           StructField("poll_id", LongType(), False)])
+
+# The OS process table as of each poll.
+PROCESS_SNAPSHOTS = StructType([*OS_PROCESSES.fields, StructField("host", StringType(), False),
+                                StructField("poll_id", LongType(), False)])
+
 RAW_CHUNKS = _s(
     ("session_id", StringType(), False),
     ("seq", LongType(), False),

@@ -125,6 +125,37 @@ def _merge_into_sessions(spark: SparkSession, incoming: DataFrame, path: str, lo
     _overwrite_partitions(spark, merged, path, "start_date")
 
 
+def replace_sessions(spark: SparkSession, incoming: DataFrame, path: str) -> None:
+    """Stored versions of the incoming ids, under whatever day, give way to the latest incoming one.
+
+    Unlike an upsert this also replaces start, model and prompt count: ``incoming`` was computed from
+    all chunks.  The days rewritten are those of the incoming rows and of the versions they replace.
+    """
+    config.prepare(spark)
+    empty = spark.createDataFrame([], LLM_SESSIONS)
+    latest = merge_sessions(empty, incoming).withColumn("start_date", F.to_date("start_time")).persist()
+    try:
+        if not _exists(spark, path):
+            _overwrite_partitions(spark, latest, path, "start_date")
+            return
+        schema = StructType(LLM_SESSIONS.fields + [StructField("start_date", DateType(), True)])
+        table = spark.read.schema(schema).parquet(path)
+        ids = latest.select("id")
+        stored = table.select("id", "start_date").join(ids, "id", "left_semi")
+        days = set(_touched_values(latest, "start_date")) | set(_touched_values(stored, "start_date"))
+        if not days:
+            return
+        here = table.where(F.col("start_date").isin(list(days)))
+        kept = here.join(ids, "id", "left_anti").select(*latest.columns)
+        emptied = days - set(_touched_values(kept.unionByName(latest), "start_date"))
+        _overwrite_partitions(spark, kept.unionByName(latest), path, "start_date")
+        fs = Folders(spark, path)
+        for day in emptied:                       # its only versions moved to another day
+            fs.delete(f"{path.rstrip('/')}/start_date={day}")
+    finally:
+        latest.unpersist()
+
+
 def merge_weekly(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """K4 as a DataFrame merge: incoming rows replace stored rows with the same
     (week_start, category); other stored rows stay."""

@@ -7,44 +7,58 @@ R2 runs the batch operators on each micro-batch of device samples inside
 ``batch_id`` partition with dynamic partition overwrite, so a replayed batch
 replaces its own output instead of duplicating it.
 
-R5 is a native streaming aggregate: the last gauge value per export period,
-with a watermark for late rows.
+R5 is a native streaming aggregate per export period, emitted when the watermark
+passes its end; the stored tables hold late rows too, and the batch forms over
+them (``operators.rollups``) are the final answer for a closed period.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens import config
 from fleetlens.operators.processes import flatten_processes, process_events
-from fleetlens.operators.rollups import GPU_GAUGE_NAMES
+from fleetlens.functions.gpu import MIB
+from fleetlens.operators.metrics import order_key
+from fleetlens.operators.rollups import GPU_GAUGE_NAMES, histogram
 from fleetlens.sources.gpu import device_metrics_with_processes
 
 
 def _write_batch(df: DataFrame, path: str, batch_id: int, ts: str = "timestamp") -> None:
+    order = [c for c in ("host", "gpu_id", "category") if c in df.columns]
     (df.withColumn("date", F.to_date(F.col(ts))).withColumn("batch_id", F.lit(batch_id).cast("long"))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .sortWithinPartitions("date", *order, ts).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("date", "batch_id").parquet(path))
 
 
-def ingest_batch(spark: SparkSession, samples: DataFrame, batch_id: int, os_processes: DataFrame,
+def ingest_batch(spark: SparkSession, samples: DataFrame, batch_id: int,
+                 os_processes: DataFrame | Callable[[SparkSession], DataFrame],
                  metrics_path: str, events_path: str, library_roots: Sequence[str] | DataFrame = ()) -> None:
-    """One ingest tick over a micro-batch of raw device samples."""
+    """One ingest tick over a micro-batch of raw device samples.
+
+    Samples of a fleet (HOST_SAMPLES) are keyed by ``host`` and taken poll by poll (``poll_id``).
+    ``os_processes`` as a function is called for every micro-batch, so it lists what has landed since;
+    with a ``poll_id`` column (PROCESS_SNAPSHOTS) every poll gets its own process table.
+    """
+    procs = os_processes(spark) if callable(os_processes) else os_processes
+    keys = [k for k in ("host",) if k in samples.columns]
+    poll = "poll_id" if "poll_id" in samples.columns else None
     metrics = device_metrics_with_processes(samples)
     metrics = metrics.persist()  # used by both writes of this micro-batch only
     try:
         _write_batch(metrics.drop("processes"), metrics_path, batch_id)
-        flat = flatten_processes(metrics)
-        events = process_events(flat, os_processes, tick_unit=None, library_roots=library_roots)
+        flat = flatten_processes(metrics, keys=[*keys, *([poll] if poll else [])])
+        events = process_events(flat, procs, tick_unit=None, library_roots=library_roots, keys=keys, poll=poll)
         _write_batch(events, events_path, batch_id)
     finally:
         metrics.unpersist()
 
 
-def start_ingest(spark: SparkSession, samples_stream: DataFrame, os_processes: DataFrame, metrics_path: str,
+def start_ingest(spark: SparkSession, samples_stream: DataFrame,
+                 os_processes: DataFrame | Callable[[SparkSession], DataFrame], metrics_path: str,
                  events_path: str, checkpoint_location: str, library_roots: Sequence[str] | DataFrame = (),
                  trigger_seconds: int = 2, available_now: bool = False):
     """R2: start the ingest stream (2 s trigger by default, ``availableNow`` in tests)."""
@@ -59,17 +73,40 @@ def start_ingest(spark: SparkSession, samples_stream: DataFrame, os_processes: D
 
 def export_stream(metrics: DataFrame, every: str = "10 seconds", watermark: str = "30 seconds",
                   tiebreak: Sequence[str] = ("id",)) -> DataFrame:
-    """Last GPU gauge values per export period and (gpu_id, name); rows
-    later than the watermark are dropped.  Append mode emits a period once the
-    watermark passes its end."""
+    """Last GPU gauge values per export period and (host if there, gpu_id, name).  Append
+    mode emits a period once the watermark passes its end.  Rows later than that miss this
+    early answer, not the table: ``operators.rollups.export_windows`` over the stored metrics
+    gives the closed periods with them."""
     ts = F.col("timestamp").cast("timestamp")
-    cols = list(GPU_GAUGE_NAMES)
-    order = F.struct(F.col("timestamp"), *[F.col(t) for t in tiebreak if t in metrics.columns])
-    return (metrics.withColumn("timestamp", ts).withWatermark("timestamp", watermark)
-            .groupBy(F.window("timestamp", every).alias("w"), "gpu_id", "name")
-            .agg(F.max_by(F.struct(*[F.col(c) for c in cols]), order).alias("_g"))
-            .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
-                    "gpu_id", "name", *[F.col(f"_g.{c}").alias(c) for c in cols]))
+    cols, keys = list(GPU_GAUGE_NAMES), [k for k in ("host",) if k in metrics.columns]
+    rows = metrics.withColumn("timestamp", ts).withWatermark("timestamp", watermark)
+    order = order_key(rows, "timestamp", [t for t in tiebreak if t in metrics.columns])
+    return (rows.groupBy(F.window("timestamp", every).alias("w"), *keys, "gpu_id", "name")
+            .agg(*[F.max_by(F.col(c), order).alias(c) for c in cols])
+            .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *keys, "gpu_id", "name", *cols))
+
+
+def export_process_stream(events: DataFrame, every: str = "10 seconds", watermark: str = "30 seconds") -> DataFrame:
+    """R5 process gauges under streaming: per export period and category, the process count and memory
+    bytes of the period's last tick with the category."""
+    keys = [k for k in ("host",) if k in events.columns]
+    rows = events.withColumn("timestamp", F.col("timestamp").cast("timestamp")).withWatermark("timestamp", watermark)
+    # Ticks are told apart to the millisecond.
+    per_tick = rows.groupBy(F.window("timestamp", "1 millisecond").alias("t"), *keys, "category").agg(
+        F.count(F.lit(1)).alias("process_count"), F.sum(F.col("gpu_memory_mb") * F.lit(MIB)).cast("long").alias("memory_bytes"))
+    at = F.window_time("t")
+    return (per_tick.withColumn("at", at).groupBy(F.window("at", every).alias("w"), *keys, "category")
+            .agg(F.max_by("process_count", "at").alias("process_count"), F.max_by("memory_bytes", "at").alias("memory_bytes"))
+            .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *keys, "category",
+                    "process_count", "memory_bytes"))
+
+
+def export_histogram_stream(sessions: DataFrame, value: str, buckets: Sequence[float], every: str = "10 seconds",
+                            watermark: str = "30 seconds") -> DataFrame:
+    """R5 histogram deltas under streaming: per export period of the session end and model, in long form."""
+    ended = sessions.where(F.col("end_time").isNotNull()).withWatermark("end_time", watermark)
+    return histogram(ended.withColumn("w", F.window("end_time", every)), value, buckets, by=("w", "model")).select(
+        F.col("w.start").alias("window_start"), "model", "le", "bucket_count", "sample_sum", "sample_count")
 
 
 def export_counters_stream(sessions: DataFrame, every: str = "10 seconds", watermark: str = "30 seconds") -> DataFrame:

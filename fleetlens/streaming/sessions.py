@@ -6,7 +6,8 @@ a streaming aggregate cannot emit per ``done``; it runs as
 raw state (start, model, first token, last non-null counts); the session
 measures (P6) are the same Spark expressions as in batch.  A watermark on the
 arrival time bounds the state: a session idle for ``state_ttl`` beyond the
-watermark is dropped (the reference keeps it forever).
+watermark leaves it.  ``reconcile_sessions`` then makes the stored sessions what
+the landed chunks say, late ones included.
 """
 
 from __future__ import annotations
@@ -19,8 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from fleetlens import config
-from fleetlens.operators.sessions import _finish
-from fleetlens.sinks.tables import upsert_sessions
+from fleetlens.functions.display import ts_literal
+from fleetlens.operators.sessions import _finish, track_sessions
+from fleetlens.sinks.tables import replace_sessions, upsert_sessions
 
 STATE_SCHEMA = ("start_ts timestamp, model string, first_token timestamp, prompt long, completion long, "
                 "eval_ns long, last_ts timestamp")
@@ -89,6 +91,19 @@ def track_sessions_stream(chunks: DataFrame, watermark: str = "10 minutes",
     return _finish(raw)
 
 
+def reconcile_sessions(spark: SparkSession, chunks: DataFrame, table_path: str, since=None) -> None:
+    """Sessions recomputed from the landed chunks and upserted over what the stream stored.
+
+    The stream drops chunks later than its watermark and forgets idle sessions, to bound its state; the
+    landed chunks hold everything.  This job takes every session with a chunk since ``since`` (all, if
+    None), tracks it in batch over all its chunks (R1) and upserts the result, whichever day the
+    stored version lies under.  Run from upkeep, it makes stored sessions independent of the watermark.
+    """
+    touched = chunks if since is None else chunks.where(F.col("arrival_ts") >= ts_literal(since, "since"))
+    ids = touched.select("session_id").distinct()
+    replace_sessions(spark, track_sessions(chunks.join(ids, "session_id", "left_semi")), table_path)
+
+
 def drain_sessions(spark: SparkSession, sessions: DataFrame, table_path: str, checkpoint_location: str,
                    trigger_seconds: int = 5, available_now: bool = False):
     """Every trigger, upsert the completed sessions into the table (K2).

@@ -122,3 +122,77 @@ def test_export_counters_stream_matches_batch_for_closed_periods(spark, scratch)
     assert 0 < len(streamed) <= len(batch)
     for r in streamed:
         assert r == batch[(r["window_start"], r["model"])]
+
+
+def _process(pid, mem):
+    return (pid, None, mem)
+
+
+def test_ingest_by_host_and_poll_with_a_growing_process_table(spark, scratch):
+    """Two hosts share pids; one pid is on two GPUs whose clocks differ; a process lands after the first batch."""
+    from fleetlens.schemas import HOST_SAMPLES, PROCESS_SNAPSHOTS
+    src, snaps = os.path.join(scratch, "samples"), os.path.join(scratch, "snaps")
+    us = dt.timedelta(microseconds=350)
+
+    def land(rows, table):
+        spark.createDataFrame(rows, HOST_SAMPLES).coalesce(1).write.mode("append").parquet(src)
+        spark.createDataFrame(table, PROCESS_SNAPSHOTS).coalesce(1).write.mode("append").parquet(snaps)
+
+    def run():
+        stream = spark.readStream.schema(HOST_SAMPLES).option("maxFilesPerTrigger", 1).parquet(src)
+        q = start_ingest(spark, stream, lambda s: s.read.schema(PROCESS_SNAPSHOTS).parquet(snaps), os.path.join(scratch, "m"),
+                         os.path.join(scratch, "e"), os.path.join(scratch, "ckpt"), available_now=True)
+        q.awaitTermination(300)
+        assert q.exception() is None
+
+    mib = 1 << 20
+    land([(T0, 0, "A", 10, 1, 1, 2, 50, 1000, [_process(7, 2 * mib)], [], "a", 1),
+          (T0 + us, 1, "A", 20, 1, 1, 2, 50, 1000, [_process(7, 3 * mib)], [], "a", 1),
+          (T0, 0, "B", 90, 1, 1, 2, 50, 1000, [_process(7, 1024 * mib)], [], "b", 1)],
+         [(7, "python3", "python3 train.py", None, "a", 1), (7, "ollama", "ollama serve", None, "b", 1)])
+    run()
+    land([(T0 + dt.timedelta(seconds=2), 0, "A", 5, 1, 1, 2, 50, 1000, [_process(7, 2 * mib), _process(8, mib)], [], "a", 2)],
+         [(7, "python3", "python3 train.py", None, "a", 2), (8, "blender", "blender", None, "a", 2)])
+    run()
+    got = sorted((r["host"], r["pid"], r["gpu_memory_mb"], r["gpu_utilization"], r["category"], r["timestamp"])
+                 for r in spark.read.parquet(os.path.join(scratch, "e")).collect())
+    later = T0 + dt.timedelta(seconds=2)
+    assert got == [("a", 7, 2, 5, "ml_training", later), ("a", 7, 3, 20, "ml_training", T0 + us), ("a", 8, 1, 5, "general_compute", later),
+                   ("b", 7, 1024, 90, "llm_inference", T0)]
+
+
+def test_reconcile_takes_late_chunks(spark, scratch):
+    """Whatever the stream stored, sessions equal the batch over all landed chunks, also when the start day moves."""
+    from fleetlens.operators.sessions import track_sessions
+    from fleetlens.schemas import LLM_CHUNKS
+    from fleetlens.sinks.tables import upsert_sessions
+    from fleetlens.streaming.sessions import reconcile_sessions
+    late = dt.datetime(2023, 12, 31, 23, 59)
+    on_time = [("s", 1, T0, "m", "x", 5, 100, None, False), ("s", 2, T0 + dt.timedelta(seconds=1), "m", "y", 9, 200, None, True),
+               ("t", 1, T0, "m", "x", 1, 10, None, True)]
+    path = os.path.join(scratch, "sessions")
+    upsert_sessions(spark, track_sessions(spark.createDataFrame(on_time, LLM_CHUNKS)), path)
+    chunks = spark.createDataFrame([("s", 0, late, "m", None, None, None, 4, False), *on_time], LLM_CHUNKS)
+    for _ in range(2):
+        reconcile_sessions(spark, chunks, path)
+        got = sorted(map(str, spark.read.parquet(path).drop("start_date").collect()))
+        assert got == sorted(map(str, track_sessions(chunks).collect()))
+
+
+def test_process_and_histogram_streams_equal_batch_for_closed_periods(spark, scratch):
+    from fleetlens.operators.rollups import TPS_BUCKETS, export_process_gauges, export_tps_histogram
+    from fleetlens.schemas import LLM_SESSIONS, PROCESS_EVENTS
+    from fleetlens.streaming.ingest import export_histogram_stream, export_process_stream
+    ev = [(T0 + dt.timedelta(seconds=2 * (i // 3)), i, "n", ("gaming", "ml_training")[i % 2], i, 1, None, None, 0) for i in range(120)]
+    se = [(f"s{i}", T0, T0 + dt.timedelta(seconds=3 * i), f"m{i % 2}", 1, i, 1 + i, float(i), None, None) for i in range(40)]
+    for name, rows, schema, stream_of, batch_of in (
+            ("ev", ev, PROCESS_EVENTS, export_process_stream, export_process_gauges),
+            ("se", se, LLM_SESSIONS, lambda s: export_histogram_stream(s, "tokens_per_second", TPS_BUCKETS), export_tps_histogram)):
+        df = spark.createDataFrame(rows, schema)
+        df.write.parquet(os.path.join(scratch, name))
+        q = (stream_of(spark.readStream.schema(schema).parquet(os.path.join(scratch, name))).writeStream.format("memory")
+             .queryName(f"{name}_test").outputMode("append").option("checkpointLocation", os.path.join(scratch, f"c{name}"))
+             .trigger(availableNow=True).start())
+        q.awaitTermination(300)
+        got = {str(r) for r in spark.sql(f"SELECT * FROM {name}_test").collect()}
+        assert got and got <= {str(r) for r in batch_of(df).select(*spark.table(f"{name}_test").columns).collect()}
