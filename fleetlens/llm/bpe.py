@@ -23,7 +23,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 NONE = 1 << 30
 KEPT_PIECES = 1 << 19
 KEPT_LENGTH = 64
-CHARS_AT_ONCE = 1 << 22
+CHARS_AT_ONCE = 1 << 20
 
 
 @lru_cache(maxsize=4)
@@ -212,14 +212,16 @@ class Encoder:
             self.forget()
         pieces = [self.split(t) if t else [] for t in texts]
         every = list(chain.from_iterable(pieces))
-        new = [p for p in dict.fromkeys(every) if p not in self.number]
+        which = np.fromiter(map(self.number.get, every, repeat(-1)), np.int64, len(every))
+        missing = np.flatnonzero(which < 0)
+        new = list(dict.fromkeys(every[i] for i in missing.tolist()))
         if new:
             ids, counts = self.learn(new)
             self.number.update(zip(new, range(len(self.start), len(self.start) + len(new))))
             self.start = np.concatenate([self.start, len(self.tokens) + np.cumsum(counts) - counts])
             self.count = np.concatenate([self.count, counts])
             self.tokens = np.concatenate([self.tokens, ids])
-        which = np.fromiter(map(self.number.__getitem__, every), np.int64, len(every))
+            which[missing] = [self.number[every[i]] for i in missing.tolist()]
         n = self.count[which]
         stop = np.cumsum(n)
         flat = self.tokens[np.arange(stop[-1] if len(stop) else 0) + np.repeat(self.start[which] - (stop - n), n)]
@@ -233,6 +235,27 @@ class Encoder:
         return self.encode([text])[0].tolist()
 
 
+class TokenBytes:
+    """The bytes of every token, one after another in one array."""
+
+    def __init__(self, path: str):
+        ranks = load_ranks(path)
+        self.length = np.full(max(ranks.values()) + 2, -1, np.int64)          # the last stands for any other id
+        for token, rank in ranks.items():
+            self.length[rank] = len(token)
+        self.start = np.cumsum(np.maximum(self.length, 0)) - np.maximum(self.length, 0)
+        self.data = np.frombuffer(b"".join(t for t, _ in sorted(ranks.items(), key=lambda x: x[1])), np.uint8)
+
+    def joined(self, ids: np.ndarray) -> bytes:
+        n = self.length[np.clip(ids, -1, len(self.length) - 1)]
+        if (n < 0).any():
+            raise ValueError(f"unknown token id {ids[n < 0][0]}")
+        stop = np.cumsum(n)
+        at = np.repeat(self.start[ids] - (stop - n), n)
+        at += np.arange(len(at))
+        return self.data[at].tobytes()
+
+
 def _groups(batch: pa.RecordBatch, sizes: list[int], most: int) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` of about ``most`` in size, a longer row by itself."""
     start, total = 0, 0
@@ -279,11 +302,11 @@ def decode(tokens: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     rows = tokens.select(*[F.col(f"`{c}`") for c in names], F.col(ids_col).alias("__ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = {i: t for t, i in load_ranks(path).items()}.__getitem__
+        table = TokenBytes(path)
         for batch in batches:
             sizes = pc.fill_null(pc.list_value_length(batch.columns[-1]), 0).to_pylist()
             for part in _groups(batch, sizes, CHARS_AT_ONCE):
-                data = [b"".join(map(token, i.values.to_pylist())) if i.is_valid else b"" for i in part.columns[-1]]
+                data = [table.joined(np.asarray(i.values)) if i.is_valid else b"" for i in part.columns[-1]]
                 yield _added(part, pa.array(data, pa.binary()), "decoded")
 
     return rows.mapInArrow(run, _schema(rows, "decoded binary"))
