@@ -131,14 +131,15 @@ def _labels(*pairs) -> str:
     return "map(" + ", ".join(f"'{k}', CAST({v} AS STRING)" for k, v in items) + ")"
 
 
-def _model_rollup(sessions: DataFrame) -> DataFrame:
+def _model_rollup(sessions: DataFrame, tps_bounds: Sequence[float] = TPS_BUCKETS,
+                  ttft_bounds: Sequence[float] = TTFT_BUCKETS_MS) -> DataFrame:
     """Everything A5-A7 need per model in one aggregate (one pass over sessions)."""
     tps, ttft = "CAST(tokens_per_second AS DOUBLE)", "CAST(time_to_first_token_ms AS DOUBLE)"
     aggs = ["count(1) AS session_count", "CAST(sum(total_tokens) AS BIGINT) AS total_tokens",
             f"count({tps}) AS tps_count", f"sum({tps}) AS tps_sum",
             f"count({ttft}) AS ttft_count", f"sum({ttft}) AS ttft_sum"]
-    aggs += [f"count_if({tps} <= {float(b)}D) AS tps_b{i}" for i, b in enumerate(TPS_BUCKETS)]
-    aggs += [f"count_if({ttft} <= {float(b)}D) AS ttft_b{i}" for i, b in enumerate(TTFT_BUCKETS_MS)]
+    aggs += [f"count_if({tps} <= {float(b)}D) AS tps_b{i}" for i, b in enumerate(tps_bounds)]
+    aggs += [f"count_if({ttft} <= {float(b)}D) AS ttft_b{i}" for i, b in enumerate(ttft_bounds)]
     return sessions.groupBy("model").agg(*[F.expr(a) for a in aggs])
 
 
@@ -156,18 +157,66 @@ def _rows(df: DataFrame, entries) -> DataFrame:
             .where("_s.keep").select("_s.metric", "_s.labels", "_s.value"))
 
 
+# The push exporter's instrument names, and the default histogram bounds of its SDK.
+PUSH_GAUGE_NAMES = {
+    "utilization_gpu": "gpu.utilization.percent",
+    "memory_used": "gpu.memory.used.bytes",
+    "temperature": "gpu.temperature.celsius",
+    "power_usage": "gpu.power.watts",
+}
+PUSH_TPS_NAME = "llm.tokens_per_second"
+PUSH_TTFT_NAME = "llm.time_to_first_token.ms"
+PUSH_PROCESS_COUNT_NAME = "process.count"
+PUSH_BUCKETS = (0.0, 5.0, 10.0, 25.0, 50.0, 75.0, 100.0, 250.0, 500.0, 750.0, 1000.0, 2500.0, 5000.0, 7500.0, 10000.0)
+
+
+def _union(parts: list[DataFrame], constant_labels: dict[str, str] | None) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    if constant_labels:
+        const = F.create_map(*[x for k in sorted(constant_labels) for x in (F.lit(k), F.lit(str(constant_labels[k])))])
+        out = out.withColumn("labels", F.map_from_entries(F.array_sort(F.map_entries(F.map_concat(F.col("labels"), const)))))
+    return out
+
+
+def push_snapshot(gauges: DataFrame, sessions: DataFrame, events: DataFrame, keys: Sequence[str] = (),
+                  constant_labels: dict[str, str] | None = None) -> DataFrame:
+    """A14 under the push exporter's names: its GPU gauges, the two histograms and the token counter per
+    model, and per category the process count and memory, besides the memory per process.  ``keys``
+    (e.g. host) become labels of the GPU and process series."""
+    own = [(k, f"`{k}`") for k in keys]
+    gl = _labels(("gpu_id", "`gpu_id`"), ("gpu_name", "`name`"), *own)
+    parts = [_rows(gauges, [(name, gl, f"`{col}`") for col, name in PUSH_GAUGE_NAMES.items()])]
+    ml = _labels(("model", "`model`"))
+    entries = [(TOTAL_TOKENS_NAME, ml, "total_tokens")]
+    for base, pre in ((PUSH_TPS_NAME, "tps"), (PUSH_TTFT_NAME, "ttft")):
+        observed = f"{pre}_count > 0"
+        les = [(_le_label(b), f"{pre}_b{i}") for i, b in enumerate(PUSH_BUCKETS)] + [("+Inf", f"{pre}_count")]
+        entries += [(f"{base}_bucket", _labels(("le", f"'{le}'"), ("model", "`model`")), c, observed) for le, c in les]
+        entries += [(f"{base}_sum", ml, f"{pre}_sum", observed), (f"{base}_count", ml, f"{pre}_count", observed)]
+    parts.append(_rows(_model_rollup(sessions, PUSH_BUCKETS, PUSH_BUCKETS), entries))
+    cl = _labels(("category", "`category`"), *own)
+    parts.append(_rows(category_gauges(events, keys), [(PUSH_PROCESS_COUNT_NAME, cl, "process_count"),
+                                                       (PROCESS_MEMORY_BY_PID_NAME, cl, "memory_bytes")]))
+    pl = _labels(("category", "`category`"), ("pid", "`pid`"), ("process_name", "`process_name`"), *own)
+    parts.append(_rows(process_memory(events, keys), [(PROCESS_MEMORY_BY_PID_NAME, pl, "memory_bytes")]))
+    return _union(parts, constant_labels)
+
+
 def metric_snapshot(gauges: DataFrame, sessions: DataFrame, events: DataFrame,
-                    constant_labels: dict[str, str] | None = None) -> DataFrame:
+                    constant_labels: dict[str, str] | None = None, keys: Sequence[str] = ()) -> DataFrame:
     """Every gauge, counter and histogram series as (metric, labels, value).
 
     ``gauges`` is the output of ``operators.metrics.gpu_gauges`` (A2); sessions
     feed A5-A7 through one per-model aggregate, process events A3-A4.  The
     result is a union of small grouped results.  A model's histogram series
     exist only when it has an observation (as for the standalone histograms).
-    ``constant_labels`` (e.g. service name, version, host) join every series'
-    labels; keys stay sorted.
+    ``constant_labels`` (e.g. service name, version) join every series' labels,
+    ``keys`` (e.g. host) those of the GPU and process series; keys stay sorted.
     """
-    gl = _labels(("gpu_id", "`gpu_id`"), ("gpu_name", "`name`"))
+    own = [(k, f"`{k}`") for k in keys]
+    gl = _labels(("gpu_id", "`gpu_id`"), ("gpu_name", "`name`"), *own)
     parts = [_rows(gauges, [(name, gl, f"`{col}`") for col, name in GPU_GAUGE_NAMES.items()])]
     # Every per-model series comes from one projection of one aggregate: one pass over sessions.
     mr = _model_rollup(sessions)
@@ -179,21 +228,14 @@ def metric_snapshot(gauges: DataFrame, sessions: DataFrame, events: DataFrame,
         entries += [(f"{base}_bucket", _labels(("le", f"'{le}'"), ("model", "`model`")), c, observed) for le, c in les]
         entries += [(f"{base}_sum", ml, f"{pre}_sum", observed), (f"{base}_count", ml, f"{pre}_count", observed)]
     parts.append(_rows(mr, entries))
-    cg = category_gauges(events)
-    cl = _labels(("category", "`category`"))
+    cg = category_gauges(events, keys)
+    cl = _labels(("category", "`category`"), *own)
     parts.append(_rows(cg, [(PROCESS_COUNT_NAME, cl, "process_count"), (PROCESS_MEMORY_NAME, cl, "memory_bytes")]))
-    pm = process_memory(events)
+    pm = process_memory(events, keys)
     parts.append(_rows(pm, [(PROCESS_MEMORY_BY_PID_NAME,
-                             _labels(("category", "`category`"), ("pid", "`pid`"), ("process_name", "`process_name`")),
+                             _labels(("category", "`category`"), ("pid", "`pid`"), ("process_name", "`process_name`"), *own),
                              "memory_bytes")]))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    if constant_labels:
-        const = F.create_map(*[x for k in sorted(constant_labels) for x in (F.lit(k), F.lit(str(constant_labels[k])))])
-        merged = F.map_from_entries(F.array_sort(F.map_entries(F.map_concat(F.col("labels"), const))))
-        out = out.withColumn("labels", merged)
-    return out
+    return _union(parts, constant_labels)
 
 
 def export_windows(metrics: DataFrame, every: str = "10 seconds", ts: str = "timestamp",

@@ -903,3 +903,234 @@ def q_export_tps_histogram_10s(spark, sf_dir):
 def q_export_ttft_histogram_10s(spark, sf_dir):
     """Time-to-first-token histogram deltas per model and 10-second export period."""
     return _round6(R.export_ttft_histogram(_sessions(spark, sf_dir)), "sample_sum")
+
+
+# ------------------------------------------------- operators on written tables
+def _scratch(spark, name: str) -> str:
+    """A new folder in the shared checkpoint folder."""
+    import uuid
+    return f"{config.checkpoint_dir(spark)}/fleetlens-{name}-{uuid.uuid4().hex}"
+
+
+def _gpu_metrics_typed(spark, sf_dir) -> DataFrame:
+    """The metrics in the types of the stored table."""
+    g = _v(spark, sf_dir, "gpu_metrics")
+    return g.select(*[F.col(f.name).cast(f.dataType) for f in SCH.GPU_METRICS.fields])
+
+
+from fleetlens import schemas as SCH  # noqa: E402
+from fleetlens.sinks import compaction as CO  # noqa: E402
+from fleetlens.streaming import ingest as IN  # noqa: E402
+
+GM_STORED = ('id, "timestamp", gpu_id::BIGINT AS gpu_id, name, utilization_gpu::BIGINT AS utilization_gpu, '
+             'utilization_memory::BIGINT AS utilization_memory, memory_used, memory_total, '
+             'temperature::BIGINT AS temperature, power_usage::BIGINT AS power_usage')
+
+
+@register("append_gpu_metrics", GM + f"""SELECT {GM_STORED}, CAST("timestamp" AS DATE) AS "date" FROM gpu_metrics""")
+def q_append_gpu_metrics(spark, sf_dir):
+    """K1 + S10: the metrics appended in two writes to a date-partitioned table and read back as an archive is."""
+    path, g = _scratch(spark, "k1"), _gpu_metrics_typed(spark, sf_dir)
+    TB.append_gpu_metrics(g.where("id % 2 = 0"), path)
+    TB.append_gpu_metrics(g.where("id % 2 = 1"), path)
+    return ST.read_archive(spark, path, SCH.StructType([*SCH.GPU_METRICS.fields, SCH.StructField("date", SCH.DateType())]))
+
+
+@register("append_process_events", PE_SQL + """SELECT *, CAST("timestamp" AS DATE) AS "date" FROM process_events""")
+def q_append_process_events(spark, sf_dir):
+    """K3: the process events appended to a date-partitioned table and read back."""
+    path = _scratch(spark, "k3")
+    TB.append_process_events(_process_events(spark, sf_dir), path)
+    return spark.read.parquet(path)
+
+
+@register("upsert_sessions_table", LS_SQL + """
+SELECT id, start_time, end_time + INTERVAL 1 SECOND AS end_time, model, prompt_tokens,
+  completion_tokens + 1 AS completion_tokens, total_tokens + 2 AS total_tokens,
+  tokens_per_second * 2 AS tokens_per_second, time_to_first_token_ms + 1 AS time_to_first_token_ms,
+  time_per_output_token_ms, CAST(start_time AS DATE) AS start_date FROM llm_sessions""")
+def q_upsert_sessions_table(spark, sf_dir):
+    """K2's write path: sessions stored, a changed re-emission upserted twice, the table read back."""
+    path, stored = _scratch(spark, "k2"), _sessions(spark, sf_dir)
+    TB.upsert_sessions(spark, stored, path)
+    for _ in range(2):
+        TB.upsert_sessions(spark, session_reemission(stored), path)
+    return spark.read.parquet(path)
+
+
+@register("archive_log", GM + """
+SELECT CAST("timestamp" AS DATE) AS archive_date, 'gpu_metrics' AS table_name, count(*) AS records_archived
+FROM gpu_metrics WHERE "timestamp" < TIMESTAMP '2024-01-15' GROUP BY 1
+UNION ALL SELECT DATE '2024-01-14', 'live', count(*) FROM gpu_metrics WHERE "timestamp" >= TIMESTAMP '2024-01-15'""")
+def q_archive_log(spark, sf_dir):
+    """K5, K6, K9: the metrics stored, maintained twice at a 16-day retention; the log, and the rows left live."""
+    base = _scratch(spark, "k9")
+    TB.append_gpu_metrics(_gpu_metrics_typed(spark, sf_dir), f"{base}/gpu_metrics")
+    for _ in range(2):
+        AR.maintain(spark, {"gpu_metrics": f"{base}/gpu_metrics"}, f"{base}/archive", 16, NOW)
+    live = spark.read.parquet(f"{base}/gpu_metrics").agg(
+        F.lit("2024-01-14").cast("date").alias("archive_date"), F.lit("live").alias("table_name"), F.count("*").alias("records_archived"))
+    return spark.read.parquet(AR.log_path(f"{base}/archive")).drop("parquet_file").unionByName(live)
+
+
+@register("archived_rows", GM + f"""SELECT {GM_STORED} FROM gpu_metrics WHERE "timestamp" < TIMESTAMP '2024-01-15'""")
+def q_archived_rows(spark, sf_dir):
+    """K5 + S10: the rows of all archives that a trimming archive at 2024-01-15 wrote."""
+    base = _scratch(spark, "k5")
+    TB.append_gpu_metrics(_gpu_metrics_typed(spark, sf_dir), f"{base}/gpu_metrics")
+    AR.archive(spark, f"{base}/gpu_metrics", "gpu_metrics", ARCHIVE_CUTOFF, f"{base}/archive", trim=True)
+    return ST.read_archive(spark, f"{base}/archive/*/batch=*", SCH.GPU_METRICS)
+
+
+@register("list_archives", GM + """
+SELECT DISTINCT 'gpu_metrics_' || strftime("timestamp", '%Y-%m-%d') || '.parquet' AS archive, true AS has_bytes, true AS size_agrees
+FROM gpu_metrics WHERE "timestamp" < TIMESTAMP '2024-01-15'""")
+def q_list_archives(spark, sf_dir):
+    """K7: archives by name, and whether their sizes add up to the archive size."""
+    base = _scratch(spark, "k7")
+    TB.append_gpu_metrics(_gpu_metrics_typed(spark, sf_dir), f"{base}/gpu_metrics")
+    AR.archive(spark, f"{base}/gpu_metrics", "gpu_metrics", ARCHIVE_CUTOFF, f"{base}/archive")
+    found = AR.list_archives(spark, f"{base}/archive")
+    total = found.agg(F.sum("bytes").alias("total"))
+    return found.join(total).select("archive", (F.col("bytes") > 0).alias("has_bytes"),
+                                    (F.col("total") == AR.archive_size(spark, f"{base}/archive")).alias("size_agrees"))
+
+
+@register("retained_rows", GM + f"""SELECT {GM_STORED}, CAST("timestamp" AS DATE) AS "date" FROM gpu_metrics
+WHERE "timestamp" >= TIMESTAMP '2024-01-24'""")
+def q_retained_rows(spark, sf_dir):
+    """K8: the table after a 7-day retention at NOW."""
+    path = _scratch(spark, "k8")
+    TB.append_gpu_metrics(_gpu_metrics_typed(spark, sf_dir), path)
+    AR.retain(spark, path, AR.cutoff_date(NOW, 7))
+    return spark.read.parquet(path)
+
+
+@register("compacted_days", GM + f"""SELECT {GM_STORED}, CAST("timestamp" AS DATE) AS "date" FROM gpu_metrics""")
+def q_compacted_days(spark, sf_dir):
+    """R4's compaction: the metrics written as four micro-batches, closed days compacted, then read by its reader."""
+    path, g = _scratch(spark, "compact"), _gpu_metrics_typed(spark, sf_dir)
+    for b in range(4):
+        IN._write_batch(g.where(F.col("id") % 4 == b), path, b)
+    CO.compact_closed_days(spark, path, AR.cutoff_date(NOW, 0), sort=("gpu_id",))
+    return CO.read_ingested(spark, path).drop("batch_id")
+
+
+def host_samples(spark, sf_dir) -> DataFrame:
+    """The device samples dealt to two hosts, with eight readings to a poll."""
+    return device_samples(spark, sf_dir).withColumn("host", F.concat(F.lit("h"), (F.col("sample_id") % 2).cast("string"))) \
+        .withColumn("poll_id", F.floor(F.col("sample_id") / 8)).drop("sample_id")
+
+
+def process_snapshots(spark, sf_dir) -> DataFrame:
+    """Per host and poll, the processes that run then: the names change with the host and with every 100 polls."""
+    s = device_samples(spark, sf_dir).select("sample_id", F.explode("compute_processes.pid").alias("pid"))
+    s = s.select("pid", F.concat(F.lit("h"), (F.col("sample_id") % 2).cast("string")).alias("host"),
+                 F.floor(F.col("sample_id") / 8).alias("poll_id")).where("pid % 10 <> 0").distinct()
+    kind = (F.col("pid") + F.floor(F.col("poll_id") / 100) + F.when(F.col("host") == "h0", 0).otherwise(1)) % 3
+    name = F.when(kind == 0, "ollama").when(kind == 1, "python3").otherwise("blender")
+    return s.select("pid", name.alias("name"), F.when(kind == 1, "python3 -m torch.distributed").otherwise(name).alias("command_line"),
+                    F.lit(None).cast("string").alias("exe_path"), "host", "poll_id")
+
+
+@register("ingest", DS_SQL + """,
+d AS (SELECT 'h' || CAST(sample_id % 2 AS VARCHAR) AS host, sample_id // 8 AS poll, * FROM ds),
+u AS (SELECT host, poll, gpu_id, max(utilization_gpu) AS util FROM d GROUP BY 1, 2, 3),
+a AS (SELECT host, poll, max("timestamp") AS "at" FROM d GROUP BY 1, 2),
+w AS (SELECT host, poll, pid, max(gpu_id) AS gpu_id, arg_min(used_gpu_memory // 2, (-gpu_id, used_gpu_memory // 2)) AS mem
+      FROM d GROUP BY 1, 2, 3),
+k AS (SELECT *, (pid + poll // 100 + CASE WHEN host = 'h0' THEN 0 ELSE 1 END) % 3 AS kind FROM w WHERE pid % 10 <> 0)
+SELECT k.host, a."at" AS "timestamp", k.pid, CASE kind WHEN 0 THEN 'ollama' WHEN 1 THEN 'python3' ELSE 'blender' END AS name,
+  CASE kind WHEN 0 THEN 'llm_inference' WHEN 1 THEN 'ml_training' ELSE 'general_compute' END AS category,
+  k.mem // 1048576 AS gpu_memory_mb, u.util::BIGINT AS gpu_utilization,
+  CASE kind WHEN 0 THEN 'ollama' WHEN 1 THEN 'python3 -m torch.distributed' ELSE 'blender' END AS command_line,
+  CAST(NULL AS VARCHAR) AS exe_path, 0::BIGINT AS duration_secs
+FROM k JOIN u USING (host, poll, gpu_id) JOIN a USING (host, poll)""")
+def q_ingest(spark, sf_dir):
+    """R2: device samples of two hosts landed in three files of whole polls and ingested as a stream, each poll
+    joined with its own process table; the process events stored."""
+    base = _scratch(spark, "ingest")
+    host_samples(spark, sf_dir).select(*SCH.HOST_SAMPLES.fieldNames()).repartitionByRange(3, "poll_id").write.parquet(f"{base}/samples")
+    process_snapshots(spark, sf_dir).write.parquet(f"{base}/processes")
+    stream = spark.readStream.schema(SCH.HOST_SAMPLES).option("maxFilesPerTrigger", 1).parquet(f"{base}/samples")
+    query = IN.start_ingest(spark, stream, lambda s: s.read.schema(SCH.PROCESS_SNAPSHOTS).parquet(f"{base}/processes"),
+                            f"{base}/metrics", f"{base}/events", f"{base}/checkpoint", available_now=True)
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise RuntimeError(str(query.exception()))
+    return spark.read.parquet(f"{base}/events").drop("date", "batch_id")
+
+
+@register("drained_sessions", LS_SQL + "SELECT *, CAST(start_time AS DATE) AS start_date FROM llm_sessions")
+def q_drained_sessions(spark, sf_dir):
+    """R3 and the reconcile: the chunks streamed, folded and upserted by the drain, then reconciled with all
+    landed chunks; the stored sessions."""
+    from fleetlens.streaming.sessions import drain_sessions, reconcile_sessions, track_sessions_stream
+
+    base = _scratch(spark, "drain")
+    _v(spark, sf_dir, "llm_chunks").select(*SCH.LLM_CHUNKS.fieldNames()).write.parquet(f"{base}/chunks")
+    stream = spark.readStream.schema(SCH.LLM_CHUNKS).parquet(f"{base}/chunks")
+    query = drain_sessions(spark, track_sessions_stream(stream), f"{base}/sessions", f"{base}/checkpoint", available_now=True)
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise RuntimeError(str(query.exception()))
+    reconcile_sessions(spark, spark.read.schema(SCH.LLM_CHUNKS).parquet(f"{base}/chunks"), f"{base}/sessions")
+    return spark.read.parquet(f"{base}/sessions")
+
+
+@register("hourly_upkeep", PE_SQL + """
+SELECT CAST(date_trunc('week', "timestamp") AS DATE) AS week_start,
+  CAST(date_trunc('week', "timestamp") AS DATE) + 7 AS week_end, category,
+  CAST(sum(duration_secs) AS BIGINT) AS total_duration_secs, avg(gpu_utilization) AS avg_gpu_utilization,
+  max(gpu_utilization) AS max_gpu_utilization, CAST(sum(gpu_memory_mb) AS BIGINT) AS total_gpu_memory_mb,
+  count(*) AS event_count
+FROM process_events WHERE category IN ('gaming', 'llm_inference', 'ml_training', 'general_compute')
+  AND "timestamp" >= TIMESTAMP '2024-01-29' GROUP BY 1, 2, 3""")
+def q_hourly_upkeep(spark, sf_dir):
+    """Metrics and events stored, one upkeep run at NOW with 7 days of retention; the weekly summaries it wrote."""
+    from fleetlens.plans.jobs import hourly_upkeep
+
+    base = _scratch(spark, "upkeep")
+    TB.append_gpu_metrics(_gpu_metrics_typed(spark, sf_dir), f"{base}/gpu_metrics")
+    TB.append_process_events(_process_events(spark, sf_dir), f"{base}/process_events")
+    hourly_upkeep(spark, {"gpu_metrics": f"{base}/gpu_metrics", "process_events": f"{base}/process_events"},
+                  f"{base}/archive", f"{base}/weekly", 7, NOW)
+    return spark.read.parquet(f"{base}/weekly")
+
+
+@register("library_roots", PS + f"""
+SELECT id, pid, {_in_lib_sql('exe_path')} AS in_library FROM process_samples""")
+def q_library_roots(spark, sf_dir):
+    """J3, join form: whether each sampled process lies under a library root of a table of roots."""
+    roots = spark.createDataFrame([(r,) for r in ROOTS], "root string")
+    return P.library_flag(_v(spark, sf_dir, "process_samples"), roots).select("id", "pid", "in_library")
+
+
+def _push_sql() -> str:
+    s = _snapshot_sql()
+    for old, new in R.GPU_GAUGE_NAMES.items():
+        s = s.replace(f"'{new}'", f"'{R.PUSH_GAUGE_NAMES.get(old, 'unused')}'")
+    return s
+
+
+def _push_snapshot_sql() -> str:
+    """``_snapshot_sql`` with the push exporter's names and bounds."""
+    saved = R.TPS_BUCKETS, R.TTFT_BUCKETS_MS
+    names = {R.TPS_HISTOGRAM_NAME: R.PUSH_TPS_NAME, R.TTFT_HISTOGRAM_NAME: R.PUSH_TTFT_NAME,
+             R.PROCESS_COUNT_NAME: R.PUSH_PROCESS_COUNT_NAME, R.PROCESS_MEMORY_NAME: R.PROCESS_MEMORY_BY_PID_NAME}
+    try:
+        R.TPS_BUCKETS = R.TTFT_BUCKETS_MS = R.PUSH_BUCKETS
+        s = _push_sql()
+    finally:
+        R.TPS_BUCKETS, R.TTFT_BUCKETS_MS = saved
+    for old, new in names.items():
+        s = s.replace(f"'{old}", f"'{new}")
+    return f"SELECT * FROM ({s}) WHERE metric NOT IN ('unused', '{R.SESSION_COUNT_NAME}')"
+
+
+@register("push_snapshot", _push_snapshot_sql())
+def q_push_snapshot(spark, sf_dir):
+    """A14 under the push exporter's names (labels as JSON text)."""
+    snap = R.push_snapshot(M.gpu_gauges(_v(spark, sf_dir, "gpu_metrics")), _sessions(spark, sf_dir), _process_events(spark, sf_dir))
+    return snap.select("metric", F.to_json("labels").alias("labels"),
+                       F.when(F.col("metric").endswith("_sum"), F.round("value", 6)).otherwise(F.col("value")).alias("value"))
