@@ -14,10 +14,7 @@ SF_SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    s = config.local_session("*", shuffle_partitions=8, driver_memory="4g", app="fleetlens-tests")
-    if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="fleetlens-test-ckpt-"))
-    yield s
+    yield config.local_session("*", shuffle_partitions=8, driver_memory="4g", app="fleetlens-tests")
 
 
 @pytest.fixture()

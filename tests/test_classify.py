@@ -12,6 +12,7 @@ def _cat(spark, rows, roots=()):
 
 
 def test_reference_cases(spark):
+    # The inputs whose categories the rules must reproduce.
     rows = [("ollama", "/usr/bin/ollama serve", None, 50),
             ("python3", "python3 train.py --model transformer --epochs 10", None, 80),
             ("python3", "python3 inference.py --model llama --generate", None, 60)]

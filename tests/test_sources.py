@@ -14,11 +14,66 @@ def _csv(spark, lines):
 
 
 def test_parse_probe_line(spark):
-    got = _csv(spark, ["0, NVIDIA GeForce RTX 3080, 45, 30, 8192, 10240, 65, 250.5"])[0]
+    got = _csv(spark, ["3, Accelerator X9, 71, 22, 6000, 24000, 58, 199.9"])[0]
     assert (got["gpu_id"], got["name"], got["utilization_gpu"], got["utilization_memory"], got["temperature"]) == \
-        (0, "NVIDIA GeForce RTX 3080", 45, 30, 65)
-    assert got["memory_used"] == 8192 * 1048576 and got["memory_total"] == 10240 * 1048576
-    assert got["power_usage"] == 250
+        (3, "Accelerator X9", 71, 22, 58)
+    assert got["memory_used"] == 6000 * 1048576 and got["memory_total"] == 24000 * 1048576
+    assert got["power_usage"] == 199
+
+
+def test_unsigned_ranges(spark):
+    """Readings above a signed 32-bit value stay; above the unsigned one the line goes, and power saturates."""
+    rows = _csv(spark, ["0,A,1,1,1,1,3000000000,5", "4294967295,B,1,1,1,1,1,3e9", "4294967296,C,1,1,1,1,1,1",
+                        "7,D,1,1,1,1,4294967296,1", "8,E,1,1,1,1,1,9e9"])
+    got = {r["gpu_id"]: r for r in rows.values()}
+    assert got[0]["temperature"] == 3000000000 and got[4294967295]["power_usage"] == 3000000000
+    assert got[8]["power_usage"] == 4294967295 and len(got) == 3
+
+
+def test_counts_above_bigint_keep_the_record(spark):
+    from fleetlens.sources.chunks import parse_llm_chunks, stored_counts
+    line = '{"model":"m","created_at":"c","done":true,"eval_count":%s}'
+    counts = ["18446744073709551615", "9223372036854775808", "5", "18446744073709551616", "-1", "1.5", "null"]
+    raw = spark.createDataFrame([(i, line % c) for i, c in enumerate(counts)], "i int, chunk string")
+    got = {r["i"]: r["eval_count"] for r in parse_llm_chunks(raw).collect()}
+    assert got == {0: 18446744073709551615, 1: 9223372036854775808, 2: 5, 6: None}
+    assert {r["i"]: r["eval_count"] for r in stored_counts(parse_llm_chunks(raw)).collect()} == {0: 2**63 - 1, 1: 2**63 - 1, 2: 5, 6: None}
+
+
+def test_a_marker_cannot_be_forged(spark):
+    import hashlib
+    from fleetlens.sources.chunks import parse_llm_chunks
+    good = '{"model":"m","created_at":"c","done":true}'
+    forged = [good + ',"#end#"] x', good + ',"' + hashlib.sha256(good.encode()).hexdigest() + '"] x', good + "]", good + ",1"]
+    raw = spark.createDataFrame([(i, t) for i, t in enumerate([good, *forged])], "i int, chunk string")
+    assert [r["i"] for r in parse_llm_chunks(raw).collect()] == [0]
+
+
+def test_long_fractions_and_weeks(spark):
+    import pytest
+    from fleetlens.operators.rollups import weekly_summary
+    from fleetlens.sources.stored import rfc3339_to_timestamp
+    got = spark.createDataFrame([("2024-01-01T00:00:00.1234567890123Z",)], "t string").select(rfc3339_to_timestamp("t").alias("t")).first()
+    assert got["t"].microsecond == 123456
+    with pytest.raises(ValueError, match="Monday"):
+        weekly_summary(spark.createDataFrame([], "timestamp timestamp, category string"), week="2024-01-02")
+
+
+def test_request_body_bound_counts_bytes(spark):
+    from fleetlens.sources.chunks import llm_requests
+    log = spark.createDataFrame([("a", None, "/api/chat", 200, "é" * 6)], "request_key string, ts timestamp, path string, status int, body string")
+    assert llm_requests(log, max_body=11).count() == 0 and llm_requests(log, max_body=12).count() == llm_requests(log, max_body=None).count() == 1
+
+
+def test_fixed_rounds_the_exact_binary_value(spark):
+    from decimal import ROUND_HALF_UP, Decimal
+    from pyspark.sql import functions as F
+    from fleetlens.functions.display import fixed
+    values = [12.35, 0.15, 0.25, 0.35, 2.5, 3.5, 12.25, 1e-9, 0.0, 99.95, 123456789.05, 0.05, 1.0, 59.99999, 1234567.75]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for digits in (0, 1, 2):
+        got = [r[0] for r in df.select(fixed("v", digits)).collect()]
+        assert got == [str(Decimal(v).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP)) for v in values]
 
 
 def test_probe_edge_rows(spark):
