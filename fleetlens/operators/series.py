@@ -95,7 +95,8 @@ def with_blocks(df: DataFrame, keys: Sequence[str], ts: str, tiebreak: Sequence[
 
 def prefix_sum(df: DataFrame, keys: Sequence[str], ts: str, tiebreak: Sequence[str], weight: Column | None = None,
                block_seconds: int = DEFAULT_BLOCK_SECONDS, out: str = "prefix", total: str | None = None,
-               keep_partitioning: bool = False, block_rows: int | None = DEFAULT_BLOCK_ROWS) -> DataFrame:
+               keep_partitioning: bool = False, block_rows: int | None = DEFAULT_BLOCK_ROWS,
+               need: str | None = None) -> DataFrame:
     """Add, for every row, the sum of ``weight`` over the rows of its key group
     strictly before it in (ts, *tiebreak) order (``weight`` None counts rows),
     and optionally the group total.
@@ -107,7 +108,9 @@ def prefix_sum(df: DataFrame, keys: Sequence[str], ts: str, tiebreak: Sequence[s
     helper columns, so the join and the in-block window share one partitioning
     and the rows are shuffled once.  ``keep_partitioning`` keeps those columns
     (``partitioning_columns``) so a following aggregate on a superset of them
-    needs no exchange.
+    needs no exchange.  ``need`` is a condition on a block (``_fl_off``, the sum
+    before it, ``_fl_cnt``, its own, and the total): rows of other blocks leave
+    before the window.
     """
     keys = list(keys)
     q = lambda c: f"`{c}`"
@@ -123,7 +126,9 @@ def prefix_sum(df: DataFrame, keys: Sequence[str], ts: str, tiebreak: Sequence[s
                    f"ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS _fl_off"]
     if total:
         offset_cols.append(f"CAST(sum(_fl_cnt) OVER (PARTITION BY {by_key}) AS BIGINT) AS {q(total)}")
-    offsets = counts.selectExpr(*part, *offset_cols)
+    offsets = counts.selectExpr(*part, *offset_cols, *(["_fl_cnt"] if need else []))
+    if need:
+        offsets = offsets.where(need).drop("_fl_cnt")
     order = ", ".join(q(c) for c in [ts, *tiebreak])
     in_block = f"PARTITION BY {', '.join(part)} ORDER BY {order}"
     local = (f"row_number() OVER ({in_block}) - 1" if weight is None else
@@ -144,11 +149,12 @@ def partitioning_columns(keys: Sequence[str]) -> list[str]:
 
 def ordered_index(df: DataFrame, keys: Sequence[str] = ("gpu_id",), ts: str = "timestamp",
                   tiebreak: Sequence[str] = ("id",), block_seconds: int = DEFAULT_BLOCK_SECONDS,
-                  index: str = "idx", size: str = "n", block_rows: int | None = DEFAULT_BLOCK_ROWS) -> DataFrame:
+                  index: str = "idx", size: str = "n", block_rows: int | None = DEFAULT_BLOCK_ROWS,
+                  need: str | None = None) -> DataFrame:
     """Add the 0-based position of each row within its key group, ordered by
     (ts, *tiebreak), and the group size.  Blocks are ``block_seconds`` wide, those above
     ``block_rows`` rows cut finer; pass ``block_rows=None`` to leave them whole."""
-    return prefix_sum(df, keys, ts, tiebreak, None, block_seconds, out=index, total=size, block_rows=block_rows)
+    return prefix_sum(df, keys, ts, tiebreak, None, block_seconds, out=index, total=size, block_rows=block_rows, need=need)
 
 
 def downsample(df: DataFrame, max_points: int, keys: Sequence[str] = ("gpu_id",), ts: str = "timestamp",
@@ -178,9 +184,11 @@ def trend(df: DataFrame, metrics: Sequence[str], keys: Sequence[str] = ("gpu_id"
     The aggregation is a plain grouped aggregate over the indexed rows.
     """
     keys = list(keys)
-    ix = ordered_index(df, keys, ts, tiebreak, block_seconds, block_rows=block_rows)
+    sample = f"greatest({TREND_MIN_SAMPLE}L, CAST(floor(n * {TREND_FRACTION}D) AS BIGINT))"
+    # Only blocks that reach into the last two samples are numbered.
+    ix = ordered_index(df, keys, ts, tiebreak, block_seconds, block_rows=block_rows, need=f"_fl_off + _fl_cnt > n - 2 * {sample}")
     # s = max(5, floor(n * 0.1)), in double arithmetic as the reference computes it.
-    ix = ix.withColumn("_s", F.expr(f"greatest({TREND_MIN_SAMPLE}L, CAST(floor(n * {TREND_FRACTION}D) AS BIGINT))"))
+    ix = ix.withColumn("_s", F.expr(sample))
     recent, previous = "idx >= n - _s", "idx >= n - 2 * _s AND idx < n - _s"
     aggs = [F.max("_s").alias("sample_size")]
     for m in metrics:
