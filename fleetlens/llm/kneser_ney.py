@@ -47,9 +47,10 @@ from pyspark.sql import functions as F
 from fleetlens import config
 from fleetlens.llm.common import texts, words
 
-#: Tokens that a map task combines at a time, and bytes of text per shard.
-CHUNK = 1 << 21
-SHARD_BYTES = 32 << 20
+#: Tokens that a map task combines, and scores, at a time; bytes of text per shard.
+CHUNK = 1 << 20
+SCORED = 1 << 18
+SHARD_BYTES = 16 << 20
 #: No word has a space in it.
 END = xxhash.xxh3_64_intdigest(b" end")
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -102,7 +103,7 @@ def _chunks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     for i, text in enumerate(column):
         held.append(tokens(text.as_py()))
         size += len(held[-1])
-        if size >= CHUNK or i + 1 == len(column):
+        if size >= SCORED or i + 1 == len(column):
             yield first, np.concatenate(held), np.array([len(h) for h in held], np.int64)
             held, first, size = [], i + 1, 0
 
