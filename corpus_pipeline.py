@@ -28,24 +28,27 @@ from pyspark.sql import functions as F
 
 from fleetlens import config
 from fleetlens.llm import bpe, contamination, language, simhash, substrings
-from fleetlens.llm.common import checkpointed, table
+from fleetlens.llm.common import checkpointed, prepare, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare(spark)
     model = language.learn(docs)
     return language.keep_labelled(docs, model, least=0.5).select(*COLUMNS)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare(spark)
     found = simhash.near_duplicates(docs, shingle=3, radius=3)
     gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare(spark)
     return substrings.without_repeats(docs, window=13).select(*COLUMNS)
 
 
@@ -56,6 +59,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare(spark)
     tokens = bpe.encode(docs, VOCABULARY, public_tokenizers.PATTERN, keep=("doc_id", "lang", "source", "text"))
     tokens = bpe.decode(tokens, VOCABULARY)
     same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")

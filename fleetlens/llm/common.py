@@ -8,6 +8,17 @@ from pyspark.sql import functions as F
 from fleetlens import config
 
 
+#: Rows per Arrow batch: whole texts are long, and a worker holds a batch in memory twice.
+ARROW_ROWS = 2000
+
+
+def prepare(spark: SparkSession) -> None:
+    """Session settings of the registered queries and the pipeline, changed only where they hold the default."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
