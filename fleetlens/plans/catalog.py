@@ -991,9 +991,9 @@ def q_list_archives(spark, sf_dir):
     TB.append_gpu_metrics(_gpu_metrics_typed(spark, sf_dir), f"{base}/gpu_metrics")
     AR.archive(spark, f"{base}/gpu_metrics", "gpu_metrics", ARCHIVE_CUTOFF, f"{base}/archive")
     found = AR.list_archives(spark, f"{base}/archive")
-    total = found.agg(F.sum("bytes").alias("total"))
-    return found.join(total).select("archive", (F.col("bytes") > 0).alias("has_bytes"),
-                                    (F.col("total") == AR.archive_size(spark, f"{base}/archive")).alias("size_agrees"))
+    total = found.agg(F.sum("bytes")).first()[0] or 0
+    return found.select("archive", (F.col("bytes") > 0).alias("has_bytes"),
+                        F.lit(total == AR.archive_size(spark, f"{base}/archive")).alias("size_agrees"))
 
 
 @register("retained_rows", GM + f"""SELECT {GM_STORED}, CAST("timestamp" AS DATE) AS "date" FROM gpu_metrics
