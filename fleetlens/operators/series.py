@@ -25,6 +25,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetlens import config
+
 DEFAULT_BLOCK_SECONDS = 3600
 # A slice with more rows than this is cut into finer blocks, however the rows lie in it.
 DEFAULT_BLOCK_ROWS = 1_000_000
@@ -62,7 +64,8 @@ def with_blocks(df: DataFrame, keys: Sequence[str], ts: str, tiebreak: Sequence[
     Blocks are ``block_seconds`` wide.  With ``block_rows``, a block above it is cut into its seconds, and a
     second above it into single microseconds and ranges of ``block_rows`` values of the first tie-break (if
     that is a whole number, such as an id).  The tables of blocks above the bound have at most one row per
-    ``block_rows`` rows of ``df``; they are broadcast, so the rows are not shuffled for this.
+    ``block_rows`` rows of ``df``; they are looked for when the plan is built, and broadcast if there are any,
+    so the rows are not shuffled for this.
     """
     types = dict((f.name, f.dataType) for f in df.schema.fields)
     q, least = f"`{ts}`", -(2 ** 63)
@@ -77,15 +80,23 @@ def with_blocks(df: DataFrame, keys: Sequence[str], ts: str, tiebreak: Sequence[
         return rows.withColumns({sec: zero, us: zero, tie: zero})
     group = list(helpers)
 
-    def above(part: DataFrame, by: list[str], mark: str) -> DataFrame:
+    def above(part: DataFrame, by: list[str]) -> DataFrame | None:
+        """The overfull blocks, found now (one pass over key and time) so that the plan has no trace of
+        them where there are none."""
+        config.checkpoint_dir(part.sparkSession)
         large = part.groupBy(*by).agg(F.expr("count(1)").alias("_fl_cnt")).where(F.col("_fl_cnt") > block_rows)
-        return F.broadcast(large.select(*by, F.lit(True).alias(mark)))
+        large = large.select(*by, F.lit(True).alias("_fl_dense")).checkpoint()
+        return None if large.isEmpty() else F.broadcast(large)
 
-    dense = above(rows, [*group, blk], "_fl_dense")
+    dense = above(rows, [*group, blk])
+    if dense is None:
+        return rows.withColumns({sec: zero, us: zero, tie: zero})
     seconds = F.expr(f"coalesce(CAST(floor(unix_micros({q}) / 1000000) AS BIGINT), {least}L)")
     inside = rows.join(dense, [*group, blk]).withColumn(sec, seconds)
     rows = rows.join(dense, [*group, blk], "left").withColumn(sec, F.when(F.col("_fl_dense"), seconds).otherwise(zero)).drop("_fl_dense")
-    dense = above(inside, [*group, blk, sec], "_fl_dense")
+    dense = above(inside, [*group, blk, sec])
+    if dense is None:
+        return rows.withColumns({us: zero, tie: zero})
     whole = bool(tiebreak) and types[tiebreak[0]].typeName() in ("byte", "short", "integer", "long")
     span = F.expr(f"coalesce(CAST(floor(`{tiebreak[0]}` / {int(block_rows)}) AS BIGINT), {least}L)") if whole else zero
     rows = rows.join(dense, [*group, blk, sec], "left")
