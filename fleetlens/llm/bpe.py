@@ -32,9 +32,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.llm.common import lean
+
 #: Larger than every rank: no pair here.
 NONE = 1 << 30
-KEPT_PIECES = 1 << 18
+KEPT_PIECES = 1 << 17
 KEPT_LENGTH = 64
 CHARS_AT_ONCE = 1 << 20
 
@@ -293,7 +295,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", kee
                 flat = np.concatenate([np.empty(0, np.int32), *ids])
                 yield _added(part, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32())), "ids")
 
-    return rows.mapInArrow(run, _schema(rows, "ids array<int>"))
+    return rows.mapInArrow(lean(run), _schema(rows, "ids array<int>"))
 
 
 def decode(tokens: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
@@ -309,4 +311,4 @@ def decode(tokens: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
                 data = [table.joined(np.asarray(i.values)) if i.is_valid else b"" for i in part.columns[-1]]
                 yield _added(part, pa.array(data, pa.binary()), "decoded")
 
-    return rows.mapInArrow(run, _schema(rows, "decoded binary"))
+    return rows.mapInArrow(lean(run), _schema(rows, "decoded binary"))

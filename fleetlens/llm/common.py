@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+from functools import wraps
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +44,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return out
 
 
+def lean(run):
+    """``run`` (a function of batches for mapInArrow) that hands freed memory back to the system when it
+    ends; a worker that waits for its next task would keep it."""
+    @wraps(run)
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return wrapped
+
+
 def words(text: bytes | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of UTF-8 bytes: exactly the white space ``bytes.split`` knows."""
     return text.split() if text else []

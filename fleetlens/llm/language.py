@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.llm.common import lean
+
 #: First and last code point of the blocks of a script.
 SCRIPTS = {
     "latin": [(0x41, 0x24F), (0x250, 0x2AF), (0x1E00, 0x1EFF), (0xFF21, 0xFF5A)],
@@ -51,7 +53,7 @@ OTHER = len(SCRIPTS) + 1
 UNKNOWN = "und"
 FEATURES = 1 << 15
 PIECE_CHARS = 1 << 19
-GROUP_CHARS = 1 << 23
+GROUP_CHARS = 1 << 22
 OUT_OF_SCRIPT = 100.0
 
 
@@ -147,7 +149,7 @@ def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", switc
             at = np.flatnonzero(mine)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(mine[at])], ["lang", "at", "n"])
 
-    sums = rows.mapInArrow(count, "lang string, at long, n long").groupBy("lang", "at").agg(F.sum("n").alias("n")).toArrow()
+    sums = rows.mapInArrow(lean(count), "lang string, at long, n long").groupBy("lang", "at").agg(F.sum("n").alias("n")).toArrow()
     languages = sorted(set(sums.column("lang").to_pylist()))
     n = np.zeros((FEATURES + OTHER + 1, len(languages)))
     which = np.array([languages.index(x) for x in sums.column("lang").to_pylist()], np.int64)
@@ -208,7 +210,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 ["doc_id", "lang_pred", "score", "spans"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, spans array<struct<start:int,words:int,lang:string>>")
+    return rows.mapInArrow(lean(run), f"doc_id {kind}, lang_pred string, score double, spans array<struct<start:int,words:int,lang:string>>")
 
 
 def fold(id_col: str, folds: int) -> Column:
@@ -226,4 +228,4 @@ def keep_labelled(docs: DataFrame, model: Model, least: float = 0.5, text_col: s
             kept = [x != UNKNOWN and s >= least for x, s in zip(lang, score)]
             yield batch.filter(pa.array(kept, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import checkpointed, texts, words
+from fleetlens.llm.common import checkpointed, lean, texts, words
 from fleetlens.llm.graph import components
 
 SEED = 42
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fingerprint"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, fingerprint long")
+    return rows.mapInArrow(lean(run), f"doc_id {kind}, fingerprint long")
 
 
 def _unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -213,7 +213,7 @@ def links(prints: DataFrame, radius: int = 3, split_at: int = SPLIT_AT) -> DataF
                 f, b = f[cut:], b[cut:]
         yield report(f, b)
 
-    return ready.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long")
+    return ready.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import checkpointed, texts, words
+from fleetlens.llm.common import checkpointed, lean, texts, words
 
 #: Longest window of the first level.
 SHORT = 8
@@ -126,7 +126,7 @@ def _sent(rows: DataFrame, keys, final: bool) -> DataFrame:
         if held:
             yield _combined(*map(np.concatenate, zip(*held)), final)
 
-    return rows.mapInArrow(run, ROWS)
+    return rows.mapInArrow(lean(run), ROWS)
 
 
 def _repeated(sent: DataFrame, final: bool) -> DataFrame:
@@ -210,7 +210,7 @@ def dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: s
                 [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
                  pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+    return rows.mapInArrow(lean(run), "doc_id long, n_words long, n_removed long, kept string")
 
 
 def without_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text",
@@ -247,7 +247,7 @@ def without_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
             columns[at] = pa.array(text, columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(stays, pa.bool_()))
 
-    return rows.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(lean(run), docs.schema)
 
 
 def longest_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
