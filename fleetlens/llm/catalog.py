@@ -84,8 +84,8 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Licences named in each document: units (lines, paragraphs, text) that match, and the best Dice."""
-    found = licences.scan(table(spark, sf_dir, "documents"), threshold=0.8)
+    """Licences named in each document: units (lines, paragraphs, text) and windows outside them that match, and the best Dice."""
+    found = licences.notices(table(spark, sf_dir, "documents"), threshold=0.8)
     return found.groupBy("doc_id", "licence").agg(F.count("*").alias("n_units"), F.max("dice").alias("best_dice"))
 
 

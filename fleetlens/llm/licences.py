@@ -11,6 +11,13 @@ drops most documents, one over a unit's bigrams most units.  Then the size bound
 (2 - t) / t |B| prune the candidate templates.  The templates are a fixed list, constants of the
 expressions: no join, no shuffle before the matches are gathered.
 
+``scan`` measures units.  ``notices`` adds the notices that are no unit of their own (behind comment
+signs, wrapped, inside a sentence): windows of the document's word sequence, in which every matched
+unit is a break.  A window begins and ends with a bigram of the template and has from t / (2 - t) |B|
+to (2 - t) / t |B| bigrams, repeated ones counted, in any place; all of them that reach the threshold
+count, the best first (ties: earlier template, earlier place, shorter), without those that share a word
+with a better one.  A text without enough different bigrams of a template has no such window.
+
 Null and empty texts and units of fewer than two words match nothing.  The best template of a unit
 counts, the earlier listed if tied.  Long texts are read whole.  Rows with a null id are reported
 under a null id, repeated rows each.  An empty table gives no rows.  Only the named columns are read.
@@ -82,6 +89,100 @@ def _settled(rows: DataFrame, name: str, value: Column) -> DataFrame:
     return rows.select(*[c for c in rows.columns if c != name], F.explode(F.array(value)).alias(name))
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, also inside a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _words(text: Column | str) -> Column:
+    return F.split(F.lower(text), NOT_A_WORD)
+
+
+def _grams(words: Column | str) -> Column:
+    """The bigrams in their order; "" where one of the words is a break ("")."""
+    pair = lambda a, b: F.when(b.isNotNull(), F.when((a == "") | (b == ""), F.lit("")).otherwise(F.concat(a, F.lit(" "), b)))
+    return F.array_compact(F.zip_with(words, F.slice(words, 2, F.size(words)), pair))
+
+
+def windows(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = 0.8,
+            id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Columns of ``scan`` for windows outside the matched units; ``unit`` is window, ``matched`` its words."""
+    listed = TEMPLATES if templates is None else templates
+    entries, every, must, names = [], set(), set(), set()
+    for i, (_, text) in enumerate(listed):
+        grams = template_bigrams(text)
+        if not grams:
+            raise ValueError(f"template {i} has fewer than two words")
+        low, high, shared = _bounds(len(grams), threshold)
+        ranked = sorted(grams, key=lambda g: (-len(_longest(g)), g))[:len(grams) - shared + 1]
+        every.update(grams)
+        must.update(ranked)
+        names.update(map(_longest, ranked))
+        entries.append(F.struct(F.lit(i).alias("at"), F.lit(low).alias("low"), F.lit(high).alias("high"), F.lit(shared).alias("shared"),
+                                F.lit(len(grams)).alias("size"), F.array(*map(F.lit, grams)).alias("grams")))
+    entries = F.array(*entries)
+    named, must, every = (F.array(*map(F.lit, sorted(x))) for x in (names, must, every))
+    common = lambda a, e: F.size(F.array_intersect(a, e["grams"]))
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).where(F.arrays_overlap(_words("t"), named))
+    rows = _settled(rows, "words", F.array_remove(_words("t"), ""))
+    rows = _settled(rows, "grams", F.array_intersect(_grams("words"), every)).where(F.arrays_overlap("grams", must))
+    rows = _settled(rows, "near", F.transform(F.filter(entries, lambda e: common("grams", e) >= e["shared"]), lambda e: e["at"]))
+    rows = rows.where(F.size("near") > 0).select("doc_id", "t", "near")
+
+    def measured(g: Column) -> Column:
+        fitting = F.filter(entries, lambda e: (e["low"] <= F.size(g)) & (F.size(g) <= e["high"]))
+        return F.exists(fitting, lambda e: F.lit(2.0) * common(g, e) / (F.size(g) + e["size"]) >= threshold)
+
+    def unit(text: Column) -> Column:   # scan reports it
+        whole = lambda w: _let(F.array_distinct(_grams(F.array_remove(w, ""))), measured)
+        return _let(_words(text), lambda w: F.when(F.arrays_overlap(w, named), whole(w)).otherwise(False))
+
+    def left(parts: Column, inner) -> Column:
+        return F.flatten(F.transform(parts, lambda p: F.when(unit(p), F.array(F.lit(""))).otherwise(inner(p))))
+
+    paragraphs = F.split("t", r"(?:\r\n|\r|\n)[ \t]*(?:\r\n|\r|\n)\s*", -1)
+    of_lines = lambda p: left(F.split(p, r"\r\n|\r|\n", -1), lambda x: F.array_remove(_words(x), ""))
+    rows = rows.where((F.size(paragraphs) == 1) | ~unit(F.col("t")))
+    rows = _settled(rows, "words", left(paragraphs, of_lines)).select("doc_id", "near", "words")
+    rows = _settled(rows, "grams", _grams("words"))
+
+    def begun(e: Column) -> Column:
+        """Where a bigram of the template stands that has enough others of them in reach."""
+        at = F.transform("grams", lambda g, i: F.when(F.array_contains(e["grams"], g), F.struct(
+            i.alias("at"), F.slice("grams", i + 1, e["high"]).alias("run"))))
+        return F.filter(at, lambda s: s.isNotNull() & (common(s["run"], e) >= e["shared"]))
+
+    def ended(e: Column, s: Column) -> Column:
+        run = s["run"]
+        ends = F.filter(F.sequence(e["low"], F.size(run)), lambda n: F.array_contains(e["grams"], F.element_at(run, n))
+                        & ~F.array_contains(F.slice(run, 1, n), F.lit("")))
+        dice = lambda r, e: F.lit(-2.0) * common(r, e) / (F.size(F.array_distinct(r)) + e["size"])
+        found = F.transform(ends, lambda n: F.struct(_let(F.slice(run, 1, n), lambda r: dice(r, e)).alias("less"),
+                                                     e["at"].alias("template"), s["at"].alias("at"), n.alias("n")))
+        return F.filter(found, lambda x: x["less"] <= -threshold)
+
+    near = F.filter(entries, lambda e: F.array_contains("near", e["at"]))
+    rows = _settled(rows, "found", F.flatten(F.transform(near, lambda e: F.flatten(F.transform(begun(e), lambda s: ended(e, s))))))
+    rows = _settled(rows.where(F.size("found") > 0), "found", F.array_sort("found"))
+    apart = lambda a, x: (a["at"] + a["n"] < x["at"]) | (x["at"] + x["n"] < a["at"])
+    best = F.aggregate("found", F.filter("found", lambda x: F.lit(False)),
+                       lambda kept, x: F.when(F.forall(kept, lambda a: apart(a, x)), F.concat(kept, F.array(x))).otherwise(kept))
+    rows = _settled(rows, "found", F.array_sort(F.transform(best, lambda x: F.struct(x["at"], x["n"], x["template"], x["less"]))))
+    rows = rows.select("doc_id", "words", F.posexplode("found").alias("number", "x"))
+    licences = F.array(*[F.lit(name) for name, _ in listed])
+    return rows.select("doc_id", F.lit("window").alias("unit"), "number", F.get(licences, F.col("x.template")).alias("licence"),
+                       F.col("x.template").alias("template"), (-F.col("x.less")).alias("dice"),
+                       F.array_join(F.slice("words", F.col("x.at") + 1, F.col("x.n") + 1), " ").alias("matched"))
+
+
+def notices(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = 0.8,
+            id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The matched units (``scan``) and the matched windows outside of them."""
+    given = (docs, templates, threshold, id_col, text_col)
+    return scan(*given).unionByName(windows(*given))
+
+
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = 0.8,
          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, unit, number, licence, template, dice, matched): the best template of every unit that has one.
