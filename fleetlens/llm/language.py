@@ -108,11 +108,12 @@ class Model:
     def labels(self, texts: pa.Array) -> tuple[list[str], list[float], list[list[dict]]]:
         """Language, score and spans of every text; some megabytes of text at a time."""
         lang, score, spans, group, size = [], [], [], [], 0
+        limit = GROUP_CHARS * 8 // max(8, len(self.languages))   # a word has a score per language
         for i, text in enumerate(texts):
             text = text.as_py()
             group.append(self.word_scores(text) if text and self.languages else np.empty((0, max(1, len(self.languages))), np.float32))
             size += len(text or "")
-            if size < GROUP_CHARS and i + 1 < len(texts):
+            if size < limit and i + 1 < len(texts):
                 continue
             lengths = np.array([len(g) for g in group], np.int64)
             label, at = viterbi(np.concatenate(group), lengths, self.switch), 0
@@ -124,7 +125,7 @@ class Model:
                     continue
                 share = np.bincount(mine, minlength=len(self.languages))
                 best = int(share.argmax())
-                run = np.flatnonzero(np.diff(mine.astype(np.int16), prepend=-1))
+                run = np.flatnonzero(np.diff(mine.astype(np.int64), prepend=-1))
                 lang.append(self.languages[best])
                 score.append(share[best] / n)
                 spans.append([{"start": int(s), "words": int(w), "lang": self.languages[mine[s]]}
@@ -172,9 +173,10 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndarra
     length = lengths[order]
     steps = int(length[0]) if len(length) else 0
     active = np.searchsorted(-length, -np.arange(steps), side="left")   # texts longer than t words
-    kinds = np.arange(scores.shape[1], dtype=np.uint8)
-    back = np.empty(scores.shape, np.uint8)
-    label = np.empty(len(scores), np.uint8)
+    kind = np.min_scalar_type(max(0, scores.shape[1] - 1))   # holds every label
+    kinds = np.arange(scores.shape[1], dtype=kind)
+    back = np.empty(scores.shape, kind)
+    label = np.empty(len(scores), kind)
     value = scores[begin[:active[0]]].astype(np.float32) if steps else None
     for t in range(1, steps):
         k = active[t]
