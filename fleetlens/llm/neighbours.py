@@ -9,9 +9,12 @@ of the k-th neighbour verified so far: anything closer would by then have been m
 probability.
 
 The index is distributed.  A kd-tree of median splits, fitted on a bounded sample of ``SAMPLE``
-rows, divides the projected space into cells; every vector is indexed in its cell.  A cell with more
-than twice ``BLOCK`` rows (also one vector repeated a million times) is dealt out by hash into blocks
-of about ``BLOCK``, so no task grows with a cell.  A block has its own kd-tree with leaves of
+rows, divides the projected space into cells; every vector is indexed in its cell.  Equal vectors are
+one class: its k + 1 smallest ids are indexed (others cannot be among the k nearest of anything), and
+it is searched for once, for k + 1 rows, of which each of its queries takes the first k but itself.  A
+cell with more than twice ``BLOCK`` rows is dealt out by hash into blocks of about ``BLOCK``, and the
+classes that ask a cell into groups of about ``ASKS``, each with its copy of the block, so no task
+grows with a cell.  A block has its own kd-tree with leaves of
 ``LEAF`` rows, whose boxes give the order of the projected distances.  A query first searches its own
 block, which gives it a d_k; then the cells that the ball of its stopping radius touches, each with
 that d_k to start from.  The few best of every block are merged.
@@ -38,6 +41,7 @@ from fleetlens.llm.common import checkpointed
 M = 8                     # even: the chi-square distribution then has a closed form
 SAMPLE = 20_000
 BLOCK = 16_384
+ASKS = 16_384
 LEAF = 32
 LEAVES_AT_ONCE = 8
 SEED = 20
@@ -128,7 +132,7 @@ class Block:
         self.low = np.array([self.points[x].min(axis=0) for x in leaves])
         self.high = np.array([self.points[x].max(axis=0) for x in leaves])
 
-    def search(self, query_id: int, vector: np.ndarray, point: np.ndarray, k: int, d2: float, stop: float) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, vector: np.ndarray, point: np.ndarray, k: int, d2: float, stop: float) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the k nearest met before the stopping test holds; ``d2`` is a d_k^2 known before."""
         gap = np.maximum(np.maximum(self.low - point, point - self.high), 0)
         bound = (gap * gap).sum(axis=1)
@@ -140,7 +144,6 @@ class Block:
                 break
             some = order[lo:lo + LEAVES_AT_ONCE]
             rows = np.concatenate([self.leaves[i] for i in some])
-            rows = rows[self.ids[rows] != query_id]
             # one sum per row, in one order: equal vectors get equal scores
             score = (self.vectors[rows] * vector).sum(axis=1) / (self.norms[rows] * norm)
             ids, scores = np.concatenate([ids, self.ids[rows]]), np.concatenate([scores, score])
@@ -172,7 +175,10 @@ def nearest(vectors: DataFrame, queries, k: int = 5, confidence: float = 0.95, i
     """(query_id, rank, vec_id, score): the k nearest found for every vector whose id satisfies ``queries``
     (a function from the id column to a condition)."""
     spark = vectors.sparkSession
-    rows = checkpointed(clean(vectors, id_col, vector_col))
+    every = checkpointed(clean(vectors, id_col, vector_col))
+    equal = Window.partitionBy("v").orderBy("vec_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = every.select("*", F.row_number().over(equal).alias("place"), F.min("vec_id").over(equal).alias("class"))
+    rows = checkpointed(rows.where(F.col("place") <= k + 1).select("vec_id", "v", "class"))      # cut before the shuffle too
     total = rows.count()
     if total == 0:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -188,17 +194,21 @@ def nearest(vectors: DataFrame, queries, k: int = 5, confidence: float = 0.95, i
             if batch.num_rows:
                 v = _matrix(batch.column(1))
                 cell = cells_of((v / np.sqrt((v * v).sum(axis=1))[:, None]) @ project, tree)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], ["vec_id", "v", "cell"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], ["vec_id", "v", "class", "cell"])
 
-    placed = rows.mapInArrow(place, "vec_id long, v array<double>, cell long")
+    placed = rows.mapInArrow(place, "vec_id long, v array<double>, class long, cell long")
     parts = placed.groupBy("cell").agg(F.ceil(F.count("*") / (2 * BLOCK)).cast("int").alias("parts"))   # one row per cell
     parts = checkpointed(parts)
     placed = checkpointed(placed.join(F.broadcast(parts), "cell").select(
-        "vec_id", "v", "cell", F.pmod(F.xxhash64("vec_id"), "parts").cast("int").alias("part")))
-    asked = placed.where(queries(F.col("vec_id")))
-
-    def search(asked: DataFrame) -> DataFrame:
-        """Of (vec_id, v, cell, part, d2): the nearest of each query in that block."""
+        "vec_id", "v", "class", "cell", F.pmod(F.xxhash64("vec_id"), "parts").cast("int").alias("part")))
+    heads = placed.where(F.col("vec_id") == F.col("class")).drop("class")
+    wanted = every.where(queries(F.col("vec_id"))).join(heads.select("v", F.col("vec_id").alias("class")), "v").select("vec_id", "class")
+    wanted = checkpointed(wanted)                                                                # every query and its class
+    asked = checkpointed(heads.join(wanted.select(F.col("class").alias("vec_id")).distinct(), "vec_id", "left_semi"))
+    placed = placed.drop("class")
+
+    def search(asked: DataFrame, placed: DataFrame, *group: str) -> DataFrame:
+        """Of (vec_id, v, cell, part, d2, group): the k + 1 nearest of each class in that block, itself included."""
         def run(key, block: pa.Table, asks: pa.Table) -> pa.Table:
             out = []
             if len(asks) and len(block):
@@ -206,17 +216,17 @@ def nearest(vectors: DataFrame, queries, k: int = 5, confidence: float = 0.95, i
                 q = _matrix(asks.column("v").combine_chunks())
                 points = (q / np.sqrt((q * q).sum(axis=1))[:, None]) @ project
                 for i, (qid, d2) in enumerate(zip(asks.column("vec_id").to_pylist(), asks.column("d2").to_pylist())):
-                    ids, scores = index.search(qid, q[i], points[i], k, d2, stop)
+                    ids, scores = index.search(q[i], points[i], k + 1, d2, stop)
                     out.append((np.full(len(ids), qid, np.int64), ids, scores))
             columns = [np.concatenate([o[j] for o in out]) if out else [] for j in range(3)]
             return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
 
-        return placed.groupBy("cell", "part").cogroup(asked.groupBy("cell", "part")).applyInArrow(run, FOUND)
+        return placed.groupBy("cell", "part", *group).cogroup(asked.groupBy("cell", "part", *group)).applyInArrow(run, FOUND)
 
-    first = checkpointed(search(asked.withColumn("d2", F.lit(4.0))))
+    first = checkpointed(search(asked.withColumn("d2", F.lit(4.0)), placed))                      # a block asks itself: bounded
     known = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("worst"))
-    d2 = F.when(F.col("n") >= k, F.least(F.greatest(F.lit(2.0) - 2 * F.col("worst"), F.lit(0.0)) + 1e-12, F.lit(4.0))).otherwise(4.0)
-    known = asked.join(known, asked.vec_id == known.query_id, "left").select("vec_id", "v", "cell", "part", F.coalesce(d2, F.lit(4.0)).alias("d2"))
+    d2 = F.when(F.col("n") > k, F.least(F.greatest(F.lit(2.0) - 2 * F.col("worst"), F.lit(0.0)) + 1e-12, F.lit(4.0))).otherwise(4.0)
+    known = asked.join(known, F.col("vec_id") == F.col("query_id"), "left").select("vec_id", "v", "cell", "part", F.coalesce(d2, F.lit(4.0)).alias("d2"))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,11 +240,18 @@ def nearest(vectors: DataFrame, queries, k: int = 5, confidence: float = 0.95, i
                     [part.column(0), part.column(1), part.column(2), part.column(3), part.column(4),
                      pa.array([c for r in reach for c in r], pa.int64())], ["vec_id", "v", "cell", "part", "d2", "to"])
 
-    far = known.mapInArrow(spread, "vec_id long, v array<double>, cell long, part int, d2 double, to long")
-    far = far.join(F.broadcast(parts.withColumnRenamed("cell", "to")), "to").select(
+    far = checkpointed(known.mapInArrow(spread, "vec_id long, v array<double>, cell long, part int, d2 double, to long"))
+    groups = checkpointed(far.groupBy("to").agg(F.ceil(F.count("*") / ASKS).cast("int").alias("groups")))   # one row per cell
+    far = far.join(F.broadcast(parts.withColumnRenamed("cell", "to")), "to").join(F.broadcast(groups), "to").select(
         "*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("to_part"))
     far = far.where((F.col("to") != F.col("cell")) | (F.col("to_part") != F.col("part"))).select(
-        "vec_id", "v", F.col("to").alias("cell"), F.col("to_part").alias("part"), "d2")
+        "vec_id", "v", F.col("to").alias("cell"), F.col("to_part").alias("part"), "d2",
+        F.pmod(F.xxhash64("vec_id"), "groups").cast("int").alias("group"))
+    copies = placed.join(F.broadcast(groups.withColumnRenamed("to", "cell")), "cell").select(
+        "vec_id", "v", "cell", "part", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return first.union(search(far)).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
-        "query_id", "rank", "vec_id", "score")
+    found = first.union(search(far, copies, "group")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k + 1)
+    found = found.groupBy(F.col("query_id").alias("class")).agg(F.array_sort(F.collect_list(F.struct("rank", "vec_id", "score"))).alias("best"))
+    others = F.filter("best", lambda x: x["vec_id"] != F.col("vec_id"))
+    out = wanted.join(found, "class").select(F.col("vec_id").alias("query_id"), F.posexplode(F.slice(others, 1, k)).alias("at", "x"))
+    return out.select("query_id", (F.col("at") + 1).alias("rank"), "x.vec_id", "x.score")
