@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import bpe, contamination, kneser_ney, language, licences, neighbours, quality, sharding, simhash, substrings
+from fleetlens.llm import bpe, contamination, conversation_sql, kneser_ney, language, licences, neighbours, quality, sharding, simhash, structure, substrings, trie
 from fleetlens.llm.common import checkpointed, prepare, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -133,3 +133,29 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.learn(docs, labels.where(language.fold("doc_id", 4) != 2))
     return model.score(docs).select("doc_id", F.coalesce(language.fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score",
                                     F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
+@query
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefix trie of all conversations, each rebuilt with the first crc32(conv_id) mod 4 turns of its block of 20."""
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"), lambda c: c - c % 20, lambda c: trie.crc32_text(c) % 4)
+
+
+ORACLES["op11_conversation_trie"] = conversation_sql.TRIE
+
+
+@query
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cheapest repair of every damaged conversation."""
+    convs = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = structure.damaged(convs)
+    ids = convs.select("conv_id").distinct()
+    found = structure.repaired(rows).withColumnRenamed("conv_id", "id")
+    missing = structure.gaps(rows).withColumnRenamed("conv_id", "of")
+    found = ids.join(found, ids.conv_id.eqNullSafe(F.col("id")), "left").join(missing, ids.conv_id.eqNullSafe(F.col("of")), "left")
+    none = F.lit(0).cast("long")
+    return found.select("conv_id", *(F.coalesce(c, none).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")),
+                        F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+ORACLES["op13_structure_repair"] = conversation_sql.REPAIR
