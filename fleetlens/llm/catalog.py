@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import bpe, contamination, conversation_sql, kneser_ney, language, licences, neighbours, quality, sharding, simhash, structure, substrings, trie
+from fleetlens.llm import bpe, contamination, conversation_sql, jaccard, kneser_ney, language, licences, neighbours, quality, sharding, simhash, structure, substrings, trie
 from fleetlens.llm.common import checkpointed, prepare, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -144,6 +144,15 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op11_conversation_trie"] = conversation_sql.TRIE
 
 
+@query
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's set of 4-word shingles, linked at a Jaccard similarity of 0.85 or more."""
+    return jaccard.join(table(spark, sf_dir, "documents"), shingle=4, num=85, den=100)
+
+
+ORACLES["op12_jaccard_join"] = jaccard.ORACLE
+
+
 @query
 def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cheapest repair of every damaged conversation."""
