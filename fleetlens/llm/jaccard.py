@@ -216,7 +216,9 @@ def _shared(postings: DataFrame) -> DataFrame:
 def _hits(sets: DataFrame) -> DataFrame:
     """(key, ref, n) of the shared keys of the refs that may have a partner."""
     postings = _postings(sets)
-    hits = checkpointed(postings.join(_shared(postings), "key").groupBy("ref", "key").agg(F.max("n").alias("n")))
+    ends = postings.groupBy("key").agg(F.min("ref").alias("a"), F.max("ref").alias("b"))
+    several = checkpointed(ends.where("a <> b").select("key"))      # few; written, so that what was shuffled for it goes
+    hits = checkpointed(postings.join(several, "key").distinct())
     needs = sets.where("own IS NOT NULL").select(F.col("k1").alias("ref"), F.col("own_need").alias("need")).unionAll(
         sets.where("low IS NOT NULL").select(F.col("k1").bitwiseOR(F.lit(1)).alias("ref"), F.col("low_need").alias("need")))
     needs = needs.groupBy("ref").agg(F.max("need").alias("need"))
