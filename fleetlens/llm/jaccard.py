@@ -331,16 +331,19 @@ def allocate(found: list[dict], m: int, most: int) -> dict[int, int]:
 
 def _probes(near: DataFrame, law: Law) -> DataFrame:
     """(key, ref, kind, v) of every key that others have too, with the allocation of its set."""
-    def of(flag: int) -> DataFrame:
+    def of(flag: int) -> DataFrame:      # at: twice the segment, plus the kind
         ref = F.col("c").bitwiseOR(F.lit(flag)).alias("ref")
-        full = near.select(ref, "n", F.posexplode(f"keys{flag}").alias("segment", "key")).select("key", "ref", "n", F.col("segment").cast("long").alias("segment"), F.lit(0).alias("kind"))
-        less = near.select(ref, "n", F.explode(F.arrays_zip(F.col(f"segment{flag}").alias("s"), F.col(f"deleted{flag}").alias("k"))).alias("x"))
-        return full.unionAll(less.select(F.col("x.k").alias("key"), "ref", "n", F.col("x.s").alias("segment"), F.lit(1).alias("kind")))
+        full = near.select(ref, F.posexplode(f"keys{flag}").alias("segment", "key")).select("key", "ref", (F.col("segment").cast("long") * 2).alias("at"))
+        less = near.select(ref, F.explode(F.arrays_zip(F.col(f"segment{flag}").alias("s"), F.col(f"deleted{flag}").alias("k"))).alias("x"))
+        return full.unionAll(less.select(F.col("x.k").alias("key"), "ref", (F.col("x.s") * 2 + 1).alias("at")))
 
     keys = of(0).unionAll(of(1))
-    counts = keys.groupBy("key").agg(F.count_if(F.col("kind") == 0).alias("full"), F.count_if(F.col("kind") == 1).alias("less"),
-                                     F.min("ref").alias("a"), F.max("ref").alias("b")).where("a <> b AND full > 0").select("key", "full", "less")
-    found = keys.join(counts, "key").groupBy("ref", "n").agg(F.collect_list(F.struct("segment", "kind", "full", "less", "key")).alias("found"))
+    ends = keys.groupBy("key").agg(F.min("ref").alias("a"), F.max("ref").alias("b"))
+    several = checkpointed(ends.where("a <> b").select("key"))
+    keys = checkpointed(keys.join(several, "key").select("key", "ref", F.shiftright("at", 1).alias("segment"), F.col("at").bitwiseAND(F.lit(1)).alias("kind")))
+    counts = keys.groupBy("key").agg(F.count_if(F.col("kind") == 0).alias("full"), F.count_if(F.col("kind") == 1).alias("less")).where("full > 0")
+    found = keys.join(counts, "key").groupBy("ref").agg(F.collect_list(F.struct("segment", "kind", "full", "less", "key")).alias("found"))
+    found = found.withColumn("c", F.col("ref").bitwiseAND(F.lit(-2))).join(near.select("c", "n"), "c").select("ref", "n", "found")
     schema = pa.schema([("key", pa.int64()), ("ref", pa.int64()), ("kind", pa.int64()), ("v", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -436,6 +439,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     sets = _sets(docs, id_col, text_col, shingle, law)
     classes = sets.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("low_id"))
     hits = _hits(sets)
+    sets = checkpointed(sets.select("doc_id", "t", "n", "k1", "k2"))      # the keys have done their work
     near = _near_sets(docs, sets, hits, text_col, shingle, law)
     first = verified(_stars(hits), near, law)
     groups = components(first)
