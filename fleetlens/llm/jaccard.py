@@ -13,8 +13,8 @@ H.  By pigeonhole a similar pair differs in few segments, so
    ``DELETIONS``-th segment has), such that v + 1 over the segments adds up to more than H at the least
    number of postings visited.  Segments without a partner cost nothing, so common passages, empty
    segments and other long posting lists are avoided;
-3. each key's most central set is first compared with the others of that key (one star a key).  The
-   groups that this links need no further pair inside them, so a large group of near copies costs as
+3. each key's most central set is first compared with the others of that key (one star a key; these
+   comparisons are screened and verified as below).  The groups that this links need no further pair inside them, so a large group of near copies costs as
    many comparisons as it has postings, not pairs;
 4. probes meet postings key by key; a pair of different groups is a candidate unless its parity bitmaps
    already differ in more than H bits.  Keys with many rows are dealt out chunk against chunk;
@@ -51,7 +51,7 @@ SPARE = 0.25
 #: Every so many segments one has a one-deletion neighbourhood.
 DELETIONS = 4
 #: Bits of a parity bitmap for each token that two similar sets may differ in, and its largest size.
-BITS_PER_TOKEN, MOST_BITS = 8, 2048
+BITS_PER_TOKEN, MOST_BITS = 8, 1024
 #: Rows of a key that one task compares; more are dealt out chunk against chunk.
 SPLIT_AT = 4096
 #: Parts that the comparisons with one set are dealt to.
@@ -292,13 +292,28 @@ def verified(pairs: DataFrame, sets: DataFrame, law: Law) -> DataFrame:
     return checkpointed(met.mapInArrow(lean(run), "a long, b long"))
 
 
-def _stars(hits: DataFrame) -> DataFrame:
-    """(a, b): the most central class of each key and every other class of that key."""
-    hits = hits.select("key", F.col("ref").bitwiseAND(F.lit(-2)).alias("c"), "n")
+def _stars(hits: DataFrame, near: DataFrame, law: Law) -> DataFrame:
+    """(a, b): the most central class of each key and every other class of that key that its bitmap is close enough to."""
+    hits = hits.select("key", F.col("ref").bitwiseAND(F.lit(-2)).alias("c"), F.col("ref").bitwiseAND(F.lit(1)).alias("flag"), "n")
     centre = hits.groupBy("c").agg(F.sum("n").alias("weight"))
     hits = checkpointed(hits.join(centre, "c"))
-    star = hits.groupBy("key").agg(F.max(F.struct("weight", "c")).alias("top")).select("key", F.col("top.c").alias("a"))
-    return hits.join(star, "key").where("a <> c").select("a", F.col("c").alias("b")).distinct()
+    star = hits.where("flag = 0").groupBy("key").agg(F.max(F.struct("weight", "c")).alias("top")).select("key", F.col("top.c").alias("a"))
+    pairs = hits.join(star, "key").where("a <> c").select("a", F.col("c").alias("b"), "flag").distinct()
+    left = near.select(F.col("c").alias("a"), F.col("n").alias("n_a"), F.col("bitmap0").alias("bits_a"))
+    right = near.select(F.col("c").alias("b"), F.col("n").alias("n_b"), "bitmap0", "bitmap1")
+    met = pairs.join(right, "b").select("a", "b", "n_b", F.when(F.col("flag") == 0, F.col("bitmap0")).otherwise(F.col("bitmap1")).alias("bits_b"))
+    met = met.join(left, "a").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Out(schema)
+        for a, b, n_a, n_b, x, y in rows(batches):
+            apart = np.bitwise_count(np.frombuffer(x, np.uint64) ^ np.frombuffer(y, np.uint64)).sum()
+            if apart <= law.apart(n_a, n_b):
+                yield from out.add((a, b))
+        yield from out.flush()
+
+    return checkpointed(met.mapInArrow(lean(run), "a long, b long").distinct())
 
 
 def allocate(found: list[dict], m: int, most: int) -> dict[int, int]:
@@ -441,7 +456,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     hits = _hits(sets)
     sets = checkpointed(sets.select("doc_id", "t", "n", "k1", "k2"))      # the keys have done their work
     near = _near_sets(docs, sets, hits, text_col, shingle, law)
-    first = verified(_stars(hits), near, law)
+    first = verified(_stars(hits, near, law), near, law)
     groups = components(first)
     rest = verified(_candidates(_probes(near, law), near, groups, law, split_at), near, law)
     links = first.unionAll(rest)
