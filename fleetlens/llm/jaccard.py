@@ -32,6 +32,8 @@ rows.  Only the two named columns are read, so other columns cannot clash.
 
 from __future__ import annotations
 
+import gc
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -201,6 +203,13 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, law: Law) -
                                                     "low array<long>, low_need long"))
 
 
+def _let_go(df: DataFrame) -> None:
+    """Shuffle files of finished steps are freed now: a step's own are still in use when it cuts its lineage."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    time.sleep(1)
+
+
 def _postings(sets: DataFrame) -> DataFrame:
     """(key, ref): a ref is a class with its last bit for the band below."""
     own = sets.select(F.explode("own").alias("key"), F.col("k1").alias("ref"))
@@ -218,14 +227,16 @@ def _hits(sets: DataFrame) -> DataFrame:
     postings = _postings(sets)
     ends = postings.groupBy("key").agg(F.min("ref").alias("a"), F.max("ref").alias("b"))
     several = checkpointed(ends.where("a <> b").select("key"))      # few; written, so that what was shuffled for it goes
+    _let_go(sets)
     hits = checkpointed(postings.join(several, "key").distinct())
     needs = sets.where("own IS NOT NULL").select(F.col("k1").alias("ref"), F.col("own_need").alias("need")).unionAll(
         sets.where("low IS NOT NULL").select(F.col("k1").bitwiseOR(F.lit(1)).alias("ref"), F.col("low_need").alias("need")))
     needs = needs.groupBy("ref").agg(F.max("need").alias("need"))
-    for _ in range(2):      # what has no partner leaves others without one
-        alive = hits.groupBy("ref").agg(F.count("*").alias("found")).join(needs, "ref").where("found >= need").select("ref")
-        hits = hits.join(alive, "ref", "left_semi").select("key", "ref")
-        hits = checkpointed(hits.join(_shared(hits), "key"))
+    _let_go(sets)
+    alive = hits.groupBy("ref").agg(F.count("*").alias("found")).join(needs, "ref").where("found >= need").select("ref")
+    hits = hits.join(alive, "ref", "left_semi").select("key", "ref")
+    hits = checkpointed(hits.join(_shared(hits), "key"))      # what has no partner left no longer counts
+    _let_go(sets)
     return hits
 
 
@@ -357,6 +368,7 @@ def _probes(near: DataFrame, law: Law) -> DataFrame:
     several = checkpointed(ends.where("a <> b").select("key"))
     keys = checkpointed(keys.join(several, "key").select("key", "ref", F.shiftright("at", 1).alias("segment"), F.col("at").bitwiseAND(F.lit(1)).alias("kind")))
     counts = keys.groupBy("key").agg(F.count_if(F.col("kind") == 0).alias("full"), F.count_if(F.col("kind") == 1).alias("less")).where("full > 0")
+    _let_go(near)
     found = keys.join(counts, "key").groupBy("ref").agg(F.collect_list(F.struct("segment", "kind", "full", "less", "key")).alias("found"))
     found = found.withColumn("c", F.col("ref").bitwiseAND(F.lit(-2))).join(near.select("c", "n"), "c").select("ref", "n", "found")
     schema = pa.schema([("key", pa.int64()), ("ref", pa.int64()), ("kind", pa.int64()), ("v", pa.int64())])
@@ -455,7 +467,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     classes = sets.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("low_id"))
     hits = _hits(sets)
     sets = checkpointed(sets.select("doc_id", "t", "n", "k1", "k2"))      # the keys have done their work
+    _let_go(docs)
     near = _near_sets(docs, sets, hits, text_col, shingle, law)
+    _let_go(docs)
     first = verified(_stars(hits, near, law), near, law)
     groups = components(first)
     rest = verified(_candidates(_probes(near, law), near, groups, law, split_at), near, law)
