@@ -950,12 +950,15 @@ SELECT id, start_time, end_time + INTERVAL 1 SECOND AS end_time, model, prompt_t
   tokens_per_second * 2 AS tokens_per_second, time_to_first_token_ms + 1 AS time_to_first_token_ms,
   time_per_output_token_ms, CAST(start_time AS DATE) AS start_date FROM llm_sessions""")
 def q_upsert_sessions_table(spark, sf_dir):
-    """K2's write path: sessions stored, a changed re-emission upserted twice, the table read back."""
+    """K2's write path: sessions stored, a changed re-emission upserted twice, each folded into the days, and
+    once more, left as a delta; the table read back."""
     path, stored = _scratch(spark, "k2"), _sessions(spark, sf_dir)
     TB.upsert_sessions(spark, stored, path)
     for _ in range(2):
         TB.upsert_sessions(spark, session_reemission(stored), path)
-    return spark.read.parquet(path)
+        TB.fold_sessions(spark, path)
+    TB.upsert_sessions(spark, session_reemission(stored), path)      # unfolded: merged by the reader
+    return TB.read_sessions(spark, path)
 
 
 @register("archive_log", GM + """
@@ -1074,8 +1077,9 @@ def q_drained_sessions(spark, sf_dir):
     query.awaitTermination()
     if query.exception() is not None:
         raise RuntimeError(str(query.exception()))
+    TB.fold_sessions(spark, f"{base}/sessions")
     reconcile_sessions(spark, spark.read.schema(SCH.LLM_CHUNKS).parquet(f"{base}/chunks"), f"{base}/sessions")
-    return spark.read.parquet(f"{base}/sessions")
+    return TB.read_sessions(spark, f"{base}/sessions")
 
 
 @register("hourly_upkeep", PE_SQL + """
@@ -1095,7 +1099,7 @@ def q_hourly_upkeep(spark, sf_dir):
     TB.append_process_events(_process_events(spark, sf_dir), f"{base}/process_events")
     hourly_upkeep(spark, {"gpu_metrics": f"{base}/gpu_metrics", "process_events": f"{base}/process_events"},
                   f"{base}/archive", f"{base}/weekly", 7, NOW)
-    return spark.read.parquet(f"{base}/weekly")
+    return TB.read_weekly(spark, f"{base}/weekly")
 
 
 @register("library_roots", PS + f"""

@@ -31,6 +31,8 @@ from fleetlens.operators.pruning import before_date
 from fleetlens.schemas import ARCHIVE_LOG
 from fleetlens.sinks.compaction import MANIFESTS, compact_day
 from fleetlens.sinks.files import Folders
+from fleetlens.sinks.tables import sessions_table
+from fleetlens.sinks.versions import LOG
 
 # Archived tables and their time columns.
 ARCHIVE_TIME_COLUMNS = {"gpu_metrics": "timestamp", "process_events": "timestamp", "llm_sessions": "start_time"}
@@ -68,6 +70,8 @@ def archive(spark: SparkSession, path: str, table: str, cutoff: _dt.date, archiv
     fs, column = Folders(spark, path), PARTITION_COLUMNS.get(table, "date")
     to = Folders(spark, archive_dir)
     done = []
+    if fs.exists(f"{path}/{LOG}"):
+        return _archive_keyed(spark, path, table, cutoff, archive_dir)
     for day in _closed(fs, path, column, cutoff):
         if fs.exists(f"{path}/{MANIFESTS}/date={day}"):
             compact_day(spark, path, _dt.date.fromisoformat(day))      # finish what was begun
@@ -95,6 +99,21 @@ def archive(spark: SparkSession, path: str, table: str, cutoff: _dt.date, archiv
     return done
 
 
+def _archive_keyed(spark: SparkSession, path: str, table: str, cutoff: _dt.date, archive_dir: str) -> list[tuple[str, int, str]]:
+    """Closed days of an upserted table (kept, never trimmed): archived anew where a write has touched the day."""
+    keyed, to, done = sessions_table(spark, path), Folders(spark, archive_dir), []
+    for day, now in keyed.signatures().items():
+        if not day[:1].isdigit() or day >= cutoff.isoformat():
+            continue
+        target, marker = archive_path(archive_dir, table, day), f"{archive_dir.rstrip('/')}/_{table}_{day}"
+        if to.exists(marker) and to.read_text(marker) == now:
+            continue
+        keyed.read([day]).write.mode("overwrite").option("compression", "snappy").parquet(f"{target}/batch=0")
+        to.write_text(marker, now)
+        done.append((day, spark.read.parquet(target).count(), target))
+    return done
+
+
 def _copy(spark: SparkSession, source: str, target: str) -> int:
     """The rows of one partition, with their batch if they have one, written over ``target``; their number."""
     rows = spark.read.option("basePath", source).parquet(source)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -51,6 +52,16 @@ class Folders:
         if not self._fs.rename(self._path(source), self._path(target)):
             raise OSError(f"could not move {source} to {target}")
 
+    def claim(self, path: str) -> bool:
+        """Create an empty file if nobody else has: whether this call did."""
+        try:
+            self._fs.create(self._path(path), False).close()
+        except Py4JJavaError as e:
+            if self.exists(path):
+                return False
+            raise e
+        return True
+
     def delete(self, path: str) -> None:
         if self.exists(path) and not self._fs.delete(self._path(path), True):
             raise OSError(f"could not delete {path}")

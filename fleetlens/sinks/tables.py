@@ -1,34 +1,19 @@
 """Table writes on Parquet: appends (K1, K3) and upserts (K2, K4).
 
-Tables are directories partitioned by a date column, so every maintenance
-step touches whole partitions and the readers prune them.  Upserts rewrite only
-the partitions the incoming rows fall in:
-
-1. read the existing rows of those partitions (partition pruning),
-2. merge them with the incoming rows as a grouped aggregate on the table key,
-3. cut the lineage (``checkpoint`` into ``spark.checkpoint.dir``) so that the
-   overwrite does not read the files it replaces,
-4. overwrite just those partitions (dynamic partition overwrite).
-
-Plain Parquet has no transactions: a job that fails half-way through step 4
-can leave a partition rewritten and another not; re-running the same upsert
-converges, because the merge is idempotent.
+Appended tables are directories partitioned by a date column.  Upserted tables are
+``versions.KeyedTable``: an upsert writes its own rows as one delta and publishes it by
+a rename, readers merge by key, and upkeep folds the deltas into the base.  A job that
+dies at any step leaves the table as it was, and no upsert reads or rewrites a day.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, StructField, StructType
 
 from fleetlens import config
 from fleetlens.schemas import LLM_SESSIONS, WEEKLY_SUMMARIES
-from fleetlens.sinks.files import Folders
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    """Whether there is a table at ``path``; a failed listing or denied read rises."""
-    return Folders(spark, path).exists(path)
+from fleetlens.sinks.versions import KeyedTable
 
 
 def append_partitioned(df: DataFrame, path: str, ts: str = "timestamp", date_col: str = "date",
@@ -76,84 +61,39 @@ def merge_sessions(existing: DataFrame, incoming: DataFrame) -> DataFrame:
                          *[F.col(f"_r.{c}").alias(c) for c in replaced]).select(*cols)
 
 
-def _touched_values(df: DataFrame, col: str) -> list:
-    """Distinct partition values of a batch (a handful of dates: metadata, not data)."""
-    return [r[0] for r in df.select(col).distinct().collect()]
+def sessions_table(spark: SparkSession, path: str) -> KeyedTable:
+    """K2's table: one row an ``id``, by the day of its start."""
+    return KeyedTable(spark, path, LLM_SESSIONS, ["id"], "start_time", kept=("start_time", "model", "prompt_tokens"), order="end_time")
 
 
-def _overwrite_partitions(spark: SparkSession, merged: DataFrame, path: str, part: str) -> None:
-    config.checkpoint_dir(spark)
-    stable = merged.checkpoint(eager=True)
-    (stable.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(part).parquet(path))
+def read_sessions(spark: SparkSession, path: str, days=None) -> DataFrame:
+    """The stored sessions (``days``: only those started on these dates), with ``start_date``."""
+    return sessions_table(spark, path).read(days, "start_date")
 
 
-def upsert_sessions(spark: SparkSession, incoming: DataFrame, path: str, locate_existing: bool = False) -> None:
-    """K2 on a Parquet table partitioned by ``start_date``: merge into the
-    touched partitions only.
-
-    The partitions are the incoming rows' start dates (a session's start never
-    changes between its emissions).  ``locate_existing=True`` also finds the
-    partitions of stored versions whose start differs (an id-only scan of the
-    table), for inputs that cannot promise that.
-    """
+def upsert_sessions(spark: SparkSession, incoming: DataFrame, path: str, writer: str = "upsert", batch: int | None = None) -> None:
+    """K2: add versions of sessions.  Of all versions of an id end_time, completion_tokens, total_tokens,
+    tokens_per_second, time_to_first_token_ms and time_per_output_token_ms come from the last write (in
+    it, from the latest end), start_time, model and prompt_tokens from the first."""
     config.prepare(spark)
-    incoming = incoming.persist()      # its dates and its rows: one run of what makes them
-    try:
-        _merge_into_sessions(spark, incoming, path, locate_existing)
-    finally:
-        incoming.unpersist()
-
-
-def _merge_into_sessions(spark: SparkSession, incoming: DataFrame, path: str, locate_existing: bool) -> None:
-    inc = incoming.select(*LLM_SESSIONS.fieldNames())
-    if not _exists(spark, path):
-        inc_first = merge_sessions(inc.limit(0), inc)
-        _overwrite_partitions(spark, inc_first.withColumn("start_date", F.to_date("start_time")),
-                              path, "start_date")
-        return
-    schema = StructType(LLM_SESSIONS.fields + [StructField("start_date", DateType(), True)])
-    table = spark.read.schema(schema).parquet(path)
-    dates = set(_touched_values(inc.select(F.to_date("start_time").alias("start_date")), "start_date"))
-    if locate_existing:
-        stored = table.select("id", "start_date").join(inc.select("id").distinct(), "id", "left_semi")
-        dates |= set(_touched_values(stored, "start_date"))
-    if not dates:
-        return
-    existing = table.where(F.col("start_date").isin(list(dates))).drop("start_date")
-    merged = merge_sessions(existing, inc).withColumn("start_date", F.to_date("start_time"))
-    _overwrite_partitions(spark, merged, path, "start_date")
-
-
-def replace_sessions(spark: SparkSession, incoming: DataFrame, path: str) -> None:
+    sessions_table(spark, path).append(incoming, writer, batch)
+
+
+def replace_sessions(spark: SparkSession, incoming: DataFrame, path: str, writer: str = "reconcile") -> None:
     """Stored versions of the incoming ids, under whatever day, give way to the latest incoming one.
 
     Unlike an upsert this also replaces start, model and prompt count: ``incoming`` was computed from
-    all chunks.  The days rewritten are those of the incoming rows and of the versions they replace.
+    all chunks.
     """
     config.prepare(spark)
-    empty = spark.createDataFrame([], LLM_SESSIONS)
-    latest = merge_sessions(empty, incoming).withColumn("start_date", F.to_date("start_time")).persist()
-    try:
-        if not _exists(spark, path):
-            _overwrite_partitions(spark, latest, path, "start_date")
-            return
-        schema = StructType(LLM_SESSIONS.fields + [StructField("start_date", DateType(), True)])
-        table = spark.read.schema(schema).parquet(path)
-        ids = latest.select("id")
-        stored = table.select("id", "start_date").join(ids, "id", "left_semi")
-        days = set(_touched_values(latest, "start_date")) | set(_touched_values(stored, "start_date"))
-        if not days:
-            return
-        here = table.where(F.col("start_date").isin(list(days)))
-        kept = here.join(ids, "id", "left_anti").select(*latest.columns)
-        emptied = days - set(_touched_values(kept.unionByName(latest), "start_date"))
-        _overwrite_partitions(spark, kept.unionByName(latest), path, "start_date")
-        fs = Folders(spark, path)
-        for day in emptied:                       # its only versions moved to another day
-            fs.delete(f"{path.rstrip('/')}/start_date={day}")
-    finally:
-        latest.unpersist()
+    latest = merge_sessions(spark.createDataFrame([], LLM_SESSIONS), incoming)
+    sessions_table(spark, path).append(latest, writer, replaces=True)
+
+
+def fold_sessions(spark: SparkSession, path: str, anywhere: bool = False) -> int:
+    """Merge what was upserted into the stored days (upkeep); ``anywhere`` also finds versions under another day."""
+    config.prepare(spark)
+    return sessions_table(spark, path).fold(anywhere)
 
 
 def merge_weekly(existing: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -164,16 +104,18 @@ def merge_weekly(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return keep.select(*cols).unionByName(incoming.select(*cols))
 
 
+def weekly_table(spark: SparkSession, path: str) -> KeyedTable:
+    """K4's table: one row a (week_start, category), by its week."""
+    return KeyedTable(spark, path, WEEKLY_SUMMARIES, ["week_start", "category"], "week_start")
+
+
+def read_weekly(spark: SparkSession, path: str) -> DataFrame:
+    return weekly_table(spark, path).read()
+
+
 def upsert_weekly_summaries(spark: SparkSession, incoming: DataFrame, path: str) -> None:
-    """K4 on a Parquet table partitioned by ``week_start``: rewrite the touched weeks."""
+    """K4: rows replace stored rows of the same (week_start, category)."""
     config.prepare(spark)
-    inc = incoming.select(*WEEKLY_SUMMARIES.fieldNames())
-    weeks = _touched_values(inc, "week_start")
-    if not weeks:
-        return
-    if _exists(spark, path):
-        existing = spark.read.schema(WEEKLY_SUMMARIES).parquet(path).where(F.col("week_start").isin(weeks))
-        merged = merge_weekly(existing, inc)
-    else:
-        merged = inc
-    _overwrite_partitions(spark, merged, path, "week_start")
+    table = weekly_table(spark, path)
+    table.append(incoming, "upsert")
+    table.fold()

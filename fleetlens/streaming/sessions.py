@@ -12,16 +12,21 @@ the landed chunks say, late ones included.
 
 from __future__ import annotations
 
+import datetime as _dt
+import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import DateType, StructField, StructType
 
 from fleetlens import config
 from fleetlens.functions.display import ts_literal
 from fleetlens.operators.sessions import _finish, track_sessions
+from fleetlens.schemas import LLM_CHUNKS
+from fleetlens.sinks.files import Folders
 from fleetlens.sinks.tables import replace_sessions, upsert_sessions
 
 STATE_SCHEMA = ("start_ts timestamp, model string, first_token timestamp, prompt long, completion long, "
@@ -104,15 +109,40 @@ def reconcile_sessions(spark: SparkSession, chunks: DataFrame, table_path: str,
     replace_sessions(spark, track_sessions(chunks.join(ids, "session_id", "left_semi")), table_path)
 
 
+def reconcile_landed(spark: SparkSession, chunks_path: str, table_path: str, span_days: int = 1) -> int:
+    """Reconcile the sessions that have chunks in landed days changed since the last run; returns the number of days.
+
+    ``chunks_path`` is a folder of ``date=D`` partitions of parsed chunks.  A ledger beside the session
+    table holds the signature of every day as last reconciled, so only days that are new or have got late
+    chunks are read, with ``span_days`` around them for the rest of their sessions.  The ledger follows the
+    write: a run that dies is done again.
+    """
+    base, ledger = chunks_path.rstrip("/"), f"{table_path.rstrip('/')}/_reconciled"
+    fs, own = Folders(spark, base), Folders(spark, table_path)
+    now = {n.split("=", 1)[1]: fs.signature(f"{base}/{n}") for n in fs.folders(base, "date=")}
+    then = json.loads(own.read_text(ledger)) if own.exists(ledger) else {}
+    changed = sorted(d for d, s in now.items() if then.get(d) != s)
+    if changed:
+        around = {(_dt.date.fromisoformat(d) + _dt.timedelta(days=n)) for d in changed if d[:1].isdigit() for n in range(-span_days, span_days + 1)}
+        chunks = spark.read.schema(StructType([*LLM_CHUNKS.fields, StructField("date", DateType())])).parquet(base)
+        odd = F.col("date").isNull() if any(not d[:1].isdigit() for d in changed) else F.lit(False)
+        ids = chunks.where(F.col("date").isin([_dt.date.fromisoformat(d) for d in changed if d[:1].isdigit()]) | odd).select("session_id").distinct()
+        near = chunks.where(F.col("date").isin(sorted(around)) | odd).drop("date")
+        replace_sessions(spark, track_sessions(near.join(ids, "session_id", "left_semi")), table_path)
+        own.write_text(ledger, json.dumps(now, sort_keys=True))
+    return len(changed)
+
+
 def drain_sessions(spark: SparkSession, sessions: DataFrame, table_path: str, checkpoint_location: str,
-                   trigger_seconds: int = 5, available_now: bool = False):
+                   trigger_seconds: int = 5, available_now: bool = False, writer_name: str = "drain"):
     """Every trigger, upsert the completed sessions into the table (K2).
 
-    Replaying a micro-batch is harmless: the merge is idempotent per id.
+    A micro-batch writes its own rows, as the delta of its number: the stored days are neither read nor
+    rewritten, and a replayed batch is not written again.  ``writer_name`` tells streams into one table apart.
     """
     config.prepare(spark)
     writer = (sessions.writeStream.option("checkpointLocation", checkpoint_location)
-              .foreachBatch(lambda df, _batch_id: upsert_sessions(spark, df, table_path)))
+              .foreachBatch(lambda df, batch_id: upsert_sessions(spark, df, table_path, writer_name, batch_id)))
     writer = writer.trigger(availableNow=True) if available_now else \
         writer.trigger(processingTime=f"{trigger_seconds} seconds")
     return writer.start()

@@ -10,7 +10,7 @@ from fleetlens.operators.metrics import recent_metrics, series_stats
 from fleetlens.operators.sessions import sessions_between
 from fleetlens.schemas import GPU_METRICS, LLM_SESSIONS
 from fleetlens.sinks.archive import archive_split
-from fleetlens.sinks.tables import append_gpu_metrics, upsert_sessions
+from fleetlens.sinks.tables import append_gpu_metrics, fold_sessions, read_sessions, upsert_sessions
 
 SF = "/root/testdata/sf0.001"
 
@@ -45,7 +45,8 @@ def test_session_range_prunes_start_date(spark, scratch):
     path = os.path.join(scratch, "sessions")
     rows = [(f"s{i}", dt.datetime(2024, 1, 1 + i % 10), None, "m", 1, 1, 2, 1.0, None, None) for i in range(30)]
     upsert_sessions(spark, spark.createDataFrame(rows, LLM_SESSIONS), path)
-    df = sessions_between(spark.read.parquet(path), "2024-01-03T00:00:00Z", "2024-01-04T00:00:00Z")
+    fold_sessions(spark, path)
+    df = sessions_between(read_sessions(spark, path), "2024-01-03T00:00:00Z", "2024-01-04T00:00:00Z")
     plan = _plan(df)
     assert "PartitionFilters" in plan and "start_date" in plan
     assert {r["start_time"].day for r in df.collect()} == {3, 4}

@@ -160,6 +160,7 @@ def test_session_start_from_request_time(spark):
 
 
 def test_drain_stream_into_table_equals_batch(spark):
+    from fleetlens.sinks.tables import read_sessions
     from fleetlens.streaming.sessions import drain_sessions
     src = tempfile.mkdtemp(prefix="fleetlens-drain-")
     df = _chunks(spark, EDGE)
@@ -171,7 +172,7 @@ def test_drain_stream_into_table_equals_batch(spark):
     table = os.path.join(src, "llm_sessions")
     q = drain_sessions(spark, track_sessions_stream(stream), table, os.path.join(src, "ckpt"), available_now=True)
     q.awaitTermination(300)
-    stored = spark.read.parquet(table).drop("start_date").collect()
+    stored = read_sessions(spark, table).drop("start_date").collect()
     # The table holds one row per id: the K2 merge of its emissions ("f" has two).
     from fleetlens.sinks.tables import merge_sessions
     batch = track_sessions(df)

@@ -165,7 +165,7 @@ def test_reconcile_takes_late_chunks(spark, scratch):
     """Whatever the stream stored, sessions equal the batch over all landed chunks, also when the start day moves."""
     from fleetlens.operators.sessions import track_sessions
     from fleetlens.schemas import LLM_CHUNKS
-    from fleetlens.sinks.tables import upsert_sessions
+    from fleetlens.sinks.tables import read_sessions, upsert_sessions
     from fleetlens.streaming.sessions import reconcile_sessions
     late = dt.datetime(2023, 12, 31, 23, 59)
     on_time = [("s", 1, T0, "m", "x", 5, 100, None, False), ("s", 2, T0 + dt.timedelta(seconds=1), "m", "y", 9, 200, None, True),
@@ -175,7 +175,7 @@ def test_reconcile_takes_late_chunks(spark, scratch):
     chunks = spark.createDataFrame([("s", 0, late, "m", None, None, None, 4, False), *on_time], LLM_CHUNKS)
     for _ in range(2):
         reconcile_sessions(spark, chunks, path)
-        got = sorted(map(str, spark.read.parquet(path).drop("start_date").collect()))
+        got = sorted(map(str, read_sessions(spark, path).drop("start_date").collect()))
         assert got == sorted(map(str, track_sessions(chunks).collect()))
 
 
