@@ -91,7 +91,7 @@ def last_inserted_per_pid(per_gpu: DataFrame, keys: Sequence[str] = (), tick: st
 
 def process_events(samples: DataFrame, os_processes: DataFrame, tick_unit: str | None = "day",
                    library_roots: Sequence[str] | DataFrame = (), keys: Sequence[str] = (),
-                   poll: str | None = None) -> DataFrame:
+                   poll: str | None = None, keep_poll: bool = False) -> DataFrame:
     """Classified process events, one per (*keys, tick, pid) found in the OS table.
 
     ``samples``: flat process samples (PROCESS_SAMPLES); ``keys``: e.g. ("host",), as
@@ -100,7 +100,7 @@ def process_events(samples: DataFrame, os_processes: DataFrame, tick_unit: str |
     ``date_trunc`` unit ``tick_unit``, or every sample time.  If ``os_processes`` has the
     ``poll`` column too, each poll is joined with its own process table, whose processes may
     come and go.  ``library_roots``: a list of game library roots or a one-column DataFrame
-    ``root`` of them.
+    ``root`` of them.  ``keep_poll``: the events carry their poll.
     """
     keys = list(keys)
     if poll:
@@ -124,9 +124,10 @@ def process_events(samples: DataFrame, os_processes: DataFrame, tick_unit: str |
     if poll:
         joined = joined.join(s.groupBy(*keys, "tick").agg(F.max("timestamp").alias("_at")), [*keys, "tick"])
         time = F.col("_at")
+    polled = [F.col("tick").alias(poll)] if keep_poll else []
     category = workload_category("name", "command_line", "exe_path", "gpu_util", in_library=F.col("in_library"))
     return joined.select(
-        *keys,
+        *keys, *polled,
         time.alias("timestamp"), "pid", "name", category.alias("category"),
         bytes_to_mib("mem").alias("gpu_memory_mb"), F.col("gpu_util").alias("gpu_utilization"),
         "command_line", "exe_path", F.lit(0).cast("long").alias("duration_secs"),

@@ -48,6 +48,26 @@ def weekly_summary(events: DataFrame, week: str | None = None,
                     "total_gpu_memory_mb", "event_count"))
 
 
+def weekly_parts(events: DataFrame, by: Sequence[str] = (), categories: Sequence[str] = WORKLOAD_CATEGORIES) -> DataFrame:
+    """A1's state per (*by, week, category), which ``weekly_from_parts`` adds up: the parts of disjoint
+    sets of events give the summary of all of them."""
+    df = events.where(F.col("category").isin(list(categories)))
+    return df.groupBy(*by, week_start("timestamp").alias("week_start"), "category").agg(
+        F.count("*").alias("events"), F.sum("gpu_utilization").cast("long").alias("utilization"), F.count("gpu_utilization").alias("measured"),
+        F.max("gpu_utilization").cast("long").alias("peak"), F.sum("gpu_memory_mb").cast("long").alias("memory_mb"),
+        F.sum("duration_secs").cast("long").alias("duration_secs"))
+
+
+def weekly_from_parts(parts: DataFrame) -> DataFrame:
+    """A1 (``weekly_summary``) from its parts."""
+    total = lambda c: F.sum(c).cast("long")
+    return (parts.groupBy("week_start", "category")
+            .agg(total("duration_secs").alias("total_duration_secs"), (F.sum("utilization") / F.nullif(F.sum("measured"), F.lit(0))).alias("avg_gpu_utilization"),
+                 F.max("peak").alias("max_gpu_utilization"), total("memory_mb").alias("total_gpu_memory_mb"), total("events").alias("event_count"))
+            .select("week_start", F.date_add("week_start", 7).alias("week_end"), "category", "total_duration_secs", "avg_gpu_utilization",
+                    "max_gpu_utilization", "total_gpu_memory_mb", "event_count"))
+
+
 def category_gauges(events: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """A3: process count and memory bytes per category and tick; the gauge keeps
     the value of the last tick in which the category occurred (no reset to 0)."""

@@ -1050,18 +1050,31 @@ SELECT k.host, a."at" AS "timestamp", k.pid, CASE kind WHEN 0 THEN 'ollama' WHEN
   CAST(NULL AS VARCHAR) AS exe_path, 0::BIGINT AS duration_secs
 FROM k JOIN u USING (host, poll, gpu_id) JOIN a USING (host, poll)""")
 def q_ingest(spark, sf_dir):
-    """R2: device samples of two hosts landed in three files of whole polls and ingested as a stream, each poll
-    joined with its own process table; the process events stored."""
+    """R2: device samples of two hosts landed in three files that cut every poll, ingested as a stream; the process
+    tables of a poll land one batch late, half of each poll at a time; the process events stored."""
     base = _scratch(spark, "ingest")
-    host_samples(spark, sf_dir).select(*SCH.HOST_SAMPLES.fieldNames()).repartitionByRange(3, "poll_id").write.parquet(f"{base}/samples")
-    process_snapshots(spark, sf_dir).write.parquet(f"{base}/processes")
+    samples = host_samples(spark, sf_dir).select(*SCH.HOST_SAMPLES.fieldNames()).repartition(3, "gpu_index", "timestamp")
+    samples.write.parquet(f"{base}/samples")
+    process_snapshots(spark, sf_dir).withColumn("part", F.col("pid") % 2).write.partitionBy("part").parquet(f"{base}/processes")
     stream = spark.readStream.schema(SCH.HOST_SAMPLES).option("maxFilesPerTrigger", 1).parquet(f"{base}/samples")
-    query = IN.start_ingest(spark, stream, lambda s: s.read.schema(SCH.PROCESS_SNAPSHOTS).parquet(f"{base}/processes"),
-                            f"{base}/metrics", f"{base}/events", f"{base}/checkpoint", available_now=True)
-    query.awaitTermination()
-    if query.exception() is not None:
-        raise RuntimeError(str(query.exception()))
-    return spark.read.parquet(f"{base}/events").drop("date", "batch_id")
+    asked = []
+
+    def landed(s):
+        asked.append(1)
+        seen = s.read.schema(SCH.PROCESS_SNAPSHOTS).parquet(*[f"{base}/processes/part={n}" for n in (0, 1)[:max(1, len(asked) - 1)]])
+        return seen if len(asked) > 1 else seen.limit(0)
+
+    def run():
+        query = IN.start_ingest(spark, stream, landed, f"{base}/metrics", f"{base}/events", f"{base}/checkpoint", available_now=True)
+        query.awaitTermination()
+        if query.exception() is not None:
+            raise RuntimeError(str(query.exception()))
+
+    run()
+    # One more file without a sample: the batch that finds the rest of the process tables.
+    spark.createDataFrame([], SCH.HOST_SAMPLES).coalesce(1).write.mode("append").parquet(f"{base}/samples")
+    run()
+    return CO.read_ingested(spark, f"{base}/events").drop("date", "batch_id", "written_batch", "poll_id")
 
 
 @register("drained_sessions", LS_SQL + "SELECT *, CAST(start_time AS DATE) AS start_date FROM llm_sessions")

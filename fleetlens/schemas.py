@@ -178,3 +178,15 @@ MODEL_SNAPSHOTS = _s(
 )
 
 WORKLOAD_CATEGORIES = ("gaming", "llm_inference", "ml_training", "general_compute")
+
+# A1's state per batch of an ingest table (partition columns left out).
+WEEKLY_PARTS = _s(
+    ("week_start", DateType(), True),
+    ("category", StringType(), True),
+    ("events", LongType(), True),
+    ("utilization", LongType(), True),
+    ("measured", LongType(), True),
+    ("peak", LongType(), True),
+    ("memory_mb", LongType(), True),
+    ("duration_secs", LongType(), True),
+)

@@ -29,7 +29,7 @@ from fleetlens import config
 from fleetlens.functions.display import as_instant
 from fleetlens.operators.pruning import before_date
 from fleetlens.schemas import ARCHIVE_LOG
-from fleetlens.sinks.compaction import MANIFESTS, compact_day
+from fleetlens.sinks.compaction import MANIFESTS, compact_day, without_superseded
 from fleetlens.sinks.files import Folders
 from fleetlens.sinks.tables import sessions_table
 from fleetlens.sinks.versions import LOG
@@ -84,7 +84,7 @@ def archive(spark: SparkSession, path: str, table: str, cutoff: _dt.date, archiv
         for day in fs.folders(f"{path}/{MOVED}"):
             for batch in fs.folders(f"{path}/{MOVED}/{day}", "batch="):
                 moved, target = f"{path}/{MOVED}/{day}/{batch}", f"{archive_path(archive_dir, table, day)}/{batch}"
-                rows = _copy(spark, moved, target)
+                rows = _copy(spark, path, moved, target)
                 fs.delete(moved)
                 done.append((day, rows, archive_path(archive_dir, table, day)))
         return done
@@ -93,7 +93,7 @@ def archive(spark: SparkSession, path: str, table: str, cutoff: _dt.date, archiv
         marker, now = f"{archive_dir.rstrip('/')}/_{table}_{day}", fs.signature(f"{path}/{column}={day}")
         if to.exists(marker) and to.read_text(marker) == now:
             continue
-        rows = _copy(spark, source, f"{target}/batch=0")
+        rows = _copy(spark, path, source, f"{target}/batch=0")
         to.write_text(marker, now)
         done.append((day, rows, target))
     return done
@@ -114,9 +114,9 @@ def _archive_keyed(spark: SparkSession, path: str, table: str, cutoff: _dt.date,
     return done
 
 
-def _copy(spark: SparkSession, source: str, target: str) -> int:
+def _copy(spark: SparkSession, path: str, source: str, target: str) -> int:
     """The rows of one partition, with their batch if they have one, written over ``target``; their number."""
-    rows = spark.read.option("basePath", source).parquet(source)
+    rows = without_superseded(spark, path, spark.read.option("basePath", source).parquet(source))
     rows.write.mode("overwrite").option("compression", "snappy").parquet(target)
     return spark.read.parquet(target).count()
 

@@ -17,7 +17,8 @@ A job that dies anywhere is finished by the next one from the manifest: before 3
 it writes the same input again over what it had, after 3 it only deletes.
 ``read_ingested`` reads such a table without double rows at every moment: it
 ignores the compacted batch until it is published and the input after that.
-Late rows form batches above U and wait for the next compaction of the day.
+Late rows form batches above U and wait for the next compaction of the day.  Rows of polls that a later
+batch has written anew (``_superseded``, see ``streaming.ingest``) are left out by readers and by the copy.
 """
 
 from __future__ import annotations
@@ -46,6 +47,32 @@ def _manifests(fs: Folders, path: str) -> dict[str, tuple[int, bool]]:
             for n in names if n.startswith("date=") and "." not in n}
 
 
+def hidden_batches(spark: SparkSession, path: str):
+    """A predicate of (day, batch_id): folders that readers leave out while the day is being compacted."""
+    begun = _manifests(Folders(spark, path), path)
+
+    def hidden(day: str, batch: int) -> bool:
+        if day not in begun:
+            return False
+        up_to, published = begun[day]
+        return 0 <= batch <= up_to if published else batch == -(up_to + 1)
+
+    return hidden
+
+
+SUPERSEDED = "_superseded"
+
+
+def without_superseded(spark: SparkSession, path: str, df: DataFrame) -> DataFrame:
+    """``df`` (rows of the ingest table ``path``) without the output of polls that a later batch has written anew."""
+    if "written_batch" not in df.columns or not Folders(spark, path).folders(f"{path}/{SUPERSEDED}", "batch_id="):
+        return df
+    keys = [c for c in ("host", "poll_id") if c in df.columns]
+    later = spark.read.parquet(f"{path}/{SUPERSEDED}").groupBy(*keys).agg(F.max("batch_id").alias("_by"))
+    same = [df[k].eqNullSafe(later[k]) for k in keys]
+    return df.join(later, [*same, df["written_batch"] < later["_by"]], "left_anti")
+
+
 def read_ingested(spark: SparkSession, path: str, schema=None) -> DataFrame:
     """An ingest table as readers should see it while days are being compacted."""
     path = path.rstrip("/")
@@ -55,7 +82,7 @@ def read_ingested(spark: SparkSession, path: str, schema=None) -> DataFrame:
         here = F.col("date") == F.lit(day).cast("date")
         hidden = F.col("batch_id").between(0, up_to) if published else F.col("batch_id") == -(up_to + 1)
         df = df.where(~(here & hidden))
-    return df
+    return without_superseded(spark, path, df)
 
 
 def compact_day(spark: SparkSession, path: str, day: _dt.date, target_bytes: int = 256 * 1024 * 1024,
@@ -83,7 +110,7 @@ def compact_day(spark: SparkSession, path: str, day: _dt.date, target_bytes: int
         fs.delete(staging)
         fs.delete(target)
         size = int(fs.signature(day_path).split("-")[0])
-        rows = spark.read.parquet(*[f"{day_path}/batch_id={b}" for b in inputs])
+        rows = without_superseded(spark, path, spark.read.parquet(*[f"{day_path}/batch_id={b}" for b in inputs]))
         order = [c for c in (*sort, "timestamp") if c in rows.columns]
         files = max(1, -(-size // target_bytes))
         rows = rows.repartitionByRange(files, *order) if order else rows.repartition(files)

@@ -196,3 +196,45 @@ def test_process_and_histogram_streams_equal_batch_for_closed_periods(spark, scr
         q.awaitTermination(300)
         got = {str(r) for r in spark.sql(f"SELECT * FROM {name}_test").collect()}
         assert got and got <= {str(r) for r in batch_of(df).select(*spark.table(f"{name}_test").columns).collect()}
+
+
+def _polled(spark, scratch, steps):
+    """Events after ingest batches of ([(poll, gpu, pid)], snapshots landed so far [(pid, poll)]); a step may name its batch."""
+    from fleetlens.schemas import HOST_SAMPLES, PROCESS_SNAPSHOTS
+    from fleetlens.sinks.compaction import read_ingested
+    from fleetlens.streaming.ingest import ingest_batch
+    m, e = os.path.join(scratch, "m"), os.path.join(scratch, "e")
+    for batch, rows, procs, hold in steps:
+        samples = [(T0 + dt.timedelta(seconds=2 * poll), gpu, "A", 10 * gpu, 1, 1, 2, 50, 1000, [_process(pid, (gpu + 1) << 20)], [], "a", poll)
+                   for poll, gpu, pid in rows]
+        table = spark.createDataFrame([(pid, "python3", "python3 train.py", None, "a", poll) for pid, poll in procs], PROCESS_SNAPSHOTS)
+        ingest_batch(spark, spark.createDataFrame(samples, HOST_SAMPLES), batch, table, m, e, hold_batches=hold)
+    read = read_ingested(spark, e)
+    return sorted((r.poll_id, r.pid, r.gpu_memory_mb, r.gpu_utilization) for r in read.collect()), e
+
+
+def test_a_poll_in_pieces_is_one_classification(spark, scratch):
+    procs = [(7, 1), (8, 1), (7, 2)]
+    steps = [(0, [(1, 0, 7), (2, 0, 7)], procs, 64), (1, [(1, 1, 7), (1, 2, 8)], procs, 64)]
+    got, path = _polled(spark, scratch, steps)
+    assert got == [(1, 7, 2, 10), (1, 8, 3, 20), (2, 7, 1, 0)]
+    from fleetlens.sinks.compaction import compact_day, read_ingested
+    got, _ = _polled(spark, scratch, [(1, steps[1][1], procs, 64)])             # a replay
+    assert got == [(1, 7, 2, 10), (1, 8, 3, 20), (2, 7, 1, 0)]
+    _polled(spark, scratch, [(2, [(50000, 0, 7)], [*procs, (7, 50000)], 64)])
+    compact_day(spark, path, T0.date())
+    kept = sorted((r.poll_id, r.pid, r.gpu_memory_mb) for r in read_ingested(spark, path).collect())
+    assert kept == [(1, 7, 2), (1, 8, 3), (2, 7, 1), (50000, 7, 1)] and spark.read.parquet(path).where("date = DATE'2024-01-01'").count() == 3
+
+
+def test_processes_that_land_after_their_poll(spark, scratch):
+    steps = [(0, [(1, 0, 7), (1, 1, 8)], [], 64), (1, [(2, 0, 7)], [(7, 1)], 64), (2, [(3, 0, 9)], [(7, 1), (8, 1), (7, 2)], 64)]
+    got, _ = _polled(spark, scratch, steps)
+    assert got == [(1, 7, 1, 0), (1, 8, 2, 10), (2, 7, 1, 0)]
+
+
+def test_a_poll_closes_after_the_held_batches(spark, scratch):
+    steps = [(0, [(1, 0, 7)], [], 2), (1, [(2, 0, 7)], [], 2), (2, [(3, 0, 7)], [], 2), (3, [(4, 0, 7)], [(7, 1), (7, 3), (7, 4)], 2)]
+    got, path = _polled(spark, scratch, steps)
+    assert got == [(3, 7, 1, 0), (4, 7, 1, 0)]
+    assert sorted(os.listdir(os.path.join(path, "_polls")))[0] != "batch_id=0"

@@ -176,3 +176,65 @@ def test_reconcile_reads_only_changed_days(spark, scratch):
     assert reconcile_landed(spark, chunks, path) == 1
     want = track_sessions(spark.createDataFrame([*rows, late], LLM_CHUNKS)).collect()
     assert sorted(map(str, T.read_sessions(spark, path).drop("start_date").collect())) == sorted(map(str, want))
+
+
+def test_weekly_state_reads_new_batches_only_and_equals_the_summary(spark, scratch):
+    from pyspark.sql import functions as F
+
+    from fleetlens.operators.rollups import weekly_summary
+    from fleetlens.plans.jobs import weekly_state
+    from fleetlens.schemas import PROCESS_EVENTS
+    from fleetlens.sinks.compaction import compact_day, read_ingested
+    from fleetlens.streaming.ingest import _write_batch
+
+    path, state, week = os.path.join(scratch, "e"), os.path.join(scratch, "state"), dt.date(2024, 1, 1)
+
+    def land(batch, *rows, again=None):
+        ev = [(T0 + dt.timedelta(days=d), pid, "p", cat, 10 + pid, 7 * pid % 100, "c", None, 1) for d, pid, cat, _ in rows]
+        out = spark.createDataFrame(ev, PROCESS_EVENTS).withColumn("host", F.lit("a")).withColumn("poll_id", F.col("pid"))
+        _write_batch(out.withColumn("written_batch", F.lit(batch).cast("long")), path, batch)
+        if again:
+            spark.createDataFrame([("a", p) for p in again], "host string, poll_id long").write.parquet(f"{path}/_superseded/batch_id={batch}")
+
+    def same():
+        got = sorted(map(str, weekly_state(spark, path, state, week).collect()))
+        assert got == sorted(map(str, weekly_summary(read_ingested(spark, path), "2024-01-01").collect())) and got
+        return got
+
+    land(0, (0, 1, "gaming", 0), (1, 2, "gaming", 0), (6, 3, "ml_training", 0))
+    land(1, (0, 4, "gaming", 0), (8, 5, "gaming", 0))
+    land(2, (2, 6, "other", 0))
+    first = same()
+    mark = {f: os.path.getmtime(os.path.join(d, f)) for d, _, fs in os.walk(state) for f in fs if f.endswith(".parquet")}
+    assert same() == first
+    land(3, (0, 7, "llm_inference", 0))
+    same()
+    assert mark.items() <= {f: os.path.getmtime(os.path.join(d, f)) for d, _, fs in os.walk(state) for f in fs if f.endswith(".parquet")}.items()
+    land(4, (0, 1, "llm_inference", 0), again=[1])          # the poll of pid 1 written anew
+    same()
+    compact_day(spark, path, week)
+    same()
+    land(5, (0, 9, "gaming", 0))
+    same()
+
+
+def test_upkeep_reconciles_folds_and_sums_late_rows(spark, scratch):
+    from pyspark.sql import functions as F
+
+    from fleetlens.operators.sessions import track_sessions
+    from fleetlens.plans.jobs import hourly_upkeep
+    from fleetlens.schemas import LLM_CHUNKS
+
+    tables = {"llm_sessions": os.path.join(scratch, "llm_sessions")}
+    at = lambda s: T0 + dt.timedelta(seconds=s)
+    rows = [("s", 1, at(0), "m", "x", 5, 100, None, False), ("s", 2, at(1), "m", "y", 9, 200, None, True)]
+    T.upsert_sessions(spark, track_sessions(spark.createDataFrame(rows, LLM_CHUNKS)), tables["llm_sessions"], "drain", 0)
+    late = ("s", 3, at(5), "m", "z", 50, 900, 7, True)                # the stream had dropped it
+    chunks = spark.createDataFrame([*rows, late], LLM_CHUNKS)
+    chunks.withColumn("date", F.to_date("arrival_ts")).write.partitionBy("date").parquet(os.path.join(scratch, "chunks"))
+    for _ in range(2):
+        hourly_upkeep(spark, tables, os.path.join(scratch, "archive"), os.path.join(scratch, "weekly"), 7,
+                      dt.datetime(2024, 1, 17, 12, tzinfo=dt.timezone.utc), chunks_path=os.path.join(scratch, "chunks"))
+        want = T.merge_sessions(track_sessions(chunks).limit(0), track_sessions(chunks)).collect()
+        assert sorted(map(str, T.read_sessions(spark, tables["llm_sessions"]).drop("start_date").collect())) == sorted(map(str, want))
+    assert T.sessions_table(spark, tables["llm_sessions"]).state().deltas == ()
