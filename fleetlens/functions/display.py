@@ -32,24 +32,32 @@ def clock_time(ts) -> Column:
 
 
 def fixed(value, digits: int) -> Column:
-    """``value`` with ``digits`` (at most 9) decimals, rounded on its exact binary value.
+    """``value`` with ``digits`` (at most 9) decimals, rounded on its exact binary value; from 1e21 on in
+    exponent form, and NaN, Infinity as such, as a browser prints them.
 
     The fraction, scaled by 2^62, is an exact BIGINT, so the comparison with one half is exact
     integer arithmetic; a formatter would round the shortest decimal form instead.
     """
     x = _c(value).cast("double")
-    size = F.abs(x)
-    whole = F.floor(size).cast("decimal(20,0)")
+    printed = F.abs(x) < F.lit(1e21)                     # false for NaN too: Spark puts it above all numbers
+    size = F.when(printed, F.abs(x)).otherwise(F.lit(0.0))
+    word = F.lit(float(1 << 32))                         # a double's upper and lower words are exact BIGINTs
+    high = F.floor(size / word)
+    low = size - high.cast("double") * word
+    whole = high.cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") + F.floor(low).cast("decimal(20,0)")
     one = F.lit(1 << 62).cast("decimal(20,0)")
-    scaled = ((size - F.floor(size)) * F.lit(float(1 << 62))).cast("long").cast("decimal(20,0)") * F.lit(10 ** digits).cast("decimal(10,0)")
+    scaled = ((low - F.floor(low)) * F.lit(float(1 << 62))).cast("long").cast("decimal(20,0)") * F.lit(10 ** digits).cast("decimal(10,0)")
     down = F.floor(scaled / one).cast("decimal(20,0)")
     rest = scaled - down * one
-    steps = whole * F.lit(10 ** digits).cast("decimal(10,0)") + down + F.when(rest * 2 >= one, 1).otherwise(0)
-    text = F.lpad(steps.cast("decimal(31,0)").cast("string"), 31, "0")
-    body = F.regexp_replace(F.substring(text, 1, 31 - digits), "^0+(?=[0-9])", "")
+    steps = whole.cast("decimal(22,0)") * F.lit(10 ** digits).cast("decimal(10,0)") + down + F.when(rest * 2 >= one, 1).otherwise(0)
+    text = F.lpad(steps.cast("decimal(32,0)").cast("string"), 32, "0")
+    body = F.regexp_replace(F.substring(text, 1, 32 - digits), "^0+(?=[0-9])", "")
     if digits:
-        body = F.concat(body, F.lit("."), F.substring(text, 32 - digits, digits))
-    return F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), body)
+        body = F.concat(body, F.lit("."), F.substring(text, 33 - digits, digits))
+    sign = F.when(x < 0, F.lit("-")).otherwise(F.lit(""))
+    large = F.regexp_replace(F.regexp_replace(F.abs(x).cast("string"), r"\.0(?=E)", ""), "E", "e+")
+    return (F.when(printed, F.concat(sign, body)).when(x.isNull(), F.lit(None).cast("string")).when(F.isnan(x), F.lit("NaN"))
+            .otherwise(F.concat(sign, F.when(F.abs(x) == F.lit(float("inf")), F.lit("Infinity")).otherwise(large))))
 
 
 def ttft_text(ttft_ms) -> Column:
@@ -110,3 +118,21 @@ def ts_literal(value, argument: str = "time") -> Column:
     """A TIMESTAMP literal of an instant (validated); independent of the session zone."""
     inst = as_instant(value, argument).astimezone(_dt.timezone.utc)
     return F.lit(inst.isoformat()).cast("timestamp")
+
+
+_RFC3339_PARTS = r"^(\d{4}-\d{2}-\d{2})[Tt ](\d{2}):(\d{2}):(\d{2})(?:\.\d+)?(?:[Zz]|[+-](\d{2}):(\d{2}))\z"
+
+
+def is_rfc3339(text) -> Column:
+    """Whether a text column holds an RFC 3339 time; false for null."""
+    t = _c(text)
+    part = lambda n: F.regexp_extract(t, _RFC3339_PARTS, n)
+    below = lambda n, most: F.coalesce(part(n).try_cast("int"), F.lit(0)) < most
+    return F.coalesce((part(1) != "") & part(1).try_cast("date").isNotNull() & below(2, 24) & below(3, 60) & below(4, 60)
+                      & below(5, 24) & below(6, 60), F.lit(False))
+
+
+def range_error(start, end) -> Column:
+    """P10 on data: the error of a (start, end) text range, naming the first argument that is not RFC 3339; null if both are."""
+    return (F.when(~is_rfc3339(start), F.lit("Invalid start format")).when(~is_rfc3339(end), F.lit("Invalid end format"))
+            .otherwise(F.lit(None).cast("string")))

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens import config, fixtures
+from fleetlens.functions import display
 from fleetlens.functions import gpu as gpu_fn
 from fleetlens.operators import metrics as M
 from fleetlens.operators import series as S
@@ -1104,14 +1105,18 @@ SELECT CAST(date_trunc('week', "timestamp") AS DATE) AS week_start,
 FROM process_events WHERE category IN ('gaming', 'llm_inference', 'ml_training', 'general_compute')
   AND "timestamp" >= TIMESTAMP '2024-01-29' GROUP BY 1, 2, 3""")
 def q_hourly_upkeep(spark, sf_dir):
-    """Metrics and events stored, one upkeep run at NOW with 7 days of retention; the weekly summaries it wrote."""
+    """Metrics stored, events landed in ingest batches, two upkeep runs at NOW with 7 days of retention and late
+    events between them; the weekly summaries they wrote."""
     from fleetlens.plans.jobs import hourly_upkeep
 
     base = _scratch(spark, "upkeep")
     TB.append_gpu_metrics(_gpu_metrics_typed(spark, sf_dir), f"{base}/gpu_metrics")
-    TB.append_process_events(_process_events(spark, sf_dir), f"{base}/process_events")
-    hourly_upkeep(spark, {"gpu_metrics": f"{base}/gpu_metrics", "process_events": f"{base}/process_events"},
-                  f"{base}/archive", f"{base}/weekly", 7, NOW)
+    events = _process_events(spark, sf_dir)
+    for batch in range(3):
+        IN._write_batch(events.where(F.col("pid") % 3 == batch), f"{base}/process_events", batch)
+        if batch:
+            hourly_upkeep(spark, {"gpu_metrics": f"{base}/gpu_metrics", "process_events": f"{base}/process_events"},
+                          f"{base}/archive", f"{base}/weekly", 7, NOW)
     return TB.read_weekly(spark, f"{base}/weekly")
 
 
@@ -1151,3 +1156,71 @@ def q_push_snapshot(spark, sf_dir):
     snap = R.push_snapshot(M.gpu_gauges(_v(spark, sf_dir, "gpu_metrics")), _sessions(spark, sf_dir), _process_events(spark, sf_dir))
     return snap.select("metric", F.to_json("labels").alias("labels"),
                        F.when(F.col("metric").endswith("_sum"), F.round("value", 6)).otherwise(F.col("value")).alias("value"))
+
+
+_RANGE_TEXT = """CASE event_id % 9 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '2024-01-' || lpad(CAST(event_id % 31 + 1 AS {s}), 2, '0')
+  WHEN 3 THEN '2024-' || lpad(CAST(event_id % 15 AS {s}), 2, '0') || '-10T00:00:00Z' WHEN 4 THEN '2024-02-' || lpad(CAST(event_id % 33 AS {s}), 2, '0') || 't10:59:59.123456789z'
+  WHEN 5 THEN '2024-01-10 ' || lpad(CAST(event_id % 27 AS {s}), 2, '0') || ':00:00+02:00' WHEN 6 THEN '2024-01-10T00:' || lpad(CAST(event_id % 64 AS {s}), 2, '0') || ':00-11:30'
+  WHEN 7 THEN '2024-01-10T00:00:00' ELSE '2024-01-10T00:00:00.5Z' END"""
+
+
+def _range_ok(c: str) -> str:
+    part = lambda n: f"TRY_CAST(nullif(regexp_extract({c}, '^(\\d{{4}}-\\d{{2}}-\\d{{2}})[Tt ](\\d{{2}}):(\\d{{2}}):(\\d{{2}})(?:\\.\\d+)?(?:[Zz]|[+-](\\d{{2}}):(\\d{{2}}))$', {n}), '') AS"
+    return (f"coalesce({part(1)} DATE) IS NOT NULL AND {part(2)} INT) < 24 AND {part(3)} INT) < 60 AND {part(4)} INT) < 60 "
+            f"AND coalesce({part(5)} INT), 0) < 24 AND coalesce({part(6)} INT), 0) < 60, false)")
+
+
+@register("range_check", f"""
+SELECT id, CASE WHEN NOT {_range_ok('start_text')} THEN 'Invalid start format' WHEN NOT {_range_ok('end_text')} THEN 'Invalid end format' END AS error
+FROM (SELECT event_id AS id, {_RANGE_TEXT.format(s='VARCHAR')} AS start_text,
+  {_RANGE_TEXT.format(s='VARCHAR').replace('event_id %', '(event_id // 9) %')} AS end_text FROM events)""")
+def q_range_check(spark, sf_dir):
+    """P10 on data: a table of text ranges, each accepted or rejected with the argument's name."""
+    text = _RANGE_TEXT.format(s="STRING")
+    ranges = fixtures.table(spark, sf_dir, "events").selectExpr("event_id AS id", f"{text} AS start_text", f"{text.replace('event_id %', '(event_id DIV 9) %')} AS end_text")
+    return ranges.select("id", display.range_error("start_text", "end_text").alias("error"))
+
+
+def _late(df: DataFrame, column: str) -> DataFrame:
+    """Rows in landing files (column ``_file`` 0 to 2) in which every third comes long after its time."""
+    return df.withColumn("_file", F.when(F.pmod(F.xxhash64(*df.columns), 3) == 0, 2).when(F.dayofmonth(column) < 16, 0).otherwise(1))
+
+
+def _exported(spark, name: str, rows: DataFrame, column: str, make) -> DataFrame:
+    """The rows landed in three files, streamed a file at a time into an export table, folded once on the way."""
+    base = _scratch(spark, name)
+    late = _late(rows, column)
+    export = make(f"{base}/export")
+    for n in range(3):
+        late.where(F.col("_file") == n).drop("_file").coalesce(1).write.mode("append").parquet(f"{base}/rows")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{base}/rows")
+        query = EX.start_export(stream, export.table, export.part, f"{base}/checkpoint", available_now=True)
+        query.awaitTermination()
+        if query.exception() is not None:
+            raise RuntimeError(str(query.exception()))
+        if n == 1:
+            export.table.fold()
+    return export.read()
+
+
+from fleetlens.streaming import exports as EX  # noqa: E402
+
+
+@register("export_process_10s_late", ORACLES["export_process_10s"])
+def q_export_process_10s_late(spark, sf_dir):
+    """R5 under streaming with late rows: process gauges per period, corrected by what lands later."""
+    rows = _process_events(spark, sf_dir)
+    return _exported(spark, "late-p", rows, "timestamp", lambda path: EX.ProcessExport(spark, path)).drop("host")
+
+
+@register("export_10s_late", ORACLES["export_10s"])
+def q_export_10s_late(spark, sf_dir):
+    """R5 under streaming with late rows: the last GPU gauges per period, corrected by what lands later."""
+    rows = _gpu_metrics_typed(spark, sf_dir)
+    return _exported(spark, "late-g", rows, "timestamp", lambda path: EX.GaugeExport(spark, path)).drop("host")
+
+
+@register("export_tokens_10s_late", ORACLES["export_tokens_10s"])
+def q_export_tokens_10s_late(spark, sf_dir):
+    """R5 under streaming with late rows: token and session counters per period."""
+    return _exported(spark, "late-t", _sessions(spark, sf_dir), "end_time", lambda path: EX.CounterExport(spark, path))

@@ -47,7 +47,9 @@ class State:
 
 
 class KeyedTable:
-    """One row a ``key``: of all versions of a key, ``kept`` columns come from the first, the others from the last.
+    """One row a ``key``: of all versions of a key, ``kept`` columns come from the first, ``summed`` columns
+    add up, the others come from the last: the last write, in it the highest ``order``; with ``by_order``
+    the highest ``order`` of all writes.
 
     ``day`` is the date column (or the time) that rows are partitioned by; ``order`` decides between
     versions of one write.  A key's versions are expected to have the same day; ``fold(anywhere=True)``,
@@ -55,9 +57,10 @@ class KeyedTable:
     """
 
     def __init__(self, spark: SparkSession, path: str, schema: StructType, key: Sequence[str], day: str,
-                 kept: Sequence[str] = (), order: str | None = None):
+                 kept: Sequence[str] = (), order: str | None = None, summed: Sequence[str] = (), by_order: bool = False):
         self.spark, self.path, self.schema, self.day = spark, path.rstrip("/"), schema, day
         self.key, self.kept, self.order = list(key), list(kept), order
+        self.summed, self.by_order = list(summed), by_order
         self.fs = Folders(spark, self.path)
 
     # -- the log -----------------------------------------------------------------------------------
@@ -144,17 +147,24 @@ class KeyedTable:
     def _merged(self, stored: DataFrame, added: DataFrame) -> DataFrame:
         """One row a key: partial aggregates, so many versions of one key combine before the shuffle."""
         names = self.schema.fieldNames()
-        at = [F.col(self.order)] if self.order else []
-        version = F.struct("seq", *(c.alias(f"o{i}") for i, c in enumerate(at)))
+        at = [F.col(self.order).alias("at")] if self.order else []
+        version = F.struct(*at, "seq") if self.by_order else F.struct("seq", *at)
         both = (stored.withColumn(REPLACES, F.lit(False)).withColumn("seq", F.lit(-1).cast("long")).select(*names, REPLACES, "seq")
                 .unionByName(added.select(*names, REPLACES, "seq")).withColumn("v", version))
-        last = [c for c in names if c not in self.key and c not in self.kept]
-        aggs = [F.max_by(F.struct(*last), "v").alias("l")]
+        last = [c for c in names if c not in (*self.key, *self.kept, *self.summed)]
+        aggs = [F.sum(c).cast(self.schema[c].dataType).alias(c) for c in self.summed]
+        if last:
+            aggs.append(F.max_by(F.struct(*last), "v").alias("l"))
         if self.kept:
             first = F.struct(*self.kept)
             aggs.append(F.coalesce(F.max_by(first, F.when(F.col(REPLACES), F.col("v"))), F.min_by(first, "v")).alias("f"))
         out = both.groupBy(*self.key).agg(*aggs)
-        return out.select(*(c if c in self.key else F.col(f"f.{c}" if c in self.kept else f"l.{c}").alias(c) for c in names))
+        return out.select(*(c if c in (*self.key, *self.summed) else F.col(f"f.{c}" if c in self.kept else f"l.{c}").alias(c) for c in names))
+
+    def _of(self, stored: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        """``stored`` with or without the rows of ``keys``; a null in a key equals a null."""
+        keys = keys.select(*(F.col(k).alias(f"_{k}") for k in self.key))
+        return stored.join(keys, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in self.key], how)
 
     def _day(self):
         return F.coalesce(F.to_date(self.day).cast("string"), F.lit(NO_DAY))
@@ -173,8 +183,8 @@ class KeyedTable:
         if state.deltas:
             added = self._added(state.deltas)
             keys = added.select(*self.key).distinct()
-            merged = self._merged(stored.join(keys, self.key, "left_semi"), added).withColumn("day", self._day())
-            out = stored.join(keys, self.key, "left_anti").select(*names, "day").unionByName(merged)
+            merged = self._merged(self._of(stored, keys, "left_semi"), added).withColumn("day", self._day())
+            out = self._of(stored, keys, "left_anti").select(*names, "day").unionByName(merged)
         if wanted is not None:
             out = out.where(F.col("day").isin(wanted))
         date = [F.when(F.col("day") != NO_DAY, F.col("day")).cast("date").alias(date_col)] if date_col else []
@@ -200,7 +210,7 @@ class KeyedTable:
             days = set().union(*self._days_of(state.deltas).values())
             if anywhere or not added.where(REPLACES).isEmpty():
                 keys = added.select(*self.key).distinct()
-                found = self._stored(state.versions).select(*self.key, "day").join(keys, self.key, "left_semi")
+                found = self._of(self._stored(state.versions).select(*self.key, "day"), keys, "left_semi")
                 days |= {r.day for r in found.select("day").distinct().collect()}
             seq = self._take()
             merged = self._merged(self._stored(state.versions, days), added).withColumn("day", self._day()).hint("rebalance", "day")
