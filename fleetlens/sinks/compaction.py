@@ -8,8 +8,8 @@ batches never join; the newest batch of the table is left out, as the stream may
 still replay it.
 
 1. a manifest ``_compaction/date=D`` names U;
-2. the input is written, sorted and in files of a target size, to a folder
-   readers do not see, then moved to ``date=D/batch_id=-(U + 1)``;
+2. the input of many days is written by one job, sorted and in files of a target size, to a
+   folder readers do not see, then moved, day by day, to ``date=D/batch_id=-(U + 1)``;
 3. a marker beside the manifest says that it is published;
 4. the input batches' folders are deleted, then the manifest, then the marker.
 
@@ -85,43 +85,70 @@ def read_ingested(spark: SparkSession, path: str, schema=None) -> DataFrame:
     return without_superseded(spark, path, df)
 
 
-def compact_day(spark: SparkSession, path: str, day: _dt.date, target_bytes: int = 256 * 1024 * 1024,
-                sort: Sequence[str] = ()) -> int:
-    """Compact one closed day of an ingest table (or finish a compaction of it); returns the number of
-    input batches."""
+def compact_days(spark: SparkSession, path: str, days: Sequence[_dt.date], target_bytes: int = 256 * 1024 * 1024,
+                 sort: Sequence[str] = ()) -> int:
+    """Compact closed days of an ingest table (or finish compactions of them); returns the number of input
+    batches.  All days are read and written by one job; each day is then published by itself."""
     config.prepare(spark)
     path = path.rstrip("/")
     fs = Folders(spark, path)
-    name, day_path = f"date={day.isoformat()}", f"{path}/date={day.isoformat()}"
-    manifest, staging = f"{path}/{MANIFESTS}/{name}", f"{path}/{MANIFESTS}/staging/{name}"
-    begun = _manifests(fs, path).get(day.isoformat())
-    if begun is None:
-        newest = max((max(_batches(fs, f"{path}/{d}"), default=-1) for d in fs.folders(path, "date=")), default=-1)
-        inputs = [b for b in _batches(fs, day_path) if 0 <= b < newest]
-        if len(inputs) <= 1:
-            return 0
-        begun = (inputs[-1], False)
-        fs.delete(manifest + PUBLISHED)          # of a compaction that ended just before removing it
-        fs.write_text(manifest, str(begun[0]))
-    up_to, published = begun
-    inputs = [b for b in _batches(fs, day_path) if 0 <= b <= up_to]
-    target = f"{day_path}/batch_id={-(up_to + 1)}"
-    if not published:
-        fs.delete(staging)
-        fs.delete(target)
-        size = int(fs.signature(day_path).split("-")[0])
-        rows = without_superseded(spark, path, spark.read.parquet(*[f"{day_path}/batch_id={b}" for b in inputs]))
-        order = [c for c in (*sort, "timestamp") if c in rows.columns]
-        files = max(1, -(-size // target_bytes))
-        rows = rows.repartitionByRange(files, *order) if order else rows.repartition(files)
-        rows.sortWithinPartitions(*order).write.mode("overwrite").parquet(staging)
-        fs.move(staging, target)
-        fs.write_text(manifest + PUBLISHED, "")
-    for b in inputs:
-        fs.delete(f"{day_path}/batch_id={b}")
-    fs.delete(manifest)
-    fs.delete(manifest + PUBLISHED)
-    return len(inputs)
+    unfinished, names = _manifests(fs, path), [d.isoformat() for d in days]
+    newest = max((max(_batches(fs, f"{path}/{d}"), default=-1) for d in fs.folders(path, "date=")), default=-1)
+    begun: dict[str, tuple[int, bool]] = {}
+    for day in names:
+        manifest = f"{path}/{MANIFESTS}/date={day}"
+        if day in unfinished:
+            begun[day] = unfinished[day]
+            continue
+        inputs = [b for b in _batches(fs, f"{path}/date={day}") if 0 <= b < newest]
+        if len(inputs) > 1:
+            fs.delete(manifest + PUBLISHED)          # of a compaction that ended just before removing it
+            fs.write_text(manifest, str(inputs[-1]))
+            begun[day] = (inputs[-1], False)
+    batches = {day: [b for b in _batches(fs, f"{path}/date={day}") if 0 <= b <= up_to] for day, (up_to, _) in begun.items()}
+    _publish(spark, fs, path, {d: begun[d][0] for d in begun if not begun[d][1]}, batches, target_bytes, sort)
+    for day in begun:
+        manifest = f"{path}/{MANIFESTS}/date={day}"
+        for b in batches[day]:
+            fs.delete(f"{path}/date={day}/batch_id={b}")
+        fs.delete(manifest)
+        fs.delete(manifest + PUBLISHED)
+    return sum(map(len, batches.values()))
+
+
+def _publish(spark: SparkSession, fs: Folders, path: str, days: dict[str, int], batches: dict[str, list[int]], target_bytes: int,
+             sort: Sequence[str]) -> None:
+    """Write the compacted batch of every day aside, in one job, then move and mark them day by day."""
+    if not days:
+        return
+    staging = f"{path}/{MANIFESTS}/staging"
+    fs.delete(staging)
+    for day, up_to in days.items():
+        fs.delete(f"{path}/date={day}/batch_id={-(up_to + 1)}")
+    inputs = [f"{path}/date={day}/batch_id={b}" for day in days for b in batches[day]]
+    size = sum(int(fs.signature(f"{path}/date={day}").split("-")[0]) for day in days)
+    rows = without_superseded(spark, path, spark.read.option("basePath", path).parquet(*inputs)).drop("batch_id")
+    order = [c for c in (*sort, "timestamp") if c in rows.columns]
+    rows = rows.repartitionByRange(max(1, -(-size // target_bytes), min(len(days), 64)), "date", *order).sortWithinPartitions("date", *order)
+    rows.write.mode("overwrite").partitionBy("date").parquet(staging)
+    for day, up_to in days.items():
+        target = f"{path}/date={day}/batch_id={-(up_to + 1)}"
+        if fs.exists(f"{staging}/date={day}"):          # else every row of the day was superseded
+            fs.move(f"{staging}/date={day}", target)
+        else:
+            fs.make(target)
+        fs.write_text(f"{path}/{MANIFESTS}/date={day}{PUBLISHED}", "")
+    fs.delete(staging)
+
+
+def compact_day(spark: SparkSession, path: str, day: _dt.date, target_bytes: int = 256 * 1024 * 1024,
+                sort: Sequence[str] = ()) -> int:
+    """``compact_days`` of one day."""
+    return compact_days(spark, path, [day], target_bytes, sort)
+
+
+#: Days that one job compacts; a backlog takes several.
+DAYS_AT_ONCE = 64
 
 
 def compact_closed_days(spark: SparkSession, path: str, today: _dt.date, sort: Sequence[str] = ()) -> int:
@@ -129,5 +156,5 @@ def compact_closed_days(spark: SparkSession, path: str, today: _dt.date, sort: S
     path = path.rstrip("/")
     fs = Folders(spark, path)
     days = {n.split("=", 1)[1] for n in fs.folders(path, "date=")} | set(_manifests(fs, path))
-    closed = sorted(d for d in days if d[:1].isdigit() and d < today.isoformat())
-    return sum(compact_day(spark, path, _dt.date.fromisoformat(d), sort=sort) for d in closed)
+    closed = [_dt.date.fromisoformat(d) for d in sorted(days) if d[:1].isdigit() and d < today.isoformat()]
+    return sum(compact_days(spark, path, closed[i:i + DAYS_AT_ONCE], sort=sort) for i in range(0, len(closed), DAYS_AT_ONCE))
