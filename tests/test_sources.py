@@ -178,3 +178,11 @@ def test_stored_times(spark):
     assert sorted(got) == ["a", "c"]
     assert got["a"]["end_time"] == got["a"]["start_time"]
     assert got["c"]["end_time"] is None
+
+
+def test_fixed_prints_what_has_no_decimals(spark):
+    from fleetlens.functions.display import fixed
+    rows = [(float("nan"), "NaN"), (float("inf"), "Infinity"), (float("-inf"), "-Infinity"), (1e21, "1e+21"), (-2.5e30, "-2.5e+30"),
+            (1e20, "100000000000000000000.0"), (123456789012345683968.0, "123456789012345683968.0"), (None, None), (0.25, "0.3"), (-7.0, "-7.0")]
+    got = spark.createDataFrame(rows, "v double, want string").select(fixed("v", 1).alias("got"), "want").collect()
+    assert [r.got for r in got] == [r.want for r in got]
