@@ -29,9 +29,11 @@ U64_MAX = 18446744073709551615
 
 
 def json_wrapped(text: Column) -> Column:
-    """The VARIANT of ``[text,"mark"]`` (null when not JSON) with its mark; see ``unwrap``."""
-    mark = F.sha2(text, 256)
-    return F.struct(F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]'))).alias("v"), mark.alias("mark"))
+    """The VARIANT of ``[text,"mark"]`` (null when not JSON) with its mark; see ``unwrap``.  A text without
+    ``]`` cannot close the array, so only others need the hash."""
+    mark = F.when(F.contains(text, F.lit("]")), F.sha2(text, 256)).otherwise(F.lit(""))
+    wrap = lambda m: F.struct(F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), m, F.lit('"]'))).alias("v"), m.alias("mark"))
+    return F.get(F.transform(F.array(mark), wrap), 0)
 
 
 def unwrap(wrapped: Column) -> Column:
@@ -50,57 +52,54 @@ def _type(v: Column, path: str) -> Column:
     return F.schema_of_variant(F.variant_get(v, path, "variant"))
 
 
-def _opt_string(v: Column, path: str):
-    t = _type(v, path)
-    ok = t.isNull() | (t == "VOID") | (t == "STRING")
-    return ok, F.when(t == "STRING", F.variant_get(v, path, "string"))
+def _typed_fields(v: Column) -> Column:
+    """The fields of an object as one struct of (value, type); null when ``v`` is not an object.  One
+    extraction takes all fields, and every type is asked for once."""
+    names = ["model", "created_at", "done", "response", *COUNTS]
+    fields = F.try_variant_get(v, "$", "struct<" + ",".join(f"{n}:variant" for n in names) + ">")
+    typed = lambda f: F.struct(*[F.struct(f[n].alias("v"), F.schema_of_variant(f[n]).alias("t")).alias(n) for n in names])
+    return F.get(F.transform(F.array(fields), lambda f: F.when(f.isNotNull(), typed(f))), 0)
 
 
-def _opt_u64(v: Column, path: str):
-    """Optional unsigned 64-bit count as DECIMAL(20,0): absent / null, or a
-    non-negative JSON integer.  Above BIGINT, VARIANT holds whole numbers as decimals."""
-    t = _type(v, path)
-    big = t.rlike(r"^DECIMAL\((19|20),0\)$")
-    val = F.when((t == "BIGINT") | big, F.try_variant_get(v, path, "decimal(38,0)"))
-    in_range = (val >= 0) & (val <= F.lit(str(U64_MAX)).cast("decimal(20,0)"))
-    ok = t.isNull() | (t == "VOID") | (((t == "BIGINT") | big) & in_range)
-    return ok, F.when(in_range, val.cast("decimal(20,0)"))
+def _count(f: Column) -> Column:
+    """A count as DECIMAL: null when absent or null, -1 when it is no unsigned 64-bit JSON integer.  Above
+    BIGINT, VARIANT holds whole numbers as decimals."""
+    whole = (f["t"] == "BIGINT") | f["t"].isin("DECIMAL(19,0)", "DECIMAL(20,0)")
+    return F.when(f["t"].isNull() | (f["t"] == "VOID"), F.lit(None)).when(whole, F.try_variant_get(f["v"], "$", "decimal(38,0)")) \
+        .otherwise(F.lit(-1).cast("decimal(38,0)"))
 
 
-def record_of_value(v: Column) -> Column:
-    """S4 record of a parsed JSON value: a struct (CHUNK_RECORD) or null when it
+def record_of_fields(f: Column) -> Column:
+    """S4 record of ``_typed_fields``: a struct (CHUNK_RECORD) or null when it
     is not a valid chunk (``model``, ``created_at`` strings and ``done`` boolean
     required; ``response`` optional string; counts optional unsigned)."""
-    is_obj = F.schema_of_variant(v).startswith("OBJECT")
-    ok = F.coalesce(is_obj, F.lit(False))
-    ok = ok & (_type(v, "$.model") == "STRING") & (_type(v, "$.created_at") == "STRING")
-    ok = ok & (_type(v, "$.done") == "BOOLEAN")
-    r_ok, response = _opt_string(v, "$.response")
-    fields = {}
-    for name in COUNTS:
-        f_ok, fields[name] = _opt_u64(v, f"$.{name}")
-        ok = ok & f_ok
-    ok = ok & r_ok
-    rec = F.struct(
-        F.variant_get(v, "$.model", "string").alias("model"),
-        F.variant_get(v, "$.created_at", "string").alias("created_at"),
-        response.alias("response"),
-        F.variant_get(v, "$.done", "boolean").alias("done"),
-        *[fields[n].alias(n) for n in COUNTS],
-    )
-    return F.when(F.coalesce(ok, F.lit(False)), rec)
+    required = (f["model"]["t"] == "STRING") & (f["created_at"]["t"] == "STRING") & (f["done"]["t"] == "BOOLEAN")
+    response = f["response"]["t"]
+    ok = required & (response.isNull() | response.isin("VOID", "STRING"))
+    text = lambda name: F.try_variant_get(f[name]["v"], "$", "string")
+
+    def record(counts: Column) -> Column:
+        fits = F.forall(counts, lambda c: F.coalesce(c.between(F.lit(0), F.lit(str(U64_MAX)).cast("decimal(20,0)")), F.lit(True)))
+        return F.when(fits, F.struct(
+            text("model").alias("model"), text("created_at").alias("created_at"), text("response").alias("response"),
+            F.try_variant_get(f["done"]["v"], "$", "boolean").alias("done"),
+            *[F.get(counts, i).cast("decimal(20,0)").alias(n) for i, n in enumerate(COUNTS)]))
+
+    checked = F.get(F.transform(F.array(F.array(*[_count(f[n]) for n in COUNTS])), record), 0)
+    return F.when(F.coalesce(ok, F.lit(False)), checked)
 
 
 def chunk_record(line: Column) -> Column:
-    """S4 record of one line of text (see ``record_of_value``)."""
-    return record_of_value(json_value(line))
+    """S4 record of one line of text (see ``record_of_fields``)."""
+    return F.get(_records(F.array(line), keep_invalid=True), 0)
 
 
-def _records(lines: Column) -> Column:
-    """Valid records of an array of lines, in line order.  Each line is parsed
-    once (array of VARIANT first), then its fields are checked."""
-    parsed = F.transform(lines, lambda s: json_wrapped(s))
-    return F.filter(F.transform(parsed, lambda w: record_of_value(unwrap(w))), lambda r: r.isNotNull())
+def _records(lines: Column, keep_invalid: bool = False) -> Column:
+    """Valid records of an array of lines, in line order.  Each line is parsed once, its fields are taken
+    once, then checked: one array per step, as a lambda computes an expression anew wherever it stands."""
+    fields = F.transform(F.transform(lines, json_wrapped), lambda w: _typed_fields(unwrap(w)))
+    records = F.transform(fields, record_of_fields)
+    return records if keep_invalid else F.filter(records, lambda r: r.isNotNull())
 
 
 def _lines(text: Column) -> Column:
