@@ -4,8 +4,10 @@ R1 is a keyed fold over arrival order with a state that outlives ``done``, which
 a streaming aggregate cannot emit per ``done``; it runs as
 ``applyInPandasWithState`` keyed by session id.  The Python part only folds the
 raw state (start, model, first token, last non-null counts); the session
-measures (P6) are the same Spark expressions as in batch.  A watermark on the
-arrival time bounds the state: a session idle for ``state_ttl`` beyond the
+measures (P6) are the same Spark expressions as in batch.  Response texts stay in
+the JVM, and of a micro-batch the fold holds one Arrow batch and the chunks with
+``done`` or a count, so a session of a million tokens costs no more memory than a
+short one.  A watermark on the arrival time bounds the state: a session idle for ``state_ttl`` beyond the
 watermark leaves it.  ``reconcile_sessions`` then makes the stored sessions what
 the landed chunks say, late ones included.
 """
@@ -36,48 +38,79 @@ RAW_SCHEMA = ("session_id string, _start timestamp, _model string, _first_token
 _COUNTS = (("prompt_eval_count", "prompt"), ("eval_count", "completion"), ("eval_duration", "eval_ns"))
 
 
+EMIT_ROWS = 100_000
+
+
 def _none(v):
     return None if v is None or pd.isna(v) else v
 
 
+def _reduced(pdfs: Iterator[pd.DataFrame]):
+    """(first row, first row with a response, latest arrival, rows that emit or count, in order).
+
+    One Arrow batch is held at a time; of it stay the rows with ``done`` or a count, as numbers.  The tokens
+    between them, nearly all chunks of a session, only matter through the first one with a response.
+    """
+    first = answer = latest = None
+    kept = []
+    for pdf in pdfs:
+        pdf = pdf.sort_values(["arrival_ts", "seq"], kind="stable")
+        place = lambda r: (r["arrival_ts"], r["seq"])
+        if first is None or place(pdf.iloc[0]) < place(first):
+            first = pdf.iloc[0][["arrival_ts", "seq", "model"]]
+        spoken = pdf[pdf["answered"]]
+        if len(spoken) and (answer is None or place(spoken.iloc[0]) < answer):
+            answer = place(spoken.iloc[0])
+        end = pdf["arrival_ts"].iloc[-1]
+        latest = end if latest is None else max(latest, end)
+        counts = pdf[[src for src, _ in _COUNTS]]
+        kept.append(pdf.loc[pdf["done"] | counts.notna().any(axis=1), ["arrival_ts", "seq", "done", *counts]])
+        kept[-1] = kept[-1].astype({src: "Int64" for src in counts})
+    return first, answer, latest, pd.concat(kept, ignore_index=True).sort_values(["arrival_ts", "seq"], kind="stable")
+
+
 def _fold(ttl_ms: int):
     def fold(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["arrival_ts", "seq"], kind="stable")
+        first, answer, latest, rows = _reduced(pdfs)
         if state.exists:
             start, model, first_token, prompt, completion, eval_ns, _ = state.get
         else:
-            start, model = pdf["arrival_ts"].iloc[0], pdf["model"].iloc[0]
+            start, model = first["arrival_ts"], _none(first["model"])
             first_token = prompt = completion = eval_ns = None
         # First token: earliest arrival of a chunk with a response, unless one was seen before.
-        resp_ts = pdf["arrival_ts"].where(pdf["response"].notna())
-        ft = resp_ts.cummin().ffill() if first_token is None else pd.Series(first_token, index=pdf.index)
-        running = {}
+        if first_token is not None:
+            ft = pd.Series(first_token, index=rows.index)
+        elif answer is None:
+            ft = pd.Series(pd.NaT, index=rows.index, dtype=rows["arrival_ts"].dtype)
+        else:
+            since = (rows["arrival_ts"] > answer[0]) | ((rows["arrival_ts"] == answer[0]) & (rows["seq"] >= answer[1]))
+            ft = pd.Series(answer[0], index=rows.index).where(since)
+        running, left = {}, {}
         for src, name in _COUNTS:
             prev = {"prompt": prompt, "completion": completion, "eval_ns": eval_ns}[name]
-            s = pdf[src].astype("Int64").ffill()
+            s = rows[src].ffill()
             running[name] = s.fillna(prev) if prev is not None else s
-        done = pdf["done"].astype(bool)
-        emitted = pd.DataFrame({
-            "session_id": key[0],
-            "_start": start, "_model": model,
-            "_first_token": ft[done].values,
-            "_prompt": running["prompt"][done].astype("Int64").values,
-            "_completion": running["completion"][done].astype("Int64").values,
-            "_eval_ns": running["eval_ns"][done].astype("Int64").values,
-            "_end": pdf["arrival_ts"][done].values,
-        })
-        last = pdf.iloc[-1]
-        state.update((start, model, _none(ft.iloc[-1]), _none(running["prompt"].iloc[-1]),
-                      _none(running["completion"].iloc[-1]), _none(running["eval_ns"].iloc[-1]),
-                      last["arrival_ts"]))
+            left[name] = _none(running[name].iloc[-1]) if len(rows) else prev
+        state.update((start, model, first_token if first_token is not None else (answer[0] if answer else None),
+                      left["prompt"], left["completion"], left["eval_ns"], latest))
         # Idle timeout in event time: TTL past the session's last chunk (never before the watermark).
-        last_ms = int(pd.Timestamp(last["arrival_ts"]).value // 1_000_000)
+        last_ms = int(pd.Timestamp(latest).value // 1_000_000)
         state.setTimeoutTimestamp(max(last_ms, state.getCurrentWatermarkMs()) + ttl_ms)
-        if len(emitted):
-            yield emitted
+        done = rows.index[rows["done"].astype(bool)]
+        for at in range(0, len(done), EMIT_ROWS):
+            some = done[at:at + EMIT_ROWS]
+            yield pd.DataFrame({
+                "session_id": key[0],
+                "_start": start, "_model": model,
+                "_first_token": ft.loc[some].values,
+                "_prompt": running["prompt"].loc[some].values,
+                "_completion": running["completion"].loc[some].values,
+                "_eval_ns": running["eval_ns"].loc[some].values,
+                "_end": rows["arrival_ts"].loc[some].values,
+            })
     return fold
 
 
@@ -88,7 +121,10 @@ def track_sessions_stream(chunks: DataFrame, watermark: str = "10 minutes",
     ``chunks`` is a streaming frame of parsed chunks (LLM_CHUNKS) whose
     ``arrival_ts`` is a TIMESTAMP; the output has the ``llm_sessions`` schema.
     """
-    raw = (chunks.withColumn("arrival_ts", F.col("arrival_ts").cast("timestamp"))
+    last = F.lit(2 ** 63 - 1)
+    raw = (chunks.select("session_id", F.col("arrival_ts").cast("timestamp").alias("arrival_ts"), F.coalesce("seq", last).alias("seq"),
+                         "model", F.col("response").isNotNull().alias("answered"), F.coalesce("done", F.lit(False)).alias("done"),
+                         *[c for c, _ in _COUNTS])
            .withWatermark("arrival_ts", watermark)
            .groupBy("session_id")
            .applyInPandasWithState(_fold(state_ttl_ms), RAW_SCHEMA, STATE_SCHEMA, "append",
