@@ -7,8 +7,9 @@ Plan of ``process_events``:
   inserted — highest GPU index, then the smallest memory — as hash aggregates
   over one (tick, pid) shuffle of the samples (a (tick, pid) group is bounded
   by the GPUs of one host);
-* J1 inner join with the OS process table (pids not found are dropped); the
-  library flag (J3) is computed on that table before the join;
+* J1 inner join with the OS process table (pids not found are dropped), on pid and
+  a slice of the ticks, so that a busy pid is not one task's work; the library flag
+  (J3) is computed on that table before the join;
 * P1 classification as one CASE expression on the joined row.
 """
 
@@ -91,7 +92,7 @@ def last_inserted_per_pid(per_gpu: DataFrame, keys: Sequence[str] = (), tick: st
 
 def process_events(samples: DataFrame, os_processes: DataFrame, tick_unit: str | None = "day",
                    library_roots: Sequence[str] | DataFrame = (), keys: Sequence[str] = (),
-                   poll: str | None = None, keep_poll: bool = False) -> DataFrame:
+                   poll: str | None = None, keep_poll: bool = False, slices: int = 64) -> DataFrame:
     """Classified process events, one per (*keys, tick, pid) found in the OS table.
 
     ``samples``: flat process samples (PROCESS_SAMPLES); ``keys``: e.g. ("host",), as
@@ -100,7 +101,9 @@ def process_events(samples: DataFrame, os_processes: DataFrame, tick_unit: str |
     ``date_trunc`` unit ``tick_unit``, or every sample time.  If ``os_processes`` has the
     ``poll`` column too, each poll is joined with its own process table, whose processes may
     come and go.  ``library_roots``: a list of game library roots or a one-column DataFrame
-    ``root`` of them.  ``keep_poll``: the events carry their poll.
+    ``root`` of them.  ``keep_poll``: the events carry their poll.  ``slices``: without own process tables
+    of the polls, the ticks of a pid are joined in this many slices, for a pid may have any share of all ticks;
+    the process table gets a row per slice in which its pid occurs.
     """
     keys = list(keys)
     if poll:
@@ -119,7 +122,12 @@ def process_events(samples: DataFrame, os_processes: DataFrame, tick_unit: str |
     versioned = bool(poll) and poll in os_processes.columns
     at = [F.col(poll).alias("tick")] if versioned else []
     procs = procs.select(*keys, *at, "pid", "name", "command_line", "exe_path", in_lib.alias("in_library"))
-    joined = picked.join(util, [*keys, "tick", "gpu_id"]).join(procs, [*keys, *(["tick"] if versioned else []), "pid"], "inner")
+    on = [*keys, *(["tick"] if versioned else []), "pid"]
+    if not versioned and slices > 1:
+        part = F.pmod(F.xxhash64("tick"), F.lit(slices)).alias("_slice")
+        occurring = s.select(*keys, "pid", part).distinct()
+        procs, picked, on = procs.join(occurring, on), picked.select("*", part), [*on, "_slice"]
+    joined = picked.join(util, [*keys, "tick", "gpu_id"]).join(procs, on, "inner")
     time = F.col("tick")
     if poll:
         joined = joined.join(s.groupBy(*keys, "tick").agg(F.max("timestamp").alias("_at")), [*keys, "tick"])

