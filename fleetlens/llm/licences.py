@@ -15,11 +15,16 @@ expressions: no join, no shuffle before the matches are gathered.
 signs, wrapped, inside a sentence): windows of the document's word sequence, in which every matched
 unit is a break.  A window begins and ends with a bigram of the template and has from t / (2 - t) |B|
 to (2 - t) / t |B| bigrams, repeated ones counted, in any place; all of them that reach the threshold
-count, the best first (ties: earlier template, earlier place, shorter), without those that share a word
+count, the best first (ties: equal markers, earlier template, earlier place, shorter), without those that share a word
 with a better one.  A text without enough different bigrams of a template has no such window.
 
+The best template names the family; its licence is reported where the matched words have exactly its
+``MARKERS`` (version numbers, noncommercial, affero, lesser, ...), and only the family (GNU, BSD, CC, ...)
+where they do not: a version that is not listed, a sentence that all variants share.  A unit with one of
+the ``DENIALS`` ("not licensed") matches nothing, nor does a window with one inside or up to ``LOOK_BACK`` bigrams before it.
+
 Null and empty texts and units of fewer than two words match nothing.  The best template of a unit
-counts, the earlier listed if tied.  Long texts are read whole.  Rows with a null id are reported
+counts; if tied, one whose markers are the unit's, then the earlier listed.  Long texts are read whole.  Rows with a null id are reported
 under a null id, repeated rows each.  An empty table gives no rows.  Only the named columns are read.
 """
 
@@ -51,8 +56,8 @@ TEMPLATES = [
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
-                     "the following conditions are met:"),
+    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
+            "the following conditions are met:"),
     ("BSD-3-Clause", "Released under the 3-Clause BSD License."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
                 "distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
@@ -65,8 +70,45 @@ TEMPLATES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
             "provided that the above copyright notice and this permission notice appear in all copies."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public "
+                "License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any "
+                "later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General "
+                 "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
+                 "option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+                 "Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your "
+                 "option) any later version."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+                 "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
+                 "option) any later version."),
+    ("LGPL-2.1", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+                 "Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your "
+                 "option) any later version."),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+                 "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
+                 "option) any later version."),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("BSD-2-Clause", "Released under the 2-Clause BSD License."),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+                     "products derived from this software without specific prior written permission."),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
 ]
 
+#: Words that tell licences of one family apart.
+MARKERS = ["1", "2", "3", "4", "5", "affero", "clause", "lesser", "nc", "nd", "noderivatives", "noderivs", "noncommercial", "sa", "sharealike"]
+#: Families of more than one licence, by the first part of the licence's name.
+FAMILIES = {"GPL": "GNU", "LGPL": "GNU", "AGPL": "GNU"}
+#: Bigrams that deny what follows.
+DENIALS = ["not licensed", "not released", "not under", "never licensed", "never released", "longer licensed", "longer released", "nor licensed"]
+LOOK_BACK = 3
+
 
 def template_bigrams(text: str) -> list[str]:
     words = [w for w in re.split(r"[^a-z0-9]+", text.lower()) if w]
@@ -83,6 +125,33 @@ def _longest(bigram: str) -> str:
     return max(bigram.split(), key=lambda w: (len(w), w))
 
 
+def template_markers(text: str) -> str:
+    return " ".join(sorted(set(re.split(r"[^a-z0-9]+", text.lower())) & set(MARKERS)))
+
+
+def family(licence: str) -> str:
+    first = licence.split("-")[0]
+    return FAMILIES.get(first, first)
+
+
+def _marks(words: Column) -> Column:
+    return F.array_join(F.array_sort(F.array_intersect(words, F.array(*map(F.lit, MARKERS)))), " ")
+
+
+def _at(values: list[str], at: Column) -> Column:
+    return F.get(F.array(*map(F.lit, values)), at)
+
+
+def _licence(listed: list[tuple[str, str]], at: Column, words: Column) -> Column:
+    """The licence of a template where the matched words have exactly its markers, else its family."""
+    exact = _marks(words) == _at([template_markers(t) for _, t in listed], at)
+    return F.when(exact, _at([n for n, _ in listed], at)).otherwise(_at([family(n) for n, _ in listed], at))
+
+
+def _denied(grams: Column) -> Column:
+    return F.arrays_overlap(grams, F.array(*map(F.lit, DENIALS)))
+
+
 def _settled(rows: DataFrame, name: str, value: Column) -> DataFrame:
     """``rows`` with a column that is computed once a row: what stands above an explode is not merged
     with what stands below, where it would be computed again inside each lambda and each filter."""
@@ -135,7 +204,7 @@ def windows(docs: DataFrame, templates: list[tuple[str, str]] | None = None, thr
         return F.exists(fitting, lambda e: F.lit(2.0) * common(g, e) / (F.size(g) + e["size"]) >= threshold)
 
     def unit(text: Column) -> Column:   # scan reports it
-        whole = lambda w: _let(F.array_distinct(_grams(F.array_remove(w, ""))), measured)
+        whole = lambda w: _let(F.array_distinct(_grams(F.array_remove(w, ""))), lambda g: measured(g) & ~_denied(g))
         return _let(_words(text), lambda w: F.when(F.arrays_overlap(w, named), whole(w)).otherwise(False))
 
     def left(parts: Column, inner) -> Column:
@@ -163,17 +232,21 @@ def windows(docs: DataFrame, templates: list[tuple[str, str]] | None = None, thr
         return F.filter(found, lambda x: x["less"] <= -threshold)
 
     near = F.filter(entries, lambda e: F.array_contains("near", e["at"]))
-    rows = _settled(rows, "found", F.flatten(F.transform(near, lambda e: F.flatten(F.transform(begun(e), lambda s: ended(e, s))))))
+    found = F.flatten(F.transform(near, lambda e: F.flatten(F.transform(begun(e), lambda s: ended(e, s)))))
+    before = lambda x: F.greatest(x["at"] - LOOK_BACK, F.lit(0))
+    found = F.filter(found, lambda x: ~_denied(F.slice("grams", before(x) + 1, x["at"] + x["n"] - before(x))))
+    marks = [template_markers(text) for _, text in listed]
+    vague = lambda x: _marks(F.slice("words", x["at"] + 1, x["n"] + 1)) != _at(marks, x["template"])
+    rows = _settled(rows, "found", F.transform(found, lambda x: F.struct(x["less"], vague(x).alias("vague"), x["template"], x["at"], x["n"])))
     rows = _settled(rows.where(F.size("found") > 0), "found", F.array_sort("found"))
     apart = lambda a, x: (a["at"] + a["n"] < x["at"]) | (x["at"] + x["n"] < a["at"])
     best = F.aggregate("found", F.filter("found", lambda x: F.lit(False)),
                        lambda kept, x: F.when(F.forall(kept, lambda a: apart(a, x)), F.concat(kept, F.array(x))).otherwise(kept))
     rows = _settled(rows, "found", F.array_sort(F.transform(best, lambda x: F.struct(x["at"], x["n"], x["template"], x["less"]))))
     rows = rows.select("doc_id", "words", F.posexplode("found").alias("number", "x"))
-    licences = F.array(*[F.lit(name) for name, _ in listed])
-    return rows.select("doc_id", F.lit("window").alias("unit"), "number", F.get(licences, F.col("x.template")).alias("licence"),
-                       F.col("x.template").alias("template"), (-F.col("x.less")).alias("dice"),
-                       F.array_join(F.slice("words", F.col("x.at") + 1, F.col("x.n") + 1), " ").alias("matched"))
+    rows = rows.withColumn("words", F.slice("words", F.col("x.at") + 1, F.col("x.n") + 1))
+    return rows.select("doc_id", F.lit("window").alias("unit"), "number", _licence(listed, F.col("x.template"), F.col("words")).alias("licence"),
+                       F.col("x.template").alias("template"), (-F.col("x.less")).alias("dice"), F.array_join("words", " ").alias("matched"))
 
 
 def notices(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = 0.8,
@@ -201,7 +274,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, thresh
         must.update(ranked)
         names.update(map(_longest, ranked))
         entries.append(F.struct(F.lit(i).alias("at"), F.lit(low).alias("low"), F.lit(high).alias("high"),
-                                F.lit(len(grams)).alias("size"), F.array(*map(F.lit, grams)).alias("grams")))
+                                F.lit(len(grams)).alias("size"), F.lit(template_markers(text)).alias("marks"), F.array(*map(F.lit, grams)).alias("grams")))
     named = F.array(*map(F.lit, sorted(names)))
     words = lambda text: F.split(F.lower(text), NOT_A_WORD)
 
@@ -222,14 +295,15 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, thresh
     pair = lambda a, b: F.when(b.isNotNull(), F.concat(a, F.lit(" "), b))
     grams = F.zip_with("words", F.slice("words", 2, F.size("words")), pair)
     found = _settled(found, "grams", F.array_distinct(F.array_compact(grams)))
-    found = found.where(F.arrays_overlap("grams", F.array(*map(F.lit, sorted(must)))))
+    found = found.where(F.arrays_overlap("grams", F.array(*map(F.lit, sorted(must)))) & ~_denied(F.col("grams")))
     size = F.size("grams")
     fitting = F.filter(F.array(*entries), lambda e: (e["low"] <= size) & (size <= e["high"]))
     measured = F.transform(fitting, lambda e: F.struct(
-        (F.lit(2.0) * F.size(F.array_intersect("grams", e["grams"])) / (size + e["size"])).alias("dice"), (-e["at"]).alias("at")))
+        (F.lit(2.0) * F.size(F.array_intersect("grams", e["grams"])) / (size + e["size"])).alias("dice"),
+        (F.col("marks") == e["marks"]).alias("exact"), (-e["at"]).alias("at")))
+    found = _settled(found, "marks", _marks(F.col("words")))
     found = _settled(found, "best", F.array_max(measured)).where(F.col("best.dice") >= threshold)
-    licences = F.array(*[F.lit(name) for name, _ in listed])
-    return found.select("doc_id", "unit", "number", F.get(licences, -F.col("best.at")).alias("licence"),
+    return found.select("doc_id", "unit", "number", _licence(listed, -F.col("best.at"), F.col("words")).alias("licence"),
                         (-F.col("best.at")).alias("template"), F.col("best.dice").alias("dice"), "matched")
 
 
@@ -239,9 +313,12 @@ def _literal(text: str) -> str:
 
 def oracle() -> str:
     """The same rows, gathered by document and licence, as DuckDB SQL."""
-    values = ", ".join(f"({i}, {_literal(name)}, [{', '.join(map(_literal, template_bigrams(text)))}])" for i, (name, text) in enumerate(TEMPLATES))
+    row = lambda i, name, text, grams: (f"({i}, {_literal(name)}, {_literal(family(name))}, {_literal(template_markers(text))}, "
+                                        f"{_bounds(len(grams), 0.8)[1]}, [{', '.join(map(_literal, grams))}])")
+    values = ", ".join(row(i, name, text, template_bigrams(text)) for i, (name, text) in enumerate(TEMPLATES))
+    markers, denials = (", ".join(map(_literal, x)) for x in (MARKERS, DENIALS))
     return rf"""
-WITH templates(place, licence, wanted) AS (VALUES {values}),
+WITH templates(place, name, family, marks, most, wanted) AS (VALUES {values}),
 docs AS (
   SELECT doc_id, text, regexp_split_to_array(text, '(?:\r\n|\r|\n)[ \t]*(?:\r\n|\r|\n)\s*') AS paragraphs FROM documents),
 units AS (
@@ -250,12 +327,13 @@ units AS (
   UNION ALL SELECT doc_id, text FROM docs WHERE len(paragraphs) > 1),
 worded AS (SELECT row_number() OVER () AS unit, doc_id, list_filter(regexp_split_to_array(lower(u), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM units),
 grams AS (
-  SELECT unit, doc_id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g
-  FROM worded WHERE len(w) BETWEEN 2 AND 400),
+  SELECT unit, doc_id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g,
+    array_to_string(list_sort(list_distinct(list_filter(w, lambda x: list_contains([{markers}], x)))), ' ') AS own
+  FROM worded WHERE len(w) >= 2),
 measured AS (
-  SELECT unit, doc_id, licence, place, 2.0::DOUBLE * len(list_intersect(g, wanted)) / (len(g) + len(wanted)) AS dice
-  FROM grams JOIN templates ON list_has_any(g, wanted)),
+  SELECT unit, doc_id, CASE WHEN own = marks THEN name ELSE family END AS licence, own = marks AS exact, place, 2.0::DOUBLE * len(list_intersect(g, wanted)) / (len(g) + len(wanted)) AS dice
+  FROM grams JOIN templates ON len(g) <= most AND list_has_any(g, wanted) AND NOT list_has_any(g, [{denials}])),
 best AS (
-  SELECT * FROM measured WHERE dice >= 0.8 QUALIFY row_number() OVER (PARTITION BY unit ORDER BY dice DESC, place) = 1)
+  SELECT * FROM measured WHERE dice >= 0.8 QUALIFY row_number() OVER (PARTITION BY unit ORDER BY dice DESC, exact DESC, place) = 1)
 SELECT doc_id, licence, count(*) AS n_units, max(dice) AS best_dice FROM best GROUP BY doc_id, licence
 """

@@ -19,7 +19,22 @@ def dices(a):
 
 def is_unit(text):
     w = split(text)
-    return max(dices(set(zip_words(w)))) >= 0.8
+    return max(dices(set(zip_words(w)))) >= 0.8 and not denied(zip_words(w))
+
+
+def denied(grams):
+    return any(g in licences.DENIALS for g in grams)
+
+
+def exact(k, words):
+    marks = [{m for m in licences.MARKERS if m in w} for w in (split(licences.TEMPLATES[k][1]), words)]
+    return marks[0] == marks[1]
+
+
+def named(k, words):
+    """The licence of template k for a match of these words, or its family."""
+    name = licences.TEMPLATES[k][0]
+    return name if exact(k, words) else "GNU" if name.split("-")[0] in ("GPL", "LGPL", "AGPL") else name.split("-")[0]
 
 
 def zip_words(w):
@@ -42,14 +57,16 @@ def slow_windows(text):
                 if len(w) < n + 1 or None in w:
                     break
                 g = zip_words(w)
-                if g[0] in b and g[-1] in b and (dice := 2 * len(set(g) & b) / (len(set(g)) + len(b))) >= 0.8:
-                    found.append((-dice, k, at, n))
+                before = words[max(at - 3, 0):at]
+                before = before[len(before) - before[::-1].index(None):] if None in before else before
+                if g[0] in b and g[-1] in b and not denied(zip_words(before + w)) and (dice := 2 * len(set(g) & b) / (len(set(g)) + len(b))) >= 0.8:
+                    found.append((-dice, not exact(k, w), k, at, n))
     kept = []
     for x in sorted(found):
-        if all(a[2] + a[3] < x[2] or x[2] + x[3] < a[2] for a in kept):
+        if all(a[3] + a[4] < x[3] or x[3] + x[4] < a[3] for a in kept):
             kept.append(x)
-    kept.sort(key=lambda x: x[2])
-    return [(i, licences.TEMPLATES[k][0], k, -less, " ".join(words[at:at + n + 1])) for i, (less, k, at, n) in enumerate(kept)]
+    kept.sort(key=lambda x: x[3])
+    return [(i, named(k, words[at:at + n + 1]), k, -less, " ".join(words[at:at + n + 1])) for i, (less, _, k, at, n) in enumerate(kept)]
 
 
 def wrapped(text, prefix, width):
@@ -80,14 +97,14 @@ def test_headers_and_sentences_are_reported(spark):
 def test_windows_equal_brute_force(spark):
     rng = random.Random(4)
     rows = []
-    for i in range(60):
+    for i in range(120):
         pieces = []
         for _ in range(rng.randint(1, 4)):
             w = rng.choice(licences.TEMPLATES)[1].split()
             for _ in range(rng.choice([0, 0, 1, 2])):
-                w[rng.randrange(len(w))] = rng.choice(["", "License", "zzz", "THE", "the"])
+                w[rng.randrange(len(w))] = rng.choice(["", "License", "zzz", "THE", "the", "not", "2", "NC"])
             text = " ".join(w)
-            text = rng.choice([text, wrapped(text, "// ", 6), wrapped(text, " * ", 8), "some words before " + text + " and more after", text.upper()])
+            text = rng.choice([text, wrapped(text, "// ", 6), wrapped(text, " * ", 8), rng.choice(["some words before ", "this is not "]) + text + " and more after", text.upper()])
             pieces += [text, rng.choice(["other words here", "x " * 30, "", "under the license"])]
         rows.append((i, rng.choice(["\n", " ", "\n\n", "\r\n"]).join(pieces)))
     rows += [(80, rows[3][1]), (80, rows[3][1]), (None, rows[5][1]), (81, "Released under the MIT Released under the MIT License. " * 5)]
@@ -103,3 +120,25 @@ def test_query_reports_a_notice_inside_a_line(spark, scratch):
     spark.createDataFrame([(3, "It reads tables. Released under the MIT License.")], "doc_id long, text string").write.parquet(f"{scratch}/documents.parquet")
     got = catalog.QUERIES["op3_licence_scan"](spark, scratch).collect()
     assert [tuple(r[c] for c in ("doc_id", "licence", "n_units", "best_dice")) for r in got] == [(3, "MIT", 1, 1.0)]
+
+
+OPENING = ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU {}Public License as "
+           "published by the Free Software Foundation; either version {} of the License, or (at your option) any later version.")
+CC = "This work is licensed under a Creative Commons Attribution{} {} International License."
+
+
+def test_near_licences_are_told_apart(spark):
+    cases = [(CC.format("", "4.0"), "CC-BY-4.0"), (CC.format("-NonCommercial", "4.0"), "CC-BY-NC-4.0"), (CC.format("-NoDerivatives", "4.0"), "CC-BY-ND-4.0"),
+             (CC.format("-NonCommercial-NoDerivatives", "4.0"), "CC-BY-NC-ND-4.0"), (CC.format("-NonCommercial-ShareAlike", "4.0"), "CC-BY-NC-SA-4.0"),
+             (CC.format("-NoDerivs", "3.0"), "CC"), (CC.format("", "3.0"), "CC"),
+             (OPENING.format("General ", "2"), "GPL-2.0"), (OPENING.format("General ", "3"), "GPL-3.0"), (OPENING.format("Affero General ", "3"), "AGPL-3.0"),
+             (OPENING.format("Lesser General ", "2.1"), "LGPL-2.1"), (OPENING.format("Lesser General ", "3"), "LGPL-3.0"), (OPENING.format("General ", "1"), "GNU"),
+             (licences.TEMPLATES[10][1], "BSD"), ("Released under the 2-Clause BSD License.", "BSD-2-Clause"),
+             ("This project is not licensed under the MIT License.", None), ("It is no longer released under the MIT License, sorry.", None),
+             ("\n".join(["Released under the MIT License."] * 100), "MIT")]
+    rows = [(i, text) for i, (text, _) in enumerate(cases)] + [(100 + i, "# a tool\n" + wrapped(text, "# ", 7) + "\n# by me") for i, (text, _) in enumerate(cases)]
+    found = {}
+    for r in licences.notices(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        found.setdefault(r.doc_id, set()).add(r.licence)
+    assert [found.get(i) for i in range(len(cases))] == [None if x is None else {x} for _, x in cases]
+    assert [found.get(100 + i) for i in range(len(cases) - 1)] == [None if x is None else {x} for _, x in cases[:-1]]
