@@ -125,6 +125,13 @@ def _longest(bigram: str) -> str:
     return max(bigram.split(), key=lambda w: (len(w), w))
 
 
+def _required(grams: list[str], listed: list[tuple[str, str]], shared: int) -> list[str]:
+    """Bigrams of which every match has one: those with the longest words; of equal ones those that most
+    templates have, so that fewer words are looked for."""
+    spread = lambda g: sum(g in template_bigrams(text) for _, text in listed)
+    return sorted(grams, key=lambda g: (-len(_longest(g)), -spread(g), g))[:len(grams) - shared + 1]
+
+
 def template_markers(text: str) -> str:
     return " ".join(sorted(set(re.split(r"[^a-z0-9]+", text.lower())) & set(MARKERS)))
 
@@ -183,7 +190,7 @@ def windows(docs: DataFrame, templates: list[tuple[str, str]] | None = None, thr
         if not grams:
             raise ValueError(f"template {i} has fewer than two words")
         low, high, shared = _bounds(len(grams), threshold)
-        ranked = sorted(grams, key=lambda g: (-len(_longest(g)), g))[:len(grams) - shared + 1]
+        ranked = _required(grams, listed, shared)
         every.update(grams)
         must.update(ranked)
         names.update(map(_longest, ranked))
@@ -270,7 +277,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, thresh
         if not grams:
             raise ValueError(f"template {i} has fewer than two words")
         low, high, shared = _bounds(len(grams), threshold)
-        ranked = sorted(grams, key=lambda g: (-len(_longest(g)), g))[:len(grams) - shared + 1]
+        ranked = _required(grams, listed, shared)
         must.update(ranked)
         names.update(map(_longest, ranked))
         entries.append(F.struct(F.lit(i).alias("at"), F.lit(low).alias("low"), F.lit(high).alias("high"),
