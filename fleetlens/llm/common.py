@@ -6,7 +6,7 @@ import ctypes
 from functools import wraps
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens import config
@@ -32,6 +32,39 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with underscores before it until no column of ``taken`` has it (names differ by more than case)."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name = "_" + name
+    return name
+
+
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """A key of the row by id and text (128 bits of hash), ordered by id, null ids last; no part of it is null."""
+    number, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
+    return F.struct(number.isNull().alias("unknown"), F.coalesce(number, F.lit(0)).alias("id"),
+                    F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text, text.isNull()).alias("h2"))
+
+
+def with_own_ids(docs: DataFrame, own: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with a column ``own`` (long): the id, but for rows with a null id or an id that an earlier text
+    (by ``row_key``) has too; these get numbers of their own above all ids, in the order of ``row_key``.  Rows alike in id and text share one."""
+    rows = docs.select(row_key(id_col, text_col).alias("key"))
+    ids = rows.groupBy("key.unknown", "key.id").agg(F.min("key").alias("low"), F.max("key").alias("high"))
+    clashes = checkpointed(ids.where("unknown or low != high"))
+    number = F.col(f"`{id_col}`").cast("long")
+    if clashes.isEmpty():
+        return docs.withColumn(own, number)
+    top = docs.agg(F.max(number)).first()[0] or 0
+    extra = rows.join(clashes, (F.col("key.unknown") == F.col("unknown")) & (F.col("key.id") == F.col("id")))
+    extra = checkpointed(extra.where("unknown or key != low").select("key").distinct().orderBy("key"))
+    key, place = free_name("key", docs.columns), free_name("place", docs.columns)
+    numbers = checkpointed(extra.select(F.col("key").alias(key), (F.monotonically_increasing_id() + F.lit(top + 1)).alias(place)))
+    out = docs.join(numbers, row_key(id_col, text_col) == F.col(key), "left")
+    return out.withColumn(own, F.coalesce(F.col(place), number)).select(*[F.col(f"`{c}`") for c in docs.columns], own)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, its lineage cut.
 

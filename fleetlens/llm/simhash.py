@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import checkpointed, lean, texts, words
+from fleetlens.llm.common import checkpointed, free_name, lean, row_key, texts, words
 from fleetlens.llm.graph import components
 
 SEED = 42
@@ -228,3 +228,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = classes.join(linked, "fingerprint", "left").select(
         "fingerprint", F.coalesce("low_id", "first_id").alias("component_id"))
     return prints.join(classes, "fingerprint").select("doc_id", "fingerprint", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
+                radius: int = 3, split_at: int = SPLIT_AT) -> DataFrame:
+    """``docs``, all columns, with one row of every group of linked documents: the least by ``row_key`` (smallest
+    id, null last; of one id the smaller hash of the text).  Rows alike in id and text are one document,
+    of which the least row stays.  Other texts under a repeated id are documents of their own."""
+    keyed = docs.select(row_key(id_col, text_col).alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    prints = checkpointed(fingerprints(keyed, shingle=shingle))
+    classes = checkpointed(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")))
+    roots = components(links(classes.select("fingerprint"), radius, split_at))
+    linked = classes.join(roots, classes.fingerprint == roots.node, "left").select(F.coalesce("root", "fingerprint").alias("root"), "least")
+    stay = linked.groupBy("root").agg(F.min("least").alias("key"))
+    key = free_name("key", docs.columns)
+    counts = prints.groupBy(F.col("doc_id").alias("key")).agg(F.count("*").alias("n"))
+    counts = counts.join(stay.select("key", F.lit(True).alias("stays")), "key", "left")
+    # the rows to look at again: those of a document that goes, and repeated rows of one that stays
+    marked = checkpointed(counts.where("stays is null or n > 1").select(F.col("key").alias(key), F.coalesce("stays", F.lit(False)).alias("stays")))
+    mine = row_key(id_col, text_col)
+    kept = docs.join(marked.select(key), mine == F.col(key), "left_anti")
+    again = marked.where("stays").select(key)
+    if again.isEmpty():
+        return kept
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    row = free_name("row", docs.columns)
+    least = docs.join(again, mine == F.col(key), "left_semi").groupBy(mine.alias(key)).agg(F.min(F.struct(*columns)).alias(row))
+    return kept.unionByName(least.select(f"{row}.*"))
