@@ -1,8 +1,8 @@
 """Approximate nearest neighbours (4): stable projections, kd-trees, a chi-square stopping test.
 
 Vectors are scaled to unit length (largest cosine = smallest Euclidean distance) and projected by
-``M`` Gaussian (2-stable) directions: the squared projected distance of two vectors is their squared
-distance times a chi-square variable with M degrees of freedom.  A query meets its neighbours in
+``projections`` (M) Gaussian (2-stable) directions: the squared projected distance of two vectors is
+their squared distance times a chi-square variable with M degrees of freedom.  A query meets its neighbours in
 order of projected distance and verifies each on the original vectors.  It stops when the next
 projected distance delta satisfies CHI2_M(delta^2 / d_k^2) >= ``confidence``, d_k being the distance
 of the k-th neighbour verified so far: anything closer would by then have been met with that
@@ -20,8 +20,10 @@ block, which gives it a d_k; then the cells that the ball of its stopping radius
 that d_k to start from.  The few best of every block are merged.
 
 Null vectors, those with a null or non-finite component, zero vectors and rows with a null id take no
-part, nor do vectors whose number of components is not the commonest (the larger, if tied).  Of rows
-with the same id the smallest vector counts.  Equal scores go to the smaller id.  With fewer than k
+part.  A cosine takes two vectors of one length: vectors of different lengths share no cell, each length
+has its own tree, and a query's neighbours are among those of its length.  Vectors are first divided by
+a power of two near their largest component, which changes no cosine, so components of any finite size
+(1e200, 1e-200) neither overflow nor vanish.  Of rows with the same id the smallest vector counts.  Equal scores go to the smaller id.  With fewer than k
 others, a query returns all it has.  An empty table gives no rows.  Only the two named columns are
 read.
 """
@@ -39,6 +41,7 @@ from pyspark.sql import functions as F
 from fleetlens.llm.common import checkpointed
 
 M = 8                     # even: the chi-square distribution then has a closed form
+LENGTH_AT = 1 << 32       # a cell's number is its length times this, and its node in the length's tree
 SAMPLE = 20_000
 BLOCK = 16_384
 ASKS = 16_384
@@ -129,6 +132,7 @@ class Block:
             order = np.argpartition(p[:, np.ptp(p, axis=0).argmax()], len(part) // 2)
             parts += [part[order[:len(part) // 2]], part[order[len(part) // 2:]]]
         self.leaves = leaves
+        self.verified = 0         # vectors compared with a query so far
         self.low = np.array([self.points[x].min(axis=0) for x in leaves])
         self.high = np.array([self.points[x].max(axis=0) for x in leaves])
 
@@ -144,6 +148,7 @@ class Block:
                 break
             some = order[lo:lo + LEAVES_AT_ONCE]
             rows = np.concatenate([self.leaves[i] for i in some])
+            self.verified += len(rows)
             # one sum per row, in one order: equal vectors get equal scores
             score = (self.vectors[rows] * vector).sum(axis=1) / (self.norms[rows] * norm)
             ids, scores = np.concatenate([ids, self.ids[rows]]), np.concatenate([scores, score])
@@ -154,9 +159,23 @@ class Block:
         return ids, scores
 
 
-def _matrix(column: pa.Array, dtype=np.float64) -> np.ndarray:
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Vectors of one length as rows, each divided by a power of two so that its largest component is in [0.5, 1)."""
     flat = column.values.slice(column.offsets[0].as_py(), column.offsets[-1].as_py() - column.offsets[0].as_py())
-    return np.asarray(flat.to_numpy(zero_copy_only=False), dtype).reshape(len(column), -1)
+    x = np.asarray(flat.to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None]) if len(x) else x
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.sqrt((x * x).sum(axis=1))[:, None]
+
+
+def _by_length(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row numbers, vectors) for every length that occurs."""
+    lengths = column.value_lengths().to_numpy(zero_copy_only=False)
+    for length in np.unique(lengths):
+        at = np.flatnonzero(lengths == length)
+        yield at, _matrix(column.take(pa.array(at)))
 
 
 def clean(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -165,35 +184,39 @@ def clean(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.where(F.col("vec_id").isNotNull() & v.isNotNull() & finite & F.exists(v, lambda x: x != 0))
-    rows = rows.groupBy("vec_id").agg(F.min("v").alias("v"))
-    size = rows.groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), F.desc("size")).first()
-    return rows.where(F.size("v") == (size["size"] if size else 0))
+    return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
 def nearest(vectors: DataFrame, queries, k: int = 5, confidence: float = 0.95, id_col: str = "vec_id",
-            vector_col: str = "embedding") -> DataFrame:
+            vector_col: str = "embedding", projections: int = M) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found for every vector whose id satisfies ``queries``
-    (a function from the id column to a condition)."""
+    (a function from the id column to a condition).  ``projections`` is even; with a smaller ``confidence``
+    less is verified, at the price of recall."""
     spark = vectors.sparkSession
     every = checkpointed(clean(vectors, id_col, vector_col))
     equal = Window.partitionBy("v").orderBy("vec_id").rowsBetween(Window.unboundedPreceding, 0)
     rows = every.select("*", F.row_number().over(equal).alias("place"), F.min("vec_id").over(equal).alias("class"))
     rows = checkpointed(rows.where(F.col("place") <= k + 1).select("vec_id", "v", "class"))      # cut before the shuffle too
-    total = rows.count()
-    if total == 0:
+    totals = {r.length: r.n for r in rows.groupBy(F.size("v").alias("length")).agg(F.count("*").alias("n")).collect()}   # one per length
+    if not totals:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()          # bounded
-    x = _matrix(sample.column("v").combine_chunks())
-    project = directions(x.shape[1])
-    cells = 1 << max(0, math.ceil(math.log2(max(1, min(total / BLOCK, len(x) / 8)))))
-    tree = median_tree((x / np.sqrt((x * x).sum(axis=1))[:, None]) @ project, cells)
-    stop = chi2_quantile(confidence)
+    trees = {}
+    for _, x in _by_length(sample.column("v").combine_chunks()):
+        cells = 1 << max(0, math.ceil(math.log2(max(1, min(totals[x.shape[1]] / BLOCK, len(x) / 8)))))
+        trees[x.shape[1]] = median_tree(_unit(x) @ directions(x.shape[1], projections), cells)
+    stop = chi2_quantile(confidence, projections)
+    one_cell = [(0, 0.0)]                                                                  # of a length that the sample lacks
+
+    def points_of(x: np.ndarray) -> np.ndarray:
+        return _unit(x) @ directions(x.shape[1], projections)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                v = _matrix(batch.column(1))
-                cell = cells_of((v / np.sqrt((v * v).sum(axis=1))[:, None]) @ project, tree)
+                cell = np.empty(batch.num_rows, np.int64)
+                for at, x in _by_length(batch.column(1)):
+                    cell[at] = cells_of(points_of(x), trees.get(x.shape[1], one_cell)) + x.shape[1] * LENGTH_AT
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], ["vec_id", "v", "class", "cell"])
 
     placed = rows.mapInArrow(place, "vec_id long, v array<double>, class long, cell long")
@@ -212,9 +235,10 @@ def nearest(vectors: DataFrame, queries, k: int = 5, confidence: float = 0.95, i
         def run(key, block: pa.Table, asks: pa.Table) -> pa.Table:
             out = []
             if len(asks) and len(block):
-                index = Block(block.column("vec_id").to_numpy(), _matrix(block.column("v").combine_chunks()), project)
                 q = _matrix(asks.column("v").combine_chunks())
-                points = (q / np.sqrt((q * q).sum(axis=1))[:, None]) @ project
+                index = Block(block.column("vec_id").to_numpy(), _matrix(block.column("v").combine_chunks()),
+                              directions(q.shape[1], projections))
+                points = points_of(q)
                 for i, (qid, d2) in enumerate(zip(asks.column("vec_id").to_pylist(), asks.column("d2").to_pylist())):
                     ids, scores = index.search(q[i], points[i], k + 1, d2, stop)
                     out.append((np.full(len(ids), qid, np.int64), ids, scores))
@@ -231,9 +255,11 @@ def nearest(vectors: DataFrame, queries, k: int = 5, confidence: float = 0.95, i
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                v = _matrix(batch.column(1))
-                points = (v / np.sqrt((v * v).sum(axis=1))[:, None]) @ project
-                reach = [cells_within(p, math.sqrt(stop * d), tree) for p, d in zip(points, batch.column(4).to_pylist())]
+                d2, reach = batch.column(4).to_numpy(), [[]] * batch.num_rows
+                for at, x in _by_length(batch.column(1)):
+                    tree, base = trees.get(x.shape[1], one_cell), x.shape[1] * LENGTH_AT
+                    for i, p in zip(at, points_of(x)):
+                        reach[i] = [base + c for c in cells_within(p, math.sqrt(stop * d2[i]), tree)]
                 which = np.repeat(np.arange(batch.num_rows), [len(r) for r in reach])
                 part = batch.take(pa.array(which))
                 yield pa.RecordBatch.from_arrays(

@@ -75,3 +75,52 @@ def test_edge_rows(spark):
     assert [tuple(r) for r in got] == [(0, 1, 1, 1.0), (0, 2, 2, 0.0), (1, 1, 0, 1.0), (1, 2, 2, 0.0), (2, 1, 0, 0.0), (2, 2, 1, 0.0)]
     assert neighbours.nearest(docs.limit(0), lambda c: c >= 0).count() == 0
     assert neighbours.nearest(docs.where("vec_id = 0"), lambda c: c >= 0).count() == 0
+
+
+def test_extreme_components_equal_brute_force(spark):
+    """Every vector is stretched by a power of ten from 1e-300 to 1e300: cosines stay those of the originals."""
+    rng = np.random.default_rng(8)
+    plain = rng.normal(size=(200, 6))
+    power = rng.integers(-300, 300, 200)
+    stretched = [[float(f"{c:.15e}".split("e")[0]) * 10.0 ** (int(f"{c:.15e}".split("e")[1]) + int(p)) for c in v] for v, p in zip(plain, power)]
+    docs = spark.createDataFrame(list(enumerate(stretched)), "vec_id long, embedding array<double>")
+    rows = neighbours.nearest(docs, lambda c: c % 4 == 0, confidence=0.999).collect()
+    assert recall(gathered(rows), brute(range(200), plain, set(range(0, 200, 4)), 5)) == 1
+    unit = plain / np.linalg.norm(plain, axis=1)[:, None]
+    assert all(abs(r.score - unit[r.query_id] @ unit[r.vec_id]) < 1e-9 for r in rows)
+    small = spark.createDataFrame([(0, [5e-324, 0.0]), (1, [1.7e308, 1.7e308]), (2, [1e-200, 1e-200])], "vec_id long, embedding array<double>")
+    got = neighbours.nearest(small, lambda c: c == 0).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [1, 2] and all(abs(r.score - math.sqrt(0.5)) < 1e-15 for r in got)
+
+
+def test_every_length_is_searched(spark, monkeypatch):
+    """Vectors of three lengths mixed, in many blocks: neighbours are those of the query's own length."""
+    monkeypatch.setattr(neighbours, "BLOCK", 100)
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=(3, 8, 17)[i % 3]).tolist()) for i in range(600)]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = gathered(neighbours.nearest(docs.repartition(5), lambda c: c % 10 == 0).collect())
+    want = {}
+    for j in range(3):
+        mine = [(i, v) for i, v in rows if i % 3 == j]
+        want |= brute([i for i, _ in mine], np.array([v for _, v in mine]), set(range(0, 600, 10)), 5)
+    assert len(got) == 60 and recall(got, want) >= 0.95
+    monkeypatch.setattr(neighbours, "SAMPLE", 1)                 # two of the lengths are not in the sample
+    assert recall(gathered(neighbours.nearest(docs, lambda c: c % 10 == 0).collect()), want) >= 0.95
+
+
+def test_less_is_verified_with_less_confidence():
+    """On clustered vectors the stopping test holds early; more projections and less confidence verify less."""
+    rng = np.random.default_rng(10)
+    x = neighbours._unit(rng.normal(size=(80, 64))[rng.integers(0, 80, 4000)] + 0.2 * rng.normal(size=(4000, 64)))
+    share = {}
+    for m, confidence in ((8, 0.95), (8, 0.5), (16, 0.5)):
+        project = neighbours.directions(64, m)
+        block = neighbours.Block(np.arange(4000), x, project)
+        hits = 0
+        for q in range(0, 4000, 100):
+            ids, _ = block.search(x[q], x[q] @ project, 6, 4.0, neighbours.chi2_quantile(confidence, m))
+            hits += len(set(ids.tolist()) & set(np.argsort(-(x @ x[q]), kind="stable")[:6].tolist()))
+        share[m, confidence] = block.verified / (40 * 4000)
+        assert hits >= 0.9 * 40 * 6
+    assert share[8, 0.5] < share[8, 0.95] < 0.7
