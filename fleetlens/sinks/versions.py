@@ -113,7 +113,8 @@ class KeyedTable:
         self.fs.write_text(self._file(seq, "begun", label), "")
         day = F.coalesce(F.to_date(self.day).cast("string"), F.lit(NO_DAY))
         out = rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema)).withColumn(REPLACES, F.lit(replaces)).withColumn("day_", day)
-        (out.withColumnRenamed("day_", "day").sortWithinPartitions("day").write.mode("overwrite").partitionBy("day")
+        # by day first: else every task writes a file of every day
+        (out.withColumnRenamed("day_", "day").hint("rebalance", "day").sortWithinPartitions("day").write.mode("overwrite").partitionBy("day")
          .parquet(f"{self.path}/{DELTAS}/seq={seq}"))
         self.fs.move(self._file(seq, "begun", label), self._file(seq, "done", label))
 

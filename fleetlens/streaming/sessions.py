@@ -18,6 +18,7 @@ import datetime as _dt
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,24 +50,40 @@ def _reduced(pdfs: Iterator[pd.DataFrame]):
     """(first row, first row with a response, latest arrival, rows that emit or count, in order).
 
     One Arrow batch is held at a time; of it stay the rows with ``done`` or a count, as numbers.  The tokens
-    between them, nearly all chunks of a session, only matter through the first one with a response.
+    between them, nearly all chunks of a session, only matter through the first one with a response.  Arrays,
+    not frames: most sessions are a few chunks, for which every pandas step costs more than the work.
     """
     first = answer = latest = None
     kept = []
     for pdf in pdfs:
-        pdf = pdf.sort_values(["arrival_ts", "seq"], kind="stable")
-        place = lambda r: (r["arrival_ts"], r["seq"])
-        if first is None or place(pdf.iloc[0]) < place(first):
-            first = pdf.iloc[0][["arrival_ts", "seq", "model"]]
-        spoken = pdf[pdf["answered"]]
-        if len(spoken) and (answer is None or place(spoken.iloc[0]) < answer):
-            answer = place(spoken.iloc[0])
-        end = pdf["arrival_ts"].iloc[-1]
+        at, seq, done = (pdf[c].to_numpy() for c in ("arrival_ts", "seq", "done"))
+        order = np.lexsort((seq, at))
+        place = at[order[0]], seq[order[0]]
+        if first is None or place < first[0]:
+            first = place, pdf["model"].iloc[order[0]]
+        spoken = order[pdf["answered"].to_numpy()[order]]
+        if len(spoken) and (answer is None or (at[spoken[0]], seq[spoken[0]]) < answer):
+            answer = at[spoken[0]], seq[spoken[0]]
+        end = at[order[-1]]
         latest = end if latest is None else max(latest, end)
-        counts = pdf[[src for src, _ in _COUNTS]]
-        kept.append(pdf.loc[pdf["done"] | counts.notna().any(axis=1), ["arrival_ts", "seq", "done", *counts]])
-        kept[-1] = kept[-1].astype({src: "Int64" for src in counts})
-    return first, answer, latest, pd.concat(kept, ignore_index=True).sort_values(["arrival_ts", "seq"], kind="stable")
+        counts = [pdf[src].to_numpy() for src, _ in _COUNTS]
+        known = [~np.isnan(c) if c.dtype.kind == "f" else np.ones(len(c), bool) for c in counts]
+        keep = order[(done | np.logical_or.reduce(known))[order]]
+        kept.append([at[keep], seq[keep], done[keep], *[np.where(k, c, 0).astype(np.int64)[keep] for c, k in zip(counts, known, strict=True)],
+                     *[k[keep] for k in known]])
+    if len(kept) > 1:
+        rows = [np.concatenate(x) for x in zip(*kept, strict=True)]
+        order = np.lexsort((rows[1], rows[0]))
+        kept = [[x[order] for x in rows]]
+    return first, answer, latest, kept[0]
+
+
+def _carried(values: np.ndarray, known: np.ndarray, before: int | None) -> pd.api.extensions.ExtensionArray:
+    """The last known value at each row, ``before`` ahead of the first."""
+    last = np.maximum.accumulate(np.where(known, np.arange(len(values)), -1))
+    none = last < 0
+    out = np.where(none, 0 if before is None else before, values[last])
+    return pd.arrays.IntegerArray(out.astype(np.int64), none if before is None else np.zeros(len(values), bool))
 
 
 def _fold(ttl_ms: int):
@@ -74,42 +91,40 @@ def _fold(ttl_ms: int):
         if state.hasTimedOut:
             state.remove()
             return
-        first, answer, latest, rows = _reduced(pdfs)
+        first, answer, latest, (at, seq, done, *numbers) = _reduced(pdfs)
         if state.exists:
             start, model, first_token, prompt, completion, eval_ns, _ = state.get
         else:
-            start, model = first["arrival_ts"], _none(first["model"])
+            start, model = pd.Timestamp(first[0][0]), _none(first[1])
             first_token = prompt = completion = eval_ns = None
         # First token: earliest arrival of a chunk with a response, unless one was seen before.
         if first_token is not None:
-            ft = pd.Series(first_token, index=rows.index)
+            ft = np.full(len(at), pd.Timestamp(first_token).to_datetime64())
         elif answer is None:
-            ft = pd.Series(pd.NaT, index=rows.index, dtype=rows["arrival_ts"].dtype)
+            ft = np.full(len(at), np.datetime64("NaT"), at.dtype)
         else:
-            since = (rows["arrival_ts"] > answer[0]) | ((rows["arrival_ts"] == answer[0]) & (rows["seq"] >= answer[1]))
-            ft = pd.Series(answer[0], index=rows.index).where(since)
+            ft = np.where((at > answer[0]) | ((at == answer[0]) & (seq >= answer[1])), answer[0], np.datetime64("NaT")).astype(at.dtype)
         running, left = {}, {}
-        for src, name in _COUNTS:
+        for n, (_, name) in enumerate(_COUNTS):
             prev = {"prompt": prompt, "completion": completion, "eval_ns": eval_ns}[name]
-            s = rows[src].ffill()
-            running[name] = s.fillna(prev) if prev is not None else s
-            left[name] = _none(running[name].iloc[-1]) if len(rows) else prev
-        state.update((start, model, first_token if first_token is not None else (answer[0] if answer else None),
-                      left["prompt"], left["completion"], left["eval_ns"], latest))
+            running[name] = _carried(numbers[n], numbers[len(_COUNTS) + n], prev)
+            left[name] = _none(running[name][-1]) if len(at) else prev
+        state.update((start, model, first_token if first_token is not None else (pd.Timestamp(answer[0]) if answer else None),
+                      left["prompt"], left["completion"], left["eval_ns"], pd.Timestamp(latest)))
         # Idle timeout in event time: TTL past the session's last chunk (never before the watermark).
         last_ms = int(pd.Timestamp(latest).value // 1_000_000)
         state.setTimeoutTimestamp(max(last_ms, state.getCurrentWatermarkMs()) + ttl_ms)
-        done = rows.index[rows["done"].astype(bool)]
-        for at in range(0, len(done), EMIT_ROWS):
-            some = done[at:at + EMIT_ROWS]
+        emits = np.flatnonzero(done)
+        for lo in range(0, len(emits), EMIT_ROWS):
+            some = emits[lo:lo + EMIT_ROWS]
             yield pd.DataFrame({
                 "session_id": key[0],
                 "_start": start, "_model": model,
-                "_first_token": ft.loc[some].values,
-                "_prompt": running["prompt"].loc[some].values,
-                "_completion": running["completion"].loc[some].values,
-                "_eval_ns": running["eval_ns"].loc[some].values,
-                "_end": rows["arrival_ts"].loc[some].values,
+                "_first_token": ft[some],
+                "_prompt": running["prompt"][some],
+                "_completion": running["completion"][some],
+                "_eval_ns": running["eval_ns"][some],
+                "_end": at[some],
             })
     return fold
 
@@ -177,8 +192,19 @@ def drain_sessions(spark: SparkSession, sessions: DataFrame, table_path: str, ch
     rewritten, and a replayed batch is not written again.  ``writer_name`` tells streams into one table apart.
     """
     config.prepare(spark)
-    writer = (sessions.writeStream.option("checkpointLocation", checkpoint_location)
-              .foreachBatch(lambda df, batch_id: upsert_sessions(spark, df, table_path, writer_name, batch_id)))
+
+    def write(df: DataFrame, batch_id: int) -> None:
+        # Spark plans stateful streams without adaptive execution.  The micro-batch is computed apart from them; its
+        # write needs it, to bring a day's rows together: else every state partition writes a file of every day.
+        conf = df.sparkSession.conf
+        stateful = conf.get("spark.sql.adaptive.enabled")
+        conf.set("spark.sql.adaptive.enabled", "true")
+        try:
+            upsert_sessions(spark, df, table_path, writer_name, batch_id)
+        finally:
+            conf.set("spark.sql.adaptive.enabled", stateful)
+
+    writer = sessions.writeStream.option("checkpointLocation", checkpoint_location).foreachBatch(write)
     writer = writer.trigger(availableNow=True) if available_now else \
         writer.trigger(processingTime=f"{trigger_seconds} seconds")
     return writer.start()
