@@ -913,6 +913,18 @@ def _scratch(spark, name: str) -> str:
     return f"{config.checkpoint_dir(spark)}/fleetlens-{name}-{uuid.uuid4().hex}"
 
 
+def _stage(rows: DataFrame, base: str) -> None:
+    """``rows`` written once as landings by their column ``_file``; a landing has a file of every task that had rows of it."""
+    rows.write.partitionBy("_file").parquet(f"{base}/staged")
+
+
+def _land(spark, base: str, n: int) -> None:
+    """Staged landing ``n`` comes whole into the streamed folders ``<base>/rows/*``."""
+    fs = Folders(spark, base)
+    if fs.exists(f"{base}/staged/_file={n}"):        # else it has no row
+        fs.move(f"{base}/staged/_file={n}", f"{base}/rows/landed-{n}")
+
+
 def _gpu_metrics_typed(spark, sf_dir) -> DataFrame:
     """The metrics in the types of the stored table."""
     g = _v(spark, sf_dir, "gpu_metrics")
@@ -921,6 +933,7 @@ def _gpu_metrics_typed(spark, sf_dir) -> DataFrame:
 
 from fleetlens import schemas as SCH  # noqa: E402
 from fleetlens.sinks import compaction as CO  # noqa: E402
+from fleetlens.sinks.files import Folders  # noqa: E402
 from fleetlens.streaming import ingest as IN  # noqa: E402
 
 GM_STORED = ('id, "timestamp", gpu_id::BIGINT AS gpu_id, name, utilization_gpu::BIGINT AS utilization_gpu, '
@@ -1051,30 +1064,27 @@ SELECT k.host, a."at" AS "timestamp", k.pid, CASE kind WHEN 0 THEN 'ollama' WHEN
   CAST(NULL AS VARCHAR) AS exe_path, 0::BIGINT AS duration_secs
 FROM k JOIN u USING (host, poll, gpu_id) JOIN a USING (host, poll)""")
 def q_ingest(spark, sf_dir):
-    """R2: device samples of two hosts landed in three files that cut every poll, ingested as a stream; the process
+    """R2: device samples of two hosts in three landings that cut every poll, ingested as a stream; the process
     tables of a poll land one batch late, half of each poll at a time; the process events stored."""
     base = _scratch(spark, "ingest")
-    samples = host_samples(spark, sf_dir).select(*SCH.HOST_SAMPLES.fieldNames()).repartition(3, "gpu_index", "timestamp")
-    samples.write.parquet(f"{base}/samples")
+    samples = host_samples(spark, sf_dir).select(*SCH.HOST_SAMPLES.fieldNames())
+    _stage(samples.withColumn("_file", F.pmod(F.hash("gpu_index", "timestamp"), 3)), base)
     process_snapshots(spark, sf_dir).withColumn("part", F.col("pid") % 2).write.partitionBy("part").parquet(f"{base}/processes")
-    stream = spark.readStream.schema(SCH.HOST_SAMPLES).option("maxFilesPerTrigger", 1).parquet(f"{base}/samples")
-    asked = []
+    stream = spark.readStream.schema(SCH.HOST_SAMPLES).parquet(f"{base}/rows/*")
+    for n in range(4):
+        if n < 3:
+            _land(spark, base, n)
+        else:      # one more landing without a sample: the batch that finds the rest of the process tables
+            spark.createDataFrame([], SCH.HOST_SAMPLES).coalesce(1).write.parquet(f"{base}/rows/landed-{n}")
 
-    def landed(s):
-        asked.append(1)
-        seen = s.read.schema(SCH.PROCESS_SNAPSHOTS).parquet(*[f"{base}/processes/part={n}" for n in (0, 1)[:max(1, len(asked) - 1)]])
-        return seen if len(asked) > 1 else seen.limit(0)
+        def landed(s, n=n):
+            seen = s.read.schema(SCH.PROCESS_SNAPSHOTS).parquet(*[f"{base}/processes/part={k}" for k in (0, 1)[:max(1, n)]])
+            return seen if n else seen.limit(0)
 
-    def run():
         query = IN.start_ingest(spark, stream, landed, f"{base}/metrics", f"{base}/events", f"{base}/checkpoint", available_now=True)
         query.awaitTermination()
         if query.exception() is not None:
             raise RuntimeError(str(query.exception()))
-
-    run()
-    # One more file without a sample: the batch that finds the rest of the process tables.
-    spark.createDataFrame([], SCH.HOST_SAMPLES).coalesce(1).write.mode("append").parquet(f"{base}/samples")
-    run()
     return CO.read_ingested(spark, f"{base}/events").drop("date", "batch_id", "written_batch", "poll_id")
 
 

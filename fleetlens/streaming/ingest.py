@@ -38,7 +38,8 @@ from fleetlens.sources.gpu import device_metrics_with_processes
 
 def _write_batch(df: DataFrame, path: str, batch_id: int, ts: str = "timestamp") -> None:
     order = [c for c in ("host", "gpu_id", "category") if c in df.columns]
-    (df.withColumn("date", F.to_date(F.col(ts))).withColumn("batch_id", F.lit(batch_id).cast("long"))
+    # by date first: else every task writes a file of every date
+    (df.withColumn("date", F.to_date(F.col(ts))).withColumn("batch_id", F.lit(batch_id).cast("long")).hint("rebalance", "date")
      .sortWithinPartitions("date", *order, ts).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("date", "batch_id").parquet(path))
 

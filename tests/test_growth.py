@@ -57,3 +57,19 @@ def test_a_drained_batch_writes_a_file_of_a_day(spark, scratch):
     assert len(files(scratch, "sessions", "deltas", "seq=*", "day=*")) == days
     stored = TB.read_sessions(spark, f"{scratch}/sessions").drop("start_date").collect()
     assert sorted(map(str, stored)) == sorted(map(str, track_sessions(spark.read.schema(LLM_CHUNKS).parquet(f"{scratch}/chunks")).collect()))
+
+
+def test_a_micro_batch_of_the_ingest_writes_a_file_of_a_date(spark, scratch):
+    rows = spark.range(400).select(F.col("id").alias("gpu_id"), (F.lit(T0) + F.make_dt_interval((F.col("id") % 3).cast("int"))).alias("timestamp"))
+    IN._write_batch(rows.repartition(8), f"{scratch}/m", 0)
+    assert len(files(scratch, "m", "date=*", "batch_id=0")) == 3
+    assert spark.read.parquet(f"{scratch}/m").count() == 400
+
+
+def test_landings_of_the_ingest_are_written_and_read_by_many_tasks(spark, scratch, monkeypatch, many_tasks):
+    monkeypatch.setattr(catalog, "_scratch", lambda spark, name: f"{scratch}/{name}")
+    given = events(spark, f"{scratch}/given")
+    catalog.QUERIES["ingest"](spark, given).count()
+    assert all(len(files(scratch, "ingest", "rows", f"landed-{n}")) > 1 for n in range(3))
+    landed = spark.read.parquet(*[f"{scratch}/ingest/rows/landed-{n}" for n in range(4)])
+    assert landed.count() == spark.read.parquet(f"{given}/events.parquet").count()
