@@ -1192,18 +1192,18 @@ def q_range_check(spark, sf_dir):
 
 
 def _late(df: DataFrame, column: str) -> DataFrame:
-    """Rows in landing files (column ``_file`` 0 to 2) in which every third comes long after its time."""
+    """Rows of three landings (column ``_file`` 0 to 2) in which every third comes long after its time."""
     return df.withColumn("_file", F.when(F.pmod(F.xxhash64(*df.columns), 3) == 0, 2).when(F.dayofmonth(column) < 16, 0).otherwise(1))
 
 
 def _exported(spark, name: str, rows: DataFrame, column: str, make) -> DataFrame:
-    """The rows landed in three files, streamed a file at a time into an export table, folded once on the way."""
+    """The rows in three landings, streamed a landing at a time into an export table, folded once on the way."""
     base = _scratch(spark, name)
-    late = _late(rows, column)
+    _stage(_late(rows, column), base)
     export = make(f"{base}/export")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{base}/rows/*")
     for n in range(3):
-        late.where(F.col("_file") == n).drop("_file").coalesce(1).write.mode("append").parquet(f"{base}/rows")
-        stream = spark.readStream.schema(rows.schema).parquet(f"{base}/rows")
+        _land(spark, base, n)
         query = EX.start_export(stream, export.table, export.part, f"{base}/checkpoint", available_now=True)
         query.awaitTermination()
         if query.exception() is not None:

@@ -73,3 +73,12 @@ def test_landings_of_the_ingest_are_written_and_read_by_many_tasks(spark, scratc
     assert all(len(files(scratch, "ingest", "rows", f"landed-{n}")) > 1 for n in range(3))
     landed = spark.read.parquet(*[f"{scratch}/ingest/rows/landed-{n}" for n in range(4)])
     assert landed.count() == spark.read.parquet(f"{given}/events.parquet").count()
+
+
+def test_landings_of_an_export_are_written_by_many_tasks(spark, scratch, monkeypatch, many_tasks):
+    config.prepare(spark)
+    monkeypatch.setattr(catalog, "_scratch", lambda spark, name: f"{scratch}/{name}")
+    given = events(spark, f"{scratch}/given")
+    late = catalog.QUERIES["export_process_10s_late"](spark, given)
+    assert sorted(map(str, late.collect())) == sorted(map(str, catalog.QUERIES["export_process_10s"](spark, given).select(*late.columns).collect()))
+    assert all(len(files(scratch, "late-p", "rows", f"landed-{n}")) > 1 for n in range(3))
