@@ -67,7 +67,7 @@ def _reduced(pdfs: Iterator[pd.DataFrame]):
         end = at[order[-1]]
         latest = end if latest is None else max(latest, end)
         counts = [pdf[src].to_numpy() for src, _ in _COUNTS]
-        known = [~np.isnan(c) if c.dtype.kind == "f" else np.ones(len(c), bool) for c in counts]
+        known = [pd.notna(c) for c in counts]
         keep = order[(done | np.logical_or.reduce(known))[order]]
         kept.append([at[keep], seq[keep], done[keep], *[np.where(k, c, 0).astype(np.int64)[keep] for c, k in zip(counts, known, strict=True)],
                      *[k[keep] for k in known]])
