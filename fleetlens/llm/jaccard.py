@@ -18,7 +18,10 @@ H.  By pigeonhole a similar pair differs in few segments, so
    many comparisons as it has postings, not pairs;
 4. probes meet postings key by key; a pair of different groups is a candidate unless its parity bitmaps
    already differ in more than H bits.  Keys with many rows are dealt out chunk against chunk;
-5. candidates are verified on the whole sets.
+5. the bitmaps that go along with postings are short, and those of long sets say little.  So every pair is
+   screened once more by sketches, parity bitmaps that grow with the set, before the sets themselves
+   are sent;
+6. the pairs that are left are verified on the whole sets.
 
 A size band reaches into the one below it at most: a set posts its subsets in its own band and, if a
 partner may be there, probes the band below with that band's segments.
@@ -128,6 +131,11 @@ class Law:
         wanted = BITS_PER_TOKEN * (self.apart(band[1], self.largest(band[1])) + 1)
         return min(MOST_BITS, max(64, 1 << (wanted - 1).bit_length()))
 
+    def sketch_bits(self, s: int) -> int:
+        """Bits of the sketch of a set of size s: as many as its differences ask for, a small part of the set's own."""
+        wanted = BITS_PER_TOKEN * (self.apart(s, self.largest(s)) + 1)
+        return max(64, 1 << (wanted - 1).bit_length())
+
     @lru_cache(maxsize=1 << 16)
     def places(self, s: int) -> list[tuple[int, tuple[int, int], int]]:
         """(flag, band, most tokens apart) of a set of size s: 0 its own band, 1 the band below."""
@@ -171,6 +179,15 @@ def bitmap(h: np.ndarray, bits: int) -> bytes:
     return np.packbits((np.bincount(place, minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
+def sketches_apart(x: bytes, y: bytes) -> int:
+    """Bits that two parity bitmaps differ in, the longer one folded to the size of the other: places are remainders by
+    powers of two, so the parts of a bitmap add up to the shorter one of the same set."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    size = min(len(a), len(b))
+    a, b = (np.bitwise_xor.reduce(z.reshape(-1, size), axis=0) for z in (a, b))
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def _sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, law: Law) -> DataFrame:
     """One row a row of ``docs``: doc_id, t (MD5 of the text), n, k1, k2 (class), and for the first row of a class in a
     task the keys of its own band and of the band below, each with the number that a partner must share."""
@@ -241,14 +258,14 @@ def _hits(sets: DataFrame) -> DataFrame:
 
 
 def _near_sets(docs: DataFrame, sets: DataFrame, hits: DataFrame, text_col: str, shingle: int, law: Law) -> DataFrame:
-    """The classes that may have a partner: c, k2, n, h (sorted hashes), and for each band the keys, the one-deletion keys and the bitmap."""
+    """The classes that may have a partner: c, k2, n, h (sorted hashes), sketch, and for each band the keys, the one-deletion keys and the bitmap."""
     wanted = hits.select(F.col("ref").bitwiseAND(F.lit(-2)).alias("k1"), F.col("ref").bitwiseAND(F.lit(1)).alias("flag"))
     wanted = wanted.groupBy("k1").agg(F.min("flag").alias("first"), F.max("flag").alias("last"))
     chosen = sets.where("n > 0").groupBy("k1", "k2").agg(F.min("t").alias("t")).join(wanted, "k1").groupBy("t").agg(F.min("first").alias("first"), F.max("last").alias("last"))
     found = docs.select(F.md5(F.col(text_col).cast("binary")).alias("t"), F.col(text_col).cast("binary").alias("text")).join(chosen, "t")
     found = found.groupBy("t").agg(F.first("text").alias("text"), F.first("first").alias("first"), F.first("last").alias("last"))
     longs = pa.list_(pa.int64())
-    schema = pa.schema([("c", pa.int64()), ("k2", pa.int64()), ("n", pa.int64()), ("h", pa.binary())]
+    schema = pa.schema([("c", pa.int64()), ("k2", pa.int64()), ("n", pa.int64()), ("h", pa.binary()), ("sketch", pa.binary())]
                        + [(f"{x}{flag}", kind) for flag in (0, 1) for x, kind in (("keys", longs), ("segment", longs), ("deleted", longs), ("bitmap", pa.binary()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,17 +280,34 @@ def _near_sets(docs: DataFrame, sets: DataFrame, hits: DataFrame, text_col: str,
                     m = law.segments(band)
                     segment, deleted = deletion_keys(h, band, m)
                     given[4 * flag:4 * flag + 4] = segment_keys(h, band, m), segment, deleted, bitmap(h, law.bits(band))
-            yield from out.add((k1, k2, len(h), h.tobytes(), *given), 40 * len(h))
+            yield from out.add((k1, k2, len(h), h.tobytes(), bitmap(h, law.sketch_bits(len(h))), *given), 40 * len(h))
         yield from out.flush()
 
     kinds = ", ".join(f"keys{f} array<long>, segment{f} array<long>, deleted{f} array<long>, bitmap{f} binary" for f in (0, 1))
-    found = checkpointed(found.mapInArrow(lean(run), f"c long, k2 long, n long, h binary, {kinds}"))
+    found = checkpointed(found.mapInArrow(lean(run), f"c long, k2 long, n long, h binary, sketch binary, {kinds}"))
     twice = found.groupBy("c").agg(F.min("k2").alias("a"), F.max("k2").alias("b")).where("a <> b")
     if not twice.isEmpty():
         raise RuntimeError("two sets share 63 bits of their hash; give another seed in _odd")
     return found
 
 
+def screened(pairs: DataFrame, near: DataFrame, law: Law) -> DataFrame:
+    """The pairs (a, b) of ``pairs`` whose sketches are close enough; no similar pair leaves."""
+    left = near.select(F.col("c").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
+    right = near.select(F.col("c").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
+    met = pairs.join(right, "b").join(left, "a").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Out(schema)
+        for a, b, n_a, n_b, x, y in rows(batches):
+            if sketches_apart(x, y) <= law.apart(n_a, n_b):
+                yield from out.add((a, b))
+        yield from out.flush()
+
+    return checkpointed(met.mapInArrow(lean(run), "a long, b long"))
+
+
 def verified(pairs: DataFrame, sets: DataFrame, law: Law) -> DataFrame:
     """The pairs (a, b) of ``pairs`` that are similar, by their whole sets (c, h)."""
     pairs = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(PARTS)))
@@ -470,9 +504,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     _let_go(docs)
     near = _near_sets(docs, sets, hits, text_col, shingle, law)
     _let_go(docs)
-    first = verified(_stars(hits, near, law), near, law)
+    first = verified(screened(_stars(hits, near, law), near, law), near, law)
     groups = components(first)
-    rest = verified(_candidates(_probes(near, law), near, groups, law, split_at), near, law)
+    rest = verified(screened(_candidates(_probes(near, law), near, groups, law, split_at), near, law), near, law)
     links = first.unionAll(rest)
     groups = checkpointed(components(links))
     lows = classes.join(groups, F.col("k1") == F.col("node"), "left").withColumn("root", F.coalesce("root", "k1"))

@@ -144,3 +144,46 @@ def test_keys_and_bitmaps():
         assert (int(at[drop]) % jaccard.DELETIONS != 0) or other[int(at[drop])] in deleted[segment == int(at[drop])]
         a, b = (np.frombuffer(jaccard.bitmap(x, 256), np.uint64) for x in (h, fewer))
         assert np.bitwise_count(a ^ b).sum() == 1
+
+
+def test_unrelated_long_sets_are_not_sent_to_be_verified(spark, monkeypatch):
+    """They meet by empty segments, and the short bitmaps of sets that may differ in hundreds of tokens let them pass."""
+    rng = random.Random(21)
+    rows = []
+    for b in range(12):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(3600 + 20 * b)]
+        rows += [(10 * b + i, " ".join(edited(rng, base, 8))) for i in range(3)]
+    sent, verify = [], jaccard.verified
+
+    def recorded(pairs, sets, law):
+        sent.extend((r.a, r.b) for r in pairs.collect())
+        return verify(pairs, sets, law)
+
+    monkeypatch.setattr(jaccard, "verified", recorded)
+    assert got(spark, rows) == slow(rows)
+    assert 24 <= len(sent) <= 36
+
+
+def test_screen_keeps_every_similar_pair(spark):
+    """Sets of all sizes, next to the bound and of neighbouring bands: what is similar stays, what is unrelated leaves."""
+    rng = np.random.default_rng(8)
+    near, similar, unrelated = [], [], []
+    for n in [1, 2, 7, 13, 60, 300, 485, 486, 2000, 3200, 9000]:
+        h = np.unique(rng.integers(0, 2**63, 2 * n, dtype=np.uint64))
+        same, mine = h[rng.permutation(len(h))[:n]], len(near)
+        most = max((d for d in range(n + 1) if 100 * (n - d) >= 85 * n), default=0)      # a subset of n - d tokens is as far as may be
+        sets = [np.sort(same), np.sort(same[:n - most]), np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))]
+        near += [(mine + i, len(x), bytearray(jaccard.bitmap(x, LAW.sketch_bits(len(x))))) for i, x in enumerate(sets)]
+        similar.append((mine, mine + 1))
+        unrelated.append((mine, mine + 2))
+    near = spark.createDataFrame(near, "c long, n long, sketch binary")
+    pairs = spark.createDataFrame(similar + unrelated, "a long, b long")
+    assert sorted((r.a, r.b) for r in jaccard.screened(pairs, near, LAW).collect()) == similar
+
+
+def test_sketches_of_other_sizes_are_folded():
+    rng = np.random.default_rng(9)
+    h = np.unique(rng.integers(0, 2**63, 700, dtype=np.uint64))
+    assert jaccard.sketches_apart(jaccard.bitmap(h, 4096), jaccard.bitmap(h, 256)) == 0
+    assert jaccard.sketches_apart(jaccard.bitmap(h[3:], 64), jaccard.bitmap(h, 1 << 14)) in (1, 3)
+    assert jaccard.sketches_apart(jaccard.bitmap(h[:0], 64), jaccard.bitmap(h[:1], 128)) == 1
